@@ -46,6 +46,16 @@ def drop(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a ``cut`` table."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def id_name(docs: DataFrame) -> DataFrame:
     """The two columns every document operator reads; other columns, clashing names included, are left alone."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
