@@ -8,10 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of the numpy steps.
 SLICE_BYTES = 2_000_000
 _U = np.uint64
+#: Small tables up to this size are sent to all tasks, larger ones are joined by shuffle.
+MAX_SENT_BYTES = 48_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,11 @@ def table_bytes(df: DataFrame) -> int:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
 
 
+def joined(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a written small table: sent to all tasks where its files are small, by shuffle beyond that."""
+    return big.join(F.broadcast(small) if table_bytes(small) <= MAX_SENT_BYTES else small, on, how)
+
+
 def id_name(docs: DataFrame) -> DataFrame:
     """The two columns every document operator reads; other columns, clashing names included, are left alone."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -102,10 +110,10 @@ class Words:
     for the end; data: the bytes.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
-        space = _SPACE[data]
+        space = separators[data]
         edge = np.ones(n + 1, bool)
         edge[1:-1] = space[:-1]
         edge[offsets] = True

@@ -20,10 +20,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, drop, id_name, longs, mix, runs, slices, texts_of
+from llm.common import Words, cut, drop, id_name, joined, longs, mix, runs, slices, texts_of
 from llm.components import components
 
 SHINGLE = 5
@@ -102,7 +102,7 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     drop(counts)
     keys = kept["key"].to_numpy(np.int64).view(_U)
     order = np.argsort(keys)
-    return keys[order], kept["level"].to_numpy(np.uint64)[order], light_boundary(sizes)
+    return keys[order], kept["level"].to_numpy(np.uint8)[order], light_boundary(sizes)
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
@@ -131,10 +131,9 @@ def subset_keys(s: np.ndarray, light: int) -> np.ndarray:
 
 
 def _profiles(frequent: np.ndarray, level: np.ndarray, light: int):
-    bits = np.zeros(1 << 22, bool)  # a quick no for most shingles
-    bits[frequent >> _U(42)] = True
-
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << 22, bool)  # a quick no for most shingles
+        bits[frequent >> _U(42)] = True
         for batch in slices(batches):
             rows: list[list] = [[], [], [], [], []]
             for s in shingle_sets(batch):
@@ -146,7 +145,7 @@ def _profiles(frequent: np.ndarray, level: np.ndarray, light: int):
                     if len(maybe):
                         at = np.minimum(np.searchsorted(frequent, s[maybe]), len(frequent) - 1)
                         hit = frequent[at] == s[maybe]
-                        rank[maybe[hit]] |= level[at[hit]] << _U(58)
+                        rank[maybe[hit]] |= level[at[hit]].astype(_U) << _U(58)
                     p = n - (4 * n + 4) // 5 + 1
                     ranked = np.sort(np.partition(rank, p - 1)[:p] if p < n else rank)
                 if 0 < n <= 5 * light // 4:
@@ -255,7 +254,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     docs = id_name(docs)
     frequent, level, light = survey(docs)
     if not len(frequent):
-        frequent, level = np.zeros(1, _U), np.zeros(1, _U)
+        frequent, level = np.zeros(1, _U), np.zeros(1, np.uint8)
     profiles = cut(docs.mapInArrow(_profiles(frequent, level, light), "doc_id long, n long, d1 long, d2 long, ranked array<long>, subsets array<long>"), "profiles")
 
     # equal sets: one class, its least doc_id stands for it
@@ -300,3 +299,16 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     found = cut(components(links), "components")
     out = profiles.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that stand for their group: the least doc_id of each component.
+
+    Of rows that share a doc_id one stays. Texts without words and rows with a null doc_id are in no group and stay.
+    """
+    groups = jaccard_groups(docs)
+    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    kept = joined(docs, gone, ["doc_id"], "left_anti")
+    again = joined(kept, repeated, ["doc_id"], "left_semi").withColumn("row_order", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return joined(kept, repeated, ["doc_id"], "left_anti").select(*docs.columns).unionAll(again.where("row_order = 1").select(*docs.columns))

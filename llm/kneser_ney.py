@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from llm.common import SLICE_BYTES, cut, drop, mix, slices, texts_of, _LOWER, _SPACE
 
-#: Entries of all languages that are sent to the tasks at most (12 bytes each).
-MAX_SENT_ENTRIES = 4_000_000
+#: Entries of all languages that are sent to the tasks at most (14 bytes each).
+MAX_SENT_ENTRIES = 2_000_000
 _U = np.uint64
 SYMBOLS = 256
 
@@ -90,6 +90,8 @@ def smoothed(counts: DataFrame, order: int) -> DataFrame:
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         tables[k] = tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(2 ** (8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+        if k > 1:
+            tables[k] = cut(tables[k], f"grams{k}")
     lower, entries = None, None
     for k in range(1, order + 1):
         now = tables[k]
@@ -180,16 +182,18 @@ def fits(entries: DataFrame) -> bool:
     return entries.count() <= MAX_SENT_ENTRIES
 
 
-def models(entries: DataFrame, order: int) -> dict[str, Model]:
-    """All models, for tables that ``fits`` accepts."""
-    langs = {r[0]: i for i, r in enumerate(entries.select("lang").distinct().collect())}
-    code = F.create_map(*(F.lit(x) for pair in langs.items() for x in pair)) if langs else F.create_map()
-    got = entries.select(code[F.col("lang")].cast("int").alias("lang") if langs else F.lit(0).alias("lang"), "k", "context", "gram", "value").toPandas()
-    out = {}
-    for lang, i in langs.items():
-        part = got[got["lang"] == i]
-        out[lang] = Model(part["k"].to_numpy(), part["context"].to_numpy(), part["gram"].to_numpy(np.int64), part["value"].to_numpy(), order)
-    return out
+def packed_models(entries: DataFrame) -> dict[str, bytes]:
+    """The entries of each language in one binary, for tables that ``fits`` accepts; tasks build a ``Model`` from it."""
+    rows = entries.select(F.lit(0).alias("shard"), "lang", "k", "context", "gram", "value").repartition("lang").sortWithinPartitions("lang")
+    return {r["lang"]: bytes(r["model"]) for r in rows.mapInArrow(_blobs, "shard int, lang string, model binary").collect()}
+
+
+ENTRY = np.dtype([("k", "u1"), ("context", "?"), ("gram", "<i8"), ("value", "<f4")])
+
+
+def model_of(data: bytes, order: int) -> Model:
+    x = np.frombuffer(data, ENTRY)
+    return Model(x["k"], x["context"], np.ascontiguousarray(x["gram"]), x["value"], order)
 
 
 def by_document(values: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -275,8 +279,7 @@ def _score(order: int):
                 if at != (shard, salt):
                     at, held = (shard, salt), {}
                 if model is not None:
-                    x = np.frombuffer(model, np.dtype([("k", "u1"), ("context", "?"), ("gram", "<i8"), ("value", "<f4")]))
-                    held[lang] = Model(x["k"], x["context"], np.ascontiguousarray(x["gram"]), x["value"], order)
+                    held[lang] = model_of(model, order)
                 elif lang in held:
                     n = unpack(n).astype(np.float64)
                     for column, v in zip(out, (doc, key, float(n @ held[lang].logs(np.cumsum(unpack(keys), dtype=_U))), int(n.sum())), strict=True):
@@ -294,7 +297,7 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.string()), pa.array([np.concatenate(held.pop(key)).tobytes()], pa.binary())], ["shard", "lang", "model"])
 
     for batch in batches:
-        x = np.empty(batch.num_rows, np.dtype([("k", "u1"), ("context", "?"), ("gram", "<i8"), ("value", "<f4")]))
+        x = np.empty(batch.num_rows, ENTRY)
         for c in x.dtype.names:
             x[c] = batch.column(c).to_numpy(zero_copy_only=False)
         keys = list(zip(batch.column("shard").to_pylist(), batch.column("lang").to_pylist(), strict=True))

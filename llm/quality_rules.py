@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, mix, runs, slices, texts_of, _BYTE, _R, _R_INV, powers
-from llm.kneser_ney import by_document, fits, gram_counts, grams_of, models, sharded_scores, smoothed
+from llm.common import Words, cut, joined, mix, runs, slices, texts_of, _BYTE, _R, _R_INV, powers
+from llm.kneser_ney import by_document, fits, gram_counts, grams_of, model_of, packed_models, sharded_scores, smoothed
 
 ORDER = 5
 #: Interquartile ranges beyond the quartiles at which the bands lie.
-WIDTH = 4.0
+WIDTH = 6.0
 MIN_WORDS = 50
+#: Stands for a null doc_id in joins.
+MISSING = -(2**63)
 #: Languages with fewer documents that pass the counted rules have no band.
 MIN_DOCUMENTS = 20
 _U = np.uint64
@@ -80,7 +82,7 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(sent, order: int):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
+        held = {lang: model_of(data, order) for lang, data in sent.value.items()}
         for batch in slices(batches):
             data, offsets = texts_of(batch.column("text"))
             counts = base_counts(data, offsets)
@@ -94,7 +96,7 @@ def _scored(sent, order: int):
             with np.errstate(all="ignore"):
                 level = -by_document(logs, places) / n
             columns = [pa.array(c.astype(np.int64)) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("lang"), *columns, pa.array(np.where(np.isfinite(level), level, np.nan), from_pandas=True)], ["row", "doc_id", "lang", *(x.split()[0] for x in BASE.split(", ")), "level"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), batch.column("lang"), *columns, pa.array(np.where(np.isfinite(level), level, np.nan), from_pandas=True)], ["doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level"])
 
     return scored
 
@@ -110,28 +112,35 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     A text whose language has no band is kept if it passes the counted rules. Repeated rows are each judged and returned;
     a null doc_id is returned as null. Other columns are not read.
     """
-    return _judged(docs)[1]
+    return judged(docs).drop("tkey")
 
 
-def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The input with its row keys, and the verdict of each row key."""
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that the rules keep."""
+    verdict = judged(docs).where("not kept").select(F.coalesce("doc_id", F.lit(MISSING)).alias("key_id"), F.col("tkey").alias("key_text")).distinct()
+    named = docs.withColumns({"key_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(MISSING)), "key_text": F.xxhash64(docs["text"].cast("string"))})
+    return joined(named, cut(verdict, "rejected"), ["key_id", "key_text"], "left_anti").select(*docs.columns)
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``quality_rules`` with tkey, a hash of the text that tells rows apart that share a doc_id."""
     spark = docs.sparkSession
     tagged = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
     tagged = tagged.withColumn("tkey", F.xxhash64("text"))
     base = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, text string, {BASE}")
     entries = smoothed(gram_counts(base.where(~_failed()), ORDER), ORDER)
     if fits(entries):
-        sent = spark.sparkContext.broadcast(models(entries, ORDER))
-        rows = tagged.withColumn("row", F.lit(0).cast("long")).mapInArrow(_scored(sent, ORDER), f"row long, doc_id long, lang string, {BASE}, level double").drop("row")
+        sent = spark.sparkContext.broadcast(packed_models(entries))
+        rows = tagged.mapInArrow(_scored(sent, ORDER), f"doc_id long, tkey long, lang string, {BASE}, level double")
     else:
-        level = sharded_scores(tagged.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "tkey", "lang", "text"), entries, ORDER)
+        level = sharded_scores(tagged.select(F.coalesce("doc_id", F.lit(MISSING)).alias("doc_id"), "tkey", "lang", "text"), entries, ORDER)
         level = level.select("doc_id", "tkey", (-F.col("log") / F.col("n")).alias("level"))
-        counted = base.drop("text").withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-        rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey"], "left").select("doc_id", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
+        counted = base.drop("text").withColumn("key", F.coalesce("doc_id", F.lit(MISSING)))
+        rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey"], "left").select("doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
     rows = cut(rows, "scored")
     bands = rows.where(~_failed()).groupBy("lang").agg(F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q"), F.count("level").alias("docs"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
     bands = bands.where(f"docs >= {MIN_DOCUMENTS}").select("lang", (F.col("q")[0] - WIDTH * spread).alias("low"), (F.col("q")[1] + WIDTH * spread).alias("high"))
     verdict = rows.join(F.broadcast(bands), "lang", "left").withColumn("base_failed", _failed())
     inside = F.coalesce(F.col("level").between(F.col("low"), F.col("high")), F.lit(True))
-    return tagged, verdict.select("doc_id", *(x.split()[0] for x in BASE.split(", ")), "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("level").alias("log_perplexity"))
+    return verdict.select("doc_id", "tkey", *(x.split()[0] for x in BASE.split(", ")), "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("level").alias("log_perplexity"))

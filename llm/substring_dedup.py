@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.fm_index import FMIndex
-from llm.common import Words, cut, drop, id_name, longs, mix, powers, runs, slices, table_bytes, texts_of, _R, _R_INV
+from llm.common import Words, cut, drop, id_name, joined, longs, mix, powers, runs, slices, texts_of, _R, _R_INV
 
 WINDOW = 35
 GRAM = 8
 #: Words of one FM-index, and the distinct segments from which an anchor is dealt window by window.
 SHARD_WORDS = 150_000
 HOT_SEGMENTS = 1_000
-#: Small tables up to this size are sent to all tasks, larger ones are joined by shuffle.
-MAX_SENT_BYTES = 48_000_000
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 KEY = ["doc_id", "tkey"]
@@ -160,11 +158,6 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(key[new]), pa.array(at[new].astype(np.int32)), pa.array(furthest[last].astype(np.int32))], ["doc_id", "tkey", "at", "to"])
 
 
-def joined(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a written small table: sent to all tasks where its files are small, by shuffle beyond that."""
-    return big.join(F.broadcast(small) if table_bytes(small) <= MAX_SENT_BYTES else small, on, how)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     docs = id_name(docs)
     return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
@@ -176,8 +169,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = docs.where(F.length("text") >= 2 * window - 1)
     found = cut(texts.mapInArrow(_occurrences(window), "anchor long, body long, doc_id long, tkey long, first int, count int"), "segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high")).where("n > 1")
-    again = cut(found.join(anchors.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchor"), "again")
+    # written first, so that the join has an exchange of its own in which a hot anchor can be split
+    anchors = cut(anchors.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchors")
+    again = cut(found.join(anchors, "anchor"), "again")
     drop(found)
+    drop(anchors)
     # one row for each distinct segment of a mixed anchor; single ones are asked for, all are indexed
     bodies = again.where("mixed").groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "first", "count")).alias("one"))
     bodies = cut(bodies, "bodies")
