@@ -6,20 +6,46 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from llm import language_id, toxicity
 from llm.byte_bpe import token_digests
 from llm.common import table
 from llm.greedy_tiling import contaminations
 from llm.jaccard_join import jaccard_groups
+from llm.quality_classifier import quality_scores
 from llm.quality_rules import quality_rules
 from llm.substring_dedup import substring_dedup
 from llm.token_files import token_files
+from llm.url_filter import url_verdicts
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def _fold(folds: int, held: int):
+    """Whether a document belongs to the fold that is held out; a null doc_id belongs to none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~_fold(4, 2)))
+    out = toxicity.toxicity(docs, machine)
+    return out.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.fit(docs.where(~_fold(3, 1)))
+    return language_id.languages(docs, network).select("doc_id", _fold(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tkey")
 
@@ -32,6 +58,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -42,9 +72,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
