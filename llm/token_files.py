@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import id_name, shared_dir, slices
+from llm.common import SLICE_BYTES, id_name, powers, shared_dir, slices, _BYTE, _R, _R_INV
 
 BLOCK_IDS = 2_000_000
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 SAMPLE = 64
 MISSING = -(2**63)
 FORMAT = "part int, block int, docs long, ids long, width int, doc_ids binary, data binary, low_bits int, low binary, high binary, samples binary"
@@ -77,16 +77,26 @@ class EliasFano:
 
 
 class WordCodec(dict):
-    """A tokenizer file of the tokenizers library; as a dict it holds the ids of single words, as little-endian bytes."""
+    """A tokenizer file of the tokenizers library; as a dict it holds the ids of single words, as little-endian bytes.
+
+    The file's pre-tokenizer is fixed: contractions, runs of letters, single numerals, runs of anything else but white
+    space; the words are encoded apart from each other. Only words not met before go to the library, and texts outside
+    Latin, where the normalizer looks at more than one character, go there whole.
+    """
+
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Fixed by the file's own pre-tokenizer.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        # Latin text in composed form: lower-casing and composing do not depend on what stands around a character
+        self.split = regex.compile(self.SPLIT).findall
         self.plain = regex.compile(r"[\x00-ǃ]*").fullmatch
+        kinds = [next((k for k, c in ((0, r"\s"), (1, r"\p{L}"), (2, r"\p{N}")) if regex.match(c, chr(i))), 3) for i in range(256)]
+        self.kinds = np.array(kinds, np.uint8)
+        size = self.tokenizer.get_vocab_size()
+        self.last = np.zeros(size, bool)  # ids that end a word
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -97,11 +107,63 @@ class WordCodec(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Encode words not met before in one call: each ends with an id that ends a word."""
+        if len(self) + len(words) > REMEMBERED:
+            self.clear()
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            raw = ids.tobytes()
+            self.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+
     def encode(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.split(text.lower())))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Texts of one-byte characters without apostrophes are split together, and each word of theirs looked up once."""
+        out: list = [None] * len(texts)
+        some, raw = [], []
+        for i, text in enumerate(texts):
+            try:
+                if "'" in text or "<|" in text:
+                    raise ValueError
+                raw.append(text.lower().encode("latin-1"))
+                some.append(i)
+            except ValueError:
+                out[i] = self.encode(text)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if len(data):
+            places = np.cumsum([0, *map(len, raw)])
+            kind = self.kinds[data]
+            new = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 2)]
+            new[places[:-1][places[:-1] < len(data)]] = True
+            start = np.flatnonzero(new)
+            end = np.r_[start[1:], len(data)]
+            word = kind[start] > 0
+            start, end = start[word], end[word]
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * powers(_R, len(data)), out=total[1:])
+            hashes = (total[end] - total[start]) * powers(_R_INV, len(data) + 1)[start]
+            _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+            whole = data.tobytes()
+            words = [whole[a:b].decode("latin-1") for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+            unknown = [w for w in words if w not in self]
+            if unknown:
+                self.learn(unknown)
+            found = [self[w] for w in words]
+            ids = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.array([len(x) // 4 for x in found])
+            n = sizes[back]
+            ends = np.cumsum(n)
+            flat = ids[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[back] - (ends - n), n)]
+            cuts = np.r_[0, ends][np.searchsorted(start, places)].tolist()
+            for i, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                out[i] = flat[a:b].tobytes()
+        return [b"" if x is None else x for x in out]
+
 
 @lru_cache(maxsize=2)
 def word_codec(path: str) -> WordCodec:
@@ -125,10 +187,11 @@ def _blocks(path: str, end_id: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in FORMAT.split(", ")])
 
-        for batch in slices(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in slices(batches, limit=2 * SLICE_BYTES):
+            encoded = code.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids.append(MISSING if doc is None else doc)
-                texts.append(code.encode(text or "") + end)
+                texts.append(text + end)
                 held += len(texts[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield block()
