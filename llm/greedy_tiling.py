@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, id_name, joined, longs, runs, slices, texts_of
+from llm.common import Words, cut, id_name, joined, longs, marked, runs, slices, texts_of
 
 LEAST = 5
 COVERAGE = 0.6
@@ -136,8 +136,8 @@ def _contaminated(sent, coverage: float):
                 at, row, place, doc = at[whole], row[whole], place[whole], doc[whole]
                 order = np.lexsort((at, row, doc))
                 at, row, place, doc = at[order], row[order], place[order], doc[order]
-                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(at) else []
-                for a, b in zip(new, [*new[1:], len(at)], strict=True):
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(at) else np.zeros(0, int)
+                for a, b in zip(new, np.r_[new, len(at)][1:], strict=True):
                     d, r = int(doc[a]), int(row[a])
                     reach = len(np.unique((place[a:b, None] + np.arange(k)).ravel()))  # tiles cannot cover more
                     if reach >= coverage * sizes[r]:
@@ -221,5 +221,4 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs``, all columns kept, that no item contaminates; rows with a null doc_id are judged by their text."""
     found = cut(contaminations(docs, benchmark, coverage).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key_id"), F.col("tkey").alias("key_text")).distinct(), "contaminated")
-    named = docs.withColumns({"key_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "key_text": F.xxhash64(docs["text"].cast("string"))})
-    return joined(named, found, ["key_id", "key_text"], "left_anti").select(*docs.columns)
+    return joined(marked(docs), found, ["key_id", "key_text"], "left_anti").select("whole.*")
