@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of the numpy steps.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _U = np.uint64
 #: Small tables up to this size are sent to all tasks, larger ones are joined by shuffle.
 MAX_SENT_BYTES = 48_000_000
@@ -69,6 +69,13 @@ def id_name(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whole, as a struct that no name can clash with, beside the keys that tell them apart: key_id
+    (the doc_id, or the least long for null) and key_text (a hash of the text)."""
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("whole")
+    return docs.select(whole, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key_id"), F.xxhash64(docs["text"].cast("string")).alias("key_text"))
+
+
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.default_rng(20240229)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SLICE_BYTES, cut, drop, mix, slices, texts_of, _LOWER, _SPACE
+from llm.common import cut, drop, mix, slices, texts_of, _LOWER, _SPACE
 
 #: Entries of all languages that are sent to the tasks at most (14 bytes each).
 MAX_SENT_ENTRIES = 2_000_000
@@ -61,15 +61,15 @@ def _counted(order: int):
             keys, n = merged(lang)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-        for batch in slices(batches, limit=2 * SLICE_BYTES):
+        for batch in slices(batches):
             grams, places = grams_of(*texts_of(batch.column("text")), order)
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in set(langs):
                 mask = np.repeat(langs == lang, np.diff(places))
                 held.setdefault(lang, []).append(np.unique(grams[mask], return_counts=True))
-                if sum(len(k) for k, _ in held[lang]) > 3_000_000:
+                if sum(len(k) for k, _ in held[lang]) > 1_500_000:
                     held[lang] = [merged(lang)]
-                    if len(held[lang][0][0]) > 1_500_000:
+                    if len(held[lang][0][0]) > 750_000:
                         yield rows(lang)
                         del held[lang]
         for lang in held:
@@ -96,7 +96,7 @@ def smoothed(counts: DataFrame, order: int) -> DataFrame:
     for k in range(1, order + 1):
         now = tables[k]
         of = now.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         of = of.select("lang", *(F.greatest(F.lit(0.1), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)))
         of = F.broadcast(of)  # one row for each language
         now = now.withColumn("h", F.shiftright("gram", 8)).join(of, "lang")

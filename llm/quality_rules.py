@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, joined, mix, runs, slices, texts_of, _BYTE, _R, _R_INV, powers
+from llm.common import Words, cut, joined, marked, mix, runs, slices, texts_of, _BYTE, _R, _R_INV, powers
 from llm.kneser_ney import by_document, fits, gram_counts, grams_of, model_of, packed_models, sharded_scores, smoothed
 
 ORDER = 5
@@ -118,8 +118,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, that the rules keep."""
     verdict = judged(docs).where("not kept").select(F.coalesce("doc_id", F.lit(MISSING)).alias("key_id"), F.col("tkey").alias("key_text")).distinct()
-    named = docs.withColumns({"key_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(MISSING)), "key_text": F.xxhash64(docs["text"].cast("string"))})
-    return joined(named, cut(verdict, "rejected"), ["key_id", "key_text"], "left_anti").select(*docs.columns)
+    return joined(marked(docs), cut(verdict, "rejected"), ["key_id", "key_text"], "left_anti").select("whole.*")
 
 
 def judged(docs: DataFrame) -> DataFrame:
