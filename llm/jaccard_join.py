@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, drop, id_name, joined, longs, mix, runs, slices, texts_of
+from llm.common import Words, cut, drop, id_name, joined, longs, marked, mix, runs, slices, texts_of
 from llm.components import components
 
 SHINGLE = 5
@@ -307,8 +307,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that share a doc_id one stays. Texts without words and rows with a null doc_id are in no group and stay.
     """
     groups = jaccard_groups(docs)
-    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
-    kept = joined(docs, gone, ["doc_id"], "left_anti")
-    again = joined(kept, repeated, ["doc_id"], "left_semi").withColumn("row_order", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return joined(kept, repeated, ["doc_id"], "left_anti").select(*docs.columns).unionAll(again.where("row_order = 1").select(*docs.columns))
+    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("key_id")).distinct(), "gone")
+    rows = marked(docs)
+    repeated = cut(rows.groupBy("key_id").agg(F.count("*").alias("n")).where(f"n > 1 and key_id <> {-(2**63)}").select("key_id"), "repeated")
+    kept = joined(rows, gone, ["key_id"], "left_anti")
+    again = joined(kept, repeated, ["key_id"], "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("key_id").orderBy("key_text")))
+    return joined(kept, repeated, ["key_id"], "left_anti").select("whole.*").unionAll(again.where("row = 1").select("whole.*"))

@@ -184,6 +184,8 @@ def fit(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Network:
     sample = rows.join(F.broadcast(count), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
     sample = cut(sample, "sample")
     got = sample.repartition(1).sortWithinPartitions("lang", "text").mapInArrow(_learned, "labels array<string>, params array<float>").first()
+    if got is None:  # nothing to learn from
+        return Network.fresh(["und"], np.random.default_rng(0))
     network, flat = Network.fresh(list(got["labels"]), np.random.default_rng(0)), np.array(got["params"], np.float32)
     at = 0
     for k in Network.NAMES:
@@ -197,7 +199,7 @@ def _predicted(sent):
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network: Network = sent.value
         labels = np.array([*network.labels, "und"], object)
-        for batch in slices(batches, limit=6_000_000):
+        for batch in slices(batches, limit=3_000_000):
             data, offsets = texts_of(batch.column("text"))
             docs, start, size, hashes = pieces_of(Words(data, offsets))
             _, one, back = np.unique(hashes, return_index=True, return_inverse=True)

@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.fm_index import FMIndex
-from llm.common import Words, cut, drop, id_name, joined, longs, mix, powers, runs, slices, texts_of, _R, _R_INV
+from llm.common import Words, cut, drop, id_name, joined, longs, marked, mix, powers, runs, slices, texts_of, _R, _R_INV
 
 WINDOW = 35
 GRAM = 8
@@ -230,8 +231,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts.append(raw[words.start[i] : words.end[i]])
                         last = i
                     texts[d] = b"".join(parts).decode()
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).select([c for c in batch.schema.names if c not in ("tkey", "spans", "key_id")])
+        yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(texts, pa.string())], ["whole", "text"])
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -250,6 +250,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs``, all columns kept, with the repeated words cut out of ``text``; texts without repeats stay byte for byte."""
     spans = repeated_intervals(keyed(docs), window)
-    tagged = docs.withColumns({"key_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "tkey": F.xxhash64(docs["text"].cast("string"))})
-    spans = spans.withColumnRenamed("doc_id", "key_id")
-    return joined(tagged, spans, ["key_id", "tkey"], "left").select(*docs.columns, "spans").mapInArrow(_strip, docs.schema)
+    spans = spans.select(F.col("doc_id").alias("key_id"), F.col("tkey").alias("key_text"), "spans")
+    rows = joined(marked(docs), spans, ["key_id", "key_text"], "left").select("whole", F.col("whole.text").cast("string").alias("text"), "spans")
+    kind = T.StructType([T.StructField("whole", docs.schema), T.StructField("text", T.StringType())])
+    return rows.mapInArrow(_strip, kind).select(F.col("whole").withField("text", F.col("text").cast(docs.schema["text"].dataType)).alias("whole")).select("whole.*")

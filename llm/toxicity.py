@@ -151,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     positives = count.get(1, 0) / max(1, sum(count.values()))
     lists = cut(lists, "terms")
     model = lists.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("terms")).mapInArrow(_fitted(positives), "bias double, buckets array<long>, weights array<float>, factors array<float>").first()
+    if model is None:  # nothing to learn from
+        return Machine.fit([], np.zeros(0), positives)
     return Machine(model["bias"], np.array(model["buckets"], np.int64), np.array(model["weights"], np.float32), np.array(model["factors"], np.float32).reshape(-1, FACTORS))
 
 

@@ -3,8 +3,8 @@
 Two variable-order Markov models, smoothed by interpolated modified Kneser-Ney (``llm.kneser_ney``), are counted over the
 distinct urls that the rules allow and those that they block. A url no rule decides gets the difference of its log
 likelihoods, blocked less allowed, divided by its length. It is blocked above a threshold that is calibrated on urls
-kept out of the counts: above a high quantile of the allowed ones and a low quantile of the blocked ones, so a url unlike
-both is allowed.
+kept out of the counts: halfway between a high quantile of the allowed ones and a low quantile of the blocked ones, but
+never below the former.
 """
 
 from __future__ import annotations
@@ -91,6 +91,7 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     scored = cut(scored.select("page_id", "text", "host", "path", "rule", "ruled", "ratio"), "urls")
     known = scored.where(held & F.col("ruled").isNotNull())
     allowed, blocked = (F.percentile_approx(F.when(F.col("ruled") == name, F.col("ratio")), q, 10_000) for name, q in (("allow", 1 - FALSE_BLOCKS), ("block", MISSED_BLOCKS)))
-    limit = max(x or 0.0 for x in known.agg(allowed, blocked).first())
+    low, high = (x or 0.0 for x in known.agg(allowed, blocked).first())
+    limit = max(low, (low + high) / 2)
     method = F.when(F.col("ratio") > F.lit(limit), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "ratio")
