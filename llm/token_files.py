@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import SLICE_BYTES, id_name, powers, shared_dir, slices, _BYTE, _R, _R_INV
+from llm.common import id_name, powers, shared_dir, slices, _BYTE, _R, _R_INV
 
-BLOCK_IDS = 2_000_000
-REMEMBERED = 1_000_000
+BLOCK_IDS = 1_000_000
+REMEMBERED = 250_000
 SAMPLE = 64
 MISSING = -(2**63)
 FORMAT = "part int, block int, docs long, ids long, width int, doc_ids binary, data binary, low_bits int, low binary, high binary, samples binary"
@@ -187,7 +187,7 @@ def _blocks(path: str, end_id: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in FORMAT.split(", ")])
 
-        for batch in slices(batches, limit=2 * SLICE_BYTES):
+        for batch in slices(batches):
             encoded = code.encode_all([t or "" for t in batch.column("text").to_pylist()])
             for doc, text in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids.append(MISSING if doc is None else doc)
