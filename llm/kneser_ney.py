@@ -319,7 +319,7 @@ def sharded_scores(docs: DataFrame, entries: DataFrame, order: int) -> DataFrame
     whose language has a model and whose text has any bytes."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     total = entries.count()
-    shards = int(min(128, max(6, total // 500_000)))
+    shards = int(min(128, max(2, total // 500_000)))
     salts = max(1, parts // shards)
     symbol = F.when(F.col("context"), F.col("gram").bitwiseAND(255)).otherwise(F.shiftright("gram", 8).bitwiseAND(255))
     everywhere = F.sequence(F.lit(0), F.lit(shards - 1))

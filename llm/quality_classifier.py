@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from llm.common import cut, joined
 from llm.kneser_ney import gram_counts, sharded_scores, smoothed
 
-ORDER = 4
+ORDER = 3
 QUANTILE = 0.99
 #: Nats allowed for a text of one byte; the allowance falls with the root of the length.
 SHORT = 3.0
