@@ -164,11 +164,12 @@ def _profiles(frequent: np.ndarray, level: np.ndarray, light: int):
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inverted lists, in order of (token, n, doc): pairs of short lists and leader pairs of long ones.
 
-    kind 0: a candidate pair; kind 1: an entry of a long list, for the second search. A list that spans batches or
+    kind 0: a pair, how many lists of this batch it shares, and both sizes; kind 1: an entry of a long list, for the second
+    search. A list that spans batches or
     tasks is continued by its parts: every part has leaders of its own, and all its entries go to the second search.
     """
     for batch in batches:
-        token, doc, n, pos = (batch.column(c).to_numpy() for c in ("token", "doc", "n", "pos"))
+        token, doc, n = (batch.column(c).to_numpy() for c in ("token", "doc", "n"))
         if not len(token):
             continue
         new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -190,17 +191,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.append((lead, order))
         if pairs:
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            least = -(-4 * (n[i] + n[j]) // 9)
-            ok = (doc[i] != doc[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+            ok = (doc[i] != doc[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
-            a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-            if len(a):
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield _rows(0, a[at], b[at], np.diff(np.r_[at, len(a)]), np.zeros(len(at), np.int64))
+            swap = doc[i] > doc[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            if len(i):
+                order = np.lexsort((doc[j], doc[i]))
+                i, j = i[order], j[order]
+                at = np.flatnonzero(np.r_[True, (doc[i][1:] != doc[i][:-1]) | (doc[j][1:] != doc[j][:-1])])
+                yield _rows(0, doc[i][at], doc[j][at], np.diff(np.r_[at, len(i)]), n[i][at] << 31 | n[j][at])
         if inside.any():
-            yield _rows(1, token[inside], doc[inside], n[inside], pos[inside])
+            yield _rows(1, token[inside], doc[inside], n[inside], n[inside])
 
 
 def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -260,10 +261,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     # equal sets: one class, its least doc_id stands for it
     filled = profiles.where("n > 0 and doc_id is not null")
     classes = cut(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2")
     copies = classes.where("copies > 1").select("n", "d1", "d2", "rep")
-    twin_edges = filled.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    folded = filled.join(reps, ["doc_id", "n", "d1", "d2"], "left_semi")
+    twins = cut(filled.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"]).where("doc_id <> rep").distinct(), "twins")
+    twin_edges = twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    folded = joined(filled, twins, ["doc_id", "n", "d1", "d2"], "left_anti")
 
     # light sets: every subset's list is a star
     subsets = folded.where(F.size("subsets") > 0).select("doc_id", F.explode("subsets").alias("key"))
@@ -271,30 +272,37 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     light_edges = subsets.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
     # heavy sets: inverted lists
-    entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.posexplode("ranked").alias("pos", "token"))
+    entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.explode("ranked").alias("token"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     scanned = cut(entries.repartition(parts, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_scan, "kind int, x long, y long, p long, q long"), "lists")
-    pairs = scanned.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"))
-    # first the most promising partner of each set, then whatever still lies between components
-    pairs = cut(pairs, "pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    pairs = scanned.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.max("q").alias("sizes"))
+    pairs = cut(pairs.select("a", "b", "shared", F.shiftright("sizes", 31).alias("na"), F.col("sizes").bitwiseAND(2**31 - 1).alias("nb")), "pairs")
+    # first the most promising partner of each set, then whatever may still join two components
+    best = pairs.where("6 * shared >= least(na, nb) / 5").groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    best = cut(best, "best")
     exact = cut(twin_edges.unionAll(light_edges), "exact")
     links = exact.unionAll(verified(docs, best))
     found = cut(components(links), "components")
 
     def apart(some: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            some = some.join(found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), side, "left")
-        return some.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+            some = joined(some, found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), [side], "left")
+        return some.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).drop("a_part", "b_part")
 
-    long = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("pos"))
-    long = long.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    long = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"))
+    long = joined(long, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     long = cut(long.join(mixed, "token", "left_semi"), "long")
-    left = long.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    right = long.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    across = left.join(right, "token").where("a < b and ca <> cb and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)").select("a", "b")
-    rest = cut(apart(pairs.select("a", "b")).unionAll(across).join(best, ["a", "b"], "left_anti").distinct(), "rest")
+    left = long.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = long.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    across = left.join(right, "token").where("a < b and ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    across = across.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # A pair that is linked shares all tokens up to the end of one prefix but those counted, and at most the rest of that
+    # set beyond it. Lists met in both searches count twice, which only lets more pairs through to the check.
+    rest = apart(pairs).unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    beyond = "greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1"
+    rest = rest.where(f"9 * (shared + {beyond}) >= 4 * (na + nb)").select("a", "b")
+    rest = cut(rest.join(best, ["a", "b"], "left_anti"), "rest")
     links = links.unionAll(verified(docs, rest))
     found = cut(components(links), "components")
     out = profiles.select("doc_id", F.col("n").alias("n_shingles"))
