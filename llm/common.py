@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, label: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages survive lost executors and start there."""
+#: Rows of an Arrow batch where rows hold whole texts; Spark's own default suits rows of a few numbers.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """While an action runs: small Arrow batches, which bound the memory of tasks that read whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def cut(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later stages survive lost executors and start there.
+
+    ``texts``: the stage that is written reads whole texts in Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    with text_batches(spark) if texts else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

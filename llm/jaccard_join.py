@@ -91,7 +91,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """The frequent shingles in hash order with their rank buckets, and the largest light size."""
-    counts = cut(docs.mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "survey")
+    counts = cut(docs.mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "survey", texts=True)
     levels = {r["level"]: r["count"] for r in counts.where("kind = 0").groupBy(F.floor(F.log2("n")).alias("level")).count().collect()}
     least, total = 63, 0
     while least > 1 and total + levels.get(least - 1, 0) <= MAX_FREQUENT:
@@ -236,7 +236,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     else:
         sent, source = None, docs.join(ids, "doc_id", "left_semi")
     sets = source.mapInArrow(_sets(sent), "doc_id long, shingles array<long>")
-    sets = cut(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if sent is None else sets, "sets")
+    sets = cut(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if sent is None else sets, "sets", texts=True)
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -256,7 +256,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     frequent, level, light = survey(docs)
     if not len(frequent):
         frequent, level = np.zeros(1, _U), np.zeros(1, np.uint8)
-    profiles = cut(docs.mapInArrow(_profiles(frequent, level, light), "doc_id long, n long, d1 long, d2 long, ranked array<long>, subsets array<long>"), "profiles")
+    profiles = cut(docs.mapInArrow(_profiles(frequent, level, light), "doc_id long, n long, d1 long, d2 long, ranked array<long>, subsets array<long>"), "profiles", texts=True)
 
     # equal sets: one class, its least doc_id stands for it
     filled = profiles.where("n > 0 and doc_id is not null")

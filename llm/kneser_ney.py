@@ -86,7 +86,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
 def smoothed(counts: DataFrame, order: int) -> DataFrame:
     """(lang, k, context, gram, value): for context false the log probability of a gram of order k, for context true log
     gamma of the k - 1 bytes before the last one."""
-    counts = cut(counts, "grams")
+    counts = cut(counts, "grams", texts=True)
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         tables[k] = tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(2 ** (8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))

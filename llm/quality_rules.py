@@ -136,7 +136,7 @@ def judged(docs: DataFrame) -> DataFrame:
         level = level.select("doc_id", "tkey", (-F.col("log") / F.col("n")).alias("level"))
         counted = base.drop("text").withColumn("key", F.coalesce("doc_id", F.lit(MISSING)))
         rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey"], "left").select("doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
-    rows = cut(rows, "scored")
+    rows = cut(rows, "scored", texts=True)
     bands = rows.where(~_failed()).groupBy("lang").agg(F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q"), F.count("level").alias("docs"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
     bands = bands.where(f"docs >= {MIN_DOCUMENTS}").select("lang", (F.col("q")[0] - WIDTH * spread).alias("low"), (F.col("q")[1] + WIDTH * spread).alias("high"))

@@ -168,7 +168,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, tkey, spans): for ``keyed`` documents with repeated passages their word intervals [at, to), merged and in
     order; tkey tells rows apart that share a doc_id."""
     texts = docs.where(F.length("text") >= 2 * window - 1)
-    found = cut(texts.mapInArrow(_occurrences(window), "anchor long, body long, doc_id long, tkey long, first int, count int"), "segments")
+    found = cut(texts.mapInArrow(_occurrences(window), "anchor long, body long, doc_id long, tkey long, first int, count int"), "segments", texts=True)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high")).where("n > 1")
     # written first, so that the join has an exchange of its own in which a hot anchor can be split
     anchors = cut(anchors.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchors")

@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import id_name, powers, shared_dir, slices, _BYTE, _R, _R_INV
+from llm.common import id_name, powers, shared_dir, slices, text_batches, _BYTE, _R, _R_INV
 
 BLOCK_IDS = 1_000_000
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 SAMPLE = 64
 MISSING = -(2**63)
 FORMAT = "part int, block int, docs long, ids long, width int, doc_ids binary, data binary, low_bits int, low binary, high binary, samples binary"
@@ -95,6 +95,7 @@ class WordCodec(dict):
         kinds = [next((k for k, c in ((0, r"\s"), (1, r"\p{L}"), (2, r"\p{N}")) if regex.match(c, chr(i))), 3) for i in range(256)]
         self.kinds = np.array(kinds, np.uint8)
         size = self.tokenizer.get_vocab_size()
+        self.forget()
         self.last = np.zeros(size, bool)  # ids that end a word
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -107,15 +108,30 @@ class WordCodec(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def forget(self) -> None:
+        """The words known by hash: sorted hashes, and for each where its ids lie and how many they are."""
+        self.known, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode words not met before in one call: each ends with an id that ends a word."""
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(words):
-            raw = ids.tobytes()
-            self.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+        if len(ends) != len(words):
+            each = [np.frombuffer(self.whole(w), "<u4") for w in words]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        begin = np.r_[0, ends[:-1]]
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known)
+        self.at = np.concatenate([self.at, begin + len(self.flat)])[order]
+        self.size = np.concatenate([self.size, ends - begin])[order]
+        self.flat, self.known = np.concatenate([self.flat, ids]), known[order]
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes stand among the known ones, and which do."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return at, self.known[at] == hashes
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
@@ -147,18 +163,19 @@ class WordCodec(dict):
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_BYTE[data] * powers(_R, len(data)), out=total[1:])
             hashes = (total[end] - total[start]) * powers(_R_INV, len(data) + 1)[start]
-            _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-            whole = data.tobytes()
-            words = [whole[a:b].decode("latin-1") for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-            unknown = [w for w in words if w not in self]
-            if unknown:
-                self.learn(unknown)
-            found = [self[w] for w in words]
-            ids = np.frombuffer(b"".join(found), "<u4")
-            sizes = np.array([len(x) // 4 for x in found])
-            n = sizes[back]
+            distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+            at, hit = self.places(distinct)
+            if not hit.all():
+                if len(self.known) + np.count_nonzero(~hit) > REMEMBERED:
+                    self.forget()
+                    hit[:] = False
+                new = np.flatnonzero(~hit)
+                whole = data.tobytes().decode("latin-1")
+                self.learn(distinct[new], [whole[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+                at, _ = self.places(distinct)
+            n = self.size[at][back]
             ends = np.cumsum(n)
-            flat = ids[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[back] - (ends - n), n)]
+            flat = self.flat[np.arange(n.sum()) + np.repeat(self.at[at][back] - (ends - n), n)]
             cuts = np.r_[0, ends][np.searchsorted(start, places)].tolist()
             for i, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
                 out[i] = flat[a:b].tobytes()
@@ -212,7 +229,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     docs = id_name(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.mapInArrow(_blocks(tokenizer, end_id), FORMAT).write.option("compression", "none").parquet(folder)
+    with text_batches(docs.sparkSession):
+        dealt.mapInArrow(_blocks(tokenizer, end_id), FORMAT).write.option("compression", "none").parquet(folder)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
