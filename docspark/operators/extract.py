@@ -11,12 +11,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions import grammar as g
 
 # Misread spellings of kinds, put right before spans are sought.
 MISREAD = (("FOCT", "ГОСТ"), ("ГОCТ", "ГОСТ"), ("CTB", "СТБ"), ("TKN", "ТКП"), ("TKП", "ТКП"), ("CHиП", "СНиП"), ("0CT", "ОСТ"))
-SPAN = "array<struct<kind: string, start: int, stop: int, raw: string>>"
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("raw", T.StringType())]))
 _NAMES = {name: kind for kind, names in g.KIND_ALIASES.items() for name in names}
 _FIND = re.compile(r"(?<![a-zа-яё])(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")(?![a-zа-яё])(?:\s*[рr]\.?(?=\s*\d))?\s*([\d][\d \t.\-–—]*)", re.I)
 

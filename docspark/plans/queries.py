@@ -36,7 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-K, R = F.col("kind"), F.col("ref")
+
+def K():  # noqa: N802
+    return F.col("kind")
+
+
+def R():  # noqa: N802
+    return F.col("ref")
+
+
 _DIGITS = "regexp_replace(split_part(ref, ' ', 1) || regexp_replace(ref, '^\\S+ ', ''), '\\D', '', 'g')"
 _BODY = "regexp_replace(regexp_replace(regexp_replace(ref, '^\\S+ ', ''), '-\\d{2,4}$', ''), '\\D', '', 'g')"
 _YEAR = "regexp_extract(ref, '-(\\d{2,4})$', 1)"
@@ -51,14 +59,14 @@ def extract_refs(spark, sf):
 
 @query(f"SELECT ord, lower(kind) || ':' || {_DIGITS} AS canon_key, lower(kind) || ':' || {_BODY} AS base_key, {_BODY} AS body, {_YEAR} AS year FROM <REFS>")
 def canonical_keys(spark, sf):
-    return i.frame(spark, sf, i.REFS).select("ord", g.canonical_key(K, R).alias("canon_key"), g.base_key(K, R).alias("base_key"), g.body_of(R).alias("body"), g.year_of(R).alias("year"))
+    return i.frame(spark, sf, i.REFS).select("ord", g.canonical_key(K(), R()).alias("canon_key"), g.base_key(K(), R()).alias("base_key"), g.body_of(R()).alias("body"), g.year_of(R()).alias("year"))
 
 
 @query("SELECT ord, regexp_replace(ref, '^\\S+ ', '') AS clipped, true AS complete FROM <REFS>")
 def clip_and_complete(spark, sf):
-    raw = F.concat(F.regexp_replace(R, r"^\S+ ", ""), F.lit(" установить по месту"))
-    df = i.frame(spark, sf, i.REFS).withColumn("clipped", g.clip_number(raw, K))
-    return df.select("ord", "clipped", g.number_complete(F.col("clipped"), K).alias("complete"))
+    raw = F.concat(F.regexp_replace(R(), r"^\S+ ", ""), F.lit(" установить по месту"))
+    df = i.frame(spark, sf, i.REFS).withColumn("clipped", g.clip_number(raw, K()))
+    return df.select("ord", "clipped", g.number_complete(F.col("clipped"), K()).alias("complete"))
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS ord, CAST(1000 + p_partkey % 9000 AS STRING) || '-' || CAST(70 + p_size % 25 AS STRING) AS gost, CAST(1000 + p_partkey % 9000 AS STRING) || '-2010' AS stb, '34 10.' || CAST(100 + p_partkey % 900 AS STRING) || '-97' AS ost, '34.17.' || CAST(100 + p_partkey % 900 AS STRING) AS stp, '45-3.02-' || CAST(1 + p_partkey % 90 AS STRING) || '-2005' AS tkp FROM part")
@@ -77,7 +85,7 @@ def kind_labels(spark, sf):
 
 @query("SELECT ord, body, year FROM (SELECT ord, d, CASE WHEN length(d) >= 6 AND CAST(right(d, 4) AS INT) BETWEEN 1900 AND 2039 THEN left(d, length(d) - 4) ELSE left(d, length(d) - 2) END AS body, CASE WHEN length(d) >= 6 AND CAST(right(d, 4) AS INT) BETWEEN 1900 AND 2039 THEN right(d, 4) ELSE right(d, 2) END AS year FROM (SELECT ord, regexp_replace(ref, '\\D', '', 'g') AS d FROM <REFS>))")
 def body_year_split(spark, sf):
-    body, year = g.split_year(g.digits(R))
+    body, year = g.split_year(g.digits(R()))
     return i.frame(spark, sf, i.REFS).select("ord", body.alias("body"), year.alias("year"))
 
 
@@ -96,7 +104,7 @@ def first_wins_dedupe(spark, sf):
 
 @query("SELECT ord, lower(replace(ref, ' ', '')) AS code, CASE WHEN kind = 'ОСТ' THEN 1 ELSE 0 END AS dots, CASE WHEN kind = 'ГОСТ' THEN 1 ELSE 0 END AS quality, true AS one FROM <REFS>")
 def rank_parts(spark, sf):
-    return i.frame(spark, sf, i.REFS).select("ord", g.norm_code(R).alias("code"), g.dot_score(K, R).alias("dots"), g.gost_quality(R).alias("quality"), g.one_kind(R).alias("one"))
+    return i.frame(spark, sf, i.REFS).select("ord", g.norm_code(R()).alias("code"), g.dot_score(K(), R()).alias("dots"), g.gost_quality(R()).alias("quality"), g.one_kind(R()).alias("one"))
 
 
 # ---------------------------------------------------------------- resolution
@@ -109,8 +117,8 @@ def source_votes(spark, sf):
 
 @query(f"SELECT doc_id, 'гост:' || {_DIGITS} AS canon_key, kind, ref, count(DISTINCT source_ord) AS votes FROM <READINGS> GROUP BY ALL")
 def best_spelling(spark, sf):
-    loose = i.frame(spark, sf, i.READINGS).withColumn("ref", F.when(F.col("source_ord") == 2, F.replace(R, F.lit("-"), F.lit(" -"))).otherwise(R))
-    votes = resolve.source_votes(loose.withColumn("ref", F.concat_ws(" ", K, g.format_number(g.number_of(R), K))))
+    loose = i.frame(spark, sf, i.READINGS).withColumn("ref", F.when(F.col("source_ord") == 2, F.replace(R(), F.lit("-"), F.lit(" -"))).otherwise(R()))
+    votes = resolve.source_votes(loose.withColumn("ref", F.concat_ws(" ", K(), g.format_number(g.number_of(R()), K()))))
     return resolve.best_spelling(votes)
 
 
@@ -183,9 +191,9 @@ def merge_supplement(spark, sf):
     SELECT ord, ref AS full_query, num AS number, replace(replace(num, ' ', ''), '-', '.') AS dotted FROM n"""
 )
 def query_variants(spark, sf):
-    v = g.query_variants(K, R)
+    v = g.query_variants(K(), R())
     df = i.frame(spark, sf, i.REFS).withColumn("v", v)
-    dotted = F.replace(F.replace(F.regexp_replace(R, r"^\S+ ", ""), F.lit(" "), F.lit("")), F.lit("-"), F.lit("."))
+    dotted = F.replace(F.replace(F.regexp_replace(R(), r"^\S+ ", ""), F.lit(" "), F.lit("")), F.lit("-"), F.lit("."))
     return df.select("ord", F.col("v")[0].alias("full_query"), F.col("v")[1].alias("number"), F.when(F.array_contains("v", dotted), dotted).alias("dotted"))
 
 

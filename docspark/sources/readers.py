@@ -22,9 +22,29 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, tabs: bool = False, encoding: str = "UTF-8", schema: T.StructType | None = None) -> DataFrame:
-    """CSV or TSV; without a schema all columns are strings. Other encodings, such as windows-1251, are asked for by name."""
-    reader = spark.read.option("header", True).option("sep", "\t" if tabs else ",").option("encoding", encoding).option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """CSV or TSV; without a schema all columns are strings.
+
+    Encodings that Spark's reader does not know, such as cp1251, are decoded file by file, one row a line; all files have one
+    header.
+    """
+    sep = "\t" if tabs else ","
+    if encoding.lower() in ("utf-8", "utf-16", "utf-32", "us-ascii", "iso-8859-1"):
+        reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True)
+        return (reader.schema(schema) if schema else reader).csv(path)
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                head, *rest = bytes(content).decode(encoding).splitlines() or [""]
+                yield pd.DataFrame({"head": [head] * len(rest), "line": rest})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "head string, line string")
+    if schema is None:
+        first = rows.select("head").first()
+        names = first[0].split(sep) if first else []
+        schema = T.StructType([T.StructField(n.strip('"'), T.StringType()) for n in names])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return rows.select(F.from_csv("line", ddl, {"sep": sep}).alias("r")).select("r.*")
 
 
 def documents(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]], pattern: str = "*") -> DataFrame:
