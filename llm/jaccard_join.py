@@ -36,6 +36,8 @@ SHORT_LIST = 8
 MAX_SENT_IDS = 2_000_000
 #: Cost of checking one candidate set, in list entries; the light boundary is the cheapest size for the whole corpus.
 CHECK_COST = 12
+#: Rounds that link the members of long lists to hubs before the exact search of what is left.
+HUB_ROUNDS = 3
 LARGEST_LIGHT = 24
 _U = np.uint64
 
@@ -82,7 +84,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting += len(s)
             if 0 < len(s) < 64:
                 sizes[len(s)] += 1
-        if waiting > 6_000_000:
+        if waiting > 2_500_000:
             yield flush()
             waiting = 0
     yield flush()
@@ -164,33 +166,33 @@ def _profiles(frequent: np.ndarray, level: np.ndarray, light: int):
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inverted lists, in order of (token, n, doc): pairs of short lists and leader pairs of long ones.
 
-    kind 0: a pair, how many lists of this batch it shares, and both sizes; kind 1: an entry of a long list, for the second
-    search. A list that spans batches or
+    kind 0: a pair, how many short lists of this batch it shares, and both sizes; kind 2: the same of a long list's leader and
+    members; kind 1: an entry of a long list, for the second search. A list that spans batches or
     tasks is continued by its parts: every part has leaders of its own, and all its entries go to the second search.
     """
     for batch in batches:
-        token, doc, n = (batch.column(c).to_numpy() for c in ("token", "doc", "n"))
+        token, doc, n, last = (batch.column(c).to_numpy() for c in ("token", "doc", "n", "last"))
         if not len(token):
             continue
         new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[new, len(token)])
         edge = np.zeros(len(new), bool)
         edge[[0, -1]] = True  # may go on in the neighbouring batch
-        pairs = []
+        short = []
         for m in range(2, SHORT_LIST + 1):
             at = new[(size == m) & ~edge]
             for i in range(m if len(at) else 0):
-                pairs += [(at + i, at + j) for j in range(i + 1, m)]
+                short += [(at + i, at + j) for j in range(i + 1, m)]
         long = (size > SHORT_LIST) | edge
         inside = np.repeat(long, size)
         group = np.repeat(np.arange(len(new)), size)
+        leaders = []
         if inside.any():
             where = np.flatnonzero(inside)
             order = where[np.lexsort((doc[where], group[where]))]
-            lead = order[np.searchsorted(group[order], group[order])]
-            pairs.append((lead, order))
-        if pairs:
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            leaders.append((order[np.searchsorted(group[order], group[order])], order))
+        for kind, found in ((0, short), (2, leaders)):
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
             ok = (doc[i] != doc[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             swap = doc[i] > doc[j]
@@ -199,9 +201,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.lexsort((doc[j], doc[i]))
                 i, j = i[order], j[order]
                 at = np.flatnonzero(np.r_[True, (doc[i][1:] != doc[i][:-1]) | (doc[j][1:] != doc[j][:-1])])
-                yield _rows(0, doc[i][at], doc[j][at], np.diff(np.r_[at, len(i)]), n[i][at] << 31 | n[j][at])
+                yield _rows(kind, doc[i][at], doc[j][at], np.diff(np.r_[at, len(i)]), n[i][at] << 31 | n[j][at])
         if inside.any():
-            yield _rows(1, token[inside], doc[inside], n[inside], n[inside])
+            yield _rows(1, token[inside], doc[inside], n[inside], last[inside])
 
 
 def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -245,6 +247,60 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of long lists that hold sets of more than one component, with their components."""
+    long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return cut(long.join(mixed, "token", "left_semi"), "long")
+
+
+def hub_pairs(long: DataFrame) -> DataFrame:
+    """For each set the likeliest hub of another component: of each list the set that stands in most long lists, which in a
+    group of edited copies is the one with the fewest edits of its own; of all hubs the one met most often. One pair a set."""
+    hubs = cut(long.groupBy("doc").agg(F.count("*").alias("lists")), "hubs")
+    ranked = joined(long, hubs, ["doc"])
+    leader = ranked.groupBy("token").agg(F.max_by(F.struct("doc", "component", "n"), F.struct("lists", -F.col("doc"))).alias("hub"))
+    met = ranked.join(leader, "token").where("component <> hub.component and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    met = met.groupBy("doc", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("shared"))
+    best = met.groupBy("doc").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
+    return best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+
+
+#: What two linked sets may share beyond the shared part of their prefixes, at most; na and nb are their sizes.
+BEYOND = "(greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1)"
+
+
+def across_lists(long: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components in long lists that may be linked.
+
+    Linked sets share at least ``need`` tokens of their prefixes: the needed overlap, less what may lie beyond the prefix that
+    ends first. Of these the short lists hold ``short`` at most, so at least need - short stand in long lists, and then
+    the sets share one of the first |T| - (need - short) + 1 of their tokens T in long lists. Only those are joined, sets
+    with fewer tokens drop out, and pairs that meet are counted over all of T.
+    """
+    sides = pairs.select(F.col("a").alias("doc"), "short").unionAll(pairs.select(F.col("b").alias("doc"), "short"))
+    short = sides.groupBy("doc").agg(F.max("short").alias("short"))
+    sizes = long.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = long.join(sizes, "token").groupBy("doc", "n", "last", "component").agg(F.array_sort(F.collect_list("token")).alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
+    need = lambda t: F.expr(f"(4 * (n + {t}) + 8) div 9 - (greatest((4 * n + 4) div 5, (4 * {t} + 4) div 5) - 1)")
+    near = near.join(short, "doc", "left").withColumns({"low": F.expr("greatest(low, (4 * n + 4) div 5)"), "high": F.expr("least(high, 5 * n div 4)")})
+    near = near.withColumn("least", F.greatest(F.lit(1), F.least(need("low"), need("high")) - F.coalesce("short", F.lit(0))))
+    near = cut(near.where("size(tokens) >= least").select("doc", "n", "last", "component", "tokens", "least", F.coalesce("short", F.lit(0)).alias("short")), "near")
+    slots = F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("least").cast("int") + 1)).alias("pos", "token")
+    first = near.select("doc", "n", "last", "component", "short", F.size("tokens").alias("size"), slots)
+    left, right = (first.select("token", *(F.col(c).alias(f"{c}_{side}") for c in first.columns if c != "token")) for side in "ab")
+    # once both sets are known, the same holds with their own sizes, and with the place in each set's tokens
+    beyond = "case when last_a <= last_b then (4 * n_a + 4) div 5 - 1 else (4 * n_b + 4) div 5 - 1 end"
+    least = F.greatest(F.lit(1), F.expr(f"(4 * (n_a + n_b) + 8) div 9 - ({beyond})") - F.least("short_a", "short_b"))
+    room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
+    met = left.join(right, "token").where(room & F.expr("doc_a < doc_b and component_a <> component_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"))
+    met = met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    for side in ("a", "b"):
+        met = joined(met, near.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "last", "tokens", "short"))), [side])
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b")) + F.least("short_a", "short_b")
+    return met.where(9 * (shared + F.expr(beyond)) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``.
 
@@ -272,11 +328,11 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     light_edges = subsets.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
     # heavy sets: inverted lists
-    entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.explode("ranked").alias("token"))
+    entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.element_at("ranked", -1).alias("last"), F.explode("ranked").alias("token"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     scanned = cut(entries.repartition(parts, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_scan, "kind int, x long, y long, p long, q long"), "lists")
-    pairs = scanned.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.max("q").alias("sizes"))
-    pairs = cut(pairs.select("a", "b", "shared", F.shiftright("sizes", 31).alias("na"), F.col("sizes").bitwiseAND(2**31 - 1).alias("nb")), "pairs")
+    pairs = scanned.where("kind <> 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.sum(F.when(F.col("kind") == 0, F.col("p")).otherwise(0)).alias("short"), F.max("q").alias("sizes"))
+    pairs = cut(pairs.select("a", "b", "shared", "short", F.shiftright("sizes", 31).alias("na"), F.col("sizes").bitwiseAND(2**31 - 1).alias("nb")), "pairs")
     # first the most promising partner of each set, then whatever may still join two components
     best = pairs.where("6 * shared >= least(na, nb) / 5").groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     best = cut(best, "best")
@@ -289,19 +345,19 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
             some = joined(some, found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), [side], "left")
         return some.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).drop("a_part", "b_part")
 
-    long = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"))
-    long = joined(long, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    long = cut(long.join(mixed, "token", "left_semi"), "long")
-    left = long.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = long.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = left.join(right, "token").where("a < b and ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    across = across.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    # A pair that is linked shares all tokens up to the end of one prefix but those counted, and at most the rest of that
-    # set beyond it. Lists met in both searches count twice, which only lets more pairs through to the check.
-    rest = apart(pairs).unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    beyond = "greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1"
-    rest = rest.where(f"9 * (shared + {beyond}) >= 4 * (na + nb)").select("a", "b")
+    lists = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("last"))
+    for left_rounds in range(HUB_ROUNDS, -1, -1):
+        long = mixed_lists(lists, found)
+        if not left_rounds:
+            break
+        spokes = cut(hub_pairs(long), "spokes")
+        more = verified(docs, spokes)
+        if not more.head(1):
+            break
+        links = links.unionAll(more)
+        found = cut(components(links), "components")
+    rest = apart(pairs).where(f"9 * (shared + {BEYOND}) >= 4 * (na + nb)").select("a", "b")
+    rest = rest.unionAll(across_lists(long, pairs)).distinct()
     rest = cut(rest.join(best, ["a", "b"], "left_anti"), "rest")
     links = links.unionAll(verified(docs, rest))
     found = cut(components(links), "components")
