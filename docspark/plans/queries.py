@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from docspark.functions import grammar as g
 from docspark.functions import scalar as s
-from docspark.operators import dataset, extract, history, layout, registry, report, resolve, tables
+from docspark.functions import sheet
+from docspark.operators import dataset, extract, history, layout, registry, report, resolve, sections, tables
 from docspark.plans import inputs as i
+from docspark.streaming import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -612,3 +614,164 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def document_report(spark, sf):
     return flagship(spark, sf)
+
+
+# ---------------------------------------------------------------- sheets and sections
+
+_SNIP = "SELECT CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 5 = 0 THEN 'ГОСТ' ELSE 'СНиП' END AS kind, CASE WHEN p_partkey % 5 = 0 THEN 'ГОСТ 481-80' WHEN p_partkey % 3 = 0 THEN 'СНиП 1.03.' || CAST(10 + p_partkey % 80 AS STRING) || '-' || CAST(2000 + p_size % 40 AS STRING) WHEN p_partkey % 3 = 1 THEN 'СНиП 2.01-' || CAST(10 + p_size AS STRING) ELSE 'СНиП 63.13330.2018' END AS ref, CASE WHEN p_partkey % 2 = 0 THEN 'по сп здесь' ELSE 'лист' END AS context FROM {part}"
+
+
+@query(
+    f"""WITH s AS (SELECT *, CASE WHEN kind <> 'СНиП' THEN kind WHEN ref = 'СНиП 63.13330.2018' THEN 'СП' WHEN regexp_matches(ref, '-2\\d{{3}}$') THEN CASE WHEN CAST(right(ref, 4) AS INT) < 2010 THEN kind WHEN context = 'лист' THEN 'СН' ELSE 'СП' END WHEN CAST(right(ref, 2) AS INT) BETWEEN 10 AND 39 THEN 'СП' ELSE kind END AS new_kind FROM ({i.plain(_SNIP)}))
+    SELECT ord, new_kind, replace(ref, kind, new_kind) AS new_ref FROM s"""
+)
+def reclassify_snip(spark, sf):
+    kind, ref = sheet.modern_snip(K(), R(), F.col("context"))
+    return i.frame(spark, sf, _SNIP).select("ord", kind.alias("new_kind"), ref.alias("new_ref"))
+
+
+@query(
+    """WITH n AS (SELECT ord, kind, ref, regexp_replace(ref, '^\\S+ ', '') AS num, CASE kind WHEN 'ГОСТ' THEN 'GOST' WHEN 'ОСТ' THEN 'OCT' END AS latin FROM <REFS>)
+    SELECT ord, phrase FROM (SELECT ord, unnest([ref, kind || num, '(' || ref || ')', '(' || kind || num || ')', latin || ' ' || num, latin || num, '(' || latin || ' ' || num || ')', '(' || latin || num || ')']) AS phrase FROM n) WHERE phrase IS NOT NULL"""
+)
+def highlight_phrases(spark, sf):
+    return i.frame(spark, sf, i.REFS).select("ord", F.explode(sheet.highlight_phrases(K(), R())).alias("phrase"))
+
+
+@query("SELECT ord, doc_id % 3 > 0 AS found FROM <REFS>")
+def source_contains(spark, sf):
+    refs = i.frame(spark, sf, i.REFS)
+    text = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Трубы по "), F.replace(R(), F.lit("-"), F.lit(" -")), F.lit(" и далее"))).otherwise(F.concat(F.lit("Трубы по "), K(), F.lit(" 9")))
+    return refs.select("ord", sheet.source_has(text, K(), R()).alias("found"))
+
+
+@query("SELECT doc_id, (length(t) >= 120 OR w >= 25) AND w >= 40 AND n >= 3 AS usable FROM (SELECT doc_id, trim(text) AS t, len(list_filter(regexp_split_to_array(trim(text), '[ \\t\\n]+'), lambda x: x <> '')) AS w, len(regexp_extract_all(text, '\\d{4,}')) AS n FROM documents)")
+def usable_layers(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", sheet.usable_layer(F.regexp_replace("text", "[А-Яа-я]", "")).alias("usable"))
+
+
+_CIPHERS = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS BIGINT) AS ord, CASE l_partkey % 4 WHEN 0 THEN '34-43-' || CAST(10000 + l_partkey AS STRING) || '-78' WHEN 1 THEN CAST(1000 + l_partkey % 7000 AS STRING) || ' - 0 - ЭМ1' WHEN 2 THEN CAST(1000 + l_partkey % 7000 AS STRING) || '-0-КР' ELSE 'VR-' || CAST(100000 + l_partkey AS STRING) END AS raw FROM {lineitem}"
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT ON (doc_id, ord, raw) doc_id, ord, CASE WHEN raw LIKE '%-КР' THEN raw || '1' ELSE replace(raw, ' ', '') END AS cipher FROM ({i.plain(_CIPHERS)})),
+    s AS (SELECT *, CASE WHEN regexp_matches(cipher, '^34-43-') THEN -100 ELSE CASE WHEN regexp_matches(cipher, '[А-Я]\\d$') THEN 12 ELSE 4 END + CASE WHEN cipher LIKE 'VR-%' THEN 28 ELSE 0 END + CASE WHEN cipher LIKE '%-ЭМ1' THEN 14 WHEN cipher LIKE '%-КР1' THEN 10 ELSE 0 END + CASE WHEN regexp_matches(cipher, '\\d+-\\d+-') THEN 6 ELSE 0 END
+      - CASE WHEN regexp_matches(cipher, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999') THEN 14 ELSE 0 END END AS bonus, CASE WHEN regexp_matches(cipher, '[А-Я]') THEN 2 ELSE 0 END AS cyr FROM c)
+    SELECT doc_id, bonus, cyr FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bonus DESC, cyr DESC, length(cipher) DESC, ord) AS n FROM s) WHERE n = 1"""
+)
+def best_cipher(spark, sf):
+    best = sections.best_ciphers(i.frame(spark, sf, _CIPHERS))
+    rank = sheet.cipher_rank(F.col("cipher"))
+    return best.select("doc_id", rank["bonus"].alias("bonus"), rank["cyrillic"].alias("cyr"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS ord, CASE p_partkey % 3 WHEN 2 THEN '' ELSE CAST(1 + p_partkey % 99 AS STRING) END AS sheet, CASE p_partkey % 2 WHEN 0 THEN '11.25' ELSE '—' END AS date, CASE p_partkey % 2 WHEN 0 THEN 9 ELSE 0 END AS score FROM part")
+def file_hints(spark, sf):
+    n = (1 + F.col("p_partkey") % 99).cast("string")
+    k = F.col("p_partkey")
+    file = F.when(k % 3 == 0, F.concat(F.lit("план_Л"), n, F.lit(".pdf"))).when(k % 3 == 1, F.concat(F.lit("план л. "), n, F.lit(".pdf"))).otherwise(F.lit("план.pdf"))
+    text = F.when(k % 2 == 0, F.lit("Изм. Лист 1760-0-КР 1:100")).otherwise(F.lit("просто текст"))
+    return table(spark, sf, "part").select(k.alias("ord"), sheet.sheet_number(file).alias("sheet"), sheet.block_date(F.when(k % 2 == 0, F.lit("11.25")).otherwise(F.lit("13.45"))).alias("date"), sheet.stamp_score(text).alias("score"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS ord, CASE p_partkey % 4 WHEN 0 THEN '—' WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN '—' ELSE '2,5 м' END AS qty, p_partkey % 2 = 0 AS doubled, 2 AS pieces FROM part")
+def bom_rows(spark, sf):
+    k, q = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.when(k % 4 == 0, F.concat(F.lit("Щит панель "), q)).otherwise(F.lit("Опора скользящая"))
+    qty = F.when(k % 4 == 2, F.lit("много")).when(k % 4 == 3, F.lit("2,5 м")).otherwise(q)
+    line = F.when(k % 2 == 0, F.lit("Насос центробежный, насос центробежный")).otherwise(F.lit("Насос центробежный и задвижка стальная"))
+    return table(spark, sf, "part").select(k.alias("ord"), sheet.row_quantity(name, qty).alias("qty"), sheet.doubled_phrase(line).alias("doubled"), F.size(sheet.spec_position(F.lit("161 Блок питания 162 Щит управления"))).alias("pieces"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS ord, CASE c_custkey % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'table' ELSE 'simple' END AS task, CASE WHEN c_custkey % 2 = 0 THEN 'Анализ: ' || c_name ELSE 'Что это' END AS title FROM customer")
+def chat_routing(spark, sf):
+    k = F.col("c_custkey")
+    ext = F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "XLSX").otherwise("txt")
+    file = F.when(k % 2 == 0, F.concat(F.lit("/up/"), "c_name", F.lit(".pdf")))
+    return table(spark, sf, "customer").select(k.alias("ord"), sheet.task_of(ext, F.lit("Что это")).alias("task"), sheet.chat_title(F.lit(" Что   это?! "), file, F.when(k % 2 == 0, "Анализ").otherwise("")).alias("title"))
+
+
+_FIELDS = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, l_returnflag AS field, CAST(l_linenumber AS BIGINT) AS source_ord, min(CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'v' || CAST(l_partkey AS STRING) END) AS value, CAST(min(l_quantity % 7) AS BIGINT) AS quality FROM {lineitem} GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT doc_id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY quality + CASE source_ord WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END DESC, source_ord) AS n FROM ({i.plain(_FIELDS)}) WHERE value <> '') WHERE n = 1")
+def merge_fields(spark, sf):
+    return sections.merged_fields(i.frame(spark, sf, _FIELDS))
+
+
+@query(
+    f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY source_ord) AS k FROM ({i.plain(_FIELDS)})), w AS (SELECT doc_id, field, k, value AS name, quality FROM o WHERE k = 1
+    UNION ALL SELECT o.doc_id, o.field, o.k, CASE WHEN o.quality > w.quality + 1 THEN o.value ELSE w.name END, CASE WHEN o.quality > w.quality + 1 THEN o.quality ELSE w.quality END FROM w JOIN o ON o.doc_id = w.doc_id AND o.field = w.field AND o.k = w.k + 1)
+    SELECT doc_id, field AS role, max_by(name, k) AS name FROM w GROUP BY 1, 2"""
+)
+def merge_signatures(spark, sf):
+    rows = i.frame(spark, sf, _FIELDS).select("doc_id", F.col("field").alias("role"), "source_ord", F.col("value").alias("name"), F.col("quality").cast("double").alias("readability"))
+    return sections.merged_signatures(rows)
+
+
+@query("SELECT doc_id, ord, CASE WHEN k >= greatest(4, ceil(n * 0.85)) THEN '—' ELSE name END AS name FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, count(*) OVER (PARTITION BY doc_id, name) AS k FROM (SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_linestatus AS name FROM lineitem))")
+def collapse_surnames(spark, sf):
+    rows = i.frame(spark, sf, "SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_linestatus AS name FROM {lineitem}")
+    return sections.collapse_surnames(rows).select("doc_id", "ord", "name")
+
+
+_SECTIONS = "SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(o_orderkey AS BIGINT) AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'specification' WHEN 1 THEN 'legend' ELSE 'explication' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN 'Т' ELSE '' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN CAST(1 + o_orderkey % 5 AS STRING) || '.' || CAST(o_orderkey % 3 AS STRING) ELSE '' END AS table_number, CAST(o_orderkey % 11 AS BIGINT) AS n_rows, CAST(o_orderkey % 7 AS BIGINT) AS filled, CAST(o_orderkey AS BIGINT) AS start_line FROM {orders}"
+
+
+@query(f"SELECT doc_id, kind, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n_rows * 2 + filled + CASE WHEN title <> '' THEN 3 ELSE 0 END DESC, ord) AS n FROM ({i.plain(_SECTIONS)})) WHERE n = 1")
+def best_section(spark, sf):
+    return sections.best_sections(i.frame(spark, sf, _SECTIONS))
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, ord, start_line, table_number AS t, coalesce(nullif(table_number, ''), CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS STRING)) AS table_number FROM ({i.plain(_SECTIONS)}))
+    SELECT doc_id, ord, table_number, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(split_part(table_number, '.', 1) AS INT), CASE WHEN contains(table_number, '.') THEN CAST(split_part(table_number, '.', 2) AS INT) ELSE 0 END, start_line) AS place FROM n"""
+)
+def section_numbers(spark, sf):
+    return sections.section_order(sections.numbered_sections(i.frame(spark, sf, _SECTIONS))).select("doc_id", "ord", "table_number", "place")
+
+
+_KEYED = "SELECT doc_id, ord, kind, CASE WHEN ord % 5 = 0 THEN table_number ELSE '' END AS table_number, CASE WHEN n_rows = 0 THEN 'a' ELSE 'a,b' END || CASE WHEN filled = 1 THEN ',c' ELSE ',d,e' END AS keys FROM (" + _SECTIONS + ") s"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, ord, kind, table_number, string_split(keys, ',') AS keys FROM ({i.plain(_KEYED)}))
+    SELECT a.doc_id, a.ord AS first, b.ord AS second FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.ord < b.ord WHERE (a.table_number <> '' AND a.table_number = b.table_number) OR (a.kind = b.kind AND len(list_intersect(a.keys, b.keys)) >= 0.5 * greatest(len(a.keys), len(b.keys)))"""
+)
+def mergeable_sections(spark, sf):
+    return sections.mergeable(i.frame(spark, sf, _KEYED).withColumn("keys", F.split("keys", ",")))
+
+
+_PLAN = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, l_returnflag AS plan_number, CAST(l_linenumber AS BIGINT) AS source_ord, repeat('n', CAST(min(l_quantity) AS INT)) AS name, CASE WHEN min(l_partkey) % 2 = 0 THEN '' ELSE 'note' || CAST(l_linenumber AS STRING) END AS note, 'g' || CAST(l_linenumber AS STRING) AS grid FROM {lineitem} GROUP BY l_orderkey, l_returnflag, l_linenumber"
+
+
+@query(f"SELECT doc_id, plan_number, max_by(name, (length(name), -source_ord)) AS name, min_by(note, source_ord) FILTER (note <> '') AS note, min_by(grid, source_ord) AS grid FROM ({i.plain(_PLAN)}) GROUP BY 1, 2")
+def merge_plan_rows(spark, sf):
+    return sections.merged_plan_rows(i.frame(spark, sf, _PLAN))
+
+
+@query("SELECT r_regionkey AS doc_id, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS row_no, 'key=' || CAST(n_nationkey AS STRING) || ';name=' || n_name || ';more=—' AS row FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_rows(spark, sf):
+    nation = table(spark, sf, "nation").select(F.col("n_regionkey").alias("doc_id"), (F.col("n_nationkey") + 1).cast("long").alias("line_no"), F.array(F.col("n_nationkey").cast("string"), "n_name").alias("cells"))
+    head = table(spark, sf, "region").select(F.col("r_regionkey").alias("doc_id"), F.lit(0).cast("long").alias("line_no"), F.array(F.lit("key"), F.lit("name"), F.lit("more")).alias("cells"))
+    rows = sections.table_rows(head.unionByName(nation))
+    return rows.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.array_join(F.transform("row", lambda x: F.concat_ws("=", x["key"], x["value"])), ";").alias("row"))
+
+
+@query("WITH a AS (SELECT ref, kind FROM <REFS> WHERE ord % 3 > 0), b AS (SELECT ref, kind FROM <REFS> WHERE ord % 3 < 2) SELECT *, 'missing' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'extra' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def golden_differences(spark, sf):
+    refs = i.frame(spark, sf, i.REFS)
+    return sections.differences(refs.where("ord % 3 > 0").select("ref", "kind"), refs.where("ord % 3 < 2").select("ref", "kind"))
+
+
+@query("WITH n AS (SELECT p_partkey % 50 AS doc_id, 'Опора ' || p_name || ' скользящая' AS note FROM part), r AS (SELECT p_partkey % 50 AS doc_id, lower('1 Опора ' || p_name || ' скользящая 12') AS row FROM part WHERE p_partkey % 2 = 0) SELECT doc_id, note FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = n.doc_id AND contains(r.row, lower(n.note)))")
+def legend_not_in_spec(spark, sf):
+    notes = i.frame(spark, sf, "SELECT p_partkey % 50 AS doc_id, 'Опора ' || p_name || ' скользящая' AS note FROM {part}")
+    rows = i.frame(spark, sf, "SELECT p_partkey % 50 AS doc_id, '1 Опора ' || p_name || ' скользящая 12' AS name FROM {part} WHERE p_partkey % 2 = 0")
+    return sections.new_notes(notes, rows)
+
+
+@query("SELECT CAST(epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf):
+    out = messages.windowed_events(table(spark, sf, "events"))
+    return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
