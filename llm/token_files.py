@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import id_name, powers, shared_dir, slices, text_batches, _BYTE, _R, _R_INV
+from llm.common import cut, id_name, joined, powers, shared_dir, slices, text_batches, _BYTE, _R, _R_INV
 
 BLOCK_IDS = 1_000_000
 REMEMBERED = 500_000
@@ -253,7 +253,7 @@ def read_token_files(spark, folder: str) -> DataFrame:
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     own = F.sum("ids").over(Window.partitionBy("part").orderBy("block")) - F.col("ids")
     starts = heads.select("part", "block", own.alias("own")).join(before, "part").select("part", "block", (F.col("own") + F.col("before")).alias("start"))
-    return blocks.join(F.broadcast(starts), ["part", "block"]).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined(blocks, cut(starts, "starts"), ["part", "block"]).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -110,6 +110,23 @@ def test_jaccard_of_small_and_long_lists(spark, light, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_jaccard_of_a_large_group(spark):
+    """Many edited copies of one text, most linked through a few of them only, beside texts that share a passage with it."""
+    rng = np.random.default_rng(11)
+    base = [f"w{rng.integers(0, 10**6)}" for _ in range(220)]
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(int(rng.integers(0, 12))):
+            own[int(rng.integers(0, len(own)))] = f"e{rng.integers(0, 10**9)}"
+        rows.append((1000 - k, " ".join(own)))
+    for k in range(40):
+        rows.append((2000 + k, " ".join([f"o{rng.integers(0, 10**9)}" for _ in range(150)] + base[:80])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups(rows)
+    assert got == want and 1 < len({c for i, (_, c) in want.items() if i <= 1000}) < 160
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = [tuple(r) for r in jaccard_join.jaccard_groups(odd).collect()]
     want = brute_groups([(i, t) for i, t, _ in ROWS if i is not None])
