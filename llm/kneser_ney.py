@@ -13,7 +13,7 @@ shorter grams and contexts that it can fall back to, and joins them shard by sha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
     return out, places
 
 
-def _counted(order: int):
+def _counted(order: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
@@ -62,14 +62,16 @@ def _counted(order: int):
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in slices(batches):
-            grams, places = grams_of(*texts_of(batch.column("text")), order)
+            data, offsets = texts_of(batch.column("text"))
+            grams, places = grams_of(data, offsets, order)
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for lang in set(langs):
-                mask = np.repeat(langs == lang, np.diff(places))
+            kept = np.ones(len(langs), bool) if keep is None else keep(data, offsets)
+            for lang in set(langs[kept]):
+                mask = np.repeat((langs == lang) & kept, np.diff(places))
                 held.setdefault(lang, []).append(np.unique(grams[mask], return_counts=True))
-                if sum(len(k) for k, _ in held[lang]) > 1_500_000:
+                if sum(len(k) for k, _ in held[lang]) > 1_000_000:
                     held[lang] = [merged(lang)]
-                    if len(held[lang][0][0]) > 750_000:
+                    if len(held[lang][0][0]) > 500_000:
                         yield rows(lang)
                         del held[lang]
         for lang in held:
@@ -78,9 +80,10 @@ def _counted(order: int):
     return counted
 
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) over all texts of ``docs(text, lang)``, summed in the tasks before the shuffle."""
-    return docs.select("text", "lang").mapInArrow(_counted(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def gram_counts(docs: DataFrame, order: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(lang, gram, n) over all texts of ``docs(text, lang)``, summed in the tasks before the shuffle; ``keep`` may say which of
+    a slice's texts count, by their bytes and offsets."""
+    return docs.select("text", "lang").mapInArrow(_counted(order, keep), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def smoothed(counts: DataFrame, order: int) -> DataFrame:

@@ -74,10 +74,16 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.diff(words.first), chars, symbols, dup, per(covered, words.first)]
 
 
+def _passes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which documents of a slice pass the counted rules."""
+    words, *_, repeated = base_counts(data, offsets)
+    return (words >= MIN_WORDS) & (100 * repeated <= 50 * words)
+
+
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         counts = base_counts(*texts_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "tkey", "lang", "text")] + [pa.array(c.astype(np.int64)) for c in counts], ["doc_id", "tkey", "lang", "text", *(x.split()[0] for x in BASE.split(", "))])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "tkey", "lang")] + [pa.array(c.astype(np.int64)) for c in counts], ["doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", "))])
 
 
 def _scored(sent, order: int):
@@ -126,15 +132,14 @@ def judged(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tagged = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
     tagged = tagged.withColumn("tkey", F.xxhash64("text"))
-    base = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, text string, {BASE}")
-    entries = smoothed(gram_counts(base.where(~_failed()), ORDER), ORDER)
+    entries = smoothed(gram_counts(tagged, ORDER, _passes), ORDER)
     if fits(entries):
         sent = spark.sparkContext.broadcast(packed_models(entries))
         rows = tagged.mapInArrow(_scored(sent, ORDER), f"doc_id long, tkey long, lang string, {BASE}, level double")
     else:
         level = sharded_scores(tagged.select(F.coalesce("doc_id", F.lit(MISSING)).alias("doc_id"), "tkey", "lang", "text"), entries, ORDER)
         level = level.select("doc_id", "tkey", (-F.col("log") / F.col("n")).alias("level"))
-        counted = base.drop("text").withColumn("key", F.coalesce("doc_id", F.lit(MISSING)))
+        counted = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, {BASE}").withColumn("key", F.coalesce("doc_id", F.lit(MISSING)))
         rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey"], "left").select("doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
     rows = cut(rows, "scored", texts=True)
     bands = rows.where(~_failed()).groupBy("lang").agg(F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q"), F.count("level").alias("docs"))
