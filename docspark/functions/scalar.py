@@ -170,3 +170,45 @@ def detector_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column,
     """Centre and size as shares of the page, within 0 to 1."""
     share = lambda v, of: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(v, of)))
     return F.struct(share((x0 + x1) / 2, width).alias("cx"), share((y0 + y1) / 2, height).alias("cy"), share(x1 - x0, width).alias("w"), share(y1 - y0, height).alias("h"))
+
+
+def request_date(raw: Column) -> Column:
+    """A date argument: ISO first, then dd.mm.yyyy."""
+    s = F.trim(F.coalesce(raw, F.lit("")))
+    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "dd.MM.yyyy"))
+
+
+def capped_dpi(width: Column, height: Column, dpi: Column, pixels: int) -> Column:
+    """Resolution at which a clip of width by height points has at most ``pixels`` pixels; 72 at least."""
+    full = (width / 72 * dpi) * (height / 72 * dpi)
+    return F.when(full > pixels, F.greatest(F.lit(72), F.floor(dpi * F.sqrt(F.lit(pixels) / full)))).otherwise(dpi).cast("long")
+
+
+def block_between(text: Column, start: str, end: str) -> Column:
+    """From the first match of ``start`` to the next match of ``end``, or to the end of the text; empty without a start."""
+    text = F.coalesce(text, F.lit(""))
+    at = F.regexp_instr(text, F.lit(start))
+    rest = F.substr(text, at)
+    stop = F.regexp_instr(F.substr(rest, F.lit(2)), F.lit(end))
+    return F.when(at == 0, "").otherwise(F.trim(F.when(stop > 0, F.left(rest, stop)).otherwise(rest)))
+
+
+def table_label(line: Column) -> tuple[Column, Column]:
+    """Number and inline title of a line such as "Таблица 1.2 – Ведомость"."""
+    rule = r"(?iu)^\s*таблица\s*№?\s*(\d+(?:\.\d+)?)\s*[.:–—-]?\s*(.*)$"
+    return F.regexp_extract(F.coalesce(line, F.lit("")), rule, 1), F.trim(F.regexp_extract(F.coalesce(line, F.lit("")), rule, 2))
+
+
+def clean_title(title: Column, most: int = 72, generic: str = r"(?iu)^(?:таблица|продолжение|окончание|поз\.?.*)$") -> Column:
+    """Single spaces, cut at a word within ``most`` characters; generic or header-like titles are empty."""
+    t = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "))
+    short = F.when(F.length(t) > most, F.regexp_replace(F.left(t, F.lit(most)), r"\s+\S*$", "")).otherwise(t)
+    return F.when(t.rlike(generic), "").otherwise(short)
+
+
+def name_and_note(name: Column) -> tuple[Column, Column]:
+    """A name with its note: "(АБВ) Хвост" or two spaces part them."""
+    s = F.trim(F.coalesce(name, F.lit("")))
+    paren, wide = r"^(.*?\([^)]*\))\s+(\S.*)$", r"^(.*?\S)\s{2,}(\S.*)$"
+    pick = lambda i: F.coalesce(F.nullif(F.regexp_extract(s, paren, i), F.lit("")), F.regexp_extract(s, wide, i))
+    return F.when(pick(2) != "", pick(1)).otherwise(s), pick(2)

@@ -68,3 +68,20 @@ def last_kind_before(words: DataFrame, is_kind, reach: int = 5) -> DataFrame:
     """The nearest earlier word that is a kind, at most ``reach`` words back."""
     w = Window.partitionBy("doc_id", "page_no").orderBy("ord").rowsBetween(-reach, -1)
     return words.withColumn("kind_ord", F.last(F.when(is_kind, F.col("ord")), ignorenulls=True).over(w))
+
+
+def image_tiles(images: DataFrame, tile: int, overlap: int) -> DataFrame:
+    """Overlapping pixel tiles of ``images(doc_id, width, height)``; the last ones end with the image."""
+    step = tile - overlap
+    starts = lambda size: F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(size) - overlap - 1), F.lit(step))
+    grid = images.withColumn("x0", F.explode(starts("width"))).withColumn("y0", F.explode(starts("height")))
+    return grid.select("doc_id", "x0", "y0", F.least(F.col("x0") + tile, "width").alias("x1"), F.least(F.col("y0") + tile, "height").alias("y1"))
+
+
+def strips(labels: DataFrame, height: int) -> DataFrame:
+    """Equal horizontal strips of a crop for the lines of its label: doc_id, line_no, y0, y1, line. Comments and lines of one
+    character are left out."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 2) & ~F.startswith(x, F.lit("#")))
+    own = labels.withColumn("lines", lines).where(F.size("lines") > 0)
+    out = own.select("doc_id", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "line"))
+    return out.select("doc_id", "line_no", F.floor(F.col("line_no") * height / F.col("n")).alias("y0"), F.floor((F.col("line_no") + 1) * height / F.col("n")).alias("y1"), "line")

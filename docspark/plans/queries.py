@@ -775,3 +775,59 @@ def legend_not_in_spec(spark, sf):
 def windowed_events(spark, sf):
     out = messages.windowed_events(table(spark, sf, "events"))
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+# ---------------------------------------------------------------- words around references, labels, tiles
+
+
+@query("SELECT ord, ref AS shown, kind <> 'ТУ' AS steel, ord % 2 = 0 AS token, true AS gate FROM <REFS>")
+def sanitize_refs(spark, sf):
+    refs = i.frame(spark, sf, i.REFS)
+    prefix = F.when(K() == "ТУ", F.lit("болт")).when(K() == "ОСТ", F.lit("В-20")).otherwise(F.lit("Ст3сп3"))
+    raw = F.concat(F.lit("по листу "), F.lower(R()), F.lit(" далее"))
+    word = F.when(F.col("ord") % 2 == 0, F.lit("(481-80),")).otherwise(F.lit("481х80"))
+    return refs.select("ord", g.sanitized(raw, K()).alias("shown"), g.steel_grade(prefix).alias("steel"), g.number_token(word).alias("token"), g.checkable(K()).alias("gate"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 3 > 0 THEN 'СНиП 2.0' || CAST(p_partkey % 9 + 1 AS STRING) || '.11-85' END AS snip FROM part")
+def implicit_snips(spark, sf):
+    k = F.col("p_partkey")
+    number = F.concat(F.lit("2.0"), (k % 9 + 1).cast("string"), F.lit(".11-85"))
+    text = F.when(k % 3 == 0, F.concat(F.lit("размер "), number)).otherwise(F.concat(F.lit("Строительные нормы "), number, F.lit(" и "), number, F.lit(", 12.03.11-85")))
+    return table(spark, sf, "part").select(k.alias("ord"), F.try_element_at(g.bare_snips(text), F.lit(1)).alias("snip"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS ord, 'СТБ 1-20 ТНПА СТБ 2073-' || CAST(2000 + p_size % 30 AS STRING) || ' СТБ 2235-' || CAST(2001 + p_size % 30 AS STRING) || '; СТБ 1317-' || CAST(2002 + p_size % 30 AS STRING) || ' конец' AS text FROM part")
+def recover_years(spark, sf):
+    raw = F.concat(F.lit("СТБ 1-20 ТНПА СТБ 2073-"), (2000 + F.col("p_size") % 30).cast("string"), F.lit(" СТБ 2235-20; СТБ 1317-20 конец"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), g.recovered_years(raw).alias("text"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS ord, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(CASE WHEN 400.0 * 400 * (o_custkey % 30 + 10) / 30.0 > 90000 THEN greatest(72, floor(400 * sqrt(90000 / (400.0 * 400 * (o_custkey % 30 + 10) / 30.0)))) ELSE 400 END AS BIGINT) AS dpi FROM orders")
+def dates_and_dpi(spark, sf):
+    o = table(spark, sf, "orders")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    dpi = s.capped_dpi(F.lit(72.0), 72.0 * (F.col("o_custkey") % 30 + 10) / 30, F.lit(400), 90_000)
+    return o.select(F.col("o_orderkey").alias("ord"), s.request_date(raw).cast("string").alias("day"), dpi.alias("dpi"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS ord, '1.' || CAST(p_size AS STRING) AS number, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name END AS cleaned, 'Спецификация ' || p_name AS block, 'Узел (АБВ)' AS name, p_brand AS note FROM part")
+def titles_and_blocks(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    number, title = s.table_label(F.concat(F.lit("Таблица № 1."), F.col("p_size").cast("string"), F.lit(" – "), "p_name"))
+    name, note = s.name_and_note(F.concat(F.lit("Узел (АБВ)  "), "p_brand"))
+    text = F.concat(F.lit("начало Спецификация "), "p_name", F.lit(" Экспликация прочее"))
+    return p.select(k.alias("ord"), number.alias("number"), title.alias("title"), s.clean_title(F.when(k % 2 == 0, F.lit("Продолжение")).otherwise(F.concat(F.lit(" "), "p_name", F.lit("  ")))).alias("cleaned"), s.block_between(text, "(?iu)специф", "(?iu)экспл").alias("block"), name.alias("name"), note.alias("note"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS doc_id, 900 + o_orderkey % 700 AS w, 700 + o_custkey % 300 AS h FROM orders), x AS (SELECT *, unnest(range(0, greatest(1, w - 64), 448)) AS x0 FROM s), y AS (SELECT *, unnest(range(0, greatest(1, h - 64), 448)) AS y0 FROM x)
+    SELECT doc_id, x0, y0, least(x0 + 512, w) AS x1, least(y0 + 512, h) AS y1 FROM y"""
+)
+def image_tiles(spark, sf):
+    return layout.image_tiles(i.frame(spark, sf, "SELECT o_orderkey AS doc_id, 900 + o_orderkey % 700 AS width, 700 + o_custkey % 300 AS height FROM {orders}"), 512, 64)
+
+
+@query("WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2 AND NOT starts_with(x, '#')) AS ls FROM documents), u AS (SELECT doc_id, len(ls) AS n, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM l) SELECT doc_id, line_no, CAST(floor(line_no * 64 / n) AS BIGINT) AS y0, CAST(floor((line_no + 1) * 64 / n) AS BIGINT) AS y1, md5(line) AS line FROM u")
+def label_strips(spark, sf):
+    return layout.strips(table(spark, sf, "documents"), 64).withColumn("line", F.md5("line"))
