@@ -93,7 +93,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """The frequent shingles in hash order with their rank buckets, and the largest light size."""
-    counts = cut(docs.mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "survey", texts=True)
+    counts = cut(docs.mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1 or kind = 1"), "survey", texts=True)
     levels = {r["level"]: r["count"] for r in counts.where("kind = 0").groupBy(F.floor(F.log2("n")).alias("level")).count().collect()}
     least, total = 63, 0
     while least > 1 and total + levels.get(least - 1, 0) <= MAX_FREQUENT:
@@ -108,14 +108,21 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
-    """The size up to which enumerating subsets is cheaper than scanning lists and checking, over all sets."""
-    best, least, saved = 0, 0, 0
-    for s in range(1, LARGEST_LIGHT + 1):
-        subsets = sum(comb(s, needed(s, t)) for t in partner_sizes(s))
-        saved += sizes.get(s, 0) * (subsets - (s - (4 * s + 4) // 5 + 1) - CHECK_COST)
-        if saved <= least:
-            best, least = s, saved
-    return best
+    """The size up to which enumerating subsets is cheaper than scanning lists and checking, over all sets.
+
+    ``sizes``: how many sets there are of each size below 64. A boundary makes sets of up to a quarter more enumerate too,
+    for their partners at or below it.
+    """
+
+    def cost(boundary: int) -> int:
+        total = 0
+        for s, n in sizes.items():
+            total += n * sum(comb(s, needed(s, t)) for t in partner_sizes(s) if min(s, t) <= boundary)
+            if s > boundary:
+                total += n * (s - (4 * s + 4) // 5 + 1 + CHECK_COST)
+        return total
+
+    return min(range(LARGEST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
 def subset_keys(s: np.ndarray, light: int) -> np.ndarray:
