@@ -12,6 +12,8 @@ from docspark.functions import scalar as s
 from docspark.functions import sheet
 from docspark.operators import dataset, extract, history, layout, registry, report, resolve, sections, tables
 from docspark.plans import inputs as i
+from docspark.plans import pipelines
+from docspark.plans.settle import settled
 from docspark.streaming import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -604,7 +606,7 @@ def label_manifest(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Extract, match, validate, report: one row for each document."""
-    refs = extract.references(i.frame(spark, sf, i.SOURCES))
+    refs = settled(extract.references(i.frame(spark, sf, i.SOURCES)))
     found = registry.match_a(refs, i.frame(spark, sf, i.REGISTRY))
     cards = i.frame(spark, sf, "SELECT CAST(p_partkey AS BIGINT) AS row_ord, '01.01.' || CAST(1980 + p_size % 20 AS STRING) AS intro, CASE WHEN p_size % 3 = 0 THEN '01.06.' || CAST(1990 + p_size % 10 AS STRING) ELSE '—' END AS cancel FROM {part}")
     checks = registry.checks_a(found, cards, F.lit(TODAY).cast("date")).select(F.col("row_ord").alias("ord"), "ref", F.lit(True).alias("found"), "status")
@@ -831,3 +833,20 @@ def image_tiles(spark, sf):
 @query("WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2 AND NOT starts_with(x, '#')) AS ls FROM documents), u AS (SELECT doc_id, len(ls) AS n, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM l) SELECT doc_id, line_no, CAST(floor(line_no * 64 / n) AS BIGINT) AS y0, CAST(floor((line_no + 1) * 64 / n) AS BIGINT) AS y1, md5(line) AS line FROM u")
 def label_strips(spark, sf):
     return layout.strips(table(spark, sf, "documents"), 64).withColumn("line", F.md5("line"))
+
+
+@query()
+def reconciled_refs(spark, sf):
+    return pipelines.reconciled(i.frame(spark, sf, i.SOURCES))
+
+
+@query(f"SELECT doc_id, ref, list_aggregate(list_sort(list(DISTINCT page_no)), 'string_agg', ',') AS pages FROM (SELECT p_partkey % 50 AS doc_id, 1 + p_partkey % 3 AS page_no, {i.designation('p_partkey', 'p_size')} AS ref FROM part) GROUP BY 1, 2")
+def page_refs(spark, sf):
+    pages = i.frame(spark, sf, i.SOURCES).select("doc_id", (1 + F.col("source_ord") % 3).alias("page_no"), "text")
+    return pipelines.page_references(pages).select("doc_id", "ref", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query()
+def checked_refs(spark, sf):
+    cards = i.frame(spark, sf, "SELECT CAST(p_partkey AS BIGINT) AS row_ord, '01.01.' || CAST(1980 + p_size % 20 AS STRING) AS intro, '' AS cancel FROM {part}")
+    return pipelines.checked(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY), cards, F.lit(TODAY).cast("date"))

@@ -77,7 +77,7 @@ def test_text_functions(spark):
     assert one(spark, s.mixed_script(L("Нaсос")), s.mixed_script(L("Насос abc")), s.mixed_script(L("Насос"))) == (True, True, False)
     assert one(spark, s.homoglyphs(L("HAСОC 12\n\n abc")), s.mask(L("secret")), s.login_name(L("DOM\\Ann@x"))) == ("НАСОС 12\nabc", "se••••", "ann")
     assert one(spark, s.row_cells(L("| a | b ||c |")), s.row_cells(L("a  b c   d")), s.column_name(L("Кол-во")))[:3] == (["a", "b", "c"], ["a", "b c", "d"], "Кол.")
-    assert one(spark, s.readability(L("ab")), s.readability(L("Опора скользящая"))[0] if False else (s.readability(L("Опора скользящая")) > 7.5)) == (-100.0, True)
+    assert one(spark, s.readability(L("ab")), s.readability(L("Опора скользящая")) > 7.5) == (-100.0, True)
 
 
 def test_spans_and_layout(spark):
@@ -157,3 +157,11 @@ def test_nothing_imports_the_subpackage(name):
             if f.endswith(".py"):
                 with open(os.path.join(folder, f)) as text:
                     assert "import llm" not in (body := text.read()) and "from llm" not in body
+
+
+def test_reconciled(spark):
+    from docspark.plans import pipelines
+
+    rows = [(1, 1, "по ГОСТ 5264-80 и ГОСТ 7798-70"), (1, 2, "по ГОСТ 5264-80, ГОСТ 7798-70"), (1, 3, "по ГОСТ 5266-80 и ГОСТ 7798-71"), (1, 4, "по ГОСТ 5264-80, ГОСТ 7798-70"), (2, 1, None), (2, 2, "СТБ 2235-2011")]
+    got = pipelines.reconciled(spark.createDataFrame(rows, "doc_id long, source_ord long, text string")).collect()
+    assert sorted((r["doc_id"], r["ref"]) for r in got) == [(1, "ГОСТ 5264-80"), (1, "ГОСТ 7798-70"), (2, "СТБ 2235-2011")]
