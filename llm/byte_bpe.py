@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import cut, id_name, slices
+from llm.common import cut, id_name, slices, text_session
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK = 32_000
@@ -120,7 +120,7 @@ def stitched(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overl
     parts = max(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     chunks = chunks.repartition(parts, "doc_id", "tkey", "part")
     kind = "doc_id long, tkey long, part int, begin long, text string, heads array<long>, tails array<long>"
-    known = cut(chunks.mapInArrow(_boundaries(path, pattern, overlap), kind), "chunks")
+    known = cut(chunks.mapInArrow(_boundaries(path, pattern, overlap), kind), "chunks", texts=True)
     # only the boundaries move to find the cuts; the texts stay in their chunks
     order = F.col("part")
     from pyspark.sql import Window
@@ -157,6 +157,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK,
     Null and empty texts have no ids; their digests are of the empty string. Repeated rows are each returned, whatever
     doc_id they share; a null doc_id is returned as null. Other columns are not read.
     """
+    text_session(docs.sparkSession)
     docs = id_name(docs)
     short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_digests(path, pattern), DIGEST)
     long = docs.where(F.length("text") > chunk).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of the numpy steps.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 750_000
 _U = np.uint64
 #: Small tables up to this size are sent to all tasks, larger ones are joined by shuffle.
 MAX_SENT_BYTES = 48_000_000
@@ -33,30 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows of an Arrow batch where rows hold whole texts; Spark's own default suits rows of a few numbers.
-TEXT_ROWS = 1000
+#: Rows of an Arrow batch where rows hold whole texts, and where they hold a few numbers.
+TEXT_ROWS, NUMBER_ROWS = 500, 10_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_session(spark: SparkSession) -> None:
+    """Small Arrow batches for whatever the session runs from here on: they bound the memory, on both sides, of tasks that
+    read whole texts in Python. Operators that return a plan which does so call this; ``cut`` sets its own."""
+    spark.conf.set(BATCH_ROWS, TEXT_ROWS)
 
 
 @contextmanager
-def text_batches(spark: SparkSession) -> Iterator[None]:
-    """While an action runs: small Arrow batches, which bound the memory of tasks that read whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, TEXT_ROWS)
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def cut(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors and start there.
 
-    ``texts``: the stage that is written reads whole texts in Python.
+    ``texts``: the stages that are written read whole texts in Python.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    with text_batches(spark) if texts else nullcontext():
+    with batch_rows(spark, TEXT_ROWS if texts else NUMBER_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, id_name, joined, longs, marked, runs, slices, texts_of
+from llm.common import Words, cut, id_name, joined, longs, marked, runs, slices, text_session, texts_of
 
 LEAST = 5
 COVERAGE = 0.6
@@ -201,6 +201,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     than ``max_sent_tokens`` the seeds are joined by shuffle, with equal results.
     """
     spark = docs.sparkSession
+    text_session(spark)
     texts = id_name(docs).withColumn("tkey", F.xxhash64("text"))
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -220,5 +221,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs``, all columns kept, that no item contaminates; rows with a null doc_id are judged by their text."""
-    found = cut(contaminations(docs, benchmark, coverage).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key_id"), F.col("tkey").alias("key_text")).distinct(), "contaminated")
+    found = cut(contaminations(docs, benchmark, coverage).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key_id"), F.col("tkey").alias("key_text")).distinct(), "contaminated", texts=True)
     return joined(marked(docs), found, ["key_id", "key_text"], "left_anti").select("whole.*")

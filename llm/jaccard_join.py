@@ -84,7 +84,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting += len(s)
             if 0 < len(s) < 64:
                 sizes[len(s)] += 1
-        if waiting > 2_500_000:
+        if waiting > 1_200_000:
             yield flush()
             waiting = 0
     yield flush()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, slices, texts_of, _LOWER
+from llm.common import Words, cut, slices, text_session, texts_of, _LOWER
 
 HIDDEN = 16
 #: Longer words are read in pieces of so many bytes.
@@ -230,5 +230,6 @@ def languages(docs: DataFrame, network: Network) -> DataFrame:
 
     Repeated rows are each returned, a null doc_id is returned as null, and other columns are not read.
     """
+    text_session(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_predicted(sent), "doc_id long, lang_pred string, score double")

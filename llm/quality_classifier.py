@@ -37,7 +37,7 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> D
     entries = smoothed(gram_counts(learned, order), order)
     scores = sharded_scores(rows, entries, order)
     keys = rows.select("doc_id", "tkey", "lang")
-    scored = cut(keys.join(scores, ["doc_id", "tkey"], "left").withColumn("level", -F.col("log") / F.col("n")), "levels")
+    scored = cut(keys.join(scores, ["doc_id", "tkey"], "left").withColumn("level", -F.col("log") / F.col("n")), "levels", texts=True)
     known = joined(scored, cut(ids.where(held), "held"), ["doc_id"], "left_semi")
     limits = known.groupBy("lang").agg(F.percentile_approx("level", QUANTILE, 10_000).alias("limit"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # one row for each language

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.fm_index import FMIndex
-from llm.common import Words, cut, drop, id_name, joined, longs, marked, mix, powers, runs, slices, texts_of, _R, _R_INV
+from llm.common import Words, cut, drop, id_name, joined, longs, marked, mix, powers, runs, slices, text_session, texts_of, _R, _R_INV
 
 WINDOW = 35
 GRAM = 8
@@ -187,7 +187,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = again.where("not mixed").select(*KEY, "first", "count").unionAll(again.where("mixed").join(bodies.where("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select(*KEY, "first", "count"))
     spans = matched.unionAll(whole.select(*KEY, F.col("first").alias("at"), (F.col("count") + window - 1).alias("length")))
     spans = spans.repartition(parts, *KEY).sortWithinPartitions(*KEY, "at").mapInArrow(_merged, "doc_id long, tkey long, at int, to int")
-    return cut(spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("spans")), "spans")
+    return cut(spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("spans")), "spans", texts=True)
 
 
 def removal(words: Words, spans: list) -> np.ndarray:
@@ -241,6 +241,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies of each other, so their windows are repeated. Rows that share a doc_id but not the text are kept apart. A null
     doc_id is kept as null. Other columns are not read.
     """
+    text_session(docs.sparkSession)
     docs = keyed(docs)
     spans = repeated_intervals(docs, window)
     out = joined(docs, spans, KEY, "left").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -249,6 +250,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs``, all columns kept, with the repeated words cut out of ``text``; texts without repeats stay byte for byte."""
+    text_session(docs.sparkSession)
     spans = repeated_intervals(keyed(docs), window)
     spans = spans.select(F.col("doc_id").alias("key_id"), F.col("tkey").alias("key_text"), "spans")
     rows = joined(marked(docs), spans, ["key_id", "key_text"], "left").select("whole", F.col("whole.text").cast("string").alias("text"), "spans")

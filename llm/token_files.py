@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import cut, id_name, joined, powers, shared_dir, slices, text_batches, _BYTE, _R, _R_INV
+from llm.common import TEXT_ROWS, batch_rows, cut, id_name, joined, powers, shared_dir, slices, _BYTE, _R, _R_INV
 
 BLOCK_IDS = 1_000_000
 REMEMBERED = 500_000
@@ -229,7 +229,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     docs = id_name(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    with text_batches(docs.sparkSession):
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
         dealt.mapInArrow(_blocks(tokenizer, end_id), FORMAT).write.option("compression", "none").parquet(folder)
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Words, cut, joined, mix, slices, texts_of, _BYTE, _R, _R_INV, powers
+from llm.common import Words, cut, joined, mix, slices, text_session, texts_of, _BYTE, _R, _R_INV, powers
 from llm.greedy_tiling import _BETWEEN
 
 BUCKETS = 1 << 20
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     lists = joined(rows, sample, ["doc_id"]).select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>")
     positives = count.get(1, 0) / max(1, sum(count.values()))
-    lists = cut(lists, "terms")
+    lists = cut(lists, "terms", texts=True)
     model = lists.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("terms")).mapInArrow(_fitted(positives), "bias double, buckets array<long>, weights array<float>, factors array<float>").first()
     if model is None:  # nothing to learn from
         return Machine.fit([], np.zeros(0), positives)
@@ -170,5 +170,6 @@ def _scored(sent):
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, score of every row: null and empty texts get the score of no terms. Repeated rows are each returned, a null
     doc_id is returned as null, and other columns are not read."""
+    text_session(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # MAX_TERMS * (FACTORS + 1) numbers at most
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_scored(sent), "doc_id long, score double")
