@@ -37,7 +37,7 @@ MAX_SENT_IDS = 2_000_000
 #: Cost of checking one candidate set, in list entries; the light boundary is the cheapest size for the whole corpus.
 CHECK_COST = 12
 #: Rounds that link the members of long lists to hubs before the exact search of what is left.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 LARGEST_LIGHT = 24
 _U = np.uint64
 
@@ -256,7 +256,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The entries of long lists that hold sets of more than one component, with their components."""
-    long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
+    # dealt once by token: the sums and the join that follow use the same exchange
+    long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc")).repartition("token")
     mixed = long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     return cut(long.join(mixed, "token", "left_semi"), "long")
 
@@ -265,10 +266,10 @@ def hub_pairs(long: DataFrame) -> DataFrame:
     """For each set the likeliest hub of another component: of each list the set that stands in most long lists, which in a
     group of edited copies is the one with the fewest edits of its own; of all hubs the one met most often. One pair a set."""
     hubs = cut(long.groupBy("doc").agg(F.count("*").alias("lists")), "hubs")
-    ranked = joined(long, hubs, ["doc"])
+    ranked = joined(long, hubs, ["doc"]).select("token", "doc", "n", "component", "lists").repartition("token")
     leader = ranked.groupBy("token").agg(F.max_by(F.struct("doc", "component", "n"), F.struct("lists", -F.col("doc"))).alias("hub"))
     met = ranked.join(leader, "token").where("component <> hub.component and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
-    met = met.groupBy("doc", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("shared"))
+    met = met.groupBy("doc", "n", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("shared")).where("15 * shared >= n")  # less is hardly a link
     best = met.groupBy("doc").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     return best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
@@ -355,6 +356,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     lists = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("last"))
     for left_rounds in range(HUB_ROUNDS, -1, -1):
         long = mixed_lists(lists, found)
+        lists = long.drop("component")  # components only grow, so lists that were of one stay so
         if not left_rounds:
             break
         spokes = cut(hub_pairs(long), "spokes")
