@@ -4,7 +4,7 @@ A size-aware heavy-light join. Documents with equal sets are folded first. Two s
 similarity of at least 0.8 exactly when they share o(s, t) = ceil(4 (s + t) / 9) shingles.
 
 * Light sets (size up to a boundary chosen by cost) enumerate their subsets of o(s, t) shingles for each partner size t.
-  Two light sets that meet in one subset are linked, so each subset's list is a star and no pair is checked.
+  Two sets of these sizes that meet in one subset are linked, so each subset's list is a star and no pair is checked.
 * Heavy sets are found by scanning inverted lists of the rarest fifth of their shingles, which any linked pair shares.
   "Rare" is a global order: bucketed corpus frequency of the frequent shingles, then the hash. Short lists give all their
   pairs, long lists one leader for each member; the pairs are checked against the whole sets. Links found so far make
@@ -126,7 +126,11 @@ def light_boundary(sizes: dict[int, int]) -> int:
 
 
 def subset_keys(s: np.ndarray, light: int) -> np.ndarray:
-    """One key for each subset of o(s, t) shingles and partner size t, where the smaller of both sizes is light."""
+    """One key for each subset of o(s, t) shingles and partner size t, where the smaller of both sizes is light.
+
+    The two lowest bits tell the set's part in the pair of sizes: 0 of equal ones, 1 the larger, 2 the smaller. Sets of one
+    size that meet under a pair of different sizes share too little to be linked by that.
+    """
     n, out = len(s), []
     total = s.sum(dtype=_U)
     for t in partner_sizes(n):
@@ -135,10 +139,21 @@ def subset_keys(s: np.ndarray, light: int) -> np.ndarray:
         gone = n - needed(n, t)
         sums = np.array([sum(map(int, c)) % 2**64 for c in combinations(s.tolist(), gone)], _U)
         pair = _U(max(n, t) * 4096 + min(n, t))
-        out.append(mix(mix(total - sums) + mix(np.full(1, pair))))
+        keys = mix(mix(total - sums) + mix(np.full(1, pair)))
+        out.append(keys & ~_U(3) | _U(0 if n == t else 1 if n > t else 2))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def light_links(subsets: DataFrame) -> DataFrame:
+    """Edges of ``subsets(doc_id, key)``: sets of one size are a star, others hang on the least set of the other size."""
+    rows = subsets.select("doc_id", F.shiftright("key", 2).alias("list"), F.col("key").bitwiseAND(3).alias("part"))
+    own = lambda k: F.when(F.col("part") == k, F.col("doc_id"))
+    least = rows.groupBy("list").agg(*(F.min(own(k)).alias(f"least{k}") for k in range(3)), F.max(own(0)).alias("top"))
+    least = least.where("least0 < top or least1 is not null and least2 is not null")
+    hub = F.when(F.col("part") == 0, F.col("least0")).when(F.col("part") == 1, F.col("least2")).otherwise(F.col("least1"))
+    return rows.join(least, "list").select(F.col("doc_id").alias("a"), hub.alias("b")).where("b is not null and a <> b").distinct()
+
+
 def _profiles(frequent: np.ndarray, level: np.ndarray, light: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << 22, bool)  # a quick no for most shingles
@@ -290,9 +305,10 @@ def across_lists(long: DataFrame, pairs: DataFrame) -> DataFrame:
     short = sides.groupBy("doc").agg(F.max("short").alias("short"))
     sizes = long.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     near = long.join(sizes, "token").groupBy("doc", "n", "last", "component").agg(F.array_sort(F.collect_list("token")).alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # what a partner of t tokens needs rises up to the own size and falls beyond it, but for rounding by one
     need = lambda t: F.expr(f"(4 * (n + {t}) + 8) div 9 - (greatest((4 * n + 4) div 5, (4 * {t} + 4) div 5) - 1)")
     near = near.join(short, "doc", "left").withColumns({"low": F.expr("greatest(low, (4 * n + 4) div 5)"), "high": F.expr("least(high, 5 * n div 4)")})
-    near = near.withColumn("least", F.greatest(F.lit(1), F.least(need("low"), need("high")) - F.coalesce("short", F.lit(0))))
+    near = near.withColumn("least", F.greatest(F.lit(1), F.least(need("low"), need("high") - 1) - F.coalesce("short", F.lit(0))))
     near = cut(near.where("size(tokens) >= least").select("doc", "n", "last", "component", "tokens", "least", F.coalesce("short", F.lit(0)).alias("short")), "near")
     slots = F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("least").cast("int") + 1)).alias("pos", "token")
     first = near.select("doc", "n", "last", "component", "short", F.size("tokens").alias("size"), slots)
@@ -332,8 +348,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     # light sets: every subset's list is a star
     subsets = folded.where(F.size("subsets") > 0).select("doc_id", F.explode("subsets").alias("key"))
-    least = subsets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").select("key", "b")
-    light_edges = subsets.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    light_edges = light_links(subsets)
 
     # heavy sets: inverted lists
     entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.element_at("ranked", -1).alias("last"), F.explode("ranked").alias("token"))

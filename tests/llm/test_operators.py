@@ -110,6 +110,21 @@ def test_jaccard_of_small_and_long_lists(spark, light, monkeypatch):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("light", [0, 7, 12])
+def test_jaccard_of_small_sets(spark, light, monkeypatch):
+    """Short texts over few words, so that sets of equal and of unequal sizes share some shingles, but often too few."""
+    monkeypatch.setattr(jaccard_join, "light_boundary", lambda sizes: light)
+    rng = np.random.default_rng(20)
+    rows = []
+    for base in range(40):
+        text = [f"b{base}w{k}" for k in range(int(rng.integers(5, 18)))]
+        for _ in range(6):
+            a, b = int(rng.integers(0, 3)), int(rng.integers(0, 3))
+            rows.append((len(rows), " ".join([f"h{rng.integers(0, 3)}"] * int(rng.integers(0, 3)) + text[a : len(text) - b] + [f"t{rng.integers(0, 3)}"] * int(rng.integers(0, 3)))))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_jaccard_of_a_large_group(spark):
     """Many edited copies of one text, most linked through a few of them only, beside texts that share a passage with it."""
     rng = np.random.default_rng(11)
