@@ -233,12 +233,31 @@ def registry_match_b(spark, sf):
     return out.select("kind", "ref", "row_ord", "code", "score")
 
 
+# The _whole queries ask all rows. SQL would compare every reference with every row, so tests do that on a small table.
+
+
+@query()
+def registry_match_a_whole(spark, sf):
+    return registry.match_a(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY)).select("kind", "ref", "row_ord", "code", "score")
+
+
+@query()
+def registry_match_b_whole(spark, sf):
+    return registry.match_b(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY)).select("kind", "ref", "row_ord", "code", "score")
+
+
 @query("SELECT a.ord, a.code AS a, b.code AS b, true AS same FROM (SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS code FROM part WHERE p_partkey < 850) a JOIN (SELECT p_partkey AS ord, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS code FROM part) b ON a.ord = b.ord WHERE right(a.code, 2) = right(b.code, 2) AND hamming(left(a.code, 4), left(b.code, 4)) <= 1")
 def digits_compatible(spark, sf):
     df = i.frame(spark, sf, "SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS a, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS b FROM {part} WHERE p_partkey < 850")
     return df.withColumn("same", g.digits_compatible(F.col("a"), F.col("b"))).where("same").select("ord", "a", "b", "same")
 
 
+@query()
+def digits_compatible_whole(spark, sf):
+    df = i.frame(spark, sf, "SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS a, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS b FROM {part}")
+    return df.withColumn("same", g.digits_compatible(F.col("a"), F.col("b"))).where("same").select("ord", "a", "b", "same")
+
+
 @query(
     f"""SELECT ord, CASE WHEN DATE '{TODAY}' < intro THEN 'не введён' WHEN DATE '{TODAY}' >= cancel THEN 'отменён' ELSE 'актуален' END AS status_a,
     CASE WHEN flag = '0' AND cancel IS NULL THEN 'отменён' WHEN DATE '{TODAY}' < intro THEN 'не введён' WHEN DATE '{TODAY}' >= cancel THEN 'отменён' ELSE 'актуален' END AS status_b FROM <DATES>"""

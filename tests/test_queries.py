@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -70,3 +71,29 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "bench.py"))
+
+
+@pytest.mark.parametrize("name", ["registry_match_a", "registry_match_b"])
+def test_whole_registry_against_nested_loops(spark, tmp_path, name):
+    """Every reference is asked: the SQL of the query on some references, without its filters, over 1,500 parts."""
+    pd.DataFrame({"p_partkey": range(1, 1501), "p_size": np.random.default_rng(3).integers(1, 51, 1500), "p_name": "name"}).to_parquet(tmp_path / "part.parquet")
+    sql = q.ORACLE_SQL[name].replace(" WHERE ord % 3 = 0 AND ord < 600", "")
+    assert sql != q.ORACLE_SQL[name]
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    got = q.QUERIES[f"{name}_whole"](spark, str(tmp_path)).toPandas()
+    assert len(got) > len(q.QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert rows(got) == rows(con.sql(sql).df())
+
+
+def test_whole_digits_compatible(spark, tmp_path):
+    pd.DataFrame({"p_partkey": range(1, 3001)}).to_parquet(tmp_path / "part.parquet")
+    want = []
+    for k in range(1, 3001):
+        a, b = str(300000 + k), str(301000 + k - k % 50)
+        cut = lambda s: (s[:-4], s[-4:]) if 1900 <= int(s[-4:]) <= 2039 else (s[:-2], s[-2:])
+        (x, y), (u, v) = cut(a), cut(b)
+        if a == b or (y == v and len(x) == len(u) and sum(c != d for c, d in zip(x, u, strict=True)) <= 1):
+            want.append((k, a, b, True))
+    got = [tuple(r) for r in q.QUERIES["digits_compatible_whole"](spark, str(tmp_path)).collect()]
+    assert max(k for k, *_ in want) > 850 and sorted(got) == want
