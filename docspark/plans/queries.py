@@ -427,6 +427,15 @@ def text_quality(spark, sf):
     return df.select("doc_id", F.round(s.readability(F.col("t"), "A-Za-z", "aeiouy", "0-9", "bcdfghjklmnpqrstvwxz"), 6).alias("score"))
 
 
+# The _whole queries of texts read all of each; tests compare them with loops.
+
+
+@query()
+def text_quality_whole(spark, sf):
+    score = s.readability(F.col("text"), "A-Za-z", "aeiouy", "0-9", "bcdfghjklmnpqrstvwxz")
+    return table(spark, sf, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
 @query("SELECT doc_id, CASE WHEN length(t) < 20 THEN 0.0 ELSE round(least(0.25, wide * 1.0 / n * 0.4), 6) * CASE WHEN n <= 2 AND length(t) > 120 THEN 0.5 ELSE 1 END END AS quality FROM (SELECT doc_id, t, greatest(1, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''))) AS n, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND len(string_split(trim(x), '  ')) >= 3)) AS wide FROM (SELECT doc_id, trim(replace(text, ' | ', '  ')) AS t FROM documents))")
 def table_quality(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.replace("text", F.lit(" | "), F.lit("  ")), "[A-Za-z\\u0400-\\u04FF]", "_").alias("t"))
@@ -439,6 +448,11 @@ def mixed_script(spark, sf):
     return table(spark, sf, "documents").select("doc_id", one.rlike("[a-m][éèêçñóíáúäöüß]|[éèêçñóíáúäöüß][a-m]").alias("mixed"))
 
 
+@query()
+def mixed_script_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", s.mixed_script(F.col("text"), "a-m", "éèêçñóíáúäöüß").alias("mixed"))
+
+
 @query("SELECT CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 2 = 0 THEN 'НАСОС ' ELSE 'HACOC ' END || CAST(p_partkey AS STRING) AS text FROM part")
 def homoglyphs(spark, sf):
     df = i.frame(spark, sf, "SELECT CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 2 = 0 THEN 'HAСOC ' ELSE 'HACOC ' END || CAST(p_partkey AS STRING) AS raw FROM {part}")

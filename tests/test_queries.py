@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -97,3 +98,33 @@ def test_whole_digits_compatible(spark, tmp_path):
             want.append((k, a, b, True))
     got = [tuple(r) for r in q.QUERIES["digits_compatible_whole"](spark, str(tmp_path)).collect()]
     assert max(k for k, *_ in want) > 850 and sorted(got) == want
+
+
+def test_whole_texts_against_loops(spark, tmp_path):
+    """Noise and mixed tokens that stand behind the first 500 characters count."""
+    plain = "a plain line of words that is read well " * 20
+    texts = [plain, plain + "| 12 bcdfgh aaaa", plain + "zzé", plain + "caé", "", "ab", "xé a", None]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+
+    def score(t):
+        t = re.sub(r"\s+", " ", t or "").strip()
+        letters = re.findall("[A-Za-z]", t)
+        if len(t) < 3 or len(letters) < 3:
+            return -100.0 if len(t) < 3 else -50.0
+        share = len(re.findall("(?i)[aeiouy]", t)) / len(letters)
+        bad = 18 * (share < 0.18 or share > 0.62) + 4 * len(re.findall("[0-9]", t)) + 6 * len(re.findall(r"[|©\[\]_`]", t))
+        bad += 12 * bool(re.search("(?i)[bcdfghjklmnpqrstvwxz]{5,}", t)) + 8 * bool(re.search(r"(?i)(.)\1{3,}", t))
+        return round(share * 40 + min(len(letters), 80) * 0.15 - bad, 6)
+
+    def mixed(t):
+        one, other = "[a-m]", "[éèêçñóíáúäöüß]"
+        t = (t or "").strip()
+        if not re.search(one, t) or not re.search(other, t):
+            return False
+        n = len(re.findall(one, t))
+        return any(re.search(one, x) and re.search(other, x) for x in t.split()) or (n >= 2 and n / len(t) > 0.06)
+
+    got = {name: {r[0]: r[1] for r in q.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("text_quality", "text_quality_whole", "mixed_script", "mixed_script_whole")}
+    assert got["text_quality_whole"] == pytest.approx({i: score(t) for i, t in enumerate(texts)})
+    assert got["mixed_script_whole"] == {i: mixed(t) for i, t in enumerate(texts)}
+    assert got["text_quality_whole"][1] < got["text_quality"][1] and got["mixed_script_whole"][3] and not got["mixed_script"][3]
