@@ -205,6 +205,30 @@ def by_document(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     return total[places[1:]] - total[places[:-1]]
 
 
+def _sent_scores(sent, order: int):
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {lang: model_of(data, order) for lang, data in sent.value.items()}
+        for batch in slices(batches):
+            grams, places = grams_of(*texts_of(batch.column("text")), order)
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            logs = np.zeros(len(grams), np.float32)
+            for lang in set(langs) & set(held):
+                mask = np.repeat(langs == lang, np.diff(places))
+                logs[mask] = held[lang].logs(grams[mask])
+            n = np.diff(places)
+            none = (n == 0) | ~np.isin(langs.astype(str), list(held))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(by_document(logs, places), mask=none), pa.array(n.astype(np.int64))], ["doc_id", "lang", "log", "n"])
+
+    return scored
+
+
+def sent_scores(docs: DataFrame, entries: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, log, n) of every row of ``docs(doc_id, lang, text)``, by entries that ``fits`` accepts; log is null where
+    the language has no model or the text no bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(packed_models(entries))
+    return docs.select("doc_id", "lang", "text").mapInArrow(_sent_scores(sent, order), "doc_id long, lang string, log double, n long")
+
+
 # ---------------------------------------------------------------- the model in shards
 
 
@@ -276,7 +300,7 @@ def _score(order: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             columns = (batch.column(c).to_pylist() for c in ("shard", "salt", "doc_id", "tkey", "lang", "keys", "counts", "model"))
             for shard, salt, doc, key, lang, keys, n, model in zip(*columns, strict=True):
                 if at != (shard, salt):
@@ -285,9 +309,9 @@ def _score(order: int):
                     held[lang] = model_of(model, order)
                 elif lang in held:
                     n = unpack(n).astype(np.float64)
-                    for column, v in zip(out, (doc, key, float(n @ held[lang].logs(np.cumsum(unpack(keys), dtype=_U))), int(n.sum())), strict=True):
+                    for column, v in zip(out, (doc, key, lang, float(n @ held[lang].logs(np.cumsum(unpack(keys), dtype=_U))), int(n.sum())), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "tkey", "log", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "tkey", "lang", "log", "n"])
 
     return score
 
@@ -318,8 +342,8 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sharded_scores(docs: DataFrame, entries: DataFrame, order: int) -> DataFrame:
-    """(doc_id, tkey, log, n): summed log probability and number of bytes of each row of ``docs(doc_id, tkey, lang, text)``
-    whose language has a model and whose text has any bytes."""
+    """(doc_id, tkey, lang, log, n): summed log probability and number of bytes of each key of ``docs(doc_id, tkey, lang,
+    text)`` whose language has a model and whose text has any bytes. Both sums count repeated rows as often as they stand."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     total = entries.count()
     shards = int(min(128, max(2, total // 500_000)))
@@ -334,4 +358,4 @@ def sharded_scores(docs: DataFrame, entries: DataFrame, order: int) -> DataFrame
     asked = docs.mapInArrow(_asked(order, shards), "shard int, doc_id long, tkey long, lang string, keys binary, counts binary")
     asked = asked.select("shard", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "tkey", "lang", "keys", "counts", F.lit(None).cast("binary").alias("model"))
     both = model.unionAll(asked).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("model").isNull())
-    return both.mapInArrow(_score(order), "doc_id long, tkey long, log double, n long").groupBy("doc_id", "tkey").agg(F.sum("log").alias("log"), F.sum("n").alias("n"))
+    return both.mapInArrow(_score(order), "doc_id long, tkey long, lang string, log double, n long").groupBy("doc_id", "tkey", "lang").agg(F.sum("log").alias("log"), F.sum("n").alias("n"))

@@ -25,7 +25,7 @@ MISSING = -(2**63)
 def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, log_perplexity, threshold, good (and n_bytes) of every row of ``docs(doc_id, text, lang)``.
 
-    ``trusted(doc_id)`` names the trusted documents. Null and empty texts have no perplexity and are not good. A language without
+    ``trusted(doc_id)`` names the trusted documents. Null, empty and blank texts have no perplexity and are not good. A language without
     trusted text has no threshold and its texts are good. A null language is one of its own, ``und``. Repeated rows are
     each returned; a null doc_id is returned as null and is never trusted. Other columns are not read.
     """
@@ -35,12 +35,14 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> D
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     learned = joined(rows, cut(ids.where(~held), "learned"), ["doc_id"], "left_semi")
     entries = smoothed(gram_counts(learned, order), order)
-    scores = sharded_scores(rows, entries, order)
-    keys = rows.select("doc_id", "tkey", "lang")
-    scored = cut(keys.join(scores, ["doc_id", "tkey"], "left").withColumn("level", -F.col("log") / F.col("n")), "levels", texts=True)
+    scores = sharded_scores(rows, entries, order).select("doc_id", "tkey", "lang", (-F.col("log") / F.col("n")).alias("level"))
+    # as in grams_of: no white space at the beginning, one for a run of it
+    counted = F.regexp_replace("text", r"^[\t-\r ]+|([\t-\r ])[\t-\r ]+", "$1")
+    keys = rows.select("doc_id", "tkey", "lang", F.coalesce(F.octet_length(counted), F.lit(0)).cast("long").alias("n"))
+    scored = cut(keys.join(scores, ["doc_id", "tkey", "lang"], "left"), "levels", texts=True)
     known = joined(scored, cut(ids.where(held), "held"), ["doc_id"], "left_semi")
     limits = known.groupBy("lang").agg(F.percentile_approx("level", QUANTILE, 10_000).alias("limit"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # one row for each language
-    threshold = F.col("limit") + SHORT / F.sqrt("n")
-    good = F.when(F.col("n").isNull() | F.col("level").isNull(), F.length("lang").isNull()).otherwise(F.coalesce(F.col("level") <= threshold, F.lit(True)))
-    return out.select(F.when(F.col("doc_id") != MISSING, F.col("doc_id")).alias("doc_id"), "lang", F.col("level").alias("log_perplexity"), threshold.alias("threshold"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce("n", F.lit(0)).alias("n_bytes"))
+    threshold = F.col("limit") + SHORT / F.sqrt(F.nullif(F.col("n"), F.lit(0)))
+    good = (F.col("n") > 0) & F.coalesce(F.col("level") <= threshold, F.lit(True))
+    return out.select(F.when(F.col("doc_id") != MISSING, F.col("doc_id")).alias("doc_id"), "lang", F.col("level").alias("log_perplexity"), threshold.alias("threshold"), good.alias("good"), F.col("n").alias("n_bytes"))

@@ -138,9 +138,9 @@ def judged(docs: DataFrame) -> DataFrame:
         rows = tagged.mapInArrow(_scored(sent, ORDER), f"doc_id long, tkey long, lang string, {BASE}, level double")
     else:
         level = sharded_scores(tagged.select(F.coalesce("doc_id", F.lit(MISSING)).alias("doc_id"), "tkey", "lang", "text"), entries, ORDER)
-        level = level.select("doc_id", "tkey", (-F.col("log") / F.col("n")).alias("level"))
+        level = level.select("doc_id", "tkey", "lang", (-F.col("log") / F.col("n")).alias("level"))
         counted = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, {BASE}").withColumn("key", F.coalesce("doc_id", F.lit(MISSING)))
-        rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey"], "left").select("doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
+        rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey", "lang"], "left").select("doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
     rows = cut(rows, "scored", texts=True)
     bands = rows.where(~_failed()).groupBy("lang").agg(F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q"), F.count("level").alias("docs"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))

@@ -540,3 +540,21 @@ def test_quality_classifier(spark, odd, empty):
     out = quality_classifier.quality_scores(odd, spark.createDataFrame([(6,), (8,), (None,)], "doc_id long")).collect()
     assert len(out) == len(ROWS) and not any(r["good"] for r in out if r["doc_id"] in (1, 2))
     assert quality_classifier.quality_scores(empty, labels).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 10**9])
+def test_quality_classifier_without_a_model(spark, odd, monkeypatch, sent):
+    """No trusted text in a language: its texts are good. Repeated rows are judged as a single one."""
+    monkeypatch.setattr(kneser_ney, "MAX_SENT_ENTRIES", sent)
+    rows = [(i, f"plain words of text {i} and  some more", "en") for i in range(40)] + [(100, "  des mots\n\n é", None), (101, " \t ", None), (102, "des mots", "fr")]
+    rows += [(200, "plain words", "en")] + [(201, "plain words", "en")] * 3 + [(202, "plain words", "en"), (202, "plain words", "xx")]
+    got = quality_classifier.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(40).selectExpr("id as doc_id")).collect()
+    assert len(got) == len(rows)
+    of = lambda i: [r for r in got if r["doc_id"] == i]
+    assert [(r["good"], r["n_bytes"], r["log_perplexity"]) for i in (100, 101, 102) for r in of(i)] == [(True, len("des mots é".encode()), None), (False, 0, None), (True, 8, None)]
+    one = of(200)[0]
+    en = [r for r in of(202) if r["lang"] == "en"]
+    for r in of(201) + en:
+        assert (r["n_bytes"], r["good"]) == (one["n_bytes"], one["good"])
+        assert (r["threshold"], r["log_perplexity"]) == pytest.approx((one["threshold"], one["log_perplexity"]))
+    assert [(r["good"], r["log_perplexity"]) for r in of(202) if r["lang"] == "xx"] == [(True, None)]
