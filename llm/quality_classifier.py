@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under a model of trusted text.
 
 A modified Kneser-Ney byte model for each language is counted over the trusted documents; a share of them is kept out. Entries
-and the documents' grams are dealt to shards and joined there (``llm.kneser_ney.sharded_scores``), so no task needs the
-whole model. A document passes when its log perplexity is at most its language's threshold: a high quantile of the trusted
+that pass a size check go to the tasks; beyond that they and the documents' grams are dealt to shards and joined there
+(``llm.kneser_ney.sharded_scores``), so no task needs the whole model. A document passes when its log perplexity is at most its language's threshold: a high quantile of the trusted
 documents kept out, and an allowance that falls with the root of the text's length.
 """
 
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import cut, joined
-from llm.kneser_ney import gram_counts, sharded_scores, smoothed
+from llm.kneser_ney import fits, gram_counts, sent_scores, sharded_scores, smoothed
 
-ORDER = 3
+ORDER = 4
 QUANTILE = 0.99
 #: Nats allowed for a text of one byte; the allowance falls with the root of the length.
 SHORT = 3.0
@@ -35,11 +35,15 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> D
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     learned = joined(rows, cut(ids.where(~held), "learned"), ["doc_id"], "left_semi")
     entries = smoothed(gram_counts(learned, order), order)
-    scores = sharded_scores(rows, entries, order).select("doc_id", "tkey", "lang", (-F.col("log") / F.col("n")).alias("level"))
-    # as in grams_of: no white space at the beginning, one for a run of it
-    counted = F.regexp_replace("text", r"^[\t-\r ]+|([\t-\r ])[\t-\r ]+", "$1")
-    keys = rows.select("doc_id", "tkey", "lang", F.coalesce(F.octet_length(counted), F.lit(0)).cast("long").alias("n"))
-    scored = cut(keys.join(scores, ["doc_id", "tkey", "lang"], "left"), "levels", texts=True)
+    if fits(entries):
+        scored = sent_scores(rows, entries, order).withColumn("level", -F.col("log") / F.col("n"))
+    else:
+        scores = sharded_scores(rows, entries, order).select("doc_id", "tkey", "lang", (-F.col("log") / F.col("n")).alias("level"))
+        # as in grams_of: no white space at the beginning, one for a run of it
+        counted = F.regexp_replace("text", r"^[\t-\r ]+|([\t-\r ])[\t-\r ]+", "$1")
+        keys = rows.select("doc_id", "tkey", "lang", F.coalesce(F.octet_length(counted), F.lit(0)).cast("long").alias("n"))
+        scored = keys.join(scores, ["doc_id", "tkey", "lang"], "left")
+    scored = cut(scored, "levels", texts=True)
     known = joined(scored, cut(ids.where(held), "held"), ["doc_id"], "left_semi")
     limits = known.groupBy("lang").agg(F.percentile_approx("level", QUANTILE, 10_000).alias("limit"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # one row for each language

@@ -558,3 +558,17 @@ def test_quality_classifier_without_a_model(spark, odd, monkeypatch, sent):
         assert (r["n_bytes"], r["good"]) == (one["n_bytes"], one["good"])
         assert (r["threshold"], r["log_perplexity"]) == pytest.approx((one["threshold"], one["log_perplexity"]))
     assert [(r["good"], r["log_perplexity"]) for r in of(202) if r["lang"] == "xx"] == [(True, None)]
+
+
+def test_quality_classifier_sees_whole_words(spark, monkeypatch):
+    """Grams of four bytes: the trigrams of these texts are trusted ones, their four-letter words are not; on both paths."""
+    trusted = [(i, "abcd bcda cdab dabc " * 20, "en") for i in range(60)]
+    rows = trusted + [(100, "abcd bcda cdab dabc " * 20, "en"), (101, "abc bcd cda dab " * 20, "en"), (102, "bc da dcb", "xx")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(60).selectExpr("id as doc_id")
+    seen = []
+    for most in (10**9, 0):
+        monkeypatch.setattr(kneser_ney, "MAX_SENT_ENTRIES", most)
+        got = {r["doc_id"]: r for r in quality_classifier.quality_scores(docs, known).collect()}
+        assert got[101]["log_perplexity"] > got[100]["log_perplexity"] and got[100]["good"] and got[102]["good"]
+        seen.append({i: (r["n_bytes"], r["good"], r["log_perplexity"] and round(r["log_perplexity"], 4)) for i, r in got.items()})
+    assert seen[0] == seen[1] and quality_classifier.ORDER >= 4
