@@ -5,8 +5,8 @@ anchor make a segment of at most 28 windows. Segments whose anchor stands once i
 leave at once; segments met whole more than once are repeated throughout. What is left - differing segments on one anchor,
 as at the edges of a shared passage - goes to shards by anchor. A shard holds its distinct segments in a compressed FM-index (wavelet
 matrix over the Burrows-Wheeler transform); its segments stream through it by backward search, and the matching statistics
-at or above the threshold are the repeated intervals. An anchor with very many segments is dealt window by window, by the
-hash of the whole window, so a passage that a third of the corpus shares spreads over all shards.
+at or above the threshold are the repeated intervals. The windows of an anchor with very many segments go to no index: they are
+counted by the hash of the whole window, and those met more than once are repeated.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from llm.common import Words, cut, drop, id_name, joined, longs, marked, mix, po
 
 WINDOW = 35
 GRAM = 8
-#: Words of one FM-index, and the distinct segments from which an anchor is dealt window by window.
+#: Words of one FM-index, and the distinct segments from which an anchor's windows are counted one by one.
 SHARD_WORDS = 150_000
 HOT_SEGMENTS = 1_000
 _U = np.uint64
@@ -77,7 +77,7 @@ def _occurrences(window: int):
 
 
 def _passages(window: int):
-    """The words of the wanted segments; those of hot anchors window by window."""
+    """The words of the wanted segments, but for those of hot anchors."""
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -85,14 +85,13 @@ def _passages(window: int):
             raw = words.data.tobytes()
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist()
             out: list[list] = [[] for _ in range(7)]
-            hashes = runs(words.hashes(), window)
             for d, wanted in enumerate(batch.column("wanted").to_pylist()):
                 w0 = int(words.first[d])
                 for x in wanted:
-                    first, count, single, hot = x["first"], x["count"], x["single"], x["hot"]
-                    for f, c, k in [(first + j, 1, int(hashes[w0 + first + j].view(np.int64))) for j in range(count)] if hot else [(first, count, x["anchor"])]:
-                        text = raw[words.start[w0 + f] : words.end[w0 + f + c + window - 2]]
-                        for column, v in zip(out, (k, ids[d], keys[d], f, c, single, text), strict=True):
+                    if not x["hot"]:
+                        first, count = x["first"], x["count"]
+                        text = raw[words.start[w0 + first] : words.end[w0 + first + count + window - 2]]
+                        for column, v in zip(out, (x["anchor"], ids[d], keys[d], first, count, x["single"], text), strict=True):
                             column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "doc_id", "tkey", "first", "count", "single", "words"])
@@ -100,6 +99,26 @@ def _passages(window: int):
     return passages
 
 
+def _hot_windows(window: int):
+    """Hash and place of each window of the wanted segments of hot anchors."""
+
+    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(*texts_of(batch.column("text")))
+            hashes = runs(words.hashes(), window)
+            rows = [(d, x["first"], x["count"], x["single"]) for d, wanted in enumerate(batch.column("wanted").to_pylist()) for x in wanted if x["hot"]]
+            doc, first, count, single = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [()] * 4))
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            doc, single = np.repeat(doc, count), np.repeat(single.astype(bool), count)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [longs(hashes[words.first[doc] + at]), batch.column("doc_id").take(take), batch.column("tkey").take(take), pa.array(at.astype(np.int32)), pa.array(single)],
+                ["key", "doc_id", "tkey", "at", "single"],
+            )
+
+    return hot_windows
+
+
 def _search(window: int):
     """Shards of whole anchors, in anchor order: index their segments, stream the single ones through the index."""
 
@@ -185,7 +204,12 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     matched = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_search(window), "doc_id long, tkey long, at int, length int")
     whole = again.where("not mixed").select(*KEY, "first", "count").unionAll(again.where("mixed").join(bodies.where("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select(*KEY, "first", "count"))
-    spans = matched.unionAll(whole.select(*KEY, F.col("first").alias("at"), (F.col("count") + window - 1).alias("length")))
+    # a hot anchor's windows are counted by their hash, in the tasks first: no task or index holds all rows of one
+    asked = cut(wanted.where(F.exists("wanted", lambda x: x["hot"])), "asked")
+    windows = cut(joined(texts, asked, KEY).mapInArrow(_hot_windows(window), "key long, doc_id long, tkey long, at int, single boolean"), "windows", texts=True)
+    met = cut(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met")
+    counted = joined(windows.where("single"), met, ["key"], "left_semi").select(*KEY, "at", F.lit(window).alias("length"))
+    spans = matched.unionAll(counted).unionAll(whole.select(*KEY, F.col("first").alias("at"), (F.col("count") + window - 1).alias("length")))
     spans = spans.repartition(parts, *KEY).sortWithinPartitions(*KEY, "at").mapInArrow(_merged, "doc_id long, tkey long, at int, to int")
     return cut(spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("spans")), "spans", texts=True)
 

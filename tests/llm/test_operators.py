@@ -344,6 +344,22 @@ def test_substring_dedup(docs, odd, empty, hot, monkeypatch):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_hot_windows_go_to_no_index(spark, monkeypatch):
+    """A passage in many texts, with other words around it in each: its windows are counted, never held together."""
+    import pyarrow as pa
+
+    rows = [(i, " ".join([*(f"l{i}x{j}" for j in range(20)), PASSAGE, *(f"r{i}x{j}" for j in range(20))])) for i in range(30)] + [(99, "alone " * 60)]
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in substring_dedup.substring_dedup(df).collect()) == Counter(brute_removal(rows, 35))
+    wanted = [[{"anchor": 1, "first": 5, "count": 4, "single": True, "hot": True}, {"anchor": 2, "first": 30, "count": 2, "single": False, "hot": False}]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7], "tkey": [8], "text": [rows[0][1]], "wanted": wanted})
+    (indexed,) = substring_dedup._passages(35)(iter([batch]))
+    (counted,) = substring_dedup._hot_windows(35)(iter([batch]))
+    assert indexed.column("first").to_pylist() == [30]
+    assert counted.column("at").to_pylist() == [5, 6, 7, 8] and counted.column("single").to_pylist() == [True] * 4
+
+
 def test_substring_dedup_of_repetitive_texts(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(rng.choice(["a", "b"], rng.integers(10, 300), p=[0.97, 0.03]))) for i in range(40)]
