@@ -7,8 +7,9 @@ each gram seen, and log gamma(context) for each context seen. A text is scored b
 of the longer contexts seen.
 
 Two ways to score. ``Model`` holds the entries as sorted hash arrays and is sent to the tasks, if ``fits`` says so.
-``sharded_scores`` deals entries and the texts' distinct grams by the byte before the last, which a gram shares with all
-shorter grams and contexts that it can fall back to, and joins them shard by shard; the model is never in one place.
+``sharded_scores`` deals entries and the texts' distinct grams by the two bytes before the last, which a gram shares with all
+grams and contexts of order 3 and more that it can fall back to, and joins them shard by shard; the few entries of lower
+orders are in every shard, and the model is never in one place.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from llm.common import cut, drop, mix, slices, texts_of, _LOWER, _SPACE
 
-#: Entries of all languages that are sent to the tasks at most (14 bytes each).
-MAX_SENT_ENTRIES = 2_000_000
+#: Entries of all models that are sent to the tasks at most (14 bytes each).
+MAX_SENT_ENTRIES = 4_000_000
+#: Entries of a shard, about, and of one row of packed entries at most.
+SHARD_ENTRIES, ROW_ENTRIES = 500_000, 50_000
 _U = np.uint64
 SYMBOLS = 256
 
@@ -187,8 +190,11 @@ def fits(entries: DataFrame) -> bool:
 
 def packed_models(entries: DataFrame) -> dict[str, bytes]:
     """The entries of each language in one binary, for tables that ``fits`` accepts; tasks build a ``Model`` from it."""
-    rows = entries.select(F.lit(0).alias("shard"), "lang", "k", "context", "gram", "value").repartition("lang").sortWithinPartitions("lang")
-    return {r["lang"]: bytes(r["model"]) for r in rows.mapInArrow(_blobs, "shard int, lang string, model binary").collect()}
+    rows = entries.select(F.lit(0).alias("shard"), "lang", "k", "context", "gram", "value").mapInArrow(_packed, PACKED)
+    parts: dict[str, list] = {}
+    for r in rows.toLocalIterator():
+        parts.setdefault(r["lang"], []).append(bytes(r["model"]))
+    return {lang: b"".join(x) for lang, x in parts.items()}
 
 
 ENTRY = np.dtype([("k", "u1"), ("context", "?"), ("gram", "<i8"), ("value", "<f4")])
@@ -232,8 +238,9 @@ def sent_scores(docs: DataFrame, entries: DataFrame, order: int) -> DataFrame:
 # ---------------------------------------------------------------- the model in shards
 
 
-def _shard(symbol, shards: int):
-    return (symbol * 73) % 251 % shards
+def _shard(two, shards: int):
+    """Shard of the two bytes before the last, as numpy array or Column; neighbours are spread."""
+    return two * 40503 % 65521 % shards
 
 
 def _asked(order: int, shards: int):
@@ -245,7 +252,7 @@ def _asked(order: int, shards: int):
             langs, rows = batch.column("lang").to_pylist(), []
             for d, (a, b) in enumerate(zip(places[:-1].tolist(), places[1:].tolist(), strict=True)):
                 keys, n = np.unique(grams[a:b], return_counts=True)
-                shard = _shard((keys >> _U(8) & _U(255)).astype(np.int64), shards)
+                shard = _shard((keys >> _U(8) & _U(65535)).astype(np.int64), shards)
                 for s in np.unique(shard):
                     own = shard == s
                     # grams in order as differences, counts as bytes; both shrink well under the shuffle's compression
@@ -297,17 +304,22 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _score(order: int):
+    """Rows in order of shard and salt, a shard's packed entries first: each model is built once its first text comes."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
+        at, parts, held = None, {}, {}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             columns = (batch.column(c).to_pylist() for c in ("shard", "salt", "doc_id", "tkey", "lang", "keys", "counts", "model"))
             for shard, salt, doc, key, lang, keys, n, model in zip(*columns, strict=True):
                 if at != (shard, salt):
-                    at, held = (shard, salt), {}
+                    at, parts, held = (shard, salt), {}, {}
                 if model is not None:
-                    held[lang] = model_of(model, order)
-                elif lang in held:
+                    parts.setdefault(lang, []).append(model)
+                    continue
+                if lang in parts:
+                    held[lang] = model_of(b"".join(parts.pop(lang)), order)
+                if lang in held:
                     n = unpack(n).astype(np.float64)
                     for column, v in zip(out, (doc, key, lang, float(n @ held[lang].logs(np.cumsum(unpack(keys), dtype=_U))), int(n.sum())), strict=True):
                         column.append(v)
@@ -316,46 +328,44 @@ def _score(order: int):
     return score
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in order of (shard, lang) as one binary each; a shard's entries are bounded by the choice of shards."""
-    held: dict[tuple, list] = {}
+PACKED = "shard int, lang string, model binary"
 
-    def row(key):
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.string()), pa.array([np.concatenate(held.pop(key)).tobytes()], pa.binary())], ["shard", "lang", "model"])
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries as binaries of at most ``ROW_ENTRIES`` for each shard and language; both may come in any order."""
     for batch in batches:
         x = np.empty(batch.num_rows, ENTRY)
         for c in x.dtype.names:
             x[c] = batch.column(c).to_numpy(zero_copy_only=False)
-        keys = list(zip(batch.column("shard").to_pylist(), batch.column("lang").to_pylist(), strict=True))
-        a = 0
-        while a < len(keys):
-            b = a
-            while b < len(keys) and keys[b] == keys[a]:
-                b += 1
-            for done in [k for k in held if k != keys[a]]:
-                yield row(done)
-            held.setdefault(keys[a], []).append(x[a:b])
-            a = b
-    for key in list(held):
-        yield row(key)
+        langs = batch.column("lang").dictionary_encode()
+        shard, lang = batch.column("shard").to_numpy(), langs.indices.to_numpy()
+        order = np.lexsort((lang, shard))
+        x, shard, lang = x[order], shard[order], lang[order]
+        new = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1])]) if len(x) else np.zeros(0, int)
+        cuts = [(a, min(a + ROW_ENTRIES, b)) for p, b in zip(new.tolist(), np.r_[new, len(x)][1:].tolist(), strict=True) for a in range(p, b, ROW_ENTRIES)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in cuts], pa.int32()), langs.dictionary.take(pa.array([int(lang[a]) for a, _ in cuts], pa.int32())), pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())], ["shard", "lang", "model"])
 
 
 def sharded_scores(docs: DataFrame, entries: DataFrame, order: int) -> DataFrame:
     """(doc_id, tkey, lang, log, n): summed log probability and number of bytes of each key of ``docs(doc_id, tkey, lang,
-    text)`` whose language has a model and whose text has any bytes. Both sums count repeated rows as often as they stand."""
+    text)`` whose language has a model and whose text has any bytes. Both sums count repeated rows as often as they stand.
+
+    There are as many shards as entries need. Where a shard's texts are many, they are dealt to several tasks by a salt, and
+    its entries are sent to each of these.
+    """
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    total = entries.count()
-    shards = int(min(128, max(2, total // 500_000)))
+    shards = int(max(2, entries.count() // SHARD_ENTRIES))
     salts = max(1, parts // shards)
-    symbol = F.when(F.col("context"), F.col("gram").bitwiseAND(255)).otherwise(F.shiftright("gram", 8).bitwiseAND(255))
+    two = F.when(F.col("context"), F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(65535)
     everywhere = F.sequence(F.lit(0), F.lit(shards - 1))
-    shard = F.when(F.col("k") == 1, everywhere).otherwise(F.array((symbol * 73 % 251 % shards).cast("int")))
-    model = entries.withColumn("shard", F.explode(shard)).repartition(shards, "shard", "lang").sortWithinPartitions("shard", "lang")
-    model = cut(model.select("shard", "lang", "k", "context", "gram", "value").mapInArrow(_blobs, "shard int, lang string, model binary"), "shards")
+    shard = F.when(F.col("k") < 3, everywhere).otherwise(F.array(_shard(two, shards).cast("int")))
+    # sorted within its tasks only, so that each packs long runs; nothing is gathered
+    model = entries.withColumn("shard", F.explode(shard)).sortWithinPartitions("shard", "lang").select("shard", "lang", "k", "context", "gram", "value")
+    model = cut(model.mapInArrow(_packed, PACKED), "shards")
     model = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    model = model.select("shard", "salt", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tkey"), "lang", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "model")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(name) for name in names]
+    model = model.select("shard", "salt", *none("long", "doc_id", "tkey"), "lang", *none("binary", "keys", "counts"), "model")
     asked = docs.mapInArrow(_asked(order, shards), "shard int, doc_id long, tkey long, lang string, keys binary, counts binary")
-    asked = asked.select("shard", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "tkey", "lang", "keys", "counts", F.lit(None).cast("binary").alias("model"))
+    asked = asked.select("shard", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "tkey", "lang", "keys", "counts", *none("binary", "model"))
     both = model.unionAll(asked).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("model").isNull())
     return both.mapInArrow(_score(order), "doc_id long, tkey long, lang string, log double, n long").groupBy("doc_id", "tkey", "lang").agg(F.sum("log").alias("log"), F.sum("n").alias("n"))

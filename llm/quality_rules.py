@@ -1,9 +1,12 @@
 """Quality rules: counted rules first, then bands of n-gram perplexity for each language.
 
-The perplexity comes from a modified Kneser-Ney model of the corpus itself (``llm.kneser_ney``), counted over all
-documents that pass the counted rules. Where its entries pass a size check, they go to the tasks as sorted hash arrays; beyond that, texts
-and entries are joined by shards. A document is rejected when its log perplexity lies outside its language's band:
-the quartiles, widened by ``WIDTH`` times their distance.
+The perplexity comes from modified Kneser-Ney models of the corpus itself (``llm.kneser_ney``), counted over all documents
+that pass the counted rules. Each language has two models, one of each half of its documents by the hash of the text, and a
+document is scored by the half it is not in: so no text, copies included, makes itself likely, and the levels of all
+documents are those of unseen ones. Where the entries pass a size check, they go to the tasks as sorted hash arrays; beyond
+that, texts and entries are joined by shards. A document is rejected when its log perplexity lies outside its language's
+band, from the ``TAIL`` to the 1 - ``TAIL`` quantile of the documents that pass the counted rules, by more than an allowance
+for short texts, whose levels vary more.
 """
 
 from __future__ import annotations
@@ -19,8 +22,11 @@ from llm.common import Words, cut, joined, marked, mix, runs, slices, texts_of,
 from llm.kneser_ney import by_document, fits, gram_counts, grams_of, model_of, packed_models, sharded_scores, smoothed
 
 ORDER = 5
-#: Interquartile ranges beyond the quartiles at which the bands lie.
-WIDTH = 6.0
+#: Share of a language's documents that lie below its band, and above it.
+TAIL = 0.01
+#: Nats allowed beyond the band for a text of one byte; the allowance falls with the root of the length.
+SHORT = 0.5
+HALVES = 2
 MIN_WORDS = 50
 #: Stands for a null doc_id in joins.
 MISSING = -(2**63)
@@ -30,6 +36,7 @@ _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+COUNTS = tuple(x.split()[0] for x in BASE.split(", "))
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -82,8 +89,9 @@ def _passes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        counts = base_counts(*texts_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "tkey", "lang")] + [pa.array(c.astype(np.int64)) for c in counts], ["doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", "))])
+        data, offsets = texts_of(batch.column("text"))
+        counts = [*base_counts(data, offsets), np.diff(grams_of(data, offsets, 1)[1])]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "tkey", "lang")] + [pa.array(c.astype(np.int64)) for c in counts], ["doc_id", "tkey", "lang", *COUNTS, "n_bytes"])
 
 
 def _scored(sent, order: int):
@@ -93,16 +101,16 @@ def _scored(sent, order: int):
             data, offsets = texts_of(batch.column("text"))
             counts = base_counts(data, offsets)
             grams, places = grams_of(data, offsets, order)
-            langs = np.array(batch.column("lang").to_pylist(), object)
+            models = np.array(batch.column("model").to_pylist(), object)
             logs = np.zeros(len(grams), np.float32)
-            for lang in set(langs):
-                mask = np.repeat(langs == lang, np.diff(places))
-                logs[mask] = held[lang].logs(grams[mask]) if lang in held else np.nan
+            for model in set(models):
+                mask = np.repeat(models == model, np.diff(places))
+                logs[mask] = held[model].logs(grams[mask]) if model in held else np.nan
             n = np.diff(places)
             with np.errstate(all="ignore"):
                 level = -by_document(logs, places) / n
-            columns = [pa.array(c.astype(np.int64)) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), batch.column("lang"), *columns, pa.array(np.where(np.isfinite(level), level, np.nan), from_pandas=True)], ["doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level"])
+            columns = [pa.array(c.astype(np.int64)) for c in (*counts, n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), batch.column("lang"), *columns, pa.array(np.where(np.isfinite(level), level, np.nan), from_pandas=True)], ["doc_id", "tkey", "lang", *COUNTS, "n_bytes", "level"])
 
     return scored
 
@@ -131,20 +139,27 @@ def judged(docs: DataFrame) -> DataFrame:
     """``quality_rules`` with tkey, a hash of the text that tells rows apart that share a doc_id."""
     spark = docs.sparkSession
     tagged = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
-    tagged = tagged.withColumn("tkey", F.xxhash64("text"))
-    entries = smoothed(gram_counts(tagged, ORDER, _passes), ORDER)
+    half = F.pmod("tkey", F.lit(HALVES))
+    named = lambda part: F.concat_ws("/", "lang", part.cast("string"))
+    tagged = tagged.withColumn("tkey", F.xxhash64("text")).withColumn("model", named(HALVES - 1 - half))
+    entries = smoothed(gram_counts(tagged.select("text", named(half).alias("lang")), ORDER, _passes), ORDER)
     if fits(entries):
         sent = spark.sparkContext.broadcast(packed_models(entries))
-        rows = tagged.mapInArrow(_scored(sent, ORDER), f"doc_id long, tkey long, lang string, {BASE}, level double")
+        rows = tagged.mapInArrow(_scored(sent, ORDER), f"doc_id long, tkey long, lang string, {BASE}, n_bytes long, level double")
     else:
-        level = sharded_scores(tagged.select(F.coalesce("doc_id", F.lit(MISSING)).alias("doc_id"), "tkey", "lang", "text"), entries, ORDER)
-        level = level.select("doc_id", "tkey", "lang", (-F.col("log") / F.col("n")).alias("level"))
-        counted = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, {BASE}").withColumn("key", F.coalesce("doc_id", F.lit(MISSING)))
-        rows = counted.join(level.withColumnRenamed("doc_id", "key"), ["key", "tkey", "lang"], "left").select("doc_id", "tkey", "lang", *(x.split()[0] for x in BASE.split(", ")), "level")
+        level = sharded_scores(tagged.select(F.coalesce("doc_id", F.lit(MISSING)).alias("doc_id"), "tkey", F.col("model").alias("lang"), "text"), entries, ORDER)
+        level = level.select(F.col("doc_id").alias("key"), "tkey", F.col("lang").alias("model"), (-F.col("log") / F.col("n")).alias("level"))
+        counted = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, {BASE}, n_bytes long").withColumn("key", F.coalesce("doc_id", F.lit(MISSING))).withColumn("model", named(HALVES - 1 - half))
+        rows = counted.join(level, ["key", "tkey", "model"], "left").select("doc_id", "tkey", "lang", *COUNTS, "n_bytes", "level")
     rows = cut(rows, "scored", texts=True)
-    bands = rows.where(~_failed()).groupBy("lang").agg(F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q"), F.count("level").alias("docs"))
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
-    bands = bands.where(f"docs >= {MIN_DOCUMENTS}").select("lang", (F.col("q")[0] - WIDTH * spread).alias("low"), (F.col("q")[1] + WIDTH * spread).alias("high"))
-    verdict = rows.join(F.broadcast(bands), "lang", "left").withColumn("base_failed", _failed())
-    inside = F.coalesce(F.col("level").between(F.col("low"), F.col("high")), F.lit(True))
-    return verdict.select("doc_id", "tkey", *(x.split()[0] for x in BASE.split(", ")), "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("level").alias("log_perplexity"))
+    verdict = rows.join(F.broadcast(bands(rows.where(~_failed()), TAIL)), "lang", "left").withColumn("base_failed", _failed())
+    room = SHORT / F.sqrt(F.nullif(F.col("n_bytes"), F.lit(0)))
+    inside = F.coalesce(F.col("level").between(F.col("low") - room, F.col("high") + room), F.lit(True))
+    return verdict.select("doc_id", "tkey", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("level").alias("log_perplexity"))
+
+
+def bands(rows: DataFrame, tail: float) -> DataFrame:
+    """(lang, low, high) over ``rows(lang, level)``: one row for each language with at least ``MIN_DOCUMENTS`` levels. The bounds
+    are levels of documents, which lie within the band themselves."""
+    found = rows.groupBy("lang").agg(F.percentile_approx("level", [tail, 1 - tail], 10_000).alias("q"), F.count("level").alias("docs"))
+    return found.where(f"docs >= {MIN_DOCUMENTS}").select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -452,6 +452,10 @@ def brute_model(rows, order):
             counts[order][t[i : i + order]] += 1
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
+    after = {}
+    for k, c in counts.items():
+        for g, v in c.items():
+            after.setdefault(g[:-1], {})[g] = v
     cuts = {}
     for k, c in counts.items():
         n = [0] + [sum(v == i for v in c.values()) for i in range(1, 5)]
@@ -462,7 +466,7 @@ def brute_model(rows, order):
         k = len(gram)
         if k == 0:
             return 1 / 256
-        same = {g: v for g, v in counts[k].items() if g[:-1] == gram[:-1]}
+        same = after.get(gram[:-1], {})
         total = sum(same.values())
         if not total:
             return p(gram[1:])
@@ -546,6 +550,47 @@ def test_perplexity_bands(spark):
     assert not again.pop(999) and again == got
 
 
+def test_bands_and_verdicts_equal_brute_force(spark, docs, monkeypatch):
+    """Every level, band and verdict from the definition, over the short documents of a table; on both paths."""
+    short = docs.where("length(text) < 900")
+    rows = [(r["doc_id"], r["lang"], r["text"], r["half"]) for r in short.select("doc_id", "lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()]
+    passed = {i for i, _, t, _ in rows for n, _, _, _, again in [brute_base(t)] if n >= 50 and 100 * again <= 50 * n}
+    flat = lambda t: b" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split())
+    models = {(lang, half): brute_model([t for i, x, t, h in rows if i in passed and (x, h) == (lang, half)], 5) for i, lang, _, half in rows if i in passed}
+    level, size = {}, {}
+    for i, lang, t, half in rows:
+        p, b = models.get((lang, 1 - half)), b"    " + flat(t)
+        size[i] = len(b) - 4 if p else 0
+        level[i] = -sum(np.log(p(b[k : k + 5])) for k in range(size[i])) / size[i] if size[i] else None
+    low, high = {}, {}
+    for lang in {x for _, x, _, _ in rows}:
+        own = sorted(level[i] for i, x, _, _ in rows if x == lang and i in passed and size[i])
+        if len(own) >= 20:
+            low[lang], high[lang] = own[int(np.ceil(0.05 * len(own))) - 1], own[int(np.ceil(0.95 * len(own))) - 1]
+    monkeypatch.setattr(quality_rules, "TAIL", 0.05)
+    monkeypatch.setattr(quality_rules, "SHORT", 0.1)
+    want = {i: i in passed and (x not in low or not size[i] or low[x] - 0.1 / size[i] ** 0.5 <= level[i] <= high[x] + 0.1 / size[i] ** 0.5) for i, x, _, _ in rows}
+    assert {x for i, x, _, _ in rows if i in passed and not want[i]} == set(low) != set()
+    for most in (10**9, 0):
+        monkeypatch.setattr(kneser_ney, "MAX_SENT_ENTRIES", most)
+        got = quality_rules.quality_rules(short).collect()
+        assert all(abs(r["log_perplexity"] - level[r["doc_id"]]) < 1e-3 if size[r["doc_id"]] else r["log_perplexity"] is None for r in got)
+        assert {r["doc_id"]: r["kept"] for r in got} == want
+
+
+@pytest.mark.parametrize("entries", [1, 40, 10**9])
+def test_scores_do_not_depend_on_shards(spark, docs, monkeypatch, entries):
+    """Many shards, one or few: the sums of the model that is sent whole."""
+    some = docs.where("doc_id % 4 = 0").select("doc_id", F.xxhash64("text").alias("tkey"), "lang", "text")
+    model = kneser_ney.smoothed(kneser_ney.gram_counts(docs.where("doc_id % 2 = 1 and length(text) < 600"), 4), 4)
+    monkeypatch.setattr(kneser_ney, "SHARD_ENTRIES", max(entries, model.count() // 500))
+    monkeypatch.setattr(kneser_ney, "ROW_ENTRIES", 50)
+    sent = {r["doc_id"]: r for r in kneser_ney.sent_scores(some, model, 4).collect()}
+    got = {r["doc_id"]: r for r in kneser_ney.sharded_scores(some, model, 4).collect()}
+    assert set(got) == {i for i, r in sent.items() if r["log"] is not None}
+    assert all(got[i]["n"] == sent[i]["n"] and got[i]["log"] == pytest.approx(sent[i]["log"], rel=1e-5) for i in got)
+
+
 def test_quality_classifier(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
