@@ -8,14 +8,15 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a task; bounds the memory of the numpy steps.
 SLICE_BYTES = 750_000
 _U = np.uint64
-#: Small tables up to this size are sent to all tasks, larger ones are joined by shuffle.
-MAX_SENT_BYTES = 48_000_000
+#: Small tables that take up to this many bytes in memory are sent to all tasks, larger ones are joined by shuffle.
+MAX_SENT_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +86,28 @@ def table_bytes(df: DataFrame) -> int:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
 
 
+def _width(kind: T.DataType, value: Column) -> Column:
+    """Bytes of a value in memory, from above."""
+    if isinstance(kind, T.ArrayType):
+        one = sum(8 if not isinstance(f.dataType, (T.StringType, T.BinaryType)) else 64 for f in kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return 16 + F.coalesce(F.size(value), F.lit(0)) * one
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    return F.lit(8 * len(kind.fields) + 16 if isinstance(kind, T.StructType) else 8)
+
+
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of a ``cut`` table take in a hash table; not counted out where the files alone are too large."""
+    on_disk = table_bytes(df)
+    if on_disk > MAX_SENT_BYTES:
+        return on_disk
+    each = sum((_width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(40))
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
 def joined(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a written small table: sent to all tasks where its files are small, by shuffle beyond that."""
-    return big.join(F.broadcast(small) if table_bytes(small) <= MAX_SENT_BYTES else small, on, how)
+    """Join a written small table: sent to all tasks where its rows take little memory, by shuffle beyond that."""
+    return big.join(F.broadcast(small) if memory_bytes(small) <= MAX_SENT_BYTES else small, on, how)
 
 
 def id_name(docs: DataFrame) -> DataFrame:

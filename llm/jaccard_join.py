@@ -32,13 +32,13 @@ SHINGLE = 5
 MAX_FREQUENT = 1 << 19
 #: Lists of at most so many sets give all their pairs at once.
 SHORT_LIST = 8
-#: Candidate ids up to this many are sent to the tasks (8 bytes each) to pick texts; beyond it the texts are joined.
-MAX_SENT_IDS = 2_000_000
 #: Cost of checking one candidate set, in list entries; the light boundary is the cheapest size for the whole corpus.
 CHECK_COST = 12
 #: Rounds that link the members of long lists to hubs before the exact search of what is left.
 HUB_ROUNDS = 2
 LARGEST_LIGHT = 24
+#: Lists of shingles met 2**HOT_LEVEL times or more are dealt to several tasks, each of about so many entries.
+HOT_LEVEL = 16
 _U = np.uint64
 
 
@@ -99,12 +99,12 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     while least > 1 and total + levels.get(least - 1, 0) <= MAX_FREQUENT:
         least -= 1
         total += levels.get(least, 0)
-    kept = counts.where(f"kind = 0 and n >= {2**least}").select("key", F.floor(F.log2("n")).cast("int").alias("level")).toPandas()
+    kept = counts.where(f"kind = 0 and n >= {2**least}").select("key", F.floor(F.log2("n")).cast("int").alias("level")).toArrow()
     sizes = {r["key"]: r["n"] for r in counts.where("kind = 1").collect()}
     drop(counts)
-    keys = kept["key"].to_numpy(np.int64).view(_U)
+    keys = kept["key"].to_numpy().view(_U)
     order = np.argsort(keys)
-    return keys[order], kept["level"].to_numpy(np.uint8)[order], light_boundary(sizes)
+    return keys[order], kept["level"].to_numpy().astype(np.uint8)[order], light_boundary(sizes)
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
@@ -154,8 +154,9 @@ def light_links(subsets: DataFrame) -> DataFrame:
     return rows.join(least, "list").select(F.col("doc_id").alias("a"), hub.alias("b")).where("b is not null and a <> b").distinct()
 
 
-def _profiles(frequent: np.ndarray, level: np.ndarray, light: int):
+def _profiles(sent, light: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, level = sent.value
         bits = np.zeros(1 << 22, bool)  # a quick no for most shingles
         bits[frequent >> _U(42)] = True
         for batch in slices(batches):
@@ -200,12 +201,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[new, len(token)])
         edge = np.zeros(len(new), bool)
         edge[[0, -1]] = True  # may go on in the neighbouring batch
+        long = (size > SHORT_LIST) | edge | (token[new].view(_U) >> _U(58) >= HOT_LEVEL)  # a hot list has parts elsewhere
         short = []
         for m in range(2, SHORT_LIST + 1):
-            at = new[(size == m) & ~edge]
+            at = new[(size == m) & ~long]
             for i in range(m if len(at) else 0):
                 short += [(at + i, at + j) for j in range(i + 1, m)]
-        long = (size > SHORT_LIST) | edge
         inside = np.repeat(long, size)
         group = np.repeat(np.arange(len(new)), size)
         leaders = []
@@ -232,61 +233,56 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c.astype(np.int64)) for c in columns)], ["kind", "x", "y", "p", "q"])
 
 
-def _sets(wanted: np.ndarray | None):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some():
-            for batch in batches:
-                if wanted is not None and batch.num_rows:
-                    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                    at = np.minimum(np.searchsorted(wanted, ids), max(len(wanted) - 1, 0))
-                    batch = batch.filter(pa.array(wanted[at] == ids if len(wanted) else np.zeros(len(ids), bool)))
-                yield batch
-
-        for batch in slices(some()):
-            found = list(shingle_sets(batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), longs(np.concatenate(found)))], ["doc_id", "shingles"]
-            )
-
-    return sets
-
-
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.count() <= MAX_SENT_IDS:
-        sent = np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
-        source = docs
-    else:
-        sent, source = None, docs.join(ids, "doc_id", "left_semi")
-    sets = source.mapInArrow(_sets(sent), "doc_id long, shingles array<long>")
-    sets = cut(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if sent is None else sets, "sets", texts=True)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = list(shingle_sets(batch))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), longs(np.concatenate(found)))], ["doc_id", "shingles"]
+        )
+
+
+def verified(docs: DataFrame, pairs: DataFrame, once: bool) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; ``once``: no two rows of ``docs`` share a doc_id."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = joined(docs, ids, ["doc_id"], "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    if not once:  # repeated rows give one set, other texts of one doc_id sets of their own
+        sets = sets.groupBy("doc_id", F.xxhash64("shingles").alias("text")).agg(F.first("shingles").alias("shingles")).drop("text")
+    sets = cut(sets, "sets", texts=True)
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    out = cut(pairs.select("a", "b").join(b, "b").join(a, "a").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+    links = pairs.select("a", "b").join(b, "b").join(a, "a").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    out = cut(links if once else links.distinct(), "links")
     drop(sets)
+    drop(ids)
     return out
 
 
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The entries of long lists that hold sets of more than one component, with their components."""
-    # dealt once by token: the sums and the join that follow use the same exchange
-    long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc")).repartition("token")
-    mixed = long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return cut(long.join(mixed, "token", "left_semi"), "long")
+    long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
+    long = cut(long, "entries")
+    # sums of hot lists begin in the tasks, and the join has exchanges of its own in which they can be split
+    mixed = cut(long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "mixed")
+    out = cut(joined(long, mixed, ["token"], "left_semi"), "long")
+    drop(long)
+    drop(mixed)
+    return out
 
 
 def hub_pairs(long: DataFrame) -> DataFrame:
     """For each set the likeliest hub of another component: of each list the set that stands in most long lists, which in a
     group of edited copies is the one with the fewest edits of its own; of all hubs the one met most often. One pair a set."""
     hubs = cut(long.groupBy("doc").agg(F.count("*").alias("lists")), "hubs")
-    ranked = joined(long, hubs, ["doc"]).select("token", "doc", "n", "component", "lists").repartition("token")
-    leader = ranked.groupBy("token").agg(F.max_by(F.struct("doc", "component", "n"), F.struct("lists", -F.col("doc"))).alias("hub"))
-    met = ranked.join(leader, "token").where("component <> hub.component and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    ranked = joined(long, hubs, ["doc"]).select("token", "doc", "n", "component", "lists")
+    leader = cut(ranked.groupBy("token").agg(F.max_by(F.struct("doc", "component", "n"), F.struct("lists", -F.col("doc"))).alias("hub")), "leaders")
+    met = joined(long, leader, ["token"]).where("component <> hub.component and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
     met = met.groupBy("doc", "n", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("shared")).where("15 * shared >= n")  # less is hardly a link
     best = met.groupBy("doc").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-    return best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+    out = cut(best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "spokes")
+    drop(hubs)
+    drop(leader)
+    return out
 
 
 #: What two linked sets may share beyond the shared part of their prefixes, at most; na and nb are their sizes.
@@ -336,15 +332,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     frequent, level, light = survey(docs)
     if not len(frequent):
         frequent, level = np.zeros(1, _U), np.zeros(1, np.uint8)
-    profiles = cut(docs.mapInArrow(_profiles(frequent, level, light), "doc_id long, n long, d1 long, d2 long, ranked array<long>, subsets array<long>"), "profiles", texts=True)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, level))  # MAX_FREQUENT entries at most
+    profiles = cut(docs.mapInArrow(_profiles(sent, light), "doc_id long, n long, d1 long, d2 long, ranked array<long>, subsets array<long>"), "profiles", texts=True)
+    sent.unpersist()
 
     # equal sets: one class, its least doc_id stands for it
     filled = profiles.where("n > 0 and doc_id is not null")
-    classes = cut(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = classes.where("copies > 1").select("n", "d1", "d2", "rep")
-    twins = cut(filled.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"]).where("doc_id <> rep").distinct(), "twins")
-    twin_edges = twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    folded = joined(filled, twins, ["doc_id", "n", "d1", "d2"], "left_anti")
+    repeated = cut(filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    once = not repeated.head(1)
+    copies = cut(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    twins = joined(filled.select("doc_id", "n", "d1", "d2"), copies, ["n", "d1", "d2"]).where("doc_id <> rep")
+    twins = cut(twins.distinct() if not once else twins, "twins")
+    folded = joined(filled, twins.select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_anti")
 
     # light sets: every subset's list is a star
     subsets = folded.where(F.size("subsets") > 0).select("doc_id", F.explode("subsets").alias("key"))
@@ -353,40 +352,51 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     # heavy sets: inverted lists
     entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.element_at("ranked", -1).alias("last"), F.explode("ranked").alias("token"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    scanned = cut(entries.repartition(parts, "token").sortWithinPartitions("token", "n", "doc").mapInArrow(_scan, "kind int, x long, y long, p long, q long"), "lists")
+    # the level stands in a token's first bits; a hot list goes to about as many tasks as its entries need
+    share = F.expr(f"pmod(xxhash64(doc), shiftleft(1, greatest(cast(shiftrightunsigned(token, 58) as int) - {HOT_LEVEL - 1}, 0)))")
+    dealt = entries.repartition(parts, "token", share).sortWithinPartitions("token", "n", "doc")
+    scanned = cut(dealt.mapInArrow(_scan, "kind int, x long, y long, p long, q long"), "lists")
     pairs = scanned.where("kind <> 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.sum(F.when(F.col("kind") == 0, F.col("p")).otherwise(0)).alias("short"), F.max("q").alias("sizes"))
     pairs = cut(pairs.select("a", "b", "shared", "short", F.shiftright("sizes", 31).alias("na"), F.col("sizes").bitwiseAND(2**31 - 1).alias("nb")), "pairs")
     # first the most promising partner of each set, then whatever may still join two components
     best = pairs.where("6 * shared >= least(na, nb) / 5").groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     best = cut(best, "best")
-    exact = cut(twin_edges.unionAll(light_edges), "exact")
-    links = exact.unionAll(verified(docs, best))
-    found = cut(components(links), "components")
+    links = light_edges.unionAll(verified(docs, best, once))
+    if not once:  # a doc_id with several texts joins their classes; the copies of others only hang on theirs
+        links = links.unionAll(joined(twins, repeated, ["doc_id"], "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = components(links)
 
     def apart(some: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             some = joined(some, found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), [side], "left")
         return some.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).drop("a_part", "b_part")
 
+    def grown(more: DataFrame) -> DataFrame:
+        """The components with further links: those found so far are stars already."""
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+
     lists = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("last"))
     for left_rounds in range(HUB_ROUNDS, -1, -1):
         long = mixed_lists(lists, found)
         lists = long.drop("component")  # components only grow, so lists that were of one stay so
         if not left_rounds:
             break
-        spokes = cut(hub_pairs(long), "spokes")
-        more = verified(docs, spokes)
+        more = verified(docs, hub_pairs(long), once)
         if not more.head(1):
             break
-        links = links.unionAll(more)
-        found = cut(components(links), "components")
+        found = grown(more)
     rest = apart(pairs).where(f"9 * (shared + {BEYOND}) >= 4 * (na + nb)").select("a", "b")
     rest = rest.unionAll(across_lists(long, pairs)).distinct()
     rest = cut(rest.join(best, ["a", "b"], "left_anti"), "rest")
-    links = links.unionAll(verified(docs, rest))
-    found = cut(components(links), "components")
+    found = grown(verified(docs, rest, once))
+    for done in (scanned, pairs, best, rest, long, copies):
+        drop(done)
+    # a copy is in the component of the set that stands for it
+    hung = twins.select("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    named = found.select(F.col("node").alias("doc_id"), "component")
+    named = named.unionAll(hung) if once else named.unionAll(hung.join(named, "doc_id", "left_anti")).distinct()
     out = profiles.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

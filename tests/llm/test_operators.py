@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, fm_index, greedy_tiling, jaccard_join, kneser_ney, language_id, quality_classifier, quality_rules, queries, substring_dedup, token_files, toxicity, url_filter
+from llm import byte_bpe, common, fm_index, greedy_tiling, jaccard_join, kneser_ney, language_id, quality_classifier, quality_rules, queries, substring_dedup, token_files, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tkey string, key_id string, spans int, component_id string, lang_pred string"
@@ -125,8 +125,13 @@ def test_jaccard_of_small_sets(spark, light, monkeypatch):
     assert got == brute_groups(rows)
 
 
-def test_jaccard_of_a_large_group(spark):
-    """Many edited copies of one text, most linked through a few of them only, beside texts that share a passage with it."""
+@pytest.mark.parametrize("sent", [True, False])
+def test_jaccard_of_a_large_group(spark, sent, monkeypatch):
+    """Many edited copies of one text, most linked through a few of them only, beside texts that share a passage with it; with
+    small tables sent, and with all joined by shuffle and lists dealt as hot ones."""
+    if not sent:
+        monkeypatch.setattr(common, "MAX_SENT_BYTES", -1)
+        monkeypatch.setattr(jaccard_join, "HOT_LEVEL", 2)
     rng = np.random.default_rng(11)
     base = [f"w{rng.integers(0, 10**6)}" for _ in range(220)]
     rows = []
@@ -142,6 +147,17 @@ def test_jaccard_of_a_large_group(spark):
     assert got == want and 1 < len({c for i, (_, c) in want.items() if i <= 1000}) < 160
 
 
+@pytest.mark.parametrize("sent", [64_000_000, -1])
+def test_jaccard_of_repeated_ids(spark, sent, monkeypatch):
+    """Rows that share a doc_id are one node: it joins the groups of all its texts, copies of other rows included."""
+    monkeypatch.setattr(common, "MAX_SENT_BYTES", sent)
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = two.replace("b39", "b40")
+    rows = [(5, one), (6, one), (7, one), (7, near), (7, near), (8, two), (9, two), (3, three), (4, three), (4, three), (2, "short"), (9, "short")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 2, 3: 3, 4: 3, 5: 2, 6: 2, 7: 2, 8: 2, 9: 2}
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = [tuple(r) for r in jaccard_join.jaccard_groups(odd).collect()]
     want = brute_groups([(i, t) for i, t, _ in ROWS if i is not None])
