@@ -42,6 +42,12 @@ HOT_LEVEL = 16
 _U = np.uint64
 
 
+def part_of(level: int) -> str:
+    """SQL of the part of a list that an entry belongs to: the level stands in a token's first bits, and a hot list has about as
+    many parts as its entries need."""
+    return f"pmod(xxhash64(doc), shiftleft(1, greatest(cast(shiftrightunsigned(token, 58) as int) - {level - 1}, 0)))"
+
+
 def needed(s: int, t: int) -> int:
     return (4 * (s + t) + 8) // 9
 
@@ -261,8 +267,8 @@ def verified(docs: DataFrame, pairs: DataFrame, once: bool) -> DataFrame:
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The entries of long lists that hold sets of more than one component, with their components."""
     long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
-    long = cut(long, "entries")
-    # sums of hot lists begin in the tasks, and the join has exchanges of its own in which they can be split
+    # dealt as in the scan; sums of hot lists begin in the tasks, and the join has exchanges of its own in which they can be split
+    long = cut(long.repartition("token", F.expr(part_of(HOT_LEVEL))), "entries")
     mixed = cut(long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "mixed")
     out = cut(joined(long, mixed, ["token"], "left_semi"), "long")
     drop(long)
@@ -352,9 +358,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     # heavy sets: inverted lists
     entries = folded.where(F.size("ranked") > 0).select(F.col("doc_id").alias("doc"), "n", F.element_at("ranked", -1).alias("last"), F.explode("ranked").alias("token"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    # the level stands in a token's first bits; a hot list goes to about as many tasks as its entries need
-    share = F.expr(f"pmod(xxhash64(doc), shiftleft(1, greatest(cast(shiftrightunsigned(token, 58) as int) - {HOT_LEVEL - 1}, 0)))")
-    dealt = entries.repartition(parts, "token", share).sortWithinPartitions("token", "n", "doc")
+    dealt = entries.repartition(parts, "token", F.expr(part_of(HOT_LEVEL))).sortWithinPartitions("token", "n", "doc")
     scanned = cut(dealt.mapInArrow(_scan, "kind int, x long, y long, p long, q long"), "lists")
     pairs = scanned.where("kind <> 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.sum(F.when(F.col("kind") == 0, F.col("p")).otherwise(0)).alias("short"), F.max("q").alias("sizes"))
     pairs = cut(pairs.select("a", "b", "shared", "short", F.shiftright("sizes", 31).alias("na"), F.col("sizes").bitwiseAND(2**31 - 1).alias("nb")), "pairs")
@@ -366,14 +370,16 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         links = links.unionAll(joined(twins, repeated, ["doc_id"], "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(links)
 
-    def apart(some: DataFrame) -> DataFrame:
+    def parts_of(some: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             some = joined(some, found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), [side], "left")
-        return some.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).drop("a_part", "b_part")
+        return some.withColumns({f"{side}_part": F.coalesce(f"{side}_part", side) for side in "ab"}).where("a_part <> b_part")
 
     def grown(more: DataFrame) -> DataFrame:
-        """The components with further links: those found so far are stars already."""
-        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+        """The components with further links, found among those that the links join: roots only are linked and move."""
+        roots = components(parts_of(more).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")))
+        moved = joined(found, roots.select(F.col("node").alias("component"), F.col("component").alias("top")), ["component"], "left")
+        return cut(moved.select("node", F.coalesce("top", "component").alias("component")).unionAll(roots), "components")
 
     lists = scanned.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("last"))
     for left_rounds in range(HUB_ROUNDS, -1, -1):
@@ -385,7 +391,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         if not more.head(1):
             break
         found = grown(more)
-    rest = apart(pairs).where(f"9 * (shared + {BEYOND}) >= 4 * (na + nb)").select("a", "b")
+    rest = parts_of(pairs).where(f"9 * (shared + {BEYOND}) >= 4 * (na + nb)").select("a", "b")
     rest = rest.unionAll(across_lists(long, pairs)).distinct()
     rest = cut(rest.join(best, ["a", "b"], "left_anti"), "rest")
     found = grown(verified(docs, rest, once))

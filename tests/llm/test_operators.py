@@ -241,6 +241,31 @@ def test_machine_learns_pairs():
     assert score(100, 200) > 0.5 > max(score(100), score(200))
 
 
+def test_machine_learns_pairs_of_terms_that_tell_nothing_alone():
+    """Toxic where exactly both terms or neither stand: each term is as frequent in toxic texts as in others."""
+    rng = np.random.default_rng(13)
+    lists, labels = [], []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        lists.append(np.unique(np.array([100 + a, 200 + b] + [300 + int(t) for t in rng.integers(0, 5, 3)])))
+        labels.append(int(a == b))
+    m = toxicity.Machine.fit(lists, np.array(labels), 0.5, epochs=80)
+    score = lambda *t: m.scores(np.zeros(len(t), int), np.array(t), 1, m.table())[0]
+    assert min(score(100, 200), score(101, 201)) > 0.7 > 0.3 > max(score(100, 201), score(101, 200))
+
+
+def test_machine_sums_pairs():
+    """The score against the sum over all pairs of distinct known terms."""
+    rng = np.random.default_rng(14)
+    m = toxicity.Machine(-0.3, np.arange(50, 90, 2), rng.normal(size=20).astype(np.float32), rng.normal(0, 0.4, (20, 8)).astype(np.float32))
+    docs = [rng.integers(45, 95, rng.integers(0, 30)) for _ in range(20)]
+    got = m.scores(np.repeat(np.arange(20), [len(x) for x in docs]), np.concatenate(docs), 20, m.table())
+    for g, x in zip(got, docs, strict=True):
+        own = [(t - 50) // 2 for t in sorted(set(x.tolist())) if t in set(m.buckets.tolist())]
+        z = -0.3 + sum(m.weights[t] for t in own) + sum(float(m.factors[a] @ m.factors[b]) for a, b in combinations(own, 2))
+        assert g == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
 def test_toxicity_and_language_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (4, 0), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     machine = toxicity.fit(odd, labels)
@@ -271,6 +296,41 @@ def test_network_gradient():
         assert abs((loss[0] - loss[1]) / 2e-2 - flat[at]) < 0.03 * abs(flat[at]) + 1e-4
 
 
+def test_every_position_is_labelled(spark, odd):
+    """The pooled probabilities against a network that reads one byte after the other: all windows of short and long texts."""
+    rng = np.random.default_rng(12)
+    net = language_id.Network.fresh(["a", "b"], rng)
+    p = net.params
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, d):
+        h, out, n = np.zeros(8), [], 8
+        for c in data:
+            a, r = p["x" + d][c] + p["b" + d], h @ p["u" + d]
+            z, reset = sig(a[:n] + r[:n]), sig(a[n : 2 * n] + r[n : 2 * n])
+            new = np.tanh(a[2 * n :] + reset * r[2 * n :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    for i, text in [(r["doc_id"], r["text"]) for r in odd.collect() if r["text"] and len(r["text"]) < 900 and r["lang"]]:
+        data = list(re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())
+        logs = []
+        for at in range(0, len(data), 64):
+            start = min(at, max(0, len(data) - 64))
+            window = data[start : start + 64]
+            for k, (f, b) in enumerate(zip(states(window, "f"), states(window[::-1], "b")[::-1], strict=True)):
+                if start + k >= at:
+                    x = np.r_[f, b] @ p["o"] + p["c"]
+                    logs.append(x - np.log(np.exp(x).sum()))
+        assert len(logs) == len(data)
+        mean = np.mean(logs, axis=0)
+        want = np.exp(mean - np.log(np.exp(mean).sum()))
+        got = language_id.languages(odd.where(F.col("doc_id") == i), net).first()
+        if got["lang_pred"] != "und":
+            assert got["score"] == pytest.approx(want.max(), abs=1e-5) and got["lang_pred"] == "ab"[want.argmax()]
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op4_language_id(spark, "/root/testdata/sf0.01")
@@ -452,9 +512,29 @@ def test_elias_fano():
         ef = token_files.EliasFano.of(values)
         at = rng.permutation(n)
         assert (ef.select(at) == values[at]).all()
+        assert len(ef.samples) == 4 * -(-n // 64) and not len(ef.select(at[:0]))
         assert 8 * (len(ef.low) + len(ef.high)) <= n * (2 + max(1, np.log2(max(top, 1) / n + 1))) + 256
 
 
+def test_elias_fano_of_ids(spark):
+    """Ids of any size, missing and repeated ones come back from the blocks, which hold no table of 64-bit numbers."""
+    ids = [None, None, -(2**63) + 1, -5, -5, 0, 7, 2**40, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == ids
+    top = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    assert (token_files.EliasFano.of(top).select(np.arange(4)) == top).all()
+
+
+def test_words_of_one_hash(monkeypatch):
+    """Words that share a hash, in one slice and across slices, are told apart by their bytes."""
+    monkeypatch.setattr(token_files, "_BYTE", np.ones(256, np.uint64))  # now the hash of a word is its length
+    path = public_tokenizers.path("word_bpe_49k.json")
+    code = token_files.WordCodec(path)
+    for texts in (["aa bb"], ["cc"], ["dd"], ["ee ff gg", "hh"]):
+        assert code.encode_all(texts) == [code.whole(t) for t in texts]
+
+
 # ---------------------------------------------------------------- 8 and 9
 
 
