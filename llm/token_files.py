@@ -6,12 +6,14 @@ failed task's output is not committed. Blocks are in order of (part, block), and
     part, block  int     range partition of doc_id, and number within it
     docs, ids    long    documents and ids in the block
     width        int     bytes of an id: 2 if all ids are under 65,536, else 4
-    doc_ids      binary  int64, one for each document; missing: the least int64
     data         binary  little-endian ids, one document after the other, each with the end id
-    low_bits     int     bits of each low part
-    low          binary  low parts of the documents' ends, packed, least bit first
-    high         binary  high parts of the ends in unary: bit (end >> low_bits) + number of the document is set
-    samples      binary  int64 place in ``high`` of every 64th one, for select
+    missing      long    documents without a doc_id; they come first
+    base         long    the least doc_id
+    ends, names  struct  Elias-Fano sequences: where each document ends in ``data``, and doc_id less ``base`` of each with one
+
+A sequence is (n long, low_bits int, low binary, high binary, samples binary): the low parts, packed, least bit first; the
+high parts in unary, so that bit (value >> low_bits) + place is set; and for select the place in ``high`` of every 64th one,
+as an unsigned 32-bit integer. Nothing in a block is a table of 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -32,33 +34,37 @@ from llm.common import TEXT_ROWS, batch_rows, cut, id_name, joined, powers, shar
 BLOCK_IDS = 1_000_000
 REMEMBERED = 500_000
 SAMPLE = 64
-MISSING = -(2**63)
-FORMAT = "part int, block int, docs long, ids long, width int, doc_ids binary, data binary, low_bits int, low binary, high binary, samples binary"
+SEQUENCE = "struct<n: long, low_bits: int, low: binary, high: binary, samples: binary>"
+FORMAT = f"part int, block int, docs long, ids long, width int, data binary, missing long, base long, ends {SEQUENCE}, names {SEQUENCE}"
 
 
 class EliasFano:
-    """A sequence that does not decrease, in about 2 + log2(largest / length) bits for each number."""
+    """A sequence of unsigned numbers that does not decrease, in about 2 + log2(largest / length) bits for each."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        n = len(values)
+        n, values = len(values), values.astype(np.uint64)
         top = int(values[-1]) if n else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = (values[:, None] >> np.arange(bits)) & 1
-        places = (values >> bits) + np.arange(n)
+        low = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
+        places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(places[-1]) + 64) // 64 * 64 if n else 0, np.uint8)
         high[places] = 1
         pack = lambda x: np.packbits(x.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        return cls(n, bits, pack(low), pack(high), places[::SAMPLE].astype("<i8").tobytes())
+        return cls(n, bits, pack(low), pack(high), places[::SAMPLE].astype("<u4").tobytes())
+
+    def fields(self) -> dict:
+        return {"n": self.n, "low_bits": self.low_bits, "low": self.low, "high": self.high, "samples": self.samples}
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places ``i``: from the nearest sample on, words of ``high`` are counted until the one is reached."""
+        if not len(i):
+            return np.zeros(0, np.uint64)
         words = np.frombuffer(self.high, "<u8")
-        samples = np.frombuffer(self.samples, "<i8")
-        at = samples[i // SAMPLE]
+        at = np.frombuffer(self.samples, "<u4")[i // SAMPLE].astype(np.int64)
         word, left = at >> 6, i % SAMPLE + 1
         here = words[word] & (np.uint64(2**64 - 1) << (at & 63).astype(np.uint64))
         while True:
@@ -71,9 +77,17 @@ class EliasFano:
             here = np.where(on, words[word], here)
         ones = np.cumsum(np.unpackbits(here.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=1)
         place = word * 64 + np.argmax(ones == left[:, None], axis=1)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, -1)
-        low = (bits[i].astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return (place - i << self.low_bits) | low
+        # only the low parts asked for are read
+        bit = i[:, None].astype(np.int64) * self.low_bits + np.arange(self.low_bits)
+        bits = np.frombuffer(self.low, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return (place - i).astype(np.uint64) << np.uint64(self.low_bits) | low
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all runs of ``size`` bytes at ``at`` in ``a`` equal those at ``bt`` in ``b``."""
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool((a[np.repeat(at, size) + step] == b[np.repeat(bt, size) + step]).all())
 
 
 class WordCodec(dict):
@@ -109,8 +123,10 @@ class WordCodec(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def forget(self) -> None:
-        """The words known by hash: sorted hashes, and for each where its ids lie and how many they are."""
+        """The words known by hash: sorted hashes, and for each where its ids lie and how many they are, and the same of its
+        bytes, which tell apart words of one hash."""
         self.known, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.byte_at, self.bytes = np.zeros((0, 2), np.int64), np.zeros(0, np.uint8)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode words not met before in one call: each ends with an id that ends a word."""
@@ -125,6 +141,10 @@ class WordCodec(dict):
         self.at = np.concatenate([self.at, begin + len(self.flat)])[order]
         self.size = np.concatenate([self.size, ends - begin])[order]
         self.flat, self.known = np.concatenate([self.flat, ids]), known[order]
+        raw = [w.encode("latin-1") for w in words]
+        long = np.array([len(w) for w in raw], np.int64)
+        self.byte_at = np.concatenate([self.byte_at, np.c_[np.cumsum(long) - long + len(self.bytes), long]])[order]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where hashes stand among the known ones, and which do."""
@@ -164,7 +184,12 @@ class WordCodec(dict):
             np.cumsum(_BYTE[data] * powers(_R, len(data)), out=total[1:])
             hashes = (total[end] - total[start]) * powers(_R_INV, len(data) + 1)[start]
             distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+            size = end - start
             at, hit = self.places(distinct)
+            met, stored = one[hit], self.byte_at[at[hit]]
+            alike = (size == size[one][back]).all() and _same(data, start, data, start[one][back], size)
+            if not (alike and (size[met] == stored[:, 1]).all() and _same(data, start[met], self.bytes, stored[:, 0], size[met])):
+                return [self.encode(text) for text in texts]  # two words of one hash
             if not hit.all():
                 if len(self.known) + np.count_nonzero(~hit) > REMEMBERED:
                     self.forget()
@@ -182,6 +207,10 @@ class WordCodec(dict):
         return [b"" if x is None else x for x in out]
 
 
+_RUN = pa.struct([("n", pa.int64()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
+BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("width", pa.int32()), ("data", pa.binary()), ("missing", pa.int64()), ("base", pa.int64()), ("ends", _RUN), ("names", _RUN)])
+
+
 @lru_cache(maxsize=2)
 def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
@@ -200,14 +229,16 @@ def _blocks(path: str, end_id: int):
             data = np.frombuffer(b"".join(texts), "<u4")
             width = 2 if data.max() < 65536 else 4
             ef = EliasFano.of(ends)
-            row = [part, number, len(texts), len(data), width, np.array(ids, "<i8").tobytes(), data.astype(f"<u{width}").tobytes(), ef.low_bits, ef.low, ef.high, ef.samples]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in FORMAT.split(", ")])
+            named = np.array([i for i in ids if i is not None], np.int64)
+            base = int(named[0]) if len(named) else 0
+            names = EliasFano.of(named.view(np.uint64) - np.array([base], np.int64).view(np.uint64))
+            row = {"part": part, "block": number, "docs": len(texts), "ids": len(data), "width": width, "data": data.astype(f"<u{width}").tobytes(), "missing": len(ids) - len(named), "base": base, "ends": ef.fields(), "names": names.fields()}
+            return pa.RecordBatch.from_pylist([row], schema=BLOCK)
 
         for batch in slices(batches):
             encoded = code.encode_all([t or "" for t in batch.column("text").to_pylist()])
             for doc, text in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                ids.append(MISSING if doc is None else doc)
+                ids.append(doc)
                 texts.append(text + end)
                 held += len(texts[-1]) // 4
                 if held >= BLOCK_IDS:
@@ -236,12 +267,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
-            ends = EliasFano(x["docs"], x["low_bits"], x["low"], x["high"], x["samples"]).select(np.arange(x["docs"]))
+            ends = EliasFano(**x["ends"]).select(np.arange(x["docs"])).astype(np.int64)
             starts = np.r_[0, ends[:-1]]
             data = np.frombuffer(x["data"], f"<u{x['width']}").astype("<u4").tobytes()
             sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            ids = np.frombuffer(x["doc_ids"], "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == MISSING), pa.array(starts + x["start"]), pa.array(ends - starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            names = EliasFano(**x["names"]).select(np.arange(x["docs"] - x["missing"])) + np.array([x["base"]], np.int64).view(np.uint64)
+            ids = np.r_[np.zeros(x["missing"], np.int64), names.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=np.arange(x["docs"]) < x["missing"]), pa.array(starts + x["start"]), pa.array(ends - starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark, folder: str) -> DataFrame:

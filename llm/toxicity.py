@@ -2,8 +2,9 @@
 
 Terms are the distinct words of a text and their first 4, 5 and 6 bytes, hashed to a fixed number of buckets. The machine
 adds, for each pair of terms present, the inner product of their factors to the linear weights, so an insult beside the
-mention of a group weighs more than both alone. It is fitted in numpy, in one task, on a bounded sample of the
-labelled documents; scoring reads every document once, where it lies.
+mention of a group weighs more than both alone, also where neither tells anything by itself: every bucket that stands in
+``LEAST_DOCUMENTS`` sampled documents gets a weight and factors, whatever their labels. It is fitted in numpy, in one task, on
+a bounded sample of the labelled documents; scoring reads every document once, where it lies.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 #: Labelled documents of either label to learn from at most; taken by the hash of doc_id.
 MAX_PER_LABEL = 6_000
-#: Terms that get weights: the most telling ones of the sample.
-MAX_TERMS = 4096
+#: Terms of fewer sampled documents have no weights: they would only tell these documents apart.
+LEAST_DOCUMENTS = 3
 FACTORS = 8
+EPOCHS, BATCH = 12, 128
+#: Pull of weights and factors towards zero.
+PULL = 1e-4
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -62,46 +66,51 @@ class Machine:
         self.bias, self.buckets, self.weights, self.factors = bias, buckets, weights, factors
 
     @classmethod
-    def fit(cls, lists: list[np.ndarray], labels: np.ndarray, positives: float, epochs: int = 30, seed: int = 7) -> Machine:
-        """Logistic loss by AdaGrad over mini-batches. ``positives``: share of label 1 outside the sample."""
+    def fit(cls, lists: list[np.ndarray], labels: np.ndarray, positives: float, epochs: int = EPOCHS, seed: int = 7) -> Machine:
+        """Logistic loss by AdaGrad over mini-batches of the distinct terms of each document; only the terms of a batch are read
+        and changed. ``positives``: share of label 1 outside the sample."""
         n, y = len(lists), labels.astype(np.float32)
         doc = np.repeat(np.arange(n), [len(x) for x in lists])
-        term = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-        ones, zeros = max(1.0, float(y.sum())), max(1.0, float(n - y.sum()))
-        p = np.bincount(term, y[doc], BUCKETS) if len(term) else np.zeros(BUCKETS)
-        q = np.bincount(term, 1 - y[doc], BUCKETS) if len(term) else np.zeros(BUCKETS)
-        share = (p + q) / n if n else p
-        telling = np.abs(p / ones - q / zeros) / np.sqrt(np.maximum(share * (1 - share) * (1 / ones + 1 / zeros), 1e-12))
-        telling[(p + q) < 4] = 0
-        buckets = np.sort(np.argsort(-telling, kind="stable")[:MAX_TERMS])
-        buckets = buckets[telling[buckets] > 3.5]
+        buckets, term, count = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True, return_counts=True)
+        wide = count >= LEAST_DOCUMENTS
+        doc, term, buckets = doc[wide[term]], (np.cumsum(wide) - 1)[term[wide[term]]].astype(np.int32), buckets[wide]
         m = len(buckets)
         if not m or y.sum() in (0, n):
             return cls(float(np.log((positives + 1e-6) / (1 - positives + 1e-6))), buckets[:0], np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-        at = np.minimum(np.searchsorted(buckets, term), m - 1)
-        hit = buckets[at] == term
-        doc, at = doc[hit], at[hit]
+        ones, zeros = float(y.sum()), float(n - y.sum())
         places = np.searchsorted(doc, np.arange(n + 1))
         rng = np.random.default_rng(seed)
-        bias, w, v = np.float32(np.log(ones / zeros)), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, FACTORS)).astype(np.float32)
-        gb, gw, gv = np.float32(1e-3), np.full(m, 1e-3, np.float32), np.full((m, FACTORS), 1e-3, np.float32)
-        for epoch in range(epochs):
-            order = rng.permutation(n)
-            for i in range(0, n, 128):
-                rows = order[i : i + 128]
-                x = np.zeros((len(rows), m), np.float32)
-                for r, d in enumerate(rows):
-                    x[r, at[places[d] : places[d + 1]]] = 1
-                s = x @ v
-                z = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
-                g = (1 / (1 + np.exp(-z)) - y[rows]) / len(rows)
-                db, dw = g.sum(), x.T @ g + 1e-4 * w
-                dv = x.T @ (g[:, None] * s) - (x.T @ g)[:, None] * v + 1e-4 * v
-                gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-                bias, w, v = bias - 0.1 * db / np.sqrt(gb), w - 0.1 * dw / np.sqrt(gw), v - 0.05 * dv / np.sqrt(gv)
+        bias, w, v = float(np.log(ones / zeros)), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, FACTORS)).astype(np.float32)
+        gb, gw, gv = 1e-3, np.full(m, 1e-3, np.float32), np.full((m, FACTORS), 1e-3, np.float32)
+        order = rng.permutation(np.flatnonzero(np.diff(places)))
+        batches = []
+        for i in range(0, len(order), BATCH):
+            rows = order[i : i + BATCH]
+            size = places[rows + 1] - places[rows]
+            own = np.concatenate([term[places[d] : places[d + 1]] for d in rows])
+            used, back = np.unique(own, return_inverse=True)
+            by_term = np.argsort(back, kind="stable")
+            # rows, terms in use, each entry's term, where rows begin; and by term: each entry's row, where terms begin
+            batches.append((rows, used, back, np.cumsum(size) - size, np.repeat(np.arange(len(rows)), size)[by_term], np.searchsorted(back[by_term], np.arange(len(used)))))
+        for _ in range(epochs):
+            for k in rng.permutation(len(batches)):
+                rows, used, back, begin, row, first = batches[k]
+                wu, vu = w[used], v[used]
+                s = np.add.reduceat(vu[back], begin)
+                z = bias + np.add.reduceat(wu[back], begin) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vu * vu).sum(1)[back], begin))
+                g = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]) / len(rows)).astype(np.float32)
+                of_term = np.add.reduceat(g[row], first)
+                dw = of_term + PULL * wu
+                dv = np.add.reduceat((g[:, None] * s)[row], first) - of_term[:, None] * vu + PULL * vu
+                gb += float(g.sum()) ** 2
+                gw[used] += dw * dw
+                gv[used] += dv * dv
+                bias -= 0.1 * float(g.sum()) / gb**0.5
+                w[used] -= 0.1 * dw / np.sqrt(gw[used])
+                v[used] -= 0.05 * dv / np.sqrt(gv[used])
         # the sample holds the labels in other shares than the documents
         bias += np.log(max(positives, 1e-6) / max(1 - positives, 1e-6)) - np.log(ones / zeros)
-        return cls(float(bias), buckets, w.astype(np.float32), v.astype(np.float32))
+        return cls(float(bias), buckets, w, v)
 
     def table(self) -> np.ndarray:
         where = np.full(BUCKETS, -1, np.int32)
@@ -121,7 +130,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def packed(self) -> dict:
-        return {"bias": self.bias, "buckets": self.buckets.tolist(), "weights": self.weights.tolist(), "factors": self.factors.ravel().tolist()}
+        return {"bias": self.bias, "buckets": self.buckets.astype("<i8").tobytes(), "weights": self.weights.astype("<f4").tobytes(), "factors": self.factors.astype("<f4").tobytes()}
 
 
 def _fitted(positives: float):
@@ -133,14 +142,19 @@ def _fitted(positives: float):
             lists += [flat[a - places[0] : b - places[0]] for a, b in zip(places[:-1], places[1:], strict=True)]
             labels.append(batch.column("toxic").to_numpy())
         m = Machine.fit(lists, np.concatenate(labels) if labels else np.zeros(0), positives)
-        kinds = {"bias": pa.float64(), "buckets": pa.list_(pa.int64()), "weights": pa.list_(pa.float32()), "factors": pa.list_(pa.float32())}
+        kinds = {"bias": pa.float64(), "buckets": pa.binary(), "weights": pa.binary(), "factors": pa.binary()}
         yield pa.RecordBatch.from_pylist([m.packed()], schema=pa.schema(list(kinds.items())))
 
     return fitted
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> Machine:
-    """Learn from ``labels(doc_id, toxic)``; of more than ``max_per_label`` documents with a label about so many, by hash."""
+    """Learn from ``labels(doc_id, toxic)``; of more than ``max_per_label`` documents with a label about so many, by hash.
+
+    Labels without a doc_id or a value are left out; of contrary labels of one doc_id the toxic one counts. Rows that share
+    a doc_id all have its label. Null and empty texts have no terms and teach nothing. Without both labels the machine
+    gives every text the share of toxic labels. Other columns are not read.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = cut(known, "labels")
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -150,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     lists = joined(rows, sample, ["doc_id"]).select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>")
     positives = count.get(1, 0) / max(1, sum(count.values()))
     lists = cut(lists, "terms", texts=True)
-    model = lists.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("terms")).mapInArrow(_fitted(positives), "bias double, buckets array<long>, weights array<float>, factors array<float>").first()
+    model = lists.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("terms")).mapInArrow(_fitted(positives), "bias double, buckets binary, weights binary, factors binary").first()
     if model is None:  # nothing to learn from
         return Machine.fit([], np.zeros(0), positives)
-    return Machine(model["bias"], np.array(model["buckets"], np.int64), np.array(model["weights"], np.float32), np.array(model["factors"], np.float32).reshape(-1, FACTORS))
+    read = lambda name, kind: np.frombuffer(model[name], kind)
+    return Machine(model["bias"], read("buckets", "<i8"), read("weights", "<f4"), read("factors", "<f4").reshape(-1, FACTORS))
 
 
 def _scored(sent):
@@ -168,8 +183,8 @@ def _scored(sent):
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score of every row: null and empty texts get the score of no terms. Repeated rows are each returned, a null
-    doc_id is returned as null, and other columns are not read."""
+    """doc_id, score of every row: null and empty texts get the score of no terms. Very long texts are read whole; a term counts
+    once in a text. Repeated rows are each returned, a null doc_id is returned as null, and other columns are not read."""
     text_session(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # MAX_TERMS * (FACTORS + 1) numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # (FACTORS + 1) * BUCKETS floats at most
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_scored(sent), "doc_id long, score double")
