@@ -2,9 +2,10 @@
 
 Terms are the distinct words of a text and their first 4, 5 and 6 bytes, hashed to a fixed number of buckets. The machine
 adds, for each pair of terms present, the inner product of their factors to the linear weights, so an insult beside the
-mention of a group weighs more than both alone, also where neither tells anything by itself: every bucket that stands in
-``LEAST_DOCUMENTS`` sampled documents gets a weight and factors, whatever their labels. It is fitted in numpy, in one task, on
-a bounded sample of the labelled documents; scoring reads every document once, where it lies.
+mention of a group weighs more than both alone, also where neither tells anything by itself: every bucket that stands in some
+sampled documents gets a weight and factors, whatever their labels. The terms to which these fits gave the largest weights and
+factors are fitted once more, without the others, which mostly tell single documents apart. Both fits are made in numpy, in one
+task, on a bounded sample of the labelled documents; scoring reads every document once, where it lies.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 #: Labelled documents of either label to learn from at most; taken by the hash of doc_id.
 MAX_PER_LABEL = 6_000
-#: Terms of fewer sampled documents have no weights: they would only tell these documents apart.
-LEAST_DOCUMENTS = 3
+#: Terms of fewer sampled documents, or of a lesser share of them, have no weights: they would only tell these documents apart.
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.003
+#: Terms that are fitted again: those with the largest weight and factors of the first fit, linear or in pairs.
+MAX_TERMS = 2048
 FACTORS = 8
-EPOCHS, BATCH = 12, 128
+FIRST_EPOCHS, EPOCHS, BATCH = 4, 15, 128
 #: Pull of weights and factors towards zero.
 PULL = 1e-4
 THRESHOLD = 0.3
@@ -72,7 +75,7 @@ class Machine:
         n, y = len(lists), labels.astype(np.float32)
         doc = np.repeat(np.arange(n), [len(x) for x in lists])
         buckets, term, count = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True, return_counts=True)
-        wide = count >= LEAST_DOCUMENTS
+        wide = count >= max(LEAST_DOCUMENTS, LEAST_SHARE * n)
         doc, term, buckets = doc[wide[term]], (np.cumsum(wide) - 1)[term[wide[term]]].astype(np.int32), buckets[wide]
         m = len(buckets)
         if not m or y.sum() in (0, n):
@@ -112,6 +115,17 @@ class Machine:
         bias += np.log(max(positives, 1e-6) / max(1 - positives, 1e-6)) - np.log(ones / zeros)
         return cls(float(bias), buckets, w, v)
 
+    @classmethod
+    def fit_strongest(cls, lists: list[np.ndarray], labels: np.ndarray, positives: float, epochs: int = EPOCHS) -> Machine:
+        """Fit all terms, then the strongest alone."""
+        every = cls.fit(lists, labels, positives, FIRST_EPOCHS)
+        if len(every.buckets) <= MAX_TERMS:
+            return cls.fit(lists, labels, positives, epochs)
+        strength = np.abs(every.weights) + np.linalg.norm(every.factors, axis=1)
+        kept = np.zeros(BUCKETS, bool)
+        kept[every.buckets[np.argsort(-strength, kind="stable")[:MAX_TERMS]]] = True
+        return cls.fit([x[kept[x]] for x in lists], labels, positives, epochs)
+
     def table(self) -> np.ndarray:
         where = np.full(BUCKETS, -1, np.int32)
         where[self.buckets] = np.arange(len(self.buckets))
@@ -141,7 +155,7 @@ def _fitted(positives: float):
             flat, places = terms.flatten().to_numpy(), np.asarray(terms.offsets)
             lists += [flat[a - places[0] : b - places[0]] for a, b in zip(places[:-1], places[1:], strict=True)]
             labels.append(batch.column("toxic").to_numpy())
-        m = Machine.fit(lists, np.concatenate(labels) if labels else np.zeros(0), positives)
+        m = Machine.fit_strongest(lists, np.concatenate(labels) if labels else np.zeros(0), positives)
         kinds = {"bias": pa.float64(), "buckets": pa.binary(), "weights": pa.binary(), "factors": pa.binary()}
         yield pa.RecordBatch.from_pylist([m.packed()], schema=pa.schema(list(kinds.items())))
 
@@ -186,5 +200,5 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, score of every row: null and empty texts get the score of no terms. Very long texts are read whole; a term counts
     once in a text. Repeated rows are each returned, a null doc_id is returned as null, and other columns are not read."""
     text_session(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # (FACTORS + 1) * BUCKETS floats at most
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # (FACTORS + 1) * MAX_TERMS floats
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_scored(sent), "doc_id long, score double")

@@ -241,15 +241,17 @@ def test_machine_learns_pairs():
     assert score(100, 200) > 0.5 > max(score(100), score(200))
 
 
-def test_machine_learns_pairs_of_terms_that_tell_nothing_alone():
+def test_machine_learns_pairs_of_terms_that_tell_nothing_alone(monkeypatch):
     """Toxic where exactly both terms or neither stand: each term is as frequent in toxic texts as in others."""
     rng = np.random.default_rng(13)
     lists, labels = [], []
     for i in range(1600):
         a, b = i % 2, i // 2 % 2
-        lists.append(np.unique(np.array([100 + a, 200 + b] + [300 + int(t) for t in rng.integers(0, 5, 3)])))
+        lists.append(np.unique(np.array([100 + a, 200 + b] + [300 + int(t) for t in rng.integers(0, 30, 3)])))
         labels.append(int(a == b))
-    m = toxicity.Machine.fit(lists, np.array(labels), 0.5, epochs=80)
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 6)
+    monkeypatch.setattr(toxicity, "FIRST_EPOCHS", 40)
+    m = toxicity.Machine.fit_strongest(lists, np.array(labels), 0.5, epochs=80)
     score = lambda *t: m.scores(np.zeros(len(t), int), np.array(t), 1, m.table())[0]
     assert min(score(100, 200), score(101, 201)) > 0.7 > 0.3 > max(score(100, 201), score(101, 200))
 
