@@ -249,7 +249,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(docs: DataFrame, pairs: DataFrame, once: bool) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity; ``once``: no two rows of ``docs`` share a doc_id."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "ids")
     sets = joined(docs, ids, ["doc_id"], "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
     if not once:  # repeated rows give one set, other texts of one doc_id sets of their own
         sets = sets.groupBy("doc_id", F.xxhash64("shingles").alias("text")).agg(F.first("shingles").alias("shingles")).drop("text")
@@ -267,11 +267,9 @@ def verified(docs: DataFrame, pairs: DataFrame, once: bool) -> DataFrame:
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The entries of long lists that hold sets of more than one component, with their components."""
     long = joined(lists, found.withColumnRenamed("node", "doc"), ["doc"], "left").withColumn("component", F.coalesce("component", "doc"))
-    # dealt as in the scan; sums of hot lists begin in the tasks, and the join has exchanges of its own in which they can be split
-    long = cut(long.repartition("token", F.expr(part_of(HOT_LEVEL))), "entries")
+    # sums of hot lists begin in the tasks, and the join has exchanges of its own in which they can be split
     mixed = cut(long.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "mixed")
     out = cut(joined(long, mixed, ["token"], "left_semi"), "long")
-    drop(long)
     drop(mixed)
     return out
 
@@ -283,9 +281,10 @@ def hub_pairs(long: DataFrame) -> DataFrame:
     ranked = joined(long, hubs, ["doc"]).select("token", "doc", "n", "component", "lists")
     leader = cut(ranked.groupBy("token").agg(F.max_by(F.struct("doc", "component", "n"), F.struct("lists", -F.col("doc"))).alias("hub")), "leaders")
     met = joined(long, leader, ["token"]).where("component <> hub.component and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
-    met = met.groupBy("doc", "n", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("shared")).where("15 * shared >= n")  # less is hardly a link
+    # dealt once by doc, whose entries are no more than its shingles, for both sums
+    met = met.select("doc", "n", F.col("hub.doc").alias("hub")).repartition("doc").groupBy("doc", "n", "hub").agg(F.count("*").alias("shared")).where("15 * shared >= n")  # less is hardly a link
     best = met.groupBy("doc").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-    out = cut(best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "spokes")
+    out = cut(best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")), "spokes")
     drop(hubs)
     drop(leader)
     return out
