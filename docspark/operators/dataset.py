@@ -70,3 +70,13 @@ def newest(files: DataFrame, keep: int) -> DataFrame:
     """Files beyond the ``keep`` newest of each folder, to be pruned."""
     w = Window.partitionBy("folder").orderBy(F.desc("mtime"), "name")
     return files.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no") > keep).drop("row_no")
+
+
+def label_counts(labels: DataFrame) -> DataFrame:
+    """Labels and stems of each zone."""
+    return labels.groupBy("zone").agg(F.count("*").alias("n"), F.count_distinct("stem").alias("stems"))
+
+
+def run_summary(facts: DataFrame) -> DataFrame:
+    """Sums of each benchmark run over ``facts(run, n_rows, ok, seconds)``, one row a file."""
+    return facts.groupBy("run").agg(F.count("*").alias("files"), F.sum("n_rows").alias("n_rows"), F.count_if(F.col("n_rows") > 0).alias("with_rows"), F.count_if("ok").alias("ok"), F.sum("seconds").alias("seconds"))

@@ -33,6 +33,20 @@ def in_budget(messages: DataFrame, budget: int, reserve: int = 100) -> DataFrame
     return messages.withColumn("used", used).where(F.lit(budget) - F.col("used") >= reserve)
 
 
+def kept_messages(messages: DataFrame, budget: int, reserve: int = 100, few: int = 4) -> DataFrame:
+    """What goes to the model, with ``anchor``: all of a conversation that fits or has ``few`` messages; else its last document and
+    the answer right after it whatever they take, and of the others the newest that leave the reserve of what is left.
+    Summaries go; ``extracted`` is the text of an upload."""
+    own, back = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    tokens = s.token_estimate(F.col("text"))
+    has = (F.col("role") == "user") & (F.coalesce(F.col("extracted"), F.lit("")) != "")
+    m = messages.where("role <> 'summary'").withColumns({"last": F.max(F.when(has, F.col("turn"))).over(own), "prior": F.lag("turn").over(own.orderBy("turn")), "total": F.sum(tokens).over(own), "n": F.count("*").over(own)})
+    m = m.withColumn("anchor", F.coalesce((F.col("turn") == F.col("last")) | ((F.col("prior") == F.col("last")) & (F.col("role") == "assistant")), F.lit(False)))
+    m = m.withColumns({"held": F.sum(F.when(F.col("anchor"), tokens).otherwise(0)).over(own), "used": F.sum(F.when(F.col("anchor"), 0).otherwise(tokens)).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    fits = (F.col("total") <= budget) | (F.col("n") <= few)
+    return m.where(F.col("anchor") | fits | (F.lit(budget) - F.col("held") - F.col("used") >= reserve)).drop("last", "prior", "total", "n", "held", "used")
+
+
 def to_summarise(messages: DataFrame, context: int, keep: int = 4, least: int = 6) -> DataFrame:
     """Conversations at 65 % of the context and six messages: all messages but the last four."""
     own = Window.partitionBy("conv_id")

@@ -1,8 +1,9 @@
 """References against registries: a blocked fuzzy join, ranked matches, status.
 
-Candidates meet on keys, never by comparing every reference with every row: the digits of a code, the digits with one
-masked (one misread digit), the body without a year, and the whole code. Amendments name the code they amend, so a row also
-offers the keys of the code-like runs in its text.
+Candidates meet on keys, never by comparing every reference with every row: the digits of a code, and its body with one digit
+masked (one misread digit) beside its year, as other years are never compatible. Amendments name the code they amend, so a row also
+offers the keys of the code-like runs in its text. What meets is first reduced to pairs of a reference and a row; texts are
+joined to these.
 """
 
 from __future__ import annotations
@@ -16,22 +17,23 @@ from docspark.functions import scalar as s
 
 def _keys(run: Column) -> Column:
     body, year = g.split_year(run)
-    masks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.concat(F.lit("m"), F.overlay(body, F.lit("*"), i, F.lit(1))))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("d"), run), F.concat(F.lit("b"), body)), masks))
+    masks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.concat(F.overlay(body, F.lit("*"), i, F.lit(1)), F.lit("|"), year))
+    return F.array_distinct(F.concat(F.array(run), masks))
 
 
 def candidates(refs: DataFrame, registry: DataFrame) -> DataFrame:
-    """(kind, ref, target, run, row_ord, code, name, code_n, name_n, row_run) of pairs that share a key.
+    """(kind, ref, target, run, row_ord, code, name, code_n, name_n, row_run, name_run) of pairs that share a key.
 
-    ``refs(kind, ref)`` with at least four digits; ``registry(row_ord, code, name)``.
+    ``refs(kind, ref)`` with at least four digits; ``registry(row_ord, code, name)``, rows by distinct row_ord.
     """
     asked = refs.select("kind", "ref").distinct().select("*", g.norm_code(g.search_query(F.col("kind"), F.col("ref"))).alias("target"), g.digits(g.query_number(F.col("kind"), F.col("ref"))).alias("run")).where(F.length("run") >= 4)
     rows = registry.select("row_ord", "code", "name", g.norm_code(F.col("code")).alias("code_n"), g.norm_code(F.col("name")).alias("name_n"))
     rows = rows.withColumns({"row_run": g.digits(F.col("code_n")), "name_run": g.digits(F.col("name_n"))})
     inner = F.transform(F.regexp_extract_all(F.concat_ws(" ", "code_n", "name_n"), F.lit(r"(\d[\d.\-]{3,})"), F.lit(1)), g.digits)
-    offered = rows.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.concat(F.array("row_run", "name_run"), inner)), _keys)))))
-    met = asked.withColumn("key", F.explode(_keys(F.col("run")))).join(offered, "key").drop("key")
-    return met.distinct()
+    runs = F.filter(F.array_distinct(F.concat(F.array("row_run", "name_run"), inner)), lambda r: r != "")
+    offered = rows.select("row_ord", F.explode(F.array_distinct(F.flatten(F.transform(runs, _keys)))).alias("key"))
+    met = asked.select("kind", "ref", F.explode(_keys(F.col("run"))).alias("key")).join(offered, "key").select("kind", "ref", "row_ord").distinct()
+    return met.join(asked, ["kind", "ref"]).join(rows, "row_ord")
 
 
 def match_a(refs: DataFrame, registry: DataFrame, threshold: int = 35) -> DataFrame:

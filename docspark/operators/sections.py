@@ -99,3 +99,23 @@ def new_notes(notes: DataFrame, rows: DataFrame, least: int = 20) -> DataFrame:
     words = rows.select("doc_id", F.lower("name").alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(\p{L}{4,})"), F.lit(1)))).alias("word"))
     held = asked.join(words, ["doc_id", "word"]).where(F.contains("row", F.lower("note"))).select("doc_id", "note").distinct()
     return notes.join(held, ["doc_id", "note"], "left_anti")
+
+
+def beyond_spec(notes: DataFrame, rows: DataFrame, gram: int = 12, head: int = 140) -> DataFrame:
+    """Legend notes ``(doc_id, note)`` that say no more than a specification row ``(doc_id, name)`` of the document go: texts folded
+    to words and cut to ``head`` characters are equal, for notes of ten characters or more, or one holds the other, for notes
+    of twenty or more.
+
+    Texts meet on grams: whatever holds another has its first ``gram`` characters somewhere; shorter texts meet on all of them.
+    """
+    fold = lambda c: F.left(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "), F.lit(head))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
+    keys = lambda c: F.array_union(grams(c, gram), F.when(F.length(c) >= 20, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n))))).otherwise(F.array().cast("array<string>")))
+    asked = notes.select("doc_id", "note", fold(F.col("note")).alias("a")).distinct().where(F.length("a") >= 10)
+    offered = rows.select("doc_id", fold(F.col("name")).alias("b")).distinct().where("b <> ''")
+    first = lambda c: F.left(c, F.lit(gram))
+    holds = asked.withColumn("key", first(F.col("a"))).join(offered.withColumn("key", F.explode(grams(F.col("b"), gram))), ["doc_id", "key"])
+    held = asked.withColumn("key", F.explode(keys(F.col("a")))).join(offered.withColumn("key", first(F.col("b"))), ["doc_id", "key"])
+    same = (F.col("a") == F.col("b")) | ((F.length("a") >= 20) & (F.contains("a", "b") | F.contains("b", "a")))
+    gone = holds.unionByName(held).where(same).select("doc_id", "note").distinct()
+    return notes.join(gone, ["doc_id", "note"], "left_anti")

@@ -211,7 +211,7 @@ def ocr_digit_variants(spark, sf):
     return df.select("num", F.explode(g.digit_variants(F.col("num"), 50)).alias("variant"))
 
 
-_MATCH = f"""WITH q AS (SELECT DISTINCT kind, ref FROM <REFS> WHERE ord % 3 = 0 AND ord < 600), r AS (SELECT * FROM <REGISTRY>),
+_MATCH = f"""WITH q AS (SELECT DISTINCT kind, ref FROM <REFS>), r AS (SELECT * FROM <REGISTRY>),
     d AS (SELECT *, lower(replace(ref, ' ', '')) AS target, regexp_replace(ref, '\\D', '', 'g') AS run FROM q),
     c AS (SELECT *, lower(replace(code, ' ', '')) AS code_n, regexp_replace(code, '\\D', '', 'g') AS row_run FROM r),
     b AS (SELECT *, CASE WHEN length(run) >= 6 AND CAST(right(run, 4) AS INT) BETWEEN 1900 AND 2039 THEN 4 ELSE 2 END AS n FROM d),
@@ -223,37 +223,22 @@ _MATCH = f"""WITH q AS (SELECT DISTINCT kind, ref FROM <REFS> WHERE ord % 3 = 0
 
 @query(_MATCH.format(exact=120, inside=105, same="", near=95, least=35))
 def registry_match_a(spark, sf):
-    out = registry.match_a(i.frame(spark, sf, i.REFS).where("ord % 3 = 0 and ord < 600"), i.frame(spark, sf, i.REGISTRY))
+    out = registry.match_a(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY))
     return out.select("kind", "ref", "row_ord", "code", "score")
 
 
 @query(_MATCH.format(exact=100, inside=80, same="WHEN run = row_run AND contains(code_n, lower(kind)) THEN 100 WHEN contains(target, code_n) THEN 80 WHEN contains(row_run, run) THEN 60", near=0, least=20))
 def registry_match_b(spark, sf):
-    out = registry.match_b(i.frame(spark, sf, i.REFS).where("ord % 3 = 0 and ord < 600"), i.frame(spark, sf, i.REGISTRY))
+    out = registry.match_b(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY))
     return out.select("kind", "ref", "row_ord", "code", "score")
 
 
-# The _whole queries ask all rows. SQL would compare every reference with every row, so tests do that on a small table.
-
-
-@query()
-def registry_match_a_whole(spark, sf):
-    return registry.match_a(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY)).select("kind", "ref", "row_ord", "code", "score")
-
-
-@query()
-def registry_match_b_whole(spark, sf):
-    return registry.match_b(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY)).select("kind", "ref", "row_ord", "code", "score")
-
-
-@query("SELECT a.ord, a.code AS a, b.code AS b, true AS same FROM (SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS code FROM part WHERE p_partkey < 850) a JOIN (SELECT p_partkey AS ord, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS code FROM part) b ON a.ord = b.ord WHERE right(a.code, 2) = right(b.code, 2) AND hamming(left(a.code, 4), left(b.code, 4)) <= 1")
+@query(
+    """WITH c AS (SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS a, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS b FROM part),
+    y AS (SELECT *, CASE WHEN CAST(right(a, 4) AS INT) BETWEEN 1900 AND 2039 THEN 4 ELSE 2 END AS n, CASE WHEN CAST(right(b, 4) AS INT) BETWEEN 1900 AND 2039 THEN 4 ELSE 2 END AS m FROM c)
+    SELECT ord, a, b, true AS same FROM y WHERE a = b OR (right(a, n) = right(b, m) AND CASE WHEN length(a) - n = length(b) - m THEN hamming(left(a, length(a) - n), left(b, length(b) - m)) <= 1 ELSE false END)"""
+)
 def digits_compatible(spark, sf):
-    df = i.frame(spark, sf, "SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS a, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS b FROM {part} WHERE p_partkey < 850")
-    return df.withColumn("same", g.digits_compatible(F.col("a"), F.col("b"))).where("same").select("ord", "a", "b", "same")
-
-
-@query()
-def digits_compatible_whole(spark, sf):
     df = i.frame(spark, sf, "SELECT p_partkey AS ord, CAST(300000 + p_partkey AS STRING) AS a, CAST(301000 + p_partkey - p_partkey % 50 AS STRING) AS b FROM {part}")
     return df.withColumn("same", g.digits_compatible(F.col("a"), F.col("b"))).where("same").select("ord", "a", "b", "same")
 
@@ -294,14 +279,14 @@ def registry_designation(spark, sf):
 
 
 @query(
-    """WITH q AS (SELECT DISTINCT kind, ref FROM <REFS> WHERE kind = 'ГОСТ' AND ord % 3 = 0), r AS (SELECT * FROM <REGISTRY> WHERE row_ord % 3 > 0),
+    """WITH q AS (SELECT DISTINCT kind, ref FROM <REFS> WHERE kind = 'ГОСТ'), r AS (SELECT * FROM <REGISTRY> WHERE row_ord % 3 > 0),
     p AS (SELECT kind, ref, regexp_replace(ref, '^\\S+ ', '') AS num FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.code = q.ref)), x AS (SELECT *, unnest(range(1, length(num) + 1)) AS i FROM p),
     s(k, a, b) AS (VALUES (1,'2','9'), (2,'9','2'), (3,'6','8'), (4,'8','6'), (5,'0','6'), (6,'5','6'), (7,'1','7'), (8,'3','8')),
     v AS (SELECT kind, ref, left(num, i - 1) || b || substr(num, i + 1) AS num, i * 10 + k AS step FROM x JOIN s ON substr(num, i, 1) = a)
     SELECT kind, ref, num, row_ord, code FROM (SELECT v.*, r.row_ord, r.code, row_number() OVER (PARTITION BY kind, ref ORDER BY step, row_ord) AS n FROM v JOIN r ON r.code = kind || ' ' || num) WHERE n = 1"""
 )
 def registry_retry(spark, sf):
-    refs, reg = i.frame(spark, sf, i.REFS).where("kind = 'ГОСТ' and ord % 3 = 0"), i.frame(spark, sf, i.REGISTRY).where("row_ord % 3 > 0")
+    refs, reg = i.frame(spark, sf, i.REFS).where("kind = 'ГОСТ'"), i.frame(spark, sf, i.REGISTRY).where("row_ord % 3 > 0")
     exact = refs.select("kind", "ref").distinct().join(reg.select(F.col("code").alias("ref")), "ref", "left_semi")
     return registry.retry_missing(refs, exact, reg, 100)
 
@@ -418,20 +403,12 @@ def numbered_notes(spark, sf):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN length(t) < 3 THEN -100 WHEN n < 3 THEN -50 ELSE round(v * 40.0 / n + least(n, 80) * 0.15 - CASE WHEN v * 1.0 / n < 0.18 OR v * 1.0 / n > 0.62 THEN 18 ELSE 0 END - (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) * 4.0 - (length(t) - length(regexp_replace(t, '[|©\\[\\]_`]', '', 'g'))) * 6.0 - CASE WHEN regexp_matches(t, '(?i)[bcdfghjklmnpqrstvwxz]{5,}') THEN 12 ELSE 0 END - CASE WHEN rep THEN 8 ELSE 0 END, 6) END AS score
-    FROM (SELECT doc_id, t, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n, length(t) - length(regexp_replace(t, '(?i)[aeiouy]', '', 'g')) AS v, len(list_filter(range(1, length(t) - 2), lambda x: lower(t[x]) = lower(t[x + 1]) AND lower(t[x]) = lower(t[x + 2]) AND lower(t[x]) = lower(t[x + 3]))) > 0 AS rep FROM (SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 300) AS t FROM documents))"""
+    """WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents), c AS (SELECT *, string_split(lower(t), '') AS cs FROM d),
+    p AS (SELECT *, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n, length(t) - length(regexp_replace(t, '(?i)[aeiouy]', '', 'g')) AS v, len(list_filter(range(1, len(cs) - 2), lambda x: cs[x] = cs[x + 1] AND cs[x] = cs[x + 2] AND cs[x] = cs[x + 3])) > 0 AS rep FROM c)
+    SELECT doc_id, CASE WHEN length(t) < 3 THEN -100 WHEN n < 3 THEN -50 ELSE round(v * 40.0 / n + least(n, 80) * 0.15 - CASE WHEN v * 1.0 / n < 0.18 OR v * 1.0 / n > 0.62 THEN 18 ELSE 0 END - (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) * 4.0 - (length(t) - length(regexp_replace(t, '[|©\\[\\]_`]', '', 'g'))) * 6.0
+      - CASE WHEN regexp_matches(t, '(?i)[bcdfghjklmnpqrstvwxz]{5,}') THEN 12 ELSE 0 END - CASE WHEN rep THEN 8 ELSE 0 END, 6) END AS score FROM p"""
 )
 def text_quality(spark, sf):
-    t = F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(300))
-    df = table(spark, sf, "documents").select("doc_id", t.alias("t"))
-    return df.select("doc_id", F.round(s.readability(F.col("t"), "A-Za-z", "aeiouy", "0-9", "bcdfghjklmnpqrstvwxz"), 6).alias("score"))
-
-
-# The _whole queries of texts read all of each; tests compare them with loops.
-
-
-@query()
-def text_quality_whole(spark, sf):
     score = s.readability(F.col("text"), "A-Za-z", "aeiouy", "0-9", "bcdfghjklmnpqrstvwxz")
     return table(spark, sf, "documents").select("doc_id", F.round(score, 6).alias("score"))
 
@@ -442,14 +419,11 @@ def table_quality(spark, sf):
     return df.select("doc_id", F.round(s.table_quality(F.col("t")), 6).alias("quality"))
 
 
-@query("SELECT doc_id, regexp_matches(t, '[a-m][éèêçñóíáúäöüß]|[éèêçñóíáúäöüß][a-m]') AS mixed FROM (SELECT doc_id, left(text, 500) AS t FROM documents)")
+@query(
+    """SELECT doc_id, regexp_matches(t, '[a-m]') AND regexp_matches(t, '[éèêçñóíáúäöüß]') AND (regexp_matches(t, '[a-m]\\S*[éèêçñóíáúäöüß]|[éèêçñóíáúäöüß]\\S*[a-m]') OR (n >= 2 AND n * 1.0 / greatest(length(t), 1) > 0.06)) AS mixed
+    FROM (SELECT doc_id, t, length(t) - length(regexp_replace(t, '[a-m]', '', 'g')) AS n FROM (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents))"""
+)
 def mixed_script(spark, sf):
-    one = F.left("text", F.lit(500))
-    return table(spark, sf, "documents").select("doc_id", one.rlike("[a-m][éèêçñóíáúäöüß]|[éèêçñóíáúäöüß][a-m]").alias("mixed"))
-
-
-@query()
-def mixed_script_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", s.mixed_script(F.col("text"), "a-m", "éèêçñóíáúäöüß").alias("mixed"))
 
 
@@ -883,3 +857,6 @@ def page_refs(spark, sf):
 def checked_refs(spark, sf):
     cards = i.frame(spark, sf, "SELECT CAST(p_partkey AS BIGINT) AS row_ord, '01.01.' || CAST(1980 + p_size % 20 AS STRING) AS intro, '' AS cancel FROM {part}")
     return pipelines.checked(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY), cards, F.lit(TODAY).cast("date"))
+
+
+from docspark.plans import sheet_queries  # noqa: E402,F401  registers its queries here

@@ -74,17 +74,13 @@ def test_entry(spark):
     assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "bench.py"))
 
 
-@pytest.mark.parametrize("name", ["registry_match_a", "registry_match_b"])
+@pytest.mark.parametrize("name", ["registry_match_a", "registry_match_b", "registry_retry"])
 def test_whole_registry_against_nested_loops(spark, tmp_path, name):
-    """Every reference is asked: the SQL of the query on some references, without its filters, over 1,500 parts."""
+    """Every reference is asked, over 1,500 parts of random years."""
     pd.DataFrame({"p_partkey": range(1, 1501), "p_size": np.random.default_rng(3).integers(1, 51, 1500), "p_name": "name"}).to_parquet(tmp_path / "part.parquet")
-    sql = q.ORACLE_SQL[name].replace(" WHERE ord % 3 = 0 AND ord < 600", "")
-    assert sql != q.ORACLE_SQL[name]
     con = duckdb.connect()
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
-    got = q.QUERIES[f"{name}_whole"](spark, str(tmp_path)).toPandas()
-    assert len(got) > len(q.QUERIES[name](spark, str(tmp_path)).toPandas())
-    assert rows(got) == rows(con.sql(sql).df())
+    assert rows(q.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(q.ORACLE_SQL[name]).df())
 
 
 def test_whole_digits_compatible(spark, tmp_path):
@@ -96,7 +92,7 @@ def test_whole_digits_compatible(spark, tmp_path):
         (x, y), (u, v) = cut(a), cut(b)
         if a == b or (y == v and len(x) == len(u) and sum(c != d for c, d in zip(x, u, strict=True)) <= 1):
             want.append((k, a, b, True))
-    got = [tuple(r) for r in q.QUERIES["digits_compatible_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in q.QUERIES["digits_compatible"](spark, str(tmp_path)).collect()]
     assert max(k for k, *_ in want) > 850 and sorted(got) == want
 
 
@@ -124,7 +120,36 @@ def test_whole_texts_against_loops(spark, tmp_path):
         n = len(re.findall(one, t))
         return any(re.search(one, x) and re.search(other, x) for x in t.split()) or (n >= 2 and n / len(t) > 0.06)
 
-    got = {name: {r[0]: r[1] for r in q.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("text_quality", "text_quality_whole", "mixed_script", "mixed_script_whole")}
-    assert got["text_quality_whole"] == pytest.approx({i: score(t) for i, t in enumerate(texts)})
-    assert got["mixed_script_whole"] == {i: mixed(t) for i, t in enumerate(texts)}
-    assert got["text_quality_whole"][1] < got["text_quality"][1] and got["mixed_script_whole"][3] and not got["mixed_script"][3]
+    got = {name: {r[0]: r[1] for r in q.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("text_quality", "mixed_script")}
+    assert got["text_quality"] == pytest.approx({i: score(t) for i, t in enumerate(texts)})
+    assert got["mixed_script"] == {i: mixed(t) for i, t in enumerate(texts)}
+
+
+def test_folds_against_loops(spark, sf):
+    """Notes and sections that absorb like ones in order, one by one."""
+    from docspark.operators import blocks
+    from docspark.plans import inputs as i
+    from docspark.plans import sheet_queries as sq
+
+    notes = i.frame(spark, sf, sq._NOTES).toPandas().sort_values(["doc_id", "ord"])
+    want = []
+    for doc, own in notes.groupby("doc_id"):
+        kept: list[list] = []
+        for r in own.itertuples():
+            key = re.sub(r"\W+", " ", r.note.lower()).strip()
+            for k in kept:
+                a, b = set(k[1].split()), set(key.split())
+                if k[1] == key or (min(len(k[1]), len(key)) >= 10 and (k[1] in key or key in k[1])) or len(a & b) >= min(3, len(a), len(b)):
+                    if r.quality > k[2]:
+                        k[:] = [r.note, key, r.quality]
+                    break
+            else:
+                kept.append([r.note, key, r.quality])
+        want += [(doc, n, k[0]) for n, k in enumerate(kept)]
+    assert sorted(tuple(r) for r in blocks.merged_notes(i.frame(spark, sf, sq._NOTES)).collect()) == sorted(want) and len(want) < len(notes)
+
+    parts = [(1, 1, "legend", "", "", ["a", "b"]), (1, 2, "legend", "2", "Т", ["b", "c"]), (1, 3, "legend", "", "", ["x"]), (1, 4, "plan", "2", "У", ["q"]), (1, 5, "legend", "", "", ["a", "b", "c", "d"]), (2, 1, "plan", "", "", [])]
+    got = blocks.merged_sections(spark.createDataFrame(parts, "doc_id long, ord long, kind string, table_number string, title string, keys array<string>"))
+    assert sorted((r["doc_id"], r["first"], list(r["members"]), list(r["keys"]), r["title"], r["table_number"]) for r in got.collect()) == [
+        (1, 1, [1, 2, 4, 5], ["a", "b", "c", "d", "q"], "Т", "2"), (1, 3, [3], ["x"], "", ""), (2, 1, [1], [], "", ""),
+    ]
