@@ -41,6 +41,7 @@ class Codec(dict):
         self.bounds = regex.compile(pattern).finditer
         self.bytes_of = {str(rank): token for token, rank in ranks.items()}
         self.plain = regex.compile(r"[\x00-ɏ]*").fullmatch
+        self.settled = regex.compile(r"[\x21-\x7e]|[¡-ɏ]").fullmatch
 
     def __missing__(self, token: str) -> str:
         if len(self) >= REMEMBERED:
@@ -102,6 +103,8 @@ def _boundaries(path: str, pattern: str, overlap: int):
                 found = [m.start() for m in code.bounds(text)]
                 if not last:
                     found = found[:-2]  # the end of the chunk may have cut these short
+                if not code.plain(text):  # only spaces between characters of known classes are boundaries for the library, too
+                    found = [i for i in found if text[i] == " " and 0 < i < len(text) - 1 and code.settled(text[i - 1]) and code.settled(text[i + 1])]
                 heads.append([begin + i for i in found if i <= 2 * overlap])
                 tails.append([begin + i for i in found if i >= len(text) - 2 * overlap])
             kind = pa.list_(pa.int64())

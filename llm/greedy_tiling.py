@@ -154,19 +154,36 @@ def _contaminated(sent, coverage: float):
     return contaminated
 
 
-def _seeds(kind: str):
-    """Every seed of each text, for the join by shuffle; an item's seeds have one length, a document's all lengths asked for."""
+#: Bits of the table that tells which seeds no item has, as words of 64.
+CELLS = 1 << 24
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every seed of each item; all seeds of an item have one length."""
+    for batch in slices(batches):
+        tokens, first = tokens_of(batch.column("text"))
+        for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            k = min(LEAST, b - a)
+            if k:
+                seeds, row = runs(tokens[a:b], k), pa.array(np.full(b - a - k + 1, d))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), k, np.int32)), longs(seeds), *(batch.column(c).take(row) for c in ("id", "tkey"))], ["k", "seed", "id", "tkey"])
+
+
+def _text_seeds(sent, lengths: list[int]):
+    """The seeds of each text, of the lengths that items have, that the table of the items' seeds does not rule out."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: np.ndarray = sent.value
         for batch in slices(batches):
             tokens, first = tokens_of(batch.column("text"))
-            sizes = np.diff(first)
-            for k in range(1, LEAST + 1):
-                wanted = sizes >= k if kind == "docs" else (np.minimum(sizes, LEAST) == k)
-                doc = np.repeat(np.arange(len(sizes)), np.where(wanted, sizes - k + 1, 0))
-                at = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(np.where(wanted, sizes - k + 1, 0))[:-1]], np.where(wanted, sizes - k + 1, 0)) + first[doc]
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), k, np.int32)), longs(runs(tokens, k)[at]), *(batch.column(c).take(pa.array(doc)) for c in ("id", "tkey"))], ["k", "seed", "id", "tkey"])
+            for k in lengths:
+                found = runs(tokens, k)
+                at = np.flatnonzero(cells[(found >> _U(46)).astype(np.int64)] >> (found >> _U(40) & _U(63)) & _U(1))
+                doc = np.searchsorted(first, at, "right") - 1
+                at, doc = (x[at + k <= first[doc + 1]] for x in (at, doc)) if len(at) else (at, doc)
+                if len(at):
+                    row = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), longs(found[at]), *(batch.column(c).take(row) for c in ("id", "tkey"))], ["k", "seed", "id", "tkey"])
 
     return seeds
 
@@ -198,7 +215,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
     Texts and items without tokens, null ones included, meet nothing. Repeated rows of documents are each reported; a null
     doc_id is reported as null, items with a null item_id are left out. Other columns are not read. With a larger benchmark
-    than ``max_sent_tokens`` the seeds are joined by shuffle, with equal results.
+    than ``max_sent_tokens`` the seeds are joined by shuffle, with equal results: only the texts' seeds that a table of ``CELLS``
+    bits does not rule out. Very long texts are read whole; of equal matches the first in the item, then in the text, is taken.
     """
     spark = docs.sparkSession
     text_session(spark)
@@ -210,9 +228,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
         sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
         return texts.mapInArrow(_contaminated(sent, coverage), RESULT)
     kind = "k int, seed long, id long, tkey long"
-    of_items = items.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("tkey"), "text").mapInArrow(_seeds("items"), kind)
-    of_docs = texts.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "tkey", "text").mapInArrow(_seeds("docs"), kind)
-    meet = of_docs.distinct().join(of_items.distinct().select("k", "seed", F.col("id").alias("item_id"), F.col("tkey").alias("ikey")), ["k", "seed"])
+    of_items = cut(items.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("tkey"), "text").mapInArrow(_item_seeds, kind), "seeds", texts=True)
+    lengths = sorted(r["k"] for r in of_items.select("k").distinct().collect())  # LEAST rows at most
+    words = of_items.groupBy(F.shiftrightunsigned("seed", 46).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(seed, 40) & 63 as int)))").alias("bits"))
+    cells = np.zeros(CELLS // 64, np.int64)
+    for r in words.toLocalIterator():  # CELLS / 64 rows at most
+        cells[r["word"]] = r["bits"]
+    sent = spark.sparkContext.broadcast(cells.view(_U))
+    of_docs = texts.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "tkey", "text").mapInArrow(_text_seeds(sent, lengths), kind)
+    meet = of_docs.join(of_items.distinct().select("k", "seed", F.col("id").alias("item_id"), F.col("tkey").alias("ikey")), ["k", "seed"])
     meet = cut(meet.select(F.col("id").alias("key"), "tkey", "item_id", "ikey").distinct(), "meet")
     pairs = texts.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).join(meet, ["key", "tkey"])
     pairs = pairs.join(items.select("item_id", F.xxhash64("text").alias("ikey"), F.col("text").alias("item")).distinct(), ["item_id", "ikey"])
