@@ -32,13 +32,23 @@ def usable_labels(labels: DataFrame, least: int = 3, share: float = 0.35, letter
     return labels.where((F.length(F.trim("text")) >= least) & (n / F.greatest(F.length("text"), F.lit(1)) >= share))
 
 
-def train_split(items: DataFrame, key: str, ratio: float, order=None) -> DataFrame:
-    """``part`` valid for max(1, share) items in hash order and train for others; a rank by range-sorted order, not one task."""
-    order = F.xxhash64(F.col(key), F.lit(42)) if order is None else order
-    n = items.count()
-    least = max(1, int(n * ratio))
-    cut = items.select(order.alias("o")).sort("o").limit(least).agg(F.max("o")).first()[0]
-    return items.withColumn("part", F.when(order <= F.lit(cut), "valid").otherwise("train"))
+def train_split(items: DataFrame, key: str, ratio: float, order=None, ranges: int = 4096) -> DataFrame:
+    """``part`` valid for max(1, share) items in hash order, ties at the boundary included, and train for others.
+
+    The order's values are counted in ``ranges`` equal ranges, and only the range that holds the boundary is sorted.
+    """
+    order = (F.xxhash64(F.col(key), F.lit(42)) if order is None else order).cast("long")
+    n, low, high = items.agg(F.count("*"), F.min(order), F.max(order)).first()
+    if not n:
+        return items.withColumn("part", F.lit("train"))
+    left, width = max(1, int(n * ratio)), (high - low) // ranges + 1
+    span = F.floor((order.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+    for r in items.groupBy(span.alias("span")).count().sort("span").collect():
+        if left <= r["count"]:
+            break
+        left -= r["count"]
+    boundary = items.where(span == r["span"]).select(order.alias("o")).sort("o").limit(left).agg(F.max("o")).first()[0]
+    return items.withColumn("part", F.when(order <= F.lit(boundary), "valid").otherwise("train"))
 
 
 def prefer_zone(labels: DataFrame, better: str = "stamp_frame", worse: str = "stamp_block") -> DataFrame:

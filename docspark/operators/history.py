@@ -63,20 +63,30 @@ def last_document_only(messages: DataFrame) -> DataFrame:
     return messages.withColumn("last", last).withColumn("content", F.when(has & (F.col("turn") == F.col("last")), full).when(has, short).otherwise(F.col("text"))).drop("last")
 
 
-def pack(sizes: Column, budget: int) -> Column:
-    """Chunk number of each of a list of sizes, filled greedily: a chunk ends before the item that would overflow it."""
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
+def chunk_starts(sizes: Column, budget: int) -> Column:
+    """Places, from 1 on, of the items that begin a chunk when sizes are filled in greedily: a chunk ends before the item that
+    would overflow it."""
+    start = F.struct(F.lit(0).alias("place"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, size: Column) -> Column:
-        new = (state["size"] + size > budget) & (F.size(state["out"]) > 0)
-        chunk = state["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), (F.when(new, F.lit(0)).otherwise(state["size"]) + size).cast("long").alias("size"), F.concat(state["out"], F.array(chunk)).alias("out"))
+        new = (state["place"] == 0) | (state["size"] + size > budget)
+        place = state["place"] + 1
+        return F.struct(place.alias("place"), (F.when(new, F.lit(0)).otherwise(state["size"]) + size).cast("long").alias("size"), F.when(new, F.concat(state["starts"], F.array(place))).otherwise(state["starts"]).alias("starts"))
+
+    return F.aggregate(sizes, start, step, lambda state: state["starts"])
 
-    return F.aggregate(sizes, start, step, lambda state: state["out"])
+
+def pack(sizes: Column, budget: int) -> Column:
+    """Chunk number, from 0 on, of each of a short list of sizes."""
+    starts = chunk_starts(sizes, budget)
+    return F.transform(sizes, lambda _, i: F.size(F.filter(starts, lambda at: at <= i + 1)) - 1)
 
 
 def page_chunks(pages: DataFrame, budget: int) -> DataFrame:
     """doc_id, page_no, chunk of ``pages(doc_id, page_no, text)``."""
     lists = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.length("text").cast("long").alias("size")))).alias("p"))
-    packed = lists.withColumn("c", pack(F.transform("p", lambda x: x["size"]), budget))
-    return packed.select("doc_id", F.explode(F.arrays_zip("p", "c")).alias("x")).select("doc_id", "x.p.page_no", F.col("x.c").alias("chunk"))
+    starts = lists.withColumn("starts", chunk_starts(F.transform("p", lambda x: x["size"]), budget))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("p") + 1))
+    runs = F.zip_with("starts", ends, lambda a, b: F.slice("p", a, b - a))
+    chunked = starts.select("doc_id", F.posexplode(runs).alias("chunk", "run"))
+    return chunked.select("doc_id", "chunk", F.explode("run").alias("x")).select("doc_id", "x.page_no", "chunk")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import scalar as s
@@ -24,23 +24,34 @@ def tile_grid(pages: DataFrame, overlap: float = 0.12, least: float = 40.0) -> D
     return grid.withColumns(box).where((F.col("x1") - F.col("x0") > least) & (F.col("y1") - F.col("y0") > least)).select("doc_id", "page_no", "row", "col", *BOX)
 
 
+def _gridded(boxes: DataFrame, cell: float, p: str = "") -> DataFrame:
+    """A row for each cell of a grid that a box touches."""
+    span = lambda a, b: F.sequence(F.floor(F.col(f"{p}{a}") / cell), F.floor(F.col(f"{p}{b}") / cell))
+    return boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+
+
+def _corner(cell: float, p: str, q: str) -> Column:
+    """The cell of the corner that two boxes which meet have in common: one of the cells where they meet."""
+    return (F.col("cx") == F.floor(F.greatest(f"{p}x0", f"{q}x0") / cell)) & (F.col("cy") == F.floor(F.greatest(f"{p}y0", f"{q}y0") / cell))
+
+
 def words_in(words: DataFrame, hits: DataFrame, cell: float = 100.0) -> DataFrame:
     """Words whose box meets a hit rectangle of the page. Both are dealt to the cells of a grid that they touch, so the
     join is on equal keys; a pair that meets in several cells is counted in the cell of its common corner."""
-    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    grid = lambda df, p: df.withColumn("cx", F.explode(span(F.col(f"{p}x0"), F.col(f"{p}x1")))).withColumn("cy", F.explode(span(F.col(f"{p}y0"), F.col(f"{p}y1"))))
-    left = grid(words, "")
-    right = grid(hits.select("doc_id", "page_no", "hit_id", *(F.col(c).alias(f"h{c}") for c in BOX)), "h")
-    corner = (F.col("cx") == F.floor(F.greatest("x0", "hx0") / cell)) & (F.col("cy") == F.floor(F.greatest("y0", "hy0") / cell))
-    return left.join(right, ["doc_id", "page_no", "cx", "cy"]).where(corner & (F.col("x0") < F.col("hx1")) & (F.col("hx0") < F.col("x1")) & (F.col("y0") < F.col("hy1")) & (F.col("hy0") < F.col("y1"))).drop("cx", "cy", *(f"h{c}" for c in BOX))
-
-
-def word_duplicates(words: DataFrame, ratio: float = 0.62) -> DataFrame:
-    """Pairs of words of equal text on a page whose overlap exceeds ``ratio`` of the smaller box; the later one is the copy."""
-    a = words.select("doc_id", "page_no", "text", F.col("ord").alias("kept"), *(F.col(c).alias(f"a{c}") for c in BOX))
-    b = words.select("doc_id", "page_no", "text", F.col("ord").alias("copy"), *(F.col(c).alias(f"b{c}") for c in BOX))
+    left = _gridded(words, cell)
+    right = _gridded(hits.select("doc_id", "page_no", "hit_id", *(F.col(c).alias(f"h{c}") for c in BOX)), cell, "h")
+    meet = (F.col("x0") < F.col("hx1")) & (F.col("hx0") < F.col("x1")) & (F.col("y0") < F.col("hy1")) & (F.col("hy0") < F.col("y1"))
+    return left.join(right, ["doc_id", "page_no", "cx", "cy"]).where(_corner(cell, "", "h") & meet).drop("cx", "cy", *(f"h{c}" for c in BOX))
+
+
+def word_duplicates(words: DataFrame, ratio: float = 0.62, cell: float = 50.0) -> DataFrame:
+    """Pairs of words of equal text on a page whose overlap exceeds ``ratio`` of the smaller box; the later one is the copy.
+    Equal words meet in a cell of a grid that both touch, so a word that fills a page is not paired with all its likes."""
+    a = _gridded(words.select("doc_id", "page_no", "text", F.col("ord").alias("kept"), *(F.col(c).alias(f"a{c}") for c in BOX)), cell, "a")
+    b = _gridded(words.select("doc_id", "page_no", "text", F.col("ord").alias("copy"), *(F.col(c).alias(f"b{c}") for c in BOX)), cell, "b")
     over = s.overlap_ratio(tuple(F.col(f"a{c}") for c in BOX), tuple(F.col(f"b{c}") for c in BOX))
-    return a.join(b, ["doc_id", "page_no", "text"]).where((F.col("kept") < F.col("copy")) & (over > ratio)).select("doc_id", "page_no", "kept", "copy")
+    met = a.join(b, ["doc_id", "page_no", "text", "cx", "cy"]).where((F.col("kept") < F.col("copy")) & _corner(cell, "a", "b") & (over > ratio))
+    return met.select("doc_id", "page_no", "kept", "copy")
 
 
 def same_line(words: DataFrame, reach: int = 13) -> DataFrame:

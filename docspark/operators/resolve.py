@@ -44,19 +44,21 @@ def number_conflicts(votes: DataFrame) -> DataFrame:
     """Pairs of one document and kind, of compatible years, whose bodies are one substitution or one to two further digits
     apart, with the reading that loses: fewer votes, then the shorter body; equal ones both stay (loser null).
 
-    Candidates meet on masked bodies and on prefixes, so no document's readings are paired with each other at large.
+    Bodies of one length meet on the body with one digit masked, which two of them share at most once; others on the whole
+    shorter body, which only longer ones offer as a prefix. So no document's readings are paired with each other at large.
     """
     keyed = votes.select("doc_id", "kind", "ref", "votes", g.body_of(F.col("ref")).alias("body"), g.year_of(F.col("ref")).alias("year")).where("body <> ''")
+    side = lambda df, name: df.select("doc_id", "kind", "key", *(F.col(c).alias(f"{c}_{name}") for c in ("ref", "votes", "body", "year")))
     masks = F.transform(F.sequence(F.lit(1), F.length("body")), lambda i: F.overlay(F.col("body"), F.lit("*"), i, F.lit(1)))
-    cuts = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("^"), F.left(F.col("body"), F.length("body") - i)))
-    met = keyed.withColumn("mask", F.explode(F.concat(masks, cuts)))
-    a = met.select("doc_id", "kind", "mask", *(F.col(c).alias(f"{c}_a") for c in ("ref", "votes", "body", "year")))
-    b = met.select("doc_id", "kind", "mask", *(F.col(c).alias(f"{c}_b") for c in ("ref", "votes", "body", "year")))
-    pairs = a.join(b, ["doc_id", "kind", "mask"]).where("ref_a < ref_b and body_a <> body_b and (year_a = '' or year_b = '' or year_a = year_b)").drop("mask").distinct()
+    masked = keyed.where("kind <> 'ОСТ'").withColumn("key", F.explode(masks))
+    years = "body_a <> body_b and (year_a = '' or year_b = '' or year_a = year_b)"
+    changed = side(masked, "a").join(side(masked, "b"), ["doc_id", "kind", "key"]).where(f"ref_a < ref_b and {years}")
+    cut = keyed.withColumn("key", F.explode(F.array(F.left("body", F.length("body") - 1), F.left("body", F.length("body") - 2)))).where("key <> ''")
+    longer = side(keyed.withColumn("key", F.col("body")), "a").join(side(cut, "b"), ["doc_id", "kind", "key"]).where(years)
+    swap = F.col("ref_a") > F.col("ref_b")
+    longer = longer.select("doc_id", "kind", *(F.when(swap, F.col(f"{c}_{q}")).otherwise(F.col(f"{c}_{p}")).alias(f"{c}_{p}") for p, q in ("ab", "ba") for c in ("ref", "votes", "body", "year")))
+    pairs = changed.drop("key").unionByName(longer)
     gap = F.length("body_a") - F.length("body_b")
-    prefix = (gap.between(1, 2) & F.startswith("body_a", "body_b")) | ((-gap).between(1, 2) & F.startswith("body_b", "body_a"))
-    changed = F.aggregate(F.zip_with(F.split("body_a", ""), F.split("body_b", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.where(prefix | ((gap == 0) & (changed == 1) & (F.col("kind") != "ОСТ")))
     loser = (
         F.when(F.col("votes_a") > F.col("votes_b"), F.col("ref_b")).when(F.col("votes_b") > F.col("votes_a"), F.col("ref_a"))
         .when(gap > 0, F.col("ref_b")).when(gap < 0, F.col("ref_a"))
