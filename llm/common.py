@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a task; bounds the memory of the numpy steps.
-SLICE_BYTES = 750_000
+SLICE_BYTES = 400_000
 _U = np.uint64
 #: Small tables that take up to this many bytes in memory are sent to all tasks, larger ones are joined by shuffle.
 MAX_SENT_BYTES = 64_000_000

@@ -72,9 +72,9 @@ def _counted(order: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] |
             for lang in set(langs[kept]):
                 mask = np.repeat((langs == lang) & kept, np.diff(places))
                 held.setdefault(lang, []).append(np.unique(grams[mask], return_counts=True))
-                if sum(len(k) for k, _ in held[lang]) > 1_000_000:
+                if sum(len(k) for k, _ in held[lang]) > 600_000:
                     held[lang] = [merged(lang)]
-                    if len(held[lang][0][0]) > 500_000:
+                    if len(held[lang][0][0]) > 300_000:
                         yield rows(lang)
                         del held[lang]
         for lang in held:

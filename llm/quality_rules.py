@@ -142,6 +142,7 @@ def judged(docs: DataFrame) -> DataFrame:
     half = F.pmod("tkey", F.lit(HALVES))
     named = lambda part: F.concat_ws("/", "lang", part.cast("string"))
     tagged = tagged.withColumn("tkey", F.xxhash64("text")).withColumn("model", named(HALVES - 1 - half))
+    sent = None
     entries = smoothed(gram_counts(tagged.select("text", named(half).alias("lang")), ORDER, _passes), ORDER)
     if fits(entries):
         sent = spark.sparkContext.broadcast(packed_models(entries))
@@ -152,6 +153,8 @@ def judged(docs: DataFrame) -> DataFrame:
         counted = tagged.mapInArrow(_base, f"doc_id long, tkey long, lang string, {BASE}, n_bytes long").withColumn("key", F.coalesce("doc_id", F.lit(MISSING))).withColumn("model", named(HALVES - 1 - half))
         rows = counted.join(level, ["key", "tkey", "model"], "left").select("doc_id", "tkey", "lang", *COUNTS, "n_bytes", "level")
     rows = cut(rows, "scored", texts=True)
+    if sent is not None:
+        sent.unpersist()
     verdict = rows.join(F.broadcast(bands(rows.where(~_failed()), TAIL)), "lang", "left").withColumn("base_failed", _failed())
     room = SHORT / F.sqrt(F.nullif(F.col("n_bytes"), F.lit(0)))
     inside = F.coalesce(F.col("level").between(F.col("low") - room, F.col("high") + room), F.lit(True))
