@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import lines as ln
-from docspark.operators import blocks, dataset, history, sections
+from docspark.operators import blocks, dataset, history, parsers, sections
 from docspark.plans import inputs as i
+from docspark.plans import queries
 from docspark.plans.queries import query, table
 
 #: Lines of a sheet in eight shapes, by k % 8.
@@ -56,10 +57,10 @@ def requirements(spark, sf):
     return blocks.requirements(lines(spark, sf))
 
 
-@query(f"SELECT doc_id, line_no, k % 8 = 3 AS loose, k % 8 IN (1, 2) AS header, CASE WHEN k % 8 = 3 THEN 'ТМ-' || CAST(k AS STRING) END AS designation, CASE WHEN k % 8 = 3 THEN '6' END AS qty FROM {L} WHERE k % 8 IN (1, 2, 3, 5)")
+@query(f"SELECT doc_id, line_no, k % 8 IN (0, 3, 4, 6, 7) AS loose, k % 8 IN (1, 2) AS header, CASE WHEN k % 8 = 3 THEN 'ТМ-' || CAST(k AS STRING) WHEN k % 8 IN (0, 4, 6, 7) THEN '—' END AS designation, CASE WHEN k % 8 = 3 THEN '6' WHEN k % 8 IN (0, 4, 6, 7) THEN '—' END AS qty FROM {L}")
 def spec_lines(spark, sf):
     row = ln.loose_row(F.col("line"))
-    return lines(spark, sf).where("k % 8 in (1, 2, 3, 5)").select("doc_id", "line_no", row.isNotNull().alias("loose"), ln.column_header(F.col("line")).alias("header"), row["designation"].alias("designation"), row["qty"].alias("qty"))
+    return lines(spark, sf).select("doc_id", "line_no", row.isNotNull().alias("loose"), ln.column_header(F.col("line")).alias("header"), row["designation"].alias("designation"), row["qty"].alias("qty"))
 
 
 @query(
@@ -231,3 +232,100 @@ def notes_beyond_spec(spark, sf):
     notes = i.frame(spark, sf, "SELECT p_partkey AS ord, p_partkey % 50 AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'пора ' || p_name || ', скользящая' WHEN 1 THEN p_name ELSE 'Ряд: «' || p_name || '» на опорах и ещё раз на опорах' END AS note FROM {part}")
     rows = i.frame(spark, sf, "SELECT p_partkey % 50 AS doc_id, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'Опора ' || p_name || ' скользящая' END AS name FROM {part} WHERE p_partkey % 2 = 0")
     return sections.beyond_spec(notes, rows)
+
+
+# ---------------------------------------------------------------- whole sheets
+
+_TITLED = LINES.replace("'Пров. Иванов'", "'Ведомость трубопроводов участка'")
+_SHEETS = f"SELECT doc_id, array_join(transform(array_sort(collect_list(struct(line_no, line))), x -> x.line), '\n') AS text FROM ({LINES}) GROUP BY doc_id"
+
+
+@query(
+    f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, CASE k % 8 WHEN 1 THEN 'specification' WHEN 7 THEN 'legend' END AS kind FROM {L}),
+    a AS (SELECT *, lag(kind) OVER w AS before FROM l WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT doc_id, 'anchor' AS found_by, row_number() OVER w AS section_no, kind, i AS start_line, coalesce(lead(i) OVER w, n) - i AS n_lines FROM a WHERE before IS NULL OR before <> kind WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    t AS (SELECT doc_id, 'label' AS found_by, row_number() OVER w AS section_no, 'table' AS kind, i AS start_line, coalesce(lead(i) OVER w, n) - i AS n_lines FROM l WHERE k % 8 = 0 AND doc_id NOT IN (SELECT doc_id FROM s) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    b AS (SELECT * FROM s UNION ALL SELECT * FROM t)
+    SELECT * FROM b UNION ALL SELECT doc_id, 'whole', 1, 'table', 0, n FROM l WHERE i = 0 AND doc_id NOT IN (SELECT doc_id FROM b)"""
+)
+def discovered_sections(spark, sf):
+    return parsers.discovered(i.frame(spark, sf, _SHEETS), {"specification": r"^Поз\.", "legend": "Сварные"})
+
+
+@query(
+    f"""WITH m AS (SELECT *, CASE k % 8 WHEN 1 THEN [1, 2] WHEN 2 THEN [3, 4, 5] WHEN 4 THEN [4] ELSE [] END AS own FROM {L}),
+    a AS (SELECT *, coalesce(lead(own) OVER w, []) AS o1, coalesce(lead(own, 2) OVER w, []) AS o2, coalesce(len(lag(own) OVER w), 0) AS before FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    n AS (SELECT *, CASE WHEN len(own) >= 3 THEN 1 WHEN len(o1) > 0 AND len(list_distinct(list_concat(own, o1))) >= 3 THEN 2 WHEN len(o1) > 0 AND len(o2) > 0 AND len(list_distinct(list_concat(own, o1, o2))) >= 3 THEN 3 END AS n_lines FROM a WHERE len(own) > 0 AND before = 0),
+    h AS (SELECT doc_id, min(line_no) AS head_line, min_by(n_lines, line_no) AS n_lines FROM n WHERE n_lines IS NOT NULL GROUP BY 1)
+    SELECT doc_id, line_no, CASE WHEN k % 8 = 3 THEN 'ТМ-' || CAST(k AS STRING) ELSE '—' END AS designation, CASE WHEN k % 8 = 3 THEN 'Опора стальная' ELSE substr(line, 3) END AS name, CASE WHEN k % 8 = 3 THEN '6' ELSE '—' END AS qty FROM {L} JOIN h USING (doc_id) WHERE line_no >= head_line + n_lines AND k % 8 IN (3, 7)"""
+)
+def specification_rows(spark, sf):
+    return parsers.specification(lines(spark, sf)).select("doc_id", "line_no", "designation", "name", "qty")
+
+
+@query(
+    f"""WITH l AS (SELECT *, sum(CASE WHEN k % 8 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM ({i.plain(_TITLED)})), h AS (SELECT *, sum(CASE WHEN k % 8 IN (1, 2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block_no ORDER BY line_no) AS heads FROM l WHERE block_no > 0)
+    SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, max(CASE WHEN k % 8 = 0 THEN CAST(k % 5 AS STRING) END) AS number, coalesce(string_agg(CASE WHEN k % 8 = 6 AND heads = 0 THEN line END, ' ' ORDER BY line_no), '') AS title FROM h GROUP BY 1, 2"""
+)
+def titles_of_blocks(spark, sf):
+    return parsers.titles_of_blocks(i.frame(spark, sf, _TITLED))
+
+
+_SIGNED = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS BIGINT) AS line_no, min(CASE l_partkey % 5 WHEN 0 THEN '| Разраб. | Иванов | | 11.25 |' WHEN 1 THEN '| Петрова | Н. контр. | 12.24' WHEN 2 THEN 'ГИП | 123 | -' WHEN 3 THEN 'Утв. Сидоров' ELSE '1 | 2 | Лист' END) AS line FROM {lineitem} GROUP BY 1, 2"
+
+
+@query(f"SELECT doc_id, min(line_no) AS line_no, CASE WHEN line LIKE '%Разраб%' THEN 'Разраб.' ELSE 'Н. контр.' END AS role, CASE WHEN line LIKE '%Разраб%' THEN 'Иванов' ELSE 'Петрова' END AS name, CASE WHEN line LIKE '%Разраб%' THEN '11.25' ELSE '12.24' END AS date FROM ({i.plain(_SIGNED)}) WHERE line LIKE '%Разраб%' OR line LIKE '%контр%' GROUP BY doc_id, line")
+def signature_rows(spark, sf):
+    return parsers.signatures(i.frame(spark, sf, _SIGNED))
+
+
+@query("SELECT o_custkey AS doc_id, count(*) FILTER (o_orderkey % 3 > 0) >= 2 AND count(*) FILTER (o_orderkey % 4 = 0) >= 1 AND count(*) FILTER (o_orderkey % 5 = 0) <= 3 AS usable FROM orders GROUP BY 1")
+def usable_stamps(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    fields = o.select("doc_id", F.when(F.col("k") % 3 == 0, "Шифр").otherwise("Лист").alias("field"), F.when(F.col("k") % 3 == 0, "34-43-10001-78").otherwise("7").alias("value"))
+    signed = o.select("doc_id", F.when(F.col("k") % 4 == 0, "Иванов").otherwise("подп.").alias("name"))
+    return parsers.usable_blocks(fields, signed, o.where("k % 5 = 0").select("doc_id", F.lit("Т").alias("title")))
+
+
+@query(
+    """SELECT CAST(p_partkey AS BIGINT) AS ord, p_partkey % 5 IN (0, 4) AS legend, CASE p_partkey % 3 WHEN 0 THEN 'Опора скользящая' ELSE '—' END AS name, CASE p_partkey % 4 WHEN 0 THEN 'legend' WHEN 1 THEN 'specification' WHEN 2 THEN 'explication' ELSE 'table' END AS kind,
+    CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 4 = 1 THEN 'Опора стальная' END AS column_name, regexp_replace(p_name, ' ', '+', 'g') AS encoded FROM part"""
+)
+def sheet_predicates(spark, sf):
+    k = F.col("p_partkey")
+    line = F.when(k % 5 == 0, "граница проектируемого участка").when(k % 5 == 1, "бвгджз кровля").when(k % 5 == 2, "Наименование Кол. Примечание").when(k % 5 == 3, "трубa подземная").otherwise("ось подземной трассы")
+    raw = F.when(k % 3 == 0, " - Опора   скользящая |").when(k % 3 == 1, "support").otherwise("Масса ед.")
+    kind = ln.section_kind(F.when(k % 4 == 0, "legend").otherwise("table"), F.when(k % 4 == 1, "Перечень аппаратуры").otherwise("Т"), F.lit(0), F.when(k % 4 == 2, 5).otherwise(0), F.lit(9))
+    row = F.when(k % 2 == 0, F.create_map(F.lit("Наименование"), F.col("p_name"))).when(k % 4 == 1, F.create_map(F.lit("note"), F.lit("7 Опора стальная"))).otherwise(F.create_map(F.lit("note"), F.lit("12")))
+    return table(spark, sf, "part").select(k.cast("long").alias("ord"), ln.legend_line(line).alias("legend"), ln.bom_name(raw).alias("name"), kind.alias("kind"), ln.spec_columns(row)["name"].alias("column_name"), F.url_encode("p_name").alias("encoded"))
+
+
+@query(f"SELECT doc_id, kind, min(ord) AS ord FROM ({i.plain(queries._SECTIONS)}) WHERE kind IN ('explication', 'legend') GROUP BY 1, 2")
+def first_sections(spark, sf):
+    return parsers.first_sections(i.frame(spark, sf, queries._SECTIONS)).select("doc_id", "kind", "ord")
+
+
+@query("SELECT doc_id, line_no AS tile_no, CASE WHEN length(trim(line)) = 0 THEN trim('read ' || line) WHEN length(trim(line)) < 120 THEN trim(line) || chr(10) || chr(10) || trim('read ' || line) ELSE trim(line) END AS text FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)")
+def tile_texts(spark, sf):
+    tiles = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("tile_no", "layer")).withColumn("ocr", F.concat(F.lit("read "), "layer"))
+    return parsers.tile_texts(tiles).withColumn("tile_no", F.col("tile_no").cast("long"))
+
+
+@query("SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY round(y0), x0, ord) AS place FROM (SELECT DISTINCT ON (doc_id, ord) * FROM <BOXES> ORDER BY doc_id, ord, x0)")
+def ordered_words(spark, sf):
+    boxes = i.frame(spark, sf, i.BOXES).groupBy("doc_id", "page_no", "ord").agg(F.min_by(F.struct("x0", "y0"), "x0").alias("b")).select("doc_id", "page_no", "ord", "b.*")
+    return parsers.ordered_words(boxes).select("doc_id", "ord", "place")
+
+
+_WORDS = "SELECT word, count(*) AS n FROM (SELECT explode(split(p_name, ' ')) AS word FROM {part}) w GROUP BY word"
+
+
+@query(
+    """WITH d AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1), w AS (SELECT DISTINCT left(word, 2) || 'q' || substr(word, 4) AS word FROM d UNION SELECT DISTINCT word || 'x' FROM d),
+    p AS (SELECT w.word, d.word AS suggestion, levenshtein(w.word, d.word) AS distance, n FROM w JOIN d ON levenshtein(w.word, d.word) <= 1 WHERE w.word NOT IN (SELECT word FROM d))
+    SELECT word, suggestion, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, n DESC, suggestion) AS k FROM p) WHERE k = 1"""
+)
+def suggestions(spark, sf):
+    known = i.frame(spark, sf, _WORDS)
+    misread = known.select(F.concat(F.left("word", F.lit(2)), F.lit("q"), F.substr("word", F.lit(4))).alias("word")).unionByName(known.select(F.concat("word", F.lit("x")).alias("word")))
+    return parsers.suggestions(misread, known)
