@@ -2,9 +2,10 @@
 
 A modified Kneser-Ney byte model for each language is counted over the trusted documents; a share of them is kept out. Entries
 that pass a size check go to the tasks; beyond that they and the documents' grams are dealt to shards and joined there
-(``llm.kneser_ney.sharded_scores``), so no task needs the whole model. A document passes when its log perplexity lies
-between two quantiles of the trusted documents of its language that were kept out, widened by an allowance that falls with
-the root of the text's length: above them is text unlike trusted text, below them text that says the same again and again.
+(``llm.kneser_ney.sharded_scores``), so no task needs the whole model. A document passes when its log perplexity is at most
+its language's threshold: a high quantile of the trusted documents that were kept out, and an allowance that falls with the
+root of the text's length. There is no lower threshold: trusted documents in the counts, and their copies, are likelier
+than any kept out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from llm.common import cut, joined
 from llm.kneser_ney import fits, gram_counts, sent_scores, sharded_scores, smoothed
 
 ORDER = 5
-#: Quantiles of trusted documents, by language, between which good ones lie.
-LOW, HIGH = 0.01, 0.95
+#: Share of the trusted documents of a language that lie below its threshold.
+QUANTILE = 0.95
 #: Nats allowed for a text of one byte; the allowance falls with the root of the length.
 SHORT = 1.0
 HELD_OUT = 4
@@ -25,8 +26,7 @@ MISSING = -(2**63)
 
 
 def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, log_perplexity, threshold, good (and n_bytes, floor) of every row of ``docs(doc_id, text, lang)``; good texts
-    lie from ``floor`` to ``threshold``.
+    """doc_id, lang, log_perplexity, threshold, good (and n_bytes) of every row of ``docs(doc_id, text, lang)``.
 
     ``trusted(doc_id)`` names the trusted documents. Null, empty and blank texts have no perplexity and are not good. A language without
     trusted text has no threshold and its texts are good. A null language is one of its own, ``und``. Repeated rows are
@@ -48,9 +48,8 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> D
         scored = keys.join(scores, ["doc_id", "tkey", "lang"], "left")
     scored = cut(scored, "levels", texts=True)
     known = joined(scored, cut(ids.where(held), "held"), ["doc_id"], "left_semi")
-    limits = known.groupBy("lang").agg(F.percentile_approx("level", [LOW, HIGH], 10_000).alias("limits"))
+    limits = known.groupBy("lang").agg(F.percentile_approx("level", QUANTILE, 10_000).alias("limit"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # one row for each language
-    room = SHORT / F.sqrt(F.nullif(F.col("n"), F.lit(0)))
-    floor, threshold = F.col("limits")[0] - room, F.col("limits")[1] + room
-    good = (F.col("n") > 0) & F.coalesce(F.col("level").between(floor, threshold), F.lit(True))
-    return out.select(F.when(F.col("doc_id") != MISSING, F.col("doc_id")).alias("doc_id"), "lang", F.col("level").alias("log_perplexity"), threshold.alias("threshold"), good.alias("good"), F.col("n").alias("n_bytes"), floor.alias("floor"))
+    threshold = F.col("limit") + SHORT / F.sqrt(F.nullif(F.col("n"), F.lit(0)))
+    good = (F.col("n") > 0) & F.coalesce(F.col("level") <= threshold, F.lit(True))
+    return out.select(F.when(F.col("doc_id") != MISSING, F.col("doc_id")).alias("doc_id"), "lang", F.col("level").alias("log_perplexity"), threshold.alias("threshold"), good.alias("good"), F.col("n").alias("n_bytes"))

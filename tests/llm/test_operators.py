@@ -542,7 +542,7 @@ def test_words_of_one_hash(monkeypatch):
 
 def brute_model(rows, order):
     """Interpolated modified Kneser-Ney over bytes, straight from its definition."""
-    clean = [b" ".join(t.lower().encode().split()) for t in rows]
+    clean = [t if isinstance(t, bytes) else b" ".join(t.lower().encode().split()) for t in rows]
     counts = {order: Counter()}
     for t in clean:
         t = b" " * (order - 1) + t
@@ -653,8 +653,8 @@ def test_bands_and_verdicts_equal_brute_force(spark, docs, monkeypatch):
     short = docs.where("length(text) < 900")
     rows = [(r["doc_id"], r["lang"], r["text"], r["half"]) for r in short.select("doc_id", "lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()]
     passed = {i for i, _, t, _ in rows for n, _, _, _, again in [brute_base(t)] if n >= 50 and 100 * again <= 50 * n}
-    flat = lambda t: b" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split())
-    models = {(lang, half): brute_model([t for i, x, t, h in rows if i in passed and (x, h) == (lang, half)], 5) for i, lang, _, half in rows if i in passed}
+    flat = lambda t: re.sub(r"[\t-\r ]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t)).lstrip(" ").encode()
+    models = {(lang, half): brute_model([flat(t) for i, x, t, h in rows if i in passed and (x, h) == (lang, half)], 5) for i, lang, _, half in rows if i in passed}
     level, size = {}, {}
     for i, lang, t, half in rows:
         p, b = models.get((lang, 1 - half)), b"    " + flat(t)
