@@ -103,12 +103,12 @@ def _scored(sent, order: int):
             grams, places = grams_of(data, offsets, order)
             models = np.array(batch.column("model").to_pylist(), object)
             logs = np.zeros(len(grams), np.float32)
-            for model in set(models):
+            for model in set(models) & set(held):
                 mask = np.repeat(models == model, np.diff(places))
-                logs[mask] = held[model].logs(grams[mask]) if model in held else np.nan
+                logs[mask] = held[model].logs(grams[mask])
             n = np.diff(places)
             with np.errstate(all="ignore"):
-                level = -by_document(logs, places) / n
+                level = np.where(np.isin(models.astype(str), list(held)), -by_document(logs, places) / n, np.nan)
             columns = [pa.array(c.astype(np.int64)) for c in (*counts, n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), batch.column("lang"), *columns, pa.array(np.where(np.isfinite(level), level, np.nan), from_pandas=True)], ["doc_id", "tkey", "lang", *COUNTS, "n_bytes", "level"])
 
