@@ -31,6 +31,21 @@ def test_stages_in_order(spark, sf):
     assert key(corpus_pipeline.run(spark, sf)) == key(tokens) == key(byte_bpe.token_digests(clean, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf):
+    """Nulls, blanks, repeats, a very long text and a column whose name the stages use inside: each stage on all of them."""
+    from test_operators import ROWS
+
+    odd = spark.createDataFrame([(i, t, lang, "s", None, "k") for i, t, lang in ROWS], "doc_id long, text string, lang string, source string, n_chars long, key_id string").repartition(2)
+    once = {i for i, _, _ in ROWS if i is not None} - {5, 7, 9}  # they say what 4, 6 and 8 say, or nearly
+    want = {"quality rules": [11], "n-gram Jaccard join": [None, *once], "substring dedup": [i for i, _, _ in ROWS], "benchmark decontamination": [i for i, _, _ in ROWS], "byte-level BPE": [i for i, _, _ in ROWS]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == odd.columns
+        assert sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=str) == sorted(want[name], key=str), name
+        assert stage(spark, odd.limit(0), sf).count() == 0
+
+
 def test_registered(spark, sf):
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in names} and "pipeline" in names
