@@ -1,7 +1,8 @@
 """Corpus pipeline: from raw documents to token ids.
 
 Each stage is a function of (spark, docs, sf_dir); ``run`` writes what a stage returns to the shared folder and reads it
-back for the next one. All stages but the last return the columns of ``documents``.
+back for the next one. All stages but the last return the columns of ``documents``. An empty table gives an empty one at every
+stage; very long texts are read whole; columns beside doc_id, text, lang and n_chars are passed on unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,27 +20,31 @@ from llm.substring_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts among them. A null language is one of its own;
+    repeated rows and rows with a null doc_id are each judged by their text."""
     return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the one with the least doc_id; of rows that share a doc_id one. Texts
+    without words and rows with a null doc_id are in no group and stay."""
     return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages of 35 words or more that stand more than once are cut out; n_chars follows the text."""
+    """Words in passages of 35 words or more that stand more than once are cut out; n_chars follows the text. No row goes: null and
+    short texts stay as they are, and repeated rows, being copies of each other, lose what they share."""
     return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; repeated rows and rows with a null doc_id are each
+    judged by their text."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids and of what they decode to."""
+    """Digests of the token ids and of what they decode to, a row for each row; null and empty texts have no ids."""
     return token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
