@@ -13,6 +13,7 @@ from llm.byte_bpe import token_digests
 from llm.common import table
 from llm.greedy_tiling import contaminations
 from llm.jaccard_join import jaccard_groups
+from llm.mixing import copies
 from llm.quality_classifier import quality_scores
 from llm.quality_rules import quality_rules
 from llm.substring_dedup import substring_dedup
@@ -70,6 +71,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op11_source_mix": op11_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +108,17 @@ f AS (SELECT doc_id, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY wi
 g AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
 k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)""",
+    "op11_source_mix": r"""
+WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+g AS (SELECT source, key, sum(size)::BIGINT AS source_size FROM d GROUP BY 1, 2),
+s AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM g),
+b AS (SELECT *, coalesce(sum(3 * source_size) OVER o, 0)::DOUBLE AS full_before, coalesce(sum(weight) OVER o, 0)::DOUBLE AS weight_before FROM s
+      WINDOW o AS (ORDER BY 3 * source_size / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max(((SELECT sum(source_size) FROM s)::DOUBLE - full_before) / ((SELECT sum(weight) FROM s)::DOUBLE - weight_before)) AS level FROM b),
+t AS (SELECT key, source_size, least((3 * source_size)::DOUBLE, level * weight) AS target, ('0x' || left(md5('mix-1|' || key), 8))::BIGINT % 1000000 * 1000000 AS offs FROM s, l),
+e AS (SELECT d.*, source_size, target, offs, CASE WHEN source_size > 0 THEN floor(least(3.0::DOUBLE, target / source_size) * 1e12::DOUBLE)::HUGEINT ELSE 0::HUGEINT END AS e,
+      ('0x' || left(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT AS dealt FROM d JOIN t USING (key)),
+p AS (SELECT *, offs + coalesce(sum(e) OVER (PARTITION BY key ORDER BY dealt % 2, CASE WHEN dealt % 2 = 0 THEN size ELSE -size END, dealt, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS spot FROM e),
+c AS (SELECT *, ((spot + e) // 1000000000000 - spot // 1000000000000)::BIGINT AS copies FROM p)
+SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM c""",
 }
