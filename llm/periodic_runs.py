@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.common import Words, id_name, marked, runs, slices, text_session, texts_of
@@ -50,24 +51,17 @@ def suspects(hashes: np.ndarray, first: np.ndarray, least_length: int, least_per
     near = np.full(len(grams) + 1, far)
     near[order[1:]] = step
     near[order[:-1]] = np.minimum(near[order[:-1]], step)
-    live = near < far
+    live, opens = near[:-1] < far, np.zeros(len(grams) + 1, bool)
+    opens[first[first <= len(grams)]] = True
     while True:
-        edge = np.flatnonzero(np.diff(np.r_[False, live[:-1], False]))
-        begin, end = edge[::2], edge[1::2] + k - 1
-        # a stretch of grams may pass from one text to the next only where k is 1
-        if k == 1 and len(begin):
-            inner = first[np.searchsorted(first, begin, "right")]
-            if (inner < end).any():
-                breaks = np.unique(first)
-                points = np.unique(np.r_[begin, end, breaks])
-                covered = np.r_[live[:-1], False][np.minimum(points[:-1], len(grams))]
-                begin, end = points[:-1][covered], points[1:][covered]
+        alone = opens | ~np.r_[False, live]
+        begin, end = np.flatnonzero(live & alone[:-1]), np.flatnonzero(live & (opens[1:] | ~np.r_[live[1:], False])) + k
         keep = end - begin >= least_length
         begin, end = begin[keep], end[keep]
         bound = np.zeros(len(near), np.int64)
         for a, b in zip(begin.tolist(), end.tolist(), strict=True):
             bound[a : b - k + 1] = (b - a) // least_periods
-        now = near <= bound
+        now = near[:-1] <= bound[:-1]
         if (now == live).all():
             return begin, end
         live = now
@@ -380,7 +374,5 @@ def collapsed(docs: DataFrame, least_length: int = LEAST_LENGTH, least_periods:
     text_session(docs.sparkSession)
     rows = marked(docs).selectExpr("whole", "cast(whole.text as string) as text")
     kind = T.StructType([T.StructField("whole", docs.schema), T.StructField("text", T.StringType())])
-    from pyspark.sql import functions as F
-
     out = rows.mapInArrow(_slices(_texts, least_length, least_periods), kind)
     return out.select(F.col("whole").withField("text", F.col("text").cast(docs.schema["text"].dataType)).alias("whole")).select("whole.*")

@@ -14,6 +14,7 @@ from llm.common import table
 from llm.greedy_tiling import contaminations
 from llm.jaccard_join import jaccard_groups
 from llm.mixing import copies
+from llm.periodic_runs import run_digests
 from llm.quality_classifier import quality_scores
 from llm.quality_rules import quality_rules
 from llm.substring_dedup import substring_dedup
@@ -75,6 +76,24 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "documents"))
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by the checksum of their id, turn periodic from some word on."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(checksum / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("words", F.when(checksum % 10 == 0, words))
+    n = F.size("words")
+    at = g % F.greatest(n, F.lit(1))
+    period = 1 + F.floor((n - at) / (3 + g % 8))
+    tail = F.flatten(F.array_repeat(F.slice("words", (at + 1).cast("int"), period.cast("int")), F.ceil((n - at) / period).cast("int")))
+    whole = F.slice(F.concat(F.slice("words", F.lit(1), at.cast("int")), tail), F.lit(1), n)
+    return split.select("doc_id", F.when(n > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_looped(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
     "op11_source_mix": op11_source_mix,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
