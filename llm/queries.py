@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm import language_id, toxicity
 from llm.byte_bpe import token_digests
+from llm.collocations import collocations
 from llm.common import table
 from llm.greedy_tiling import contaminations
 from llm.jaccard_join import jaccard_groups
@@ -94,6 +95,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_looped(table(spark, sf_dir, "documents")))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_source_mix": op11_source_mix,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +147,20 @@ e AS (SELECT d.*, source_size, target, offs, CASE WHEN source_size > 0 THEN floo
 p AS (SELECT *, offs + coalesce(sum(e) OVER (PARTITION BY key ORDER BY dealt % 2, CASE WHEN dealt % 2 = 0 THEN size ELSE -size END, dealt, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS spot FROM e),
 c AS (SELECT *, ((spot + e) // 1000000000000 - spot // 1000000000000)::BIGINT AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM c""",
+    "op13_phrase_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+n AS (SELECT lang, count(*) AS n FROM i GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2),
+x AS (SELECT c.*, unnest(range(1, k)) AS at_word FROM c),
+s AS (SELECT x.lang, x.phrase, x.a, at_word, u.a AS l, v.a AS r, n.n, 1000::HUGEINT * x.a::HUGEINT * n.n::HUGEINT // (u.a::HUGEINT * v.a::HUGEINT) AS score
+      FROM x JOIN n ON n.lang = x.lang JOIN g u ON u.lang = x.lang AND u.phrase = array_to_string(ws[1:at_word], ' ') JOIN g v ON v.lang = x.lang AND v.phrase = array_to_string(ws[at_word + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at_word) AS nth FROM s),
+j AS (SELECT lang, ws, k, a, unnest(range(2, k)) AS m FROM c WHERE k >= 3),
+y AS (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS f FROM j),
+h AS (SELECT lang, array_to_string(ws[f:f + m - 1], ' ') AS phrase, max(a) AS longer FROM y GROUP BY 1, 2),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE nth = 1 AND NOT coalesce(100 * longer >= 100 * b.a, false))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r WHERE rank <= 2000""",
 }
