@@ -5,7 +5,7 @@ a bitmap of its places, held as those 16-place blocks that are not empty. A phra
 one place and ANDed with a word's bitmap it is that of the longer phrase, the empty places keep it from passing the end of a
 piece, and its popcount is the phrase's count in the shard. Shards know nothing of each other; counts are summed by Spark.
 
-Three passes read the texts: words; pairs of frequent words; longer phrases, all pairs in which are frequent, depth first. What is frequent
+Three passes read the texts: words; pairs of frequent words, by hash; all phrases, the pairs in which are frequent, depth first. What is frequent
 goes to the tasks as a table of fixed size, whatever its number; a bit set by chance costs rows, never results, as all
 sums are held against the least count.
 """
@@ -175,18 +175,17 @@ def _words(shard: Shard) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(frequent) -> Callable:
+    """Counts of pairs of frequent words by their key: it only rules pairs out, the next pass counts those that stay by their words."""
+
     def count(shard: Shard) -> Iterator[pa.RecordBatch]:
         pairs = Pairs(shard, frequent.value)
-        spelt = [shard.spelt(i) for i in pairs.example.tolist()]
-        lang = [shard.langs[d] for d in shard.of[pairs.example].tolist()]
-        left, right = pairs.left.tolist(), pairs.right.tolist()
-        yield _rows([lang[v] for v in left], [spelt[v] + b" " + spelt[w] for v, w in zip(left, right, strict=True)], pairs.count)
+        yield pa.RecordBatch.from_arrays([longs(pair_keys(pairs.keys[pairs.left], pairs.keys[pairs.right])), pa.array(pairs.count)], ["key", "a"])
 
     return count
 
 
 def _longer(frequent, paired, longest: int, bundle: int) -> Callable:
-    """Counts of phrases of three words and more: from each pair down the tree of phrases, a bundle of branches at a time."""
+    """Counts of phrases of two words and more: from each pair down the tree of phrases, a bundle of branches at a time."""
 
     def count(shard: Shard) -> Iterator[pa.RecordBatch]:
         pairs = Pairs(shard, frequent.value)
@@ -221,6 +220,8 @@ def _longer(frequent, paired, longest: int, bundle: int) -> Callable:
                         yield from down(longer, below)
                 at = to
 
+        first = pairs.left[good]
+        yield _rows([lang[v] for v in first.tolist()], [spelt[v] + b" " + spelt[w] for v, w in zip(first.tolist(), second.tolist(), strict=True)], pairs.count[good])
         if longest > 2 and width:
             yield from down(np.c_[pairs.left[good], second], steps)
 
@@ -232,22 +233,20 @@ def _split(found: tuple[np.ndarray, np.ndarray, Bitmaps], width: int) -> tuple:
     return left, right, width, common
 
 
-def table_of_bits(df: DataFrame, size: int):
-    """A table of 2**size bits with those of the words or pairs (lang, phrase) set; at most 2**size / 64 numbers on the driver."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of words (lang, phrase)."""
+    for batch in slices(batches, "phrase"):
+        words = Words(*texts_of(batch.column("phrase")), _SEPARATES)
+        yield pa.RecordBatch.from_arrays([longs(word_keys(words.hashes(), language_keys(batch.column("lang").to_pylist())))], ["key"])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "phrase"):
-            words = Words(*texts_of(batch.column("phrase")), _SEPARATES)
-            keys = word_keys(words.hashes(), np.repeat(language_keys(batch.column("lang").to_pylist()), np.diff(words.first)))
-            if len(keys) == 2 * batch.num_rows:
-                keys = pair_keys(keys[::2], keys[1::2])
-            cell = keys >> _U(64 - size)
-            yield pa.RecordBatch.from_arrays([pa.array((cell >> _U(6)).astype(np.int64)), longs(_U(1) << (cell & _U(63)))], ["word", "bits"])
 
-    rows = df.select("lang", "phrase").mapInArrow(cells, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+def table_of_bits(keys: DataFrame, size: int):
+    """A table of 2**size bits with those of the keys set; at most 2**size / 64 numbers on the driver."""
+    bit = f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int)))"
+    rows = keys.groupBy(F.shiftrightunsigned(F.shiftrightunsigned("key", 64 - size), 6).alias("word")).agg(F.expr(bit).alias("bits")).toArrow()
     out = np.zeros(1 << size - 6, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return df.sparkSession.sparkContext.broadcast(out.view(_U))
+    return keys.sparkSession.sparkContext.broadcast(out.view(_U))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame]:
@@ -255,20 +254,17 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     text_session(docs.sparkSession)
     texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs["text"].cast("string").alias("text")).where("text is not null")
 
-    def summed(count: Callable, label: str) -> DataFrame:
-        counts = texts.mapInArrow(_shards(count, sizes.shard_bytes), COUNTS).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-        return cut(counts.where(f"a >= {least} or phrase is null"), label, texts=True)
+    def summed(count: Callable, by: list[str], kind: str, label: str) -> DataFrame:
+        counts = texts.mapInArrow(_shards(count, sizes.shard_bytes), kind).groupBy(*by).agg(F.sum("a").alias("a"))
+        return cut(counts.where(f"a >= {least}" + " or phrase is null" * (label == "words")), label, texts=True)
 
-    words = summed(_words, "words")
+    words = summed(_words, ["lang", "phrase"], COUNTS, "words")
     totals, words = words.where("phrase is null").select("lang", F.col("a").alias("n")), words.where("phrase is not null")
     if longest < 2:
         return words, totals
-    frequent = table_of_bits(words, sizes.cells)
-    pairs = summed(_pairs(frequent), "pairs")
-    found = words.unionAll(pairs)
-    if longest > 2:
-        found = found.unionAll(summed(_longer(frequent, table_of_bits(pairs, sizes.cells), longest, sizes.bundle), "longer"))
-    return found, totals
+    frequent = table_of_bits(words.select("lang", "phrase").mapInArrow(_keys, "key long"), sizes.cells)
+    paired = table_of_bits(summed(_pairs(frequent), ["key"], "key long, a long", "pairs").select("key"), sizes.cells)
+    return words.unionAll(summed(_longer(frequent, paired, longest, sizes.bundle), ["lang", "phrase"], COUNTS, "phrases")), totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame, share: int = 100) -> DataFrame:
