@@ -63,22 +63,30 @@ def requirements(lines: DataFrame, most: int = 30) -> DataFrame:
     return once.withColumn("row_no", F.row_number().over(_by_line())).where(F.col("row_no") <= most).select("doc_id", "line_no", "row_no")
 
 
-def _alike(a: Column, b: Column, least: int = 10) -> Column:
-    """Folded notes are equal, or one of ``least`` characters stands in another such, or they share three words (all, if fewer)."""
+def _alike(a: Column, b: Column, numbers_a: Column, numbers_b: Column, least: int = 10) -> Column:
+    """Keys of notes are equal, or one of ``least`` characters stands in another such, or they share three words (all, if fewer), or
+    the notes share a dotted number; an empty key is like none."""
     wa, wb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     inside = (F.length(a) >= least) & (F.length(b) >= least) & (F.contains(a, b) | F.contains(b, a))
-    return (a == b) | inside | (F.size(F.array_intersect(wa, wb)) >= F.least(F.lit(3), F.size(wa), F.size(wb)))
+    shared = F.size(F.array_intersect(wa, wb)) >= F.least(F.lit(3), F.size(wa), F.size(wb))
+    return (a != "") & (b != "") & ((a == b) | inside | shared | (F.size(F.array_intersect(numbers_a, numbers_b)) > 0))
+
+
+def note_key(note: Column) -> Column:
+    """The first eight words of three letters and more, folded."""
+    words = F.split(F.regexp_replace(F.lower(note), r"(?U)[^\w\s]+", " "), r"(?U)\s+")
+    return F.array_join(F.slice(F.filter(words, lambda w: F.length(w) > 2), 1, 8), " ")
 
 
 def merged_notes(notes: DataFrame) -> DataFrame:
     """doc_id, place, note over ``notes(doc_id, ord, note, quality)``: in order, a note like one that is kept replaces it in its
     place where its quality is higher, and is dropped otherwise; the notes of a document are its legend and few."""
-    fold = F.trim(F.regexp_replace(F.lower(F.regexp_replace("note", r"[^\p{L}\p{N}]+", " ")), r"\s+", " "))
-    rows = F.array_sort(F.collect_list(F.struct("ord", "note", fold.alias("key"), "quality")))
-    kind = "array<struct<ord: bigint, note: string, key: string, quality: double>>"
+    numbers = F.regexp_extract_all("note", F.lit(r"(\d+(?:\.\d+)+)"), F.lit(1))
+    rows = F.array_sort(F.collect_list(F.struct("ord", "note", note_key(F.col("note")).alias("key"), numbers.alias("numbers"), "quality")))
+    kind = "array<struct<ord: bigint, note: string, key: string, numbers: array<string>, quality: double>>"
 
     def step(kept: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: _alike(k["key"], x["key"])), True)
+        at = F.array_position(F.transform(kept, lambda k: _alike(k["key"], x["key"], k["numbers"], x["numbers"])), True)
         better = F.transform(kept, lambda k, i: F.when((i + 1 == at) & (x["quality"] > k["quality"]), x).otherwise(k))
         return F.when(at > 0, better).otherwise(F.concat(kept, F.array(x)))
 
@@ -176,15 +184,38 @@ def pinpointed(rects: DataFrame) -> DataFrame:
     return own.select("doc_id", "ord", *((F.col(c) - 5).alias(c) for c in ("x0", "y0")), *((F.col(c) + 5).alias(c) for c in ("x1", "y1")))
 
 
-def supplement_zones(pages: DataFrame, wide: float = 1.35) -> DataFrame:
+def subdivided(rects: DataFrame, cols: int = 2, rows: int = 2, overlap: float = 0.08) -> DataFrame:
+    """``rects(zone, x0, y0, x1, y1, ...)`` in a grid of parts named zone_row_col that reach ``overlap`` of a part into their
+    neighbours; parts of 40 points or less go, and zones under 120 points or without parts stay whole."""
+    w, h = (F.col("x1") - F.col("x0")) / cols, (F.col("y1") - F.col("y0")) / rows
+    small = (F.col("x1") - F.col("x0") < 120) | (F.col("y1") - F.col("y0") < 120)
+
+    def part(row: int, col: int) -> Column:
+        left, right = F.col("x0") + w * col, F.col("x0") + w * (col + 1)
+        top, bottom = F.col("y0") + h * row, F.col("y0") + h * (row + 1)
+        box = {
+            "x0": left - w * overlap if col else F.col("x0"), "y0": top - h * overlap if row else F.col("y0"),
+            "x1": right + w * overlap if col < cols - 1 else F.col("x1"), "y1": bottom + h * overlap if row < rows - 1 else F.col("y1"),
+        }
+        return F.struct(F.concat("zone", F.lit(f"_{row}_{col}")).alias("zone"), *(v.alias(k) for k, v in box.items()))
+
+    whole = F.array(F.struct("zone", "x0", "y0", "x1", "y1"))
+    parts = F.filter(F.array(*(part(r, c) for r in range(rows) for c in range(cols))), lambda b: (b["x1"] - b["x0"] > 40) & (b["y1"] - b["y0"] > 40))
+    kept = F.when(small | (F.size(parts) == 0), whole).otherwise(parts)
+    others = [c for c in rects.columns if c not in ("zone", "x0", "y0", "x1", "y1")]
+    return rects.select(*others, F.explode(kept).alias("z")).select(*others, "z.*")
+
+
+def supplement_zones(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, zone, x0, y0, x1, y1 of ``pages(doc_id, page_no, width, height, n_pages)``: the specification at the right of
-    wide sheets of up to 12 pages, and the notes below on up to four; zones under 80 points are none."""
+    wide sheets of up to 12 pages, and on up to four the notes below, in four parts that overlap; zones under 80 points are none."""
     zone = lambda name, ok, a, b, c, d: F.when(ok, F.struct(F.lit(name).alias("zone"), (F.col("width") * a).alias("x0"), (F.col("height") * b).alias("y0"), (F.col("width") * c).alias("x1"), (F.col("height") * d).alias("y1")))
     n = F.greatest(F.col("n_pages"), F.lit(1))
-    spec = zone("spec_right", (n <= 12) & (F.col("width") >= wide * F.col("height")), 0.46, 0.22, 1.0, 0.96)
-    notes = zone("notes", n <= 4, 0.02, 0.28, 0.98, 0.97)
+    spec = zone("spec_right", (n <= 12) & s.is_wide(F.col("width"), F.greatest(F.col("height"), F.lit(1.0))), 0.46, 0.22, 1.0, 0.96)
+    notes = zone("supp_notes", n <= 4, 0.02, 0.28, 0.98, 0.97)
     out = pages.select("doc_id", "page_no", F.explode(F.array_compact(F.array(spec, notes))).alias("z")).select("doc_id", "page_no", "z.*")
-    return out.where((F.col("x1") - F.col("x0") >= 80) & (F.col("y1") - F.col("y0") >= 80))
+    out = out.where((F.col("x1") - F.col("x0") >= 80) & (F.col("y1") - F.col("y0") >= 80))
+    return out.where("zone = 'spec_right'").unionByName(subdivided(out.where("zone = 'supp_notes'"), overlap=0.14).select(out.columns))
 
 
 def rendered_summary(rows: DataFrame) -> DataFrame:

@@ -1,48 +1,28 @@
 """From page text to references: spans of designations, containment, first-wins dedupe.
 
-Finding spans needs match positions, which no built-in gives, so it is one Arrow function over the text column; all
-else is relational and keyed by document.
+Text is rewritten and spans are found by one Arrow function over the text column (``docspark.operators.rewriting``); all else is
+relational and keyed by document.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docspark.functions import grammar as g
-
-# Misread spellings of kinds, put right before spans are sought.
-MISREAD = (("FOCT", "ГОСТ"), ("ГОCТ", "ГОСТ"), ("CTB", "СТБ"), ("TKN", "ТКП"), ("TKП", "ТКП"), ("CHиП", "СНиП"), ("0CT", "ОСТ"))
-SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("raw", T.StringType())]))
-_NAMES = {name: kind for kind, names in g.KIND_ALIASES.items() for name in names}
-_FIND = re.compile(r"(?<![a-zа-яё])(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")(?![a-zа-яё])(?:\s*[рr]\.?(?=\s*\d))?\s*([\d][\d \t.\-–—]*)", re.I)
-
-
-def repair_kinds(text: Column) -> Column:
-    for wrong, right in MISREAD:
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-zА-Яа-яЁё]){wrong}(?![A-Za-zА-Яа-яЁё])", right)
-    return text
-
-
-@F.pandas_udf(SPAN)
-def find_spans(texts: pd.Series) -> pd.Series:
-    """Kind, place and raw number of each designation-like run of a text."""
-    return texts.map(lambda t: [(_NAMES[m[1].lower()], m.start(), m.end(), m[2]) for m in _FIND.finditer(t or "")])
+from docspark.operators.rewriting import read_text
 
 
 def spans(sources: DataFrame) -> DataFrame:
-    """One row for each complete designation of ``sources(doc_id, source_ord, text)``."""
-    text = repair_kinds(F.coalesce("text", F.lit("")))
-    found = sources.select("doc_id", "source_ord", text.alias("text")).withColumn("s", F.explode(find_spans("text")))
-    found = found.select("doc_id", "source_ord", "text", "s.kind", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), g.clip_number(F.col("s.raw"), F.col("s.kind")).alias("num"))
+    """One row for each complete designation of ``sources(doc_id, source_ord, text)``: place in the rewritten text and, as raw_start
+    and raw_stop, in the text as it came, from which the context is."""
+    read = sources.select("doc_id", "source_ord", F.coalesce("text", F.lit("")).alias("text")).withColumn("read", read_text("text"))
+    found = read.select("doc_id", "source_ord", "text", F.explode("read.spans").alias("s"))
+    found = found.select("doc_id", "source_ord", "text", "s.kind", "s.start", "s.stop", "s.raw_start", "s.raw_stop", g.clip_number(F.col("s.raw"), F.col("s.kind")).alias("num"))
     found = found.where(g.number_complete(F.col("num"), F.col("kind")) & ~g.noise_number(F.col("num")))
     ref = F.concat_ws(" ", "kind", g.format_number(F.col("num"), F.col("kind")))
-    context = F.left(F.trim(F.regexp_replace(F.substr("text", F.greatest(F.lit(1), F.col("start") - 79), F.col("stop") - F.col("start") + 160), r"\s+", " ")), F.lit(160))
-    return found.select("doc_id", "source_ord", "kind", "start", "stop", ref.alias("ref"), context.alias("context"))
+    context = F.left(F.trim(F.regexp_replace(F.substr("text", F.greatest(F.lit(1), F.col("raw_start") - 79), F.col("raw_stop") - F.col("raw_start") + 160), r"\s+", " ")), F.lit(160))
+    return found.select("doc_id", "source_ord", "kind", "start", "stop", "raw_start", "raw_stop", ref.alias("ref"), context.alias("context"))
 
 
 def outermost(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "source_ord")) -> DataFrame:

@@ -41,10 +41,10 @@ BOXES = (
     " CAST(l_partkey % 300 + l_quantity AS DOUBLE) AS x1, CAST(l_linenumber * 2 + 5 AS DOUBLE) AS y1, l_returnflag AS text FROM {lineitem}"
 )
 LABELS = (
-    "SELECT CAST(doc_id AS STRING) || '.txt' AS file, CASE WHEN doc_id % 5 = 0 THEN 'S.' || CAST(doc_id % 200 AS STRING) ELSE 'S' || CAST(doc_id % 200 AS STRING) END AS stem,"
+    "SELECT CAST(doc_id AS STRING) || '.txt' AS file, CASE WHEN doc_id % 5 = 0 THEN 'S.' || CAST(doc_id - doc_id % 2 AS STRING) ELSE 'S' || CAST(doc_id - doc_id % 2 AS STRING) END AS stem,"
     " CASE WHEN doc_id % 2 = 0 THEN 'stamp_frame' ELSE 'stamp_block' END AS zone, text FROM {documents}"
 )
-CROPS = "SELECT DISTINCT 'S' || CAST(p_partkey AS STRING) AS stem FROM {part} WHERE p_partkey % 3 > 0 AND p_partkey < 200"
+CROPS = "SELECT DISTINCT 'S' || CAST(p_partkey AS STRING) AS stem FROM {part} WHERE p_partkey % 3 > 0"
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -859,4 +859,4 @@ def checked_refs(spark, sf):
     return pipelines.checked(i.frame(spark, sf, i.REFS), i.frame(spark, sf, i.REGISTRY), cards, F.lit(TODAY).cast("date"))
 
 
-from docspark.plans import sheet_queries  # noqa: E402,F401  registers its queries here
+from docspark.plans import sheet_queries, spec_queries  # noqa: E402,F401  register their queries here

@@ -175,10 +175,16 @@ def pinpointed(spark, sf):
     return blocks.pinpointed(i.frame(spark, sf, i.BOXES).withColumns({"width": F.lit(100.0), "height": F.lit(100.0)}))
 
 
-@query("SELECT doc_id, zone, round(x0, 6) AS x0, round(y0, 6) AS y0 FROM (SELECT o_orderkey AS doc_id, 800.0 + o_orderkey % 400 AS w, 500.0 + o_custkey % 300 AS h, 1 + o_orderkey % 15 AS n FROM orders) s, LATERAL (SELECT 'spec_right' AS zone, CAST(w * 0.46 AS DOUBLE) AS x0, CAST(h * 0.22 AS DOUBLE) AS y0 WHERE n <= 12 AND w >= 1.35 * h UNION ALL SELECT 'notes', CAST(w * 0.02 AS DOUBLE), CAST(h * 0.28 AS DOUBLE) WHERE n <= 4) z")
+@query(
+    """WITH p AS (SELECT o_orderkey AS doc_id, CAST(800 + o_orderkey % 400 AS DOUBLE) AS w, CAST(500 + o_custkey % 300 AS DOUBLE) AS h, 1 + o_orderkey % 15 AS n FROM orders),
+    g AS (SELECT *, unnest([0, 1, 2, 3]) AS c FROM p WHERE n <= 4)
+    SELECT doc_id, 'spec_right' AS zone, round(w * 0.46, 6) AS x0, round(h * 0.22, 6) AS y0, round(w, 6) AS x1, round(h * 0.96, 6) AS y1 FROM p WHERE n <= 12 AND w / h >= 1.35
+    UNION ALL SELECT doc_id, 'supp_notes_' || c // 2 || '_' || c % 2, round(w * 0.02 + CASE WHEN c % 2 = 1 THEN w * 0.48 * 0.86 ELSE 0 END, 6), round(h * 0.28 + CASE WHEN c > 1 THEN h * 0.345 * 0.86 ELSE 0 END, 6),
+        round(w * 0.98 - CASE WHEN c % 2 = 0 THEN w * 0.48 * 0.86 ELSE 0 END, 6), round(h * 0.97 - CASE WHEN c < 2 THEN h * 0.345 * 0.86 ELSE 0 END, 6) FROM g"""
+)
 def supplement_zones(spark, sf):
     pages = i.frame(spark, sf, "SELECT o_orderkey AS doc_id, 1 AS page_no, CAST(800 + o_orderkey % 400 AS DOUBLE) AS width, CAST(500 + o_custkey % 300 AS DOUBLE) AS height, 1 + o_orderkey % 15 AS n_pages FROM {orders}")
-    return blocks.supplement_zones(pages).select("doc_id", "zone", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
+    return blocks.supplement_zones(pages).select("doc_id", "zone", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 @query("SELECT o_custkey AS doc_id, count(*) AS total, count(*) FILTER (o_orderkey % 2 = 0) AS found_a, count(*) FILTER (o_orderkey % 3 = 0) AS found_b, count(*) FILTER (o_orderkey % 5 < 2) AS active FROM orders GROUP BY 1")

@@ -136,10 +136,10 @@ def test_folds_against_loops(spark, sf):
     for doc, own in notes.groupby("doc_id"):
         kept: list[list] = []
         for r in own.itertuples():
-            key = re.sub(r"\W+", " ", r.note.lower()).strip()
+            key = " ".join([w for w in re.sub(r"[^\w\s]", " ", r.note.lower()).split() if len(w) > 2][:8])
             for k in kept:
                 a, b = set(k[1].split()), set(key.split())
-                if k[1] == key or (min(len(k[1]), len(key)) >= 10 and (k[1] in key or key in k[1])) or len(a & b) >= min(3, len(a), len(b)):
+                if key and k[1] and (k[1] == key or (min(len(k[1]), len(key)) >= 10 and (k[1] in key or key in k[1])) or len(a & b) >= min(3, len(a), len(b))):
                     if r.quality > k[2]:
                         k[:] = [r.note, key, r.quality]
                     break
@@ -148,6 +148,10 @@ def test_folds_against_loops(spark, sf):
         want += [(doc, n, k[0]) for n, k in enumerate(kept)]
     assert sorted(tuple(r) for r in blocks.merged_notes(i.frame(spark, sf, sq._NOTES)).collect()) == sorted(want) and len(want) < len(notes)
 
+    told = [(1, "Опора 34.10 скользящая"), (2, "Труба 34.10 бесшовная"), (3, "---"), (4, "***"), (5, "Ось"), (6, "ось, на карте")]
+    odd = spark.createDataFrame([(1, n, t, float(n)) for n, t in told], "doc_id long, ord long, note string, quality double")
+    assert sorted((r["place"], r["note"]) for r in blocks.merged_notes(odd).collect()) == [(0, "Труба 34.10 бесшовная"), (1, "---"), (2, "***"), (3, "ось, на карте")]
+
     parts = [(1, 1, "legend", "", "", ["a", "b"]), (1, 2, "legend", "2", "Т", ["b", "c"]), (1, 3, "legend", "", "", ["x"]), (1, 4, "plan", "2", "У", ["q"]), (1, 5, "legend", "", "", ["a", "b", "c", "d"]), (2, 1, "plan", "", "", [])]
     got = blocks.merged_sections(spark.createDataFrame(parts, "doc_id long, ord long, kind string, table_number string, title string, keys array<string>"))
     assert sorted((r["doc_id"], r["first"], list(r["members"]), list(r["keys"]), r["title"], r["table_number"]) for r in got.collect()) == [
