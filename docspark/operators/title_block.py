@@ -67,11 +67,11 @@ def _folded(titles: DataFrame, replaces: bool = False) -> DataFrame:
 
 
 def _once(candidates: DataFrame, maps: DataFrame) -> DataFrame:
-    """Titles that no field of their block tells, polished and readable; stages and dated lines go."""
+    """Those of ``candidates``, which are titles by themselves, that no field of their block tells, polished and readable; dated lines go."""
     none = F.create_map().cast("map<string, string>")
     held = candidates.join(maps, "doc_id", "left").withColumn("fields", F.coalesce("fields", none))
     dated = F.col("title").rlike(r"^\d{1,3}\.\d{2}\.?\s+")
-    good = held.where(~dated & stamp.section_title(F.col("title")) & ~stamp.told_elsewhere(F.col("title"), F.col("fields"))).select("doc_id", "source", "ord", stamp.polished(F.col("title")).alias("title"))
+    good = held.where(~dated & ~stamp.told_elsewhere(F.col("title"), F.col("fields"))).select("doc_id", "source", "ord", stamp.polished(F.col("title")).alias("title"))
     return good.where((sc.readability(F.col("title")) >= 8.0) & ~matches(F.col("title"), r"^подготов\w+\s+период", r"^рабоч\w+\s+документ\w+"))
 
 
