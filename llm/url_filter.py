@@ -1,10 +1,11 @@
 """URL filter: allow and block rules first, then a ratio of character language models.
 
 Two variable-order Markov models, smoothed by interpolated modified Kneser-Ney (``llm.kneser_ney``), are counted over the
-distinct urls that the rules allow and those that they block. A url no rule decides gets the difference of its log
-likelihoods, blocked less allowed, divided by its length. It is blocked above a threshold that is calibrated on urls
-kept out of the counts: halfway between a high quantile of the allowed ones and a low quantile of the blocked ones, but
-never below the former.
+distinct urls that the rules allow and those that they block, without the parts of host and path that rules name: those say which
+rule fits, not what such urls are like. A url no rule decides gets the difference of its log likelihoods, blocked less
+allowed, divided by its length. Hosts fall into two halves, and each url is scored by the models of the half its host is not in, so
+that known hosts have no say. A url is blocked above a threshold that is calibrated on the urls that rules decide, scored
+the same way: halfway between a high quantile of the allowed ones and a low quantile of the blocked ones, but never below the former.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ ORDER = 6
 FALSE_BLOCKS = 0.01
 #: Share of blocked urls that may fall below the threshold.
 MISSED_BLOCKS = 0.1
-#: One in so many rule-decided urls is kept out of the counts for calibration.
-HELD_OUT = 5
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
@@ -50,6 +49,17 @@ def rule_of(host, path, rules=RULES):
     return out
 
 
+def likeness(text, host, path, rule, rules=RULES):
+    """What the models see of a url: not the host and the beginning of the path that its rule names, and so that urls with and without
+    a rule are told alike, neither the last label of the host nor the first segment of the path."""
+    label, segment = F.length(F.regexp_extract(host, r"([^.]*)$", 1)), F.length(F.regexp_extract(path, r"^(/[^/]*/?)", 1))
+    size = lambda part: F.coalesce(F.create_map(*(F.lit(x) for r, _ in rules for x in (r, part(r))))[rule], F.lit(0)) if rules else F.lit(0)
+    named, begun = size(lambda r: r.index("/")), size(lambda r: len(r) - r.index("/"))
+    scheme = F.regexp_extract(text, r"(?s)^(.*?://)", 1)
+    rest = F.substr(text, F.length(scheme) + F.length(host) + F.length(path) + 1)
+    return F.when(scheme != "", F.concat(scheme, F.left(host, F.length(host) - F.greatest(label, named)), F.substr(path, F.greatest(segment, begun) + 1), rest)).otherwise(text)
+
+
 def _ratios(sent, order: int):
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {name: model_of(data, order) for name, data in sent.value.items()}
@@ -57,7 +67,11 @@ def _ratios(sent, order: int):
             grams, places = grams_of(*texts_of(batch.column("text")), order)
             n = np.diff(places)
             log = {name: by_document(model.logs(grams), places) for name, model in held.items()}
-            ratio = np.where(n > 0, (log.get("block", 0) - log.get("allow", 0)) / np.maximum(n, 1), 0.0) if len(log) == 2 else np.zeros(len(n))
+            half = batch.column("half").to_numpy()
+            ratio = np.zeros(len(n))
+            for own, other in ((0, "1"), (1, "0")):
+                if f"block{other}" in log and f"allow{other}" in log:
+                    ratio = np.where((half == own) & (n > 0), (log[f"block{other}"] - log[f"allow{other}"]) / np.maximum(n, 1), ratio)
             yield batch.append_column("ratio", pa.array(ratio))
 
     return ratios
@@ -68,28 +82,29 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A null url and one without ``://`` have an empty host and path, no rule and a ratio like any other text; a null or empty
     text has ratio 0. Without both allowed and blocked urls to learn from, the method allows. Repeated rows are each
-    returned; they count once in the models. Other columns are not read.
+    returned; they count once in the models. Very long urls are scored whole. Other columns are not read, whatever their names.
     """
     spark = pages.sparkSession
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("text"))
     rows = rows.withColumns({"host": host_of(F.col("text")), "path": path_of(F.col("text"))}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = F.create_map(*(F.lit(x) for r in rules for x in r))[F.col("rule")] if rules else F.lit(None).cast("string")
-    rows = rows.withColumn("ruled", F.when(F.col("rule").isNotNull(), ruled))
-    urls = rows.where("ruled is not null").select("text", F.col("ruled").alias("lang")).distinct()
-    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
-    entries = smoothed(gram_counts(urls.where(~held), ORDER), ORDER)
+    rows = rows.withColumn("ruled", F.when(F.col("rule").isNotNull(), ruled)).withColumn("text", likeness(F.col("text"), F.col("host"), F.col("path"), F.col("rule"), rules))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("host"), F.lit(2)).cast("int"))
+    urls = rows.where("ruled is not null").select("text", F.concat("ruled", F.col("half").cast("string")).alias("lang")).distinct()
+    entries = smoothed(gram_counts(urls, ORDER), ORDER)
     if fits(entries):
         sent = spark.sparkContext.broadcast(packed_models(entries))
-        scored = rows.mapInArrow(_ratios(sent, ORDER), "page_id long, text string, host string, path string, rule string, ruled string, ratio double")
+        scored = rows.mapInArrow(_ratios(sent, ORDER), "page_id long, text string, host string, path string, rule string, ruled string, half int, ratio double")
     else:
-        scored = rows.withColumn("tkey", F.xxhash64("text"))
-        texts = scored.select("tkey", "text").where("text is not null").distinct()
+        scored = rows.withColumn("tkey", F.xxhash64("text", "half"))
+        texts = scored.select("tkey", "text", "half").where("text is not null").distinct()
         for name in ("allow", "block"):
-            logs = sharded_scores(texts.select(F.lit(0).cast("long").alias("doc_id"), "tkey", "text", F.lit(name).alias("lang")), entries, ORDER)
+            other = F.concat(F.lit(name), (1 - F.col("half")).cast("string"))
+            logs = sharded_scores(texts.select(F.lit(0).cast("long").alias("doc_id"), "tkey", "text", other.alias("lang")), entries, ORDER)
             scored = scored.join(logs.select("tkey", (F.col("log") / F.col("n")).alias(name)), "tkey", "left")
         scored = scored.withColumn("ratio", F.coalesce(F.col("block") - F.col("allow"), F.lit(0.0)))
     scored = cut(scored.select("page_id", "text", "host", "path", "rule", "ruled", "ratio"), "urls")
-    known = scored.where(held & F.col("ruled").isNotNull())
+    known = scored.where("ruled is not null")
     allowed, blocked = (F.percentile_approx(F.when(F.col("ruled") == name, F.col("ratio")), q, 10_000) for name, q in (("allow", 1 - FALSE_BLOCKS), ("block", MISSED_BLOCKS)))
     low, high = (x or 0.0 for x in known.agg(allowed, blocked).first())
     limit = max(low, (low + high) / 2)
