@@ -30,7 +30,8 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> D
 
     ``trusted(doc_id)`` names the trusted documents. Null, empty and blank texts have no perplexity and are not good. A language without
     trusted text has no threshold and its texts are good. A null language is one of its own, ``und``. Repeated rows are
-    each returned; a null doc_id is returned as null and is never trusted. Other columns are not read.
+    each returned; a null doc_id is returned as null and is never trusted. Very long texts are scored whole. Other columns are not read;
+    an empty table gives an empty one.
     """
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(MISSING)).alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))

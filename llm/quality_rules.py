@@ -124,7 +124,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Null and empty texts count 0 words, fail the counted rules and have no perplexity. A null language is one of its own.
     A text whose language has no band is kept if it passes the counted rules. Repeated rows are each judged and returned;
-    a null doc_id is returned as null. Other columns are not read.
+    a null doc_id is returned as null. Very long texts are counted and scored whole. Other columns are not read; an empty table
+    gives an empty one.
     """
     return judged(docs).drop("tkey")
 

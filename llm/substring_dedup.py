@@ -263,7 +263,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Null or short texts have nothing removed; the digest of no words is that of the empty string. Repeated rows count as
     copies of each other, so their windows are repeated. Rows that share a doc_id but not the text are kept apart. A null
-    doc_id is kept as null. Other columns are not read.
+    doc_id is kept as null. Very long texts are read whole. Other columns are not read; an empty table gives an empty one.
     """
     text_session(docs.sparkSession)
     docs = keyed(docs)

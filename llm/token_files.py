@@ -289,7 +289,11 @@ def read_token_files(spark, folder: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write the blocks to a new folder beside the checkpoints and read them back."""
+    """Write the blocks to a new folder beside the checkpoints and read them back: a row for each row of ``docs``.
+
+    Null and empty texts have the end id only. Repeated rows and rows with a null doc_id, which come first, are each written. Very long
+    texts are encoded whole. Other columns are not read; an empty table gives an empty one.
+    """
     import uuid
 
     folder = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
