@@ -137,9 +137,11 @@ def escalated(asked: DataFrame, hits: DataFrame, least: int = 35) -> DataFrame:
     """kind, ref, step, full, row_ord, score: of ``asked(kind, ref, step, query)`` in order, each query first quick and then full,
     the best row of the first search with a row of at least ``least``; ``hits(query, full, row_ord, score)``.
 
-    A row under the limit never wins later, so the first search that has one above it decides.
+    A row under the limit never wins later, so the first search that has one above it decides. The best row of a query is the same for
+    all that ask it, so a query brings one row to the join.
     """
-    met = asked.join(hits, "query").where(F.col("score") >= least)
+    first = hits.where(F.col("score") >= least).groupBy("query").agg(F.min(F.struct("full", (-F.col("score")).alias("less"), "row_ord", "score")).alias("h"))
+    met = asked.join(first.select("query", "h.full", "h.row_ord", "h.score"), "query")
     best = F.min_by(F.struct("row_ord", "score"), F.struct("step", "full", -F.col("score"), "row_ord"))
     return met.groupBy("kind", "ref").agg(F.min(F.struct("step", "full")).alias("at"), best.alias("best")).select("kind", "ref", "at.step", "at.full", "best.row_ord", "best.score")
 
