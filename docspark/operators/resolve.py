@@ -89,9 +89,10 @@ def family_support(refs: DataFrame, digits: int = 6) -> DataFrame:
 def one_digit_swaps(refs: DataFrame) -> DataFrame:
     """ОСТ references less those that differ in one digit from one of a larger family; equal families keep both."""
     own = family_support(refs).select("doc_id", "ref", g.body_of(F.col("ref")).alias("body"), "support")
-    met = own.withColumn("mask", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1))), lambda i: F.overlay(F.col("body"), F.lit("*"), i, F.lit(1)))))
-    other = met.select("doc_id", "mask", F.col("body").alias("b"), F.col("support").alias("s"))
-    lost = met.join(other, ["doc_id", "mask"]).where("body <> b and s > support").select("doc_id", "ref").distinct()
+    # one body is of one family, so a larger family under a mask is always that of another body: no pairs are made
+    met = own.distinct().withColumn("mask", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1))), lambda i: F.overlay(F.col("body"), F.lit("*"), i, F.lit(1)))))
+    largest = met.groupBy("doc_id", "mask").agg(F.max("support").alias("s"))
+    lost = met.join(largest, ["doc_id", "mask"]).where("s > support").select("doc_id", "ref").distinct()
     return own.join(lost, ["doc_id", "ref"], "left_anti")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import blocks, sections
+from docspark.operators import blocks, resolve, sections
 
 
 def made(df) -> int:
@@ -45,3 +45,11 @@ def test_notes_in_rows_meet_on_rare_grams(spark):
     row = spark.createDataFrame([(1, "Опора неподвижная хомутовая; короткая запись")], "doc_id long, name string")
     assert [r["note"] for r in sections.new_notes(within, row).collect()] == ["короткая запись"]
     assert made(left) < 6000
+
+
+def test_swaps_of_a_digit_make_no_pairs(spark):
+    refs = spark.range(600).select(F.lit(1).cast("long").alias("doc_id"), F.lit("ОСТ").alias("kind"), F.concat(F.lit("ОСТ 34 10."), 700 + F.col("id") % 2 * 100, F.lit("-"), 70 + F.col("id") % 3).alias("ref"))
+    more = refs.where("ref like '%700%'").unionByName(refs)
+    kept = resolve.one_digit_swaps(more)
+    assert {r["ref"][:10] for r in kept.collect()} == {"ОСТ 34 10."} and all("700" in r["ref"] for r in kept.collect())
+    assert made(kept) < 2000
