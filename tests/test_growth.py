@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.functions import sheet
 from docspark.operators import blocks, resolve, sections
 
 
@@ -53,3 +54,10 @@ def test_swaps_of_a_digit_make_no_pairs(spark):
     kept = resolve.one_digit_swaps(more)
     assert {r["ref"][:10] for r in kept.collect()} == {"ОСТ 34 10."} and all("700" in r["ref"] for r in kept.collect())
     assert made(kept) < 2000
+
+
+def test_designations_with_large_keys_are_no_ciphers(spark):
+    df = spark.createDataFrame([(1, 1, "34-43-1000000-78"), (1, 2, "1000 - 0 - ЭМ1"), (2, 1, "34-43-12345678-78")], "doc_id long, ord long, raw string")
+    best = sections.best_ciphers(df).select("doc_id", "cipher", sheet.cipher_rank(F.col("cipher"))["bonus"].alias("bonus"))
+    assert {r["doc_id"]: r["cipher"] for r in best.collect()} == {1: "1000-0-ЭМ1", 2: "34-43-12345678-78"}
+    assert best.where("doc_id = 2").first()["bonus"] == -100
