@@ -20,7 +20,8 @@ DOCUMENTS = (r"(?:VR|УВ|UV)-[\w#\- ]+(?:GT|СТ|CT)[\w#\-]*", r"(?:BNP|БНП)
 CIPHERS = (r"\d{2,6}\s*-\s*\d+\s*-\s*[\wА-Яа-яЁё\d\-]{1,24}", r"\d{3,6}\s*-\s*\d{1,2}\s*[А-ЯA-Za-z][\wА-Яа-яЁё\d\-]{0,20}")
 ORGANISATIONS = (r'РУП\s*["«][^"»\n]{4,80}["»]', r'РУП\s*["«]?\s*[А-ЯA-ZЁ][\wА-Яа-яЁё\-]{4,50}', r'ООО\s+["«][^"»\n]{4,80}["»]', r'ООО\s+[«"]?[\wА-Яа-яЁё\s\-]{4,60}')
 NO_ORGANISATION = (r"поза\s+щита", r"по\s+месту\s+защиты", r"входит\s+\d+\s+комплект")
-CITIES = (r"(минск)\s*(белорус)\w*", r"(?:г\.\s*)?([А-ЯЁ][\wА-Яа-яЁё\-]+(?:\s+[А-ЯЁ][\wА-Яа-яЁё\-]+){0,3})\s*,?\s*(Беларусь|Россия|РБ|РФ)")
+COUNTRIES = "Беларусь|Россия|РБ|РФ"
+CITIES = (r"(минск)\s*(белорус)\w*", rf"(?:г\.\s*)?([А-ЯЁ][\wА-Яа-яЁё\-]+(?:\s+[А-ЯЁ][\wА-Яа-яЁё\-]+){{0,3}})\s*,?\s*({COUNTRIES})")
 FORMAT = r"(?:[Ff]ormat|Формат|Popmam)\s*([AА]\d\s*[x×хX&]?\s*\d+)"
 STAGES = r"(Подготов\w+\s+\w+\s+период|Рабоч\w+\s+документ\w+)"
 QUEUE = r"([I1Il]\s*очеред\w+\s+строитель\w+)"
@@ -132,6 +133,8 @@ def candidates(text: Column, copied: Column) -> Column:
         compact = F.regexp_replace(vr, r"\s+", "")
         letter, number = stage_and_sheet(c)
         cities = [F.concat_ws(" ", *(F.nullif(_in(c, p, g), F.lit("")) for g in (1, 2))) for p in CITIES]
+        # names of places are sought from every word on, so only in texts that name a country
+        cities[1] = F.when(matches(c, COUNTRIES), cities[1]).otherwise("")
         named = F.when(cities[0] != "", F.concat(F.initcap(_in(c, CITIES[0])), F.lit(" Беларусь"))).otherwise(squeezed(cities[1]))
         tail = _in(F.coalesce(copied, F.lit("")), COPIED)
         values = (
@@ -172,8 +175,7 @@ def garbage_title(s: Column) -> Column:
     found = (s == "") | matches(s, *NO_TITLE) | (short >= F.greatest(F.lit(3), F.floor(F.size(words) / 2))) | ((letters > 0) & (sides > 0.35 * letters)) | s.rlike("[а-яё][А-ЯЁ][а-яё][А-ЯЁ]") | shouted
     for opening, unless in OPENINGS:
         found = found | (matches(s, opening) & ~matches(s, unless))
-    reads = sc.readability(s)
-    return found | ((reads < 5.0) & (F.length(s) > 25)) | ((reads < 6.0) & (F.length(s) < 55))
+    return found | let(sc.readability(s), lambda reads: ((reads < 5.0) & (F.length(s) > 25)) | ((reads < 6.0) & (F.length(s) < 55)))
 
 
 @of_squeezed
@@ -195,7 +197,7 @@ def polished(title: Column) -> Column:
     """Without a date before it and single letters of the compass, look-alike letters put right, with a capital."""
     t = F.regexp_replace(squeezed(title), r"^\d{1,3}\.\d{2}\.?\s+", "")
     t = sc.homoglyphs(F.regexp_replace(t, r"^(?:[A-Za-zА-Яа-яЁё] )+(?=\S)", ""))
-    return F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2)))
+    return let(t, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))
 
 
 def title_key(title: Column) -> Column:
@@ -210,10 +212,14 @@ def keys_alike(a: Column, b: Column) -> Column:
 
 def told_elsewhere(title: Column, fields: Column) -> Column:
     """A field of the block (a map) says what the title says: its value stands in the title, or the title in it."""
-    t = F.lower(title)
-    within = lambda v: F.contains(t, F.lower(v)) | F.contains(F.lower(v), t)
     name = F.regexp_extract(F.coalesce(F.try_element_at(fields, F.lit("Организация")), F.lit("")), r'["«]([^"»]{4,60})["»]', 1)
     stage = F.coalesce(F.try_element_at(fields, F.lit("Стадия")), F.lit(""))
-    named = lambda e: e["key"].isin(*NAMED_ELSEWHERE) & (within(e["value"]) | keys_alike(title_key(title), title_key(e["value"])))
-    listed = F.exists(F.map_entries(fields), lambda e: (e["value"] != "") & (named(e) | ((F.length(e["value"]) >= 8) & within(e["value"]))))
-    return listed | ((F.length(name) >= 5) & within(name)) | ((stage != "") & F.contains(t, F.lower(stage)))
+
+    def told(x: Column) -> Column:
+        t, key = x["t"], x["key"]
+        within = lambda v: F.contains(t, F.lower(v)) | F.contains(F.lower(v), t)
+        named = lambda e: e["key"].isin(*NAMED_ELSEWHERE) & (within(e["value"]) | let(title_key(e["value"]), lambda v: keys_alike(key, v)))
+        listed = F.exists(F.map_entries(fields), lambda e: (e["value"] != "") & (named(e) | ((F.length(e["value"]) >= 8) & within(e["value"]))))
+        return listed | ((F.length(name) >= 5) & within(name)) | ((stage != "") & F.contains(t, F.lower(stage)))
+
+    return let(F.struct(F.lower(title).alias("t"), title_key(title).alias("key")), told)

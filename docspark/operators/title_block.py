@@ -25,8 +25,10 @@ def fields(docs: DataFrame) -> DataFrame:
     each = docs.select("doc_id", F.posexplode(stamp.candidates(F.col("text"), copied)).alias("rule", "c")).select("doc_id", "rule", "c.*")
     won = each.groupBy("doc_id", "field").agg(F.max_by("value", "rule").alias("value"))
     letter = (F.col("field") == "Стадия") & matches(F.col("value"), "[СРПТ]", whole=True)
-    moved = won.where(letter).select("doc_id", F.lit("Стадия (обозначение)").alias("field"), F.upper("value").alias("value"), F.lit(1).alias("later"))
-    good = won.where(~stamp.garbage_value(F.col("field"), F.col("value"))).withColumn("later", F.lit(0)).unionByName(moved)
+    # both rows from one pass over the values: two filters of ``won`` would have every text read twice
+    kept = lambda ok, field, value, later: F.when(ok, F.struct(field.alias("field"), value.alias("value"), F.lit(later).alias("later")))
+    both = F.array(kept(~stamp.garbage_value(F.col("field"), F.col("value")), F.col("field"), F.col("value"), 0), kept(letter, F.lit("Стадия (обозначение)"), F.upper("value"), 1))
+    good = won.select("doc_id", F.explode(F.array_compact(both)).alias("x")).select("doc_id", "x.*")
     once = good.groupBy("doc_id", "field").agg(F.min_by("value", "later").alias("value"))
     place = F.array_position(F.array(*map(F.lit, stamp.FIELDS)), F.col("field"))
     return once.select("doc_id", place.cast("int").alias("place"), "field", "value").where("place > 0")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.functions import sheet
-from docspark.operators import blocks, resolve, sections
+from docspark.operators import blocks, resolve, sections, title_block
+from docspark.plans import inputs as i
 
 
 def made(df) -> int:
@@ -61,3 +62,17 @@ def test_designations_with_large_keys_are_no_ciphers(spark):
     best = sections.best_ciphers(df).select("doc_id", "cipher", sheet.cipher_rank(F.col("cipher"))["bonus"].alias("bonus"))
     assert {r["doc_id"]: r["cipher"] for r in best.collect()} == {1: "1000-0-ЭМ1", 2: "34-43-12345678-78"}
     assert best.where("doc_id = 2").first()["bonus"] == -100
+
+
+def test_rows_of_one_file_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = i.frame(spark, str(tmp_path), "SELECT p_partkey FROM {part}")
+    assert df.rdd.getNumPartitions() >= 8 and df.count() == 20_000
+    assert i.frame(spark, str(tmp_path), "SELECT p_partkey FROM {part} WHERE p_partkey < 0").count() == 0
+
+
+def test_fields_read_a_text_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Стадия П\nМасштаб 1:500")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    found = title_block.fields(spark.read.parquet(str(tmp_path / "docs")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {(r["field"], r["value"]) for r in found.collect()} == {("Стадия (обозначение)", "П"), ("Масштаб", "1:500")}
