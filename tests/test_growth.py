@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.functions import scalar as sc
 from docspark.functions import sheet
 from docspark.operators import blocks, resolve, sections, title_block
 from docspark.plans import inputs as i
@@ -76,3 +77,19 @@ def test_fields_read_a_text_once(spark, tmp_path):
     found = title_block.fields(spark.read.parquet(str(tmp_path / "docs")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert {(r["field"], r["value"]) for r in found.collect()} == {("Стадия (обозначение)", "П"), ("Масштаб", "1:500")}
+
+
+def test_readability_is_what_it_was(spark):
+    texts = ["", "ab", "Опора скользящая", "ОПОРА  bcd |©[]_`", "бвгджз ссссс Ёлка", None, "12345 — аеё", "план План ПЛАН ыыы"]
+    want = []
+    for t in texts:
+        s = " ".join((t or "").split())
+        n = sum(c in "ёЁ" or "А" <= c <= "я" for c in s)
+        share = sum(c in "аеёиоуыэюя" for c in s.lower()) / max(n, 1)
+        score = share * 40 + min(n, 80) * 0.15 - (18 if share < 0.18 or share > 0.62 else 0)
+        score -= sum("a" <= c.lower() <= "z" for c in s) * 4 + sum(c in "|©[]_`" for c in s) * 6
+        runs = lambda k, ok: any(all(ok(s.lower()[a], c) for c in s.lower()[a : a + k]) and len(s[a : a + k]) == k for a in range(len(s)))  # noqa: E731, B023
+        score -= (12 if runs(5, lambda _, c: c in "бвгджзклмнпрстфхцчшщ") else 0) + (8 if runs(4, lambda f, c: c == f) else 0)
+        want.append(-100.0 if len(s) < 3 else -50.0 if n < 3 else score)
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(sc.readability(F.col("t"))).collect()]
+    assert [round(x, 9) for x in got] == [round(x, 9) for x in want]
