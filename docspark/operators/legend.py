@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import legend as lg
 from docspark.functions import rows as r
 from docspark.functions import scalar as sc
 from docspark.operators.extract import first_of
+from docspark.plans.settle import settled
 
 #: Notes of a document at most, and lines around a block among which its title is sought.
 MOST_NOTES, REACH = 60, 11
@@ -37,18 +38,25 @@ def bodies(docs: DataFrame) -> DataFrame:
     return lines.where(~F.col("named") | ((F.col("ended") == 0) & ~skipped)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
+def read_once(rows: DataFrame, text: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value``, which depends on nothing but the column ``text`` (never null), computed once for each different text."""
+    return rows.join(rows.select(text).distinct().withColumn(name, value), text)
+
+
 def notes(docs: DataFrame, most: int = MOST_NOTES) -> DataFrame:
     """doc_id, place, note: the first ``most`` different notes of each document's legend, clean, without those that are none."""
-    found = bodies(docs).select("doc_id", "line_no", F.explode(F.array(lg.note_of(F.col("line")))).alias("note")).where("note is not null")
+    lines = settled(bodies(docs))
+    found = read_once(lines, "line", lg.note_of(F.col("line")), "note").where("note is not null").select("doc_id", "line_no", "note")
     once = first_of(found.withColumn("key", F.lower("note")), ["doc_id", "key"], ["line_no"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    kept = once.withColumn("place", place).where(F.col("place") <= most)
-    return kept.where(~lg.garbage_note(F.col("note"))).select("doc_id", "place", lg.clean_note(F.col("note")).alias("note"))
+    kept = settled(once.withColumn("place", place).where(F.col("place") <= most).select("doc_id", "place", "note"))
+    told = read_once(kept, "note", F.when(~lg.garbage_note(F.col("note")), lg.clean_note(F.col("note"))), "clean")
+    return told.where("clean is not null").select("doc_id", "place", F.col("clean").alias("note"))
 
 
 def separate_notes(found: DataFrame, most: int = MOST_NOTES) -> DataFrame:
     """doc_id, place, note: notes that ran together, apart, and each once."""
-    parts = found.select("doc_id", "place", F.posexplode(lg.notes_within(F.col("note"))).alias("part", "note"))
+    parts = read_once(settled(found), "note", lg.notes_within(F.col("note")), "parts").select("doc_id", "place", F.posexplode("parts").alias("part", "note"))
     once = first_of(parts.withColumn("key", F.lower("note")), ["doc_id", "key"], ["place", "part"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "part"))
     return once.withColumn("new", place).where(F.col("new") <= most).select("doc_id", F.col("new").alias("place"), "note")

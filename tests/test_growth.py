@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import scalar as sc
 from docspark.functions import sheet
-from docspark.operators import blocks, resolve, sections, title_block
+from docspark.operators import blocks, legend, resolve, sections, title_block
 from docspark.plans import inputs as i
 
 
@@ -93,3 +93,10 @@ def test_readability_is_what_it_was(spark):
         want.append(-100.0 if len(s) < 3 else -50.0 if n < 3 else score)
     got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(sc.readability(F.col("t"))).collect()]
     assert [round(x, 9) for x in got] == [round(x, 9) for x in want]
+
+
+def test_equal_texts_are_read_once(spark):
+    rows = spark.range(60).select(F.col("id"), F.concat(F.lit("строка "), F.col("id") % 4).alias("line"))
+    got = legend.read_once(rows, "line", F.uuid(), "v").collect()
+    assert sorted(r["id"] for r in got) == list(range(60))
+    assert len({(r["line"], r["v"]) for r in got}) == 4
