@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from docspark.functions import grammar as g
+from docspark.functions import lines as ln
 from docspark.functions import scalar as sc
 from docspark.functions import sheet
-from docspark.operators import blocks, legend, resolve, sections, title_block
+from docspark.operators import blocks, extract, layout, legend, parsers, resolve, rewriting, sections, title_block
 from docspark.plans import inputs as i
+from docspark.plans import queries, sheet_queries  # noqa: F401
 
 
 def made(df) -> int:
@@ -100,3 +106,15 @@ def test_equal_texts_are_read_once(spark):
     got = legend.read_once(rows, "line", F.uuid(), "v").collect()
     assert sorted(r["id"] for r in got) == list(range(60))
     assert len({(r["line"], r["v"]) for r in got}) == 4
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_a_query_are_computed_once(spark):
+    refs = spark.createDataFrame([("ОСТ", "ОСТ 34 10.567-83"), ("ТУ", "ТУ 14-3-123-80"), ("СН", ""), ("СП", None)], "kind string, ref string")
+    read = refs.select(g.query_variants(F.col("kind"), F.col("ref")).alias("v"))
+    assert planned(read).count("regexp_") < 60
+    got = [r["v"] for r in read.collect()]
+    assert got[0][:2] == ["ОСТ 34 10.567-83", "34 10.567-83"] and "14-3-123" in got[1] and got[2:] == [["СП"], ["СН"]]
