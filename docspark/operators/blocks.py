@@ -155,18 +155,20 @@ def second_pass(refs: DataFrame, first: DataFrame, again: DataFrame) -> DataFram
     return out.withColumn("status", F.when(ok, F.col("s1")).otherwise(F.coalesce("s2", "s1", F.lit("skipped")))).withColumn("pass", F.when(ok, 1).otherwise(2)).drop("s1", "s2")
 
 
-def spans_of_words(words: DataFrame, refs: DataFrame, reach: int = 6) -> DataFrame:
+def spans_of_words(words: DataFrame, refs: DataFrame, reach: int = 6, extra: int = 22) -> DataFrame:
     """doc_id, page_no, kind, ref, first, last: the shortest runs of at most ``reach`` words from a token of the kind that read as the
-    reference. ``words(doc_id, page_no, ord, text)``; words meet references on the kind and on the digits of the number's
-    beginning, never all with all."""
+    reference (``lines.phrase_names``). ``words(doc_id, page_no, ord, text)``; a run is read once and meets references on the kind and on
+    all digits by which it names them, so numbers that begin alike are not paired."""
     w = Window.partitionBy("doc_id", "page_no").orderBy("ord").rowsBetween(0, reach - 1)
     runs = words.withColumn("run", F.collect_list(F.struct("ord", "text")).over(w))
     kinds = F.array_compact(F.array(*(F.when(ln.kind_token(F.col("text"), F.lit(k)), F.lit(k)) for k in ln.KIND_TOKENS)))
-    starts = runs.withColumn("kind", F.explode(kinds))
+    # a page is one task of the window, but its runs are read by all tasks
+    starts = runs.withColumn("kind", F.explode(kinds)).repartition("doc_id", "page_no", "ord")
     each = starts.select("doc_id", "page_no", "kind", F.col("ord").alias("first"), F.posexplode(F.expr("transform(sequence(1, size(run)), n -> struct(run[n - 1].ord as last, array_join(transform(slice(run, 1, n), x -> x.text), ' ') as phrase))")).alias("n", "x"))
     each = each.select("doc_id", "page_no", "kind", "first", "x.last", "x.phrase").withColumn("head", F.left(g.digits(F.regexp_replace("phrase", r"^\S+", "")), F.lit(3))).where(F.length("head") == 3)
-    asked = refs.select("doc_id", "kind", "ref").distinct().withColumn("head", F.left(g.digits(g.number_of(F.col("ref"))), F.lit(3)))
-    met = each.join(asked, ["doc_id", "kind", "head"]).where(ln.phrase_names(F.col("phrase"), F.col("kind"), F.col("ref")))
+    read = each.select("doc_id", "page_no", "kind", "first", "last", "head", g.once(ln.phrase_parts(F.col("phrase"), F.col("kind"))).alias("p")).where("p.named").select("doc_id", "page_no", "kind", "first", "last", "head", "p.run", "p.length")
+    asked = refs.select("doc_id", "kind", "ref").distinct().select("*", F.left(g.digits(g.number_of(F.col("ref"))), F.lit(3)).alias("head"), F.explode(ln.phrase_runs(F.col("ref"))).alias("run"))
+    met = read.join(asked, ["doc_id", "kind", "head", "run"]).where(F.col("length") <= F.length("ref") + extra)
     return met.groupBy("doc_id", "page_no", "kind", "ref", "first").agg(F.min("last").alias("last"))
 
 
