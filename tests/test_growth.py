@@ -121,6 +121,26 @@ def test_runs_of_words_meet_whole_numbers(spark):
     assert not any("regexp" in x for x in planned(found).splitlines() if "Join" in x)
 
 
+def test_texts_are_rewritten_once(spark):
+    sources = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(1).alias("source_ord"), F.lit("по Г0СТ 1234-75 и ОСТ 34 10.567-83").alias("text"))
+    found = extract.outermost(extract.spans(sources))
+    assert planned(found).count("read_text(") == 1
+    assert {r["ref"] for r in found.collect()} == {"ГОСТ 1234-75", "ОСТ 34 10.567-83"} and found.count() == 6
+
+
+def test_rules_left_out_find_nothing():
+    """Texts of pieces that the rules look for read the same with all rules tried."""
+    bits = ["г о с т", "Г0СТ", "goct", "ост", "0СТ", "сб", "ct5", "с т п", "TKP +5", "с н и п", "chip", "СН", "hrr", "ту", "(ту\n", "PA", "с о", "с СО 34", "npb", "34 10.567-97", "1234-75", "3,05.44-85", "2073-2010", "1234-19 75", "-8512ОСТ 34", "-80ГОСТ 5", "согласно ", "ТНПА", ";", "\n", "|", " - ", "\t–\t", "25х2", "\n12 1234-5678", "ſt", "К", " ", "12", "+5"]
+    draw = random.Random(3)
+    for _ in range(1500):
+        text = draw.choice(("", " ")).join(draw.choices(bits, k=draw.randint(1, 9)))
+        want, rules = text, rewriting._RULES
+        for pattern, new in rules:
+            want = pattern.sub(new, want)
+        edits = rewriting.whole_years(want)
+        assert rewriting.rewrite(text)[0] == (rewriting.edited(want, np.arange(len(want) + 1), edits)[0] if edits else want)
+
+
 def test_parts_of_a_query_are_computed_once(spark):
     refs = spark.createDataFrame([("ОСТ", "ОСТ 34 10.567-83"), ("ТУ", "ТУ 14-3-123-80"), ("СН", ""), ("СП", None)], "kind string, ref string")
     read = refs.select(g.query_variants(F.col("kind"), F.col("ref")).alias("v"))
