@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import grammar as g
 from docspark.operators.extract import first_of
+from docspark.plans.settle import settled
 
 
 def source_votes(readings: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def number_conflicts(votes: DataFrame) -> DataFrame:
     """Pairs of one document and kind, of compatible years, whose bodies are one substitution or one to two further digits
     apart, with the reading that loses: fewer votes, then the shorter body; equal ones both stay (loser null).
 
-    Bodies of one length meet on the body with one digit masked, which two of them share at most once; others on the whole
+    ``votes`` is computed once, however many sides of the joins read it. Bodies of one length meet on the body with one digit masked, which two of them share at most once; others on the whole
     shorter body, which only longer ones offer as a prefix. So no document's readings are paired with each other at large.
     """
-    keyed = votes.select("doc_id", "kind", "ref", "votes", g.body_of(F.col("ref")).alias("body"), g.year_of(F.col("ref")).alias("year")).where("body <> ''")
+    keyed = settled(votes.select("doc_id", "kind", "ref", "votes", g.body_of(F.col("ref")).alias("body"), g.year_of(F.col("ref")).alias("year"))).where("body <> ''")
     side = lambda df, name: df.select("doc_id", "kind", "key", *(F.col(c).alias(f"{c}_{name}") for c in ("ref", "votes", "body", "year")))
     masks = F.transform(F.sequence(F.lit(1), F.length("body")), lambda i: F.overlay(F.col("body"), F.lit("*"), i, F.lit(1)))
     masked = keyed.where("kind <> 'ОСТ'").withColumn("key", F.explode(masks))
@@ -67,6 +68,7 @@ def number_conflicts(votes: DataFrame) -> DataFrame:
 
 
 def without_conflicts(votes: DataFrame) -> DataFrame:
+    votes = settled(votes)
     losers = number_conflicts(votes).where("loser is not null").select("doc_id", "kind", F.col("loser").alias("ref")).distinct()
     return votes.join(losers, ["doc_id", "kind", "ref"], "left_anti")
 

@@ -141,6 +141,13 @@ def test_rules_left_out_find_nothing():
         assert rewriting.rewrite(text)[0] == (rewriting.edited(want, np.arange(len(want) + 1), edits)[0] if edits else want)
 
 
+def test_votes_are_counted_once(spark):
+    readings = spark.range(40).select(F.lit(1).alias("doc_id"), (F.col("id") % 3).alias("source_ord"), F.lit("ГОСТ").alias("kind"), F.concat(F.lit("ГОСТ "), 1230 + F.col("id") % 4, F.lit("-80")).alias("ref"))
+    pairs, kept = resolve.number_conflicts(resolve.source_votes(readings)), resolve.without_conflicts(resolve.source_votes(readings))
+    assert planned(pairs).count("Range (") == 0 and planned(kept).count("Range (") == 0
+    assert pairs.count() == 6 and kept.count() == 4
+
+
 def test_parts_of_a_query_are_computed_once(spark):
     refs = spark.createDataFrame([("ОСТ", "ОСТ 34 10.567-83"), ("ТУ", "ТУ 14-3-123-80"), ("СН", ""), ("СП", None)], "kind string, ref string")
     read = refs.select(g.query_variants(F.col("kind"), F.col("ref")).alias("v"))
