@@ -55,11 +55,13 @@ def word_duplicates(words: DataFrame, ratio: float = 0.62, cell: float = 50.0) -
 
 
 def same_line(words: DataFrame, reach: int = 13) -> DataFrame:
-    """Pairs of words at most ``reach`` apart whose centres are within max(3.5, 0.55 of the lower height)."""
-    a = words.select("doc_id", "page_no", "ord", "y0", "y1").withColumn("at", F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + reach)))
-    b = words.select("doc_id", "page_no", F.col("ord").alias("at"), F.col("y0").alias("v0"), F.col("y1").alias("v1"))
+    """Pairs of words at most ``reach`` apart whose centres are within max(3.5, 0.55 of the lower height). A window brings the words
+    behind each word, so the words are dealt once and not once for each place they may meet in."""
+    behind = Window.partitionBy("doc_id", "page_no").orderBy("ord").rangeBetween(1, reach)
+    met = words.select("doc_id", "page_no", "ord", "y0", "y1", F.collect_list(F.struct("ord", F.col("y0").alias("v0"), F.col("y1").alias("v1"))).over(behind).alias("behind"))
+    pairs = met.select("doc_id", "page_no", F.col("ord").alias("first"), "y0", "y1", F.explode("behind").alias("b")).select("*", "b.v0", "b.v1")
     near = F.abs((F.col("y0") + F.col("y1")) / 2 - (F.col("v0") + F.col("v1")) / 2) <= F.greatest(F.lit(3.5), 0.55 * F.least(F.col("y1") - F.col("y0"), F.col("v1") - F.col("v0")))
-    return a.join(b, ["doc_id", "page_no", "at"]).where(near).select("doc_id", "page_no", F.col("ord").alias("first"), F.col("at").alias("second"))
+    return pairs.where(near).select("doc_id", "page_no", "first", F.col("b.ord").alias("second"))
 
 
 def upper_median_height(words: DataFrame) -> DataFrame:

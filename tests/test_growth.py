@@ -154,3 +154,10 @@ def test_parts_of_a_query_are_computed_once(spark):
     assert planned(read).count("regexp_") < 60
     got = [r["v"] for r in read.collect()]
     assert got[0][:2] == ["ОСТ 34 10.567-83", "34 10.567-83"] and "14-3-123" in got[1] and got[2:] == [["СП"], ["СН"]]
+
+
+def test_words_of_a_line_are_dealt_once(spark):
+    words = spark.range(60).select((F.col("id") % 2).alias("doc_id"), F.lit(1).alias("page_no"), F.floor(F.col("id") / 2).alias("ord"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("y1"))
+    pairs = layout.same_line(words)
+    assert "Join" not in planned(pairs)
+    assert sorted(map(tuple, pairs.select("doc_id", "first", "second").collect())) == [(d, a, b) for d in (0, 1) for a in range(30) for b in range(a + 1, min(a + 14, 30))]
