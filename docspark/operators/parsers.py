@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions import grammar as g
 from docspark.functions import lines as ln
 from docspark.functions import sheet
 from docspark.operators import blocks, tables
@@ -30,7 +31,7 @@ def specification(lines: DataFrame) -> DataFrame:
     head = blocks.merged_headers(lines).groupBy("doc_id").agg(F.min(F.struct("line_no", "n_lines")).alias("h")).select("doc_id", (F.col("h.line_no") + F.col("h.n_lines")).alias("begin"))
     below = lines.join(head, "doc_id").where("line_no >= begin")
     rows = below.select("doc_id", "line_no", F.posexplode(sheet.spec_position(F.col("line"))).alias("piece", "text"))
-    return rows.select("doc_id", "line_no", "piece", ln.loose_row(F.col("text")).alias("row")).where("row.pos <> '—'").select("doc_id", "line_no", "piece", "row.*")
+    return rows.select("doc_id", "line_no", "piece", g.once(ln.loose_row(F.col("text"))).alias("row")).where("row.pos <> '—'").select("doc_id", "line_no", "piece", "row.*")
 
 
 def titles_of_blocks(lines: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def titles_of_blocks(lines: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, role, name, date: the first row of each role in a document."""
-    found = lines.select("doc_id", "line_no", ln.signature(F.col("line")).alias("s")).where("s is not null").select("doc_id", "line_no", "s.*")
+    found = lines.select("doc_id", "line_no", g.once(ln.signature(F.col("line"))).alias("s")).where("s is not null").select("doc_id", "line_no", "s.*")
     return first_of(found, ["doc_id", "role"], ["line_no"])
 
 

@@ -156,6 +156,16 @@ def test_parts_of_a_query_are_computed_once(spark):
     assert got[0][:2] == ["ОСТ 34 10.567-83", "34 10.567-83"] and "14-3-123" in got[1] and got[2:] == [["СП"], ["СН"]]
 
 
+def test_lines_are_read_once(spark):
+    lines = spark.range(30).select(F.col("id").alias("doc_id"), F.lit(1).alias("line_no"), F.when(F.col("id") % 2 == 0, "| Разраб. | Иванов | | 11.25 |").otherwise("ГИП | 123 | -").alias("line"))
+    signed = parsers.signatures(lines)
+    assert planned(signed).count("гип") == 1
+    assert {tuple(r)[2:5] for r in signed.collect()} == {("Разраб.", "Иванов", "11.25")} and signed.count() == 15
+    read = lines.select(ln.loose_row(F.concat(F.lit("12 ТМ-7 Опора стальная "), F.col("doc_id"))).alias("row"))
+    assert planned(read).count("наименован") < 12
+    assert read.where("row.qty = '7'").first()["row"].asDict() == {"pos": "12", "designation": "ТМ-7", "name": "Опора стальная", "qty": "7"}
+
+
 def test_words_of_a_line_are_dealt_once(spark):
     words = spark.range(60).select((F.col("id") % 2).alias("doc_id"), F.lit(1).alias("page_no"), F.floor(F.col("id") / 2).alias("ord"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("y1"))
     pairs = layout.same_line(words)
