@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.functions import grammar as g
 from docspark.functions import lines as ln
 from docspark.operators import blocks, dataset, history, parsers, sections
 from docspark.plans import inputs as i
@@ -59,8 +60,9 @@ def requirements(spark, sf):
 
 @query(f"SELECT doc_id, line_no, k % 8 IN (0, 3, 4, 6, 7) AS loose, k % 8 IN (1, 2) AS header, CASE WHEN k % 8 = 3 THEN 'ТМ-' || CAST(k AS STRING) WHEN k % 8 IN (0, 4, 6, 7) THEN '—' END AS designation, CASE WHEN k % 8 = 3 THEN '6' WHEN k % 8 IN (0, 4, 6, 7) THEN '—' END AS qty FROM {L}")
 def spec_lines(spark, sf):
-    row = ln.loose_row(F.col("line"))
-    return lines(spark, sf).select("doc_id", "line_no", row.isNotNull().alias("loose"), ln.column_header(F.col("line")).alias("header"), row["designation"].alias("designation"), row["qty"].alias("qty"))
+    told = lines(spark, sf).select("doc_id", "line_no", "line", g.once(ln.column_header(F.col("line"))).alias("header"))
+    read = told.select("doc_id", "line_no", "header", g.once(ln.loose_row(F.col("line"), F.col("header"))).alias("row"))
+    return read.select("doc_id", "line_no", F.col("row").isNotNull().alias("loose"), "header", F.col("row.designation").alias("designation"), F.col("row.qty").alias("qty"))
 
 
 @query(
@@ -303,7 +305,7 @@ def sheet_predicates(spark, sf):
     raw = F.when(k % 3 == 0, " - Опора   скользящая |").when(k % 3 == 1, "support").otherwise("Масса ед.")
     kind = ln.section_kind(F.when(k % 4 == 0, "legend").otherwise("table"), F.when(k % 4 == 1, "Перечень аппаратуры").otherwise("Т"), F.lit(0), F.when(k % 4 == 2, 5).otherwise(0), F.lit(9))
     row = F.when(k % 2 == 0, F.create_map(F.lit("Наименование"), F.col("p_name"))).when(k % 4 == 1, F.create_map(F.lit("note"), F.lit("7 Опора стальная"))).otherwise(F.create_map(F.lit("note"), F.lit("12")))
-    return table(spark, sf, "part").select(k.cast("long").alias("ord"), ln.legend_line(line).alias("legend"), ln.bom_name(raw).alias("name"), kind.alias("kind"), ln.spec_columns(row)["name"].alias("column_name"), F.url_encode("p_name").alias("encoded"))
+    return i.frame(spark, sf, "SELECT p_partkey, p_name FROM {part}").select(k.cast("long").alias("ord"), ln.legend_line(line).alias("legend"), ln.bom_name(raw).alias("name"), kind.alias("kind"), ln.spec_columns(row)["name"].alias("column_name"), F.url_encode("p_name").alias("encoded"))
 
 
 @query(f"SELECT doc_id, kind, min(ord) AS ord FROM ({i.plain(queries._SECTIONS)}) WHERE kind IN ('explication', 'legend') GROUP BY 1, 2")

@@ -171,3 +171,8 @@ def test_words_of_a_line_are_dealt_once(spark):
     pairs = layout.same_line(words)
     assert "Join" not in planned(pairs)
     assert sorted(map(tuple, pairs.select("doc_id", "first", "second").collect())) == [(d, a, b) for d in (0, 1) for a in range(30) for b in range(a + 1, min(a + 14, 30))]
+
+
+def test_predicates_of_one_file_are_dealt(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert sheet_queries.sheet_predicates(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
