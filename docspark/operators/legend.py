@@ -74,10 +74,16 @@ def block_titles(lines: DataFrame, blocks: DataFrame, reach: int = REACH) -> Dat
     w = Window.partitionBy("doc_id").orderBy("line_no")
     ahead = F.array("line", *(F.lead("line", k).over(w) for k in range(1, 4)))
     line = F.col("line")
-    told = lines.select("doc_id", "line_no", "line", ahead.alias("ahead")).select(
-        "doc_id", "line_no", "line", r.column_header(line).alias("head"), lg.title_line(line).alias("like"), lg.clean_title(r.squeezed(line)).alias("clean"), lg.label_and_title(line).alias("inline"),
-        r.matches(line, r.TABLE_LABEL).alias("label"), *(F.when(r.opens(line, k), lg.title_of_lines(F.col("ahead"), k)).otherwise("").alias(k) for k in ("explication", "legend")),
-        *(F.when(r.opens(line, k), lg.anchored_title(line, k)).otherwise("").alias(f"{k}_line") for k in ("explication", "legend")),
+    kinds = ("explication", "legend")
+    own = F.struct(
+        r.column_header(line).alias("head"), lg.title_line(line).alias("like"), lg.clean_title(r.squeezed(line)).alias("clean"), lg.label_and_title(line).alias("inline"), r.matches(line, r.TABLE_LABEL).alias("label"),
+        *(r.opens(line, k).alias(f"opens_{k}") for k in kinds), *(F.when(r.opens(line, k), lg.anchored_title(line, k)).otherwise("").alias(f"{k}_line") for k in kinds),
+    )
+    # what a line says by itself is read once for each different line
+    told = read_once(lines.select("doc_id", "line_no", "line", ahead.alias("ahead")), "line", own, "told").select("doc_id", "line_no", "line", "ahead", "told.*")
+    told = told.select(
+        "doc_id", "line_no", "line", "head", "like", "clean", "inline", "label", *(F.when(F.col(f"opens_{k}"), lg.title_of_lines(F.col("ahead"), k)).otherwise("").alias(k) for k in kinds),
+        *(f"{k}_line" for k in kinds),
     )
     around = blocks.withColumn("line_no", F.explode(F.sequence(F.greatest(F.col("start_line") - reach, F.lit(0)), F.greatest(F.col("end_line") - 1, F.col("start_line"))))).where("line_no < end_line")
     near = around.withColumn("line_no", F.col("line_no").cast(lines.schema["line_no"].dataType)).join(told, ["doc_id", "line_no"])

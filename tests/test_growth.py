@@ -176,3 +176,10 @@ def test_words_of_a_line_are_dealt_once(spark):
 def test_predicates_of_one_file_are_dealt(spark, tmp_path):
     spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert sheet_queries.sheet_predicates(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
+
+
+def test_lines_around_blocks_are_read_once(spark):
+    lines = spark.range(40).select((F.col("id") / 4).cast("long").alias("doc_id"), (F.col("id") % 4).cast("int").alias("line_no"), F.element_at(F.array(F.lit("Таблица 1"), F.lit("Разрезы первого участка"), F.lit("Наименование | Кол."), F.lit("1 Труба")), (F.col("id") % 4 + 1).cast("int")).alias("line"))
+    found = legend.block_titles(lines, spark.range(10).select(F.col("id").alias("doc_id"), F.lit(1).alias("block_no"), F.lit(0).alias("start_line"), F.lit(4).alias("end_line"), F.lit("table").alias("kind")))
+    assert any("Join Inner, (line#" in x for x in planned(found).splitlines())
+    assert {tuple(r)[2:] for r in found.collect()} == {("between", "Разрезы первого участка")} and found.count() == 10
