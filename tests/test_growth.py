@@ -11,7 +11,7 @@ from docspark.functions import grammar as g
 from docspark.functions import lines as ln
 from docspark.functions import scalar as sc
 from docspark.functions import sheet
-from docspark.operators import blocks, extract, layout, legend, parsers, resolve, rewriting, sections, title_block
+from docspark.operators import blocks, extract, layout, legend, parsers, resolve, rewriting, sections, specification, title_block
 from docspark.plans import inputs as i
 from docspark.plans import queries, sheet_queries  # noqa: F401
 
@@ -183,3 +183,19 @@ def test_lines_around_blocks_are_read_once(spark):
     found = legend.block_titles(lines, spark.range(10).select(F.col("id").alias("doc_id"), F.lit(1).alias("block_no"), F.lit(0).alias("start_line"), F.lit(4).alias("end_line"), F.lit("table").alias("kind")))
     assert any("Join Inner, (line#" in x for x in planned(found).splitlines())
     assert {tuple(r)[2:] for r in found.collect()} == {("between", "Разрезы первого участка")} and found.count() == 10
+
+
+def test_lines_of_specifications_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for row in rows:
+            read.add(1)
+            yield row
+
+    text = ["Поз. | Обозначение | Наименование | Кол.", "1 | ТМ-1 | Реле времени | 2", "по ГОСТ 8731-74", "Опора"]
+    rows = [(k, n, line) for k in range(6) for n, line in enumerate(text if k % 2 else [text[0], *text[2:]])]
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted), "doc_id long, line_no int, line string")
+    got = specification.specification(lines).collect()
+    assert sorted((r["doc_id"], r["reading"], r["name"]) for r in got) == [(k, "columns", "Реле времени") if k % 2 else (k, "standards", "Опора") for k in range(6)]
+    assert read.value == len(rows)
