@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import grammar as g
 from docspark.functions import lines as ln
+from docspark.functions import rows
 from docspark.functions import scalar as sc
 from docspark.functions import sheet
 from docspark.operators import blocks, extract, layout, legend, parsers, resolve, rewriting, sections, specification, title_block
@@ -218,3 +219,13 @@ def test_mergeable_sections_meet_once(spark):
     assert made(pairs) <= 2 * len(want)
     many = df.crossJoin(spark.range(300)).select((F.col("id") * 10 + F.col("doc_id")).alias("doc_id"), "ord", "kind", "table_number", "keys")
     assert sections.mergeable(many).rdd.getNumPartitions() >= 10
+
+
+def test_openings_are_sought_at_their_letters(spark):
+    texts = ["Спецификация оборудования", "СПЕЦИФИКАЦИИ зданий", "продолжение таблицы 2", "Поз. обозначение", "лист эксплуатационных зданий", "Экспликация", "перечень аппаратуры", "условные знаки", "ЛЕГЕНДА", "сведения об условных обозначениях", "Реле времени", "", "12"]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string")
+    for kinds in (("specification",), ("legend", "explication")):
+        asked = rows.opens(F.col("line"), *kinds)
+        plain = rows.matches(F.col("line"), *(p for k in kinds for p in rows.ANCHORS[k]))
+        assert [tuple(r) for r in lines.select(asked, plain).collect()] == [(v, v) for (v,) in lines.select(plain).collect()]
+        assert "(?=[" in planned(lines.select(asked))
