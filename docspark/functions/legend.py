@@ -72,19 +72,29 @@ def note_line(line: Column) -> Column:
 def note_of(line: Column) -> Column:
     """The note of a line: the last of its cells that is one where bars part it, else itself; null without one."""
     cells = F.filter(F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-    last = F.when(F.size(cells) >= 2, F.try_element_at(F.filter(cells, note_line), F.lit(-1)))
-    return F.nullif(bare_line(F.when(line.contains("|"), last).otherwise(F.when(note_line(line), line))), F.lit(""))
+    texts = F.when(~line.contains("|"), F.array(line)).otherwise(let(cells, lambda c: F.when(F.size(c) >= 2, c)))
+    return F.nullif(bare_line(F.try_element_at(F.filter(texts, note_line), F.lit(-1))), F.lit(""))
 
 
 def notes_within(note: Column, most: int = 50) -> Column:
     """The notes of a text in which several ran together: its numbered parts, else its parts between separators where two of
     them can be notes, else itself; texts under 45 characters are one note."""
-    good = lambda parts, least: F.slice(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: (F.length(p) >= least) & ~garbage_note(p)), 1, most)
     none = F.array().cast("array<string>")
 
     def split(n: Column) -> Column:
-        numbered, parted = r.glued_rows(n), good(F.split(n, SEPARATORS), 10)
-        return F.when(F.length(n) < 45, F.when(n == "", none).otherwise(F.array(n))).when(F.size(numbered) >= 2, good(numbered, 8)).otherwise(let(parted, lambda p: F.when(F.size(p) >= 2, p).when(garbage_note(n), none).otherwise(F.array(n))))
+        return F.when(F.length(n) < 45, F.when(n == "", none).otherwise(F.array(n))).otherwise(let(r.glued_rows(n), lambda numbered: parted(n, numbered)))
+
+    def parted(n: Column, numbered: Column) -> Column:
+        # the parts and the whole are tested in one place, the whole as the last of them
+        several = F.size(numbered) >= 2
+        parts = F.when(several, numbered).otherwise(F.concat(F.split(n, SEPARATORS), F.array(n)))
+        tested = F.transform(F.transform(parts, lambda p: F.trim(p)), lambda p: F.struct(p.alias("p"), ((F.length(p) >= F.when(several, 8).otherwise(10)) & ~garbage_note(p)).alias("good")))
+        return let(tested, lambda x: chosen(n, x, several))
+
+    def chosen(n: Column, tested: Column, several: Column) -> Column:
+        good = lambda x: F.slice(F.transform(F.filter(x, lambda y: y["good"]), lambda y: y["p"]), 1, most)
+        within = let(good(F.slice(tested, F.lit(1), F.size(tested) - 1)), lambda p: F.when(F.size(p) >= 2, p).when(~F.element_at(tested, -1)["good"], none).otherwise(F.array(n)))
+        return F.when(several, good(tested)).otherwise(within)
 
     return let(clean_note(note), split)
 
@@ -123,25 +133,42 @@ def label_and_title(line: Column) -> Column:
 
 def anchored_title(line: Column, kind: str) -> Column:
     """The title that begins with the anchor of a kind of section on a line; empty without."""
+    return clean_title(anchored_text(r.squeezed(line), kind))
+
+
+def anchored_text(s: Column, kind: str) -> Column:
+    """What ``anchored_title`` makes a title of, in a squeezed line."""
     anchor = "|".join(f"(?:{p})" for p in r.ANCHORS[kind])
-    found = F.regexp_extract(r.squeezed(line), f"(?iU)(?:{anchor}){TITLE_TAIL}", 0)
-    return clean_title(F.trim(F.regexp_replace(found, f"(?iU){TITLE_ENDS}", "")))
+    found = F.regexp_extract(s, f"(?iU)(?:{anchor}){TITLE_TAIL}", 0)
+    return F.trim(F.regexp_replace(found, f"(?iU){TITLE_ENDS}", ""))
+
+
+def told_line(s: Column, head: Column, opens: dict[str, Column], titles: dict[str, Column]) -> Column:
+    """What titles over several lines ask of a squeezed line: the columns' ``head``, and for each kind whether it opens one and its title."""
+    goes_on = s.rlike("(?iU)^[а-яёa-z]") & (F.length(s) < 100)
+    own = (s.alias("s"), ((s == "") | head).alias("stop"), r.matches(s, r.TABLE_LABEL).alias("label"), goes_on.alias("goes_on"), r.matches(s, r"^\d{1,2}\s+").alias("numbered"))
+    return F.struct(*own, *(opens[k].alias(f"opens_{k}") for k in opens), *(titles[k].alias(f"title_{k}") for k in titles))
 
 
 def title_of_lines(lines: Column, kind: str) -> Column:
     """A title over up to four lines, the first of which is anchored: further anchored lines and lines that go on in small letters,
     up to a head or the label of a table."""
+    of = lambda x: let(r.squeezed(x), lambda s: told_line(s, r.column_header(s), {kind: r.opens(s, kind)}, {kind: anchored_title(s, kind)}))
+    return clean_title(joined_title(F.transform(lines, of), kind))
+
+
+def joined_title(told: Column, kind: str) -> Column:
+    """The title over ``told``, an array of ``told_line``, as it stands there; a missing line ends it."""
 
     def step(state: Column, x: Column) -> Column:
-        ln, first = r.squeezed(x["line"]), x["n"] == 0
-        anchored = r.opens(ln, kind)
-        stop = (ln == "") | r.column_header(ln) | (~first & r.matches(ln, r.TABLE_LABEL))
-        goes_on = ln.rlike("(?iU)^[а-яёa-z]") & (F.length(ln) < 100)
-        more = F.when(anchored, anchored_title(ln, kind)).when(goes_on & (F.size(state["parts"]) > 0) & ~r.matches(ln, r"^\d{1,2}\s+"), ln).otherwise("")
+        of, first = x["of"], x["n"] == 0
+        anchored, goes_on = of[f"opens_{kind}"], of["goes_on"]
+        stop = of.isNull() | of["stop"] | (~first & of["label"])
+        more = F.when(anchored, of[f"title_{kind}"]).when(goes_on & (F.size(state["parts"]) > 0) & ~of["numbered"], of["s"]).otherwise("")
         ends = ~first & ~anchored & (F.size(state["parts"]) > 0) & ~goes_on
         parts = F.when((more == "") | ends, state["parts"]).otherwise(F.concat(state["parts"], F.array(more)))
         return F.when(state["done"] | stop, F.struct(state["parts"].alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(parts.alias("parts"), ends.alias("done")))
 
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("n"), F.coalesce(x, F.lit("")).alias("line")))
+    numbered = F.transform(told, lambda x, i: F.struct(i.alias("n"), x.alias("of")))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("done"))
-    return clean_title(F.array_join(F.aggregate(numbered, start, step, lambda s: s["parts"]), " "))
+    return F.array_join(F.aggregate(numbered, start, step, lambda s: s["parts"]), " ")

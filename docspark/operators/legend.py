@@ -9,7 +9,7 @@ from docspark.functions import legend as lg
 from docspark.functions import rows as r
 from docspark.functions import scalar as sc
 from docspark.operators.extract import first_of
-from docspark.plans.settle import settled
+from docspark.plans.settle import sent, settled
 
 #: Notes of a document at most, and lines around a block among which its title is sought.
 MOST_NOTES, REACH = 60, 11
@@ -40,7 +40,7 @@ def bodies(docs: DataFrame) -> DataFrame:
 
 def read_once(rows: DataFrame, text: str, value: Column, name: str) -> DataFrame:
     """``rows`` with ``value``, which depends on nothing but the column ``text`` (never null), computed once for each different text."""
-    return rows.join(rows.select(text).distinct().withColumn(name, value), text)
+    return rows.join(sent(settled(rows.select(text).distinct().withColumn(name, value)), text), text)
 
 
 def notes(docs: DataFrame, most: int = MOST_NOTES) -> DataFrame:
@@ -62,6 +62,37 @@ def separate_notes(found: DataFrame, most: int = MOST_NOTES) -> DataFrame:
     return once.withColumn("new", place).where(F.col("new") <= most).select("doc_id", F.col("new").alias("place"), "note")
 
 
+#: Kinds of sections whose name can be the title of a block.
+KINDS = ("explication", "legend")
+
+
+def _told(lines: DataFrame) -> DataFrame:
+    """What a line says by itself, once for each different line: the head of columns, a line like a title, titles by its label and its
+    anchors, and what it adds to a title between label and heads, as the first line of a block and as a later one. In steps, so that each
+    rule stands in one plan once."""
+    line, s = F.col("line"), F.col("s")
+    behind = F.trim(F.regexp_extract(s, rf"(?iU){r.TABLE_LABEL}(.*)$", 1))
+    rest = r.squeezed(F.regexp_replace(F.trim(line), rf"(?iU)^{r.TABLE_LABEL}\s*", ""))
+    own = lines.select("line").distinct().withColumn("s", r.squeezed(line))
+    own = own.select("line", "s", r.column_header(s).alias("head"), r.matches(line, r.TABLE_LABEL).alias("label"), *(r.opens(line, k).alias(f"opens_{k}") for k in KINDS), F.array(line, behind, rest).alias("texts"))
+    own = settled(own.withColumn("likes", F.transform("texts", lg.title_line)))
+    inline = F.when((F.length(F.col("texts")[1]) >= 5) & F.col("likes")[1], F.col("texts")[1]).otherwise("")
+    firsts = F.filter(F.array(inline, F.when(F.col("label") & F.col("likes")[2], F.col("texts")[2]).otherwise("")), lambda t: t != "")
+    own = own.withColumn("firsts", firsts)
+    titles = F.array(s, inline, F.array_join("firsts", " "), *(F.when(F.col(f"opens_{k}"), lg.anchored_text(s, k)).otherwise("") for k in KINDS))
+    own = settled(own.withColumn("titles", F.transform(titles, lg.clean_title)))
+    like, by_kind = F.col("likes")[0], {k: F.col("titles")[3 + n] for n, k in enumerate(KINDS)}
+    later = F.when(~F.col("head") & ~line.rlike(r"^\s*\d{1,2}\s+[А-ЯA-Z]"), F.when(like, s).when(by_kind["explication"] != "", by_kind["explication"]).otherwise(by_kind["legend"])).otherwise("")
+    own = own.withColumn("later", later)
+    parts = lambda texts, clean: F.struct(texts.alias("parts"), clean.alias("clean"))
+    own = own.select(
+        "line", "head", like.alias("like"), F.col("titles")[0].alias("clean"), F.col("titles")[1].alias("inline"), parts(F.col("firsts"), F.col("titles")[2]).alias("firsts"),
+        parts(F.filter(F.array("later"), lambda t: t != ""), F.when(F.col("later") == "", "").otherwise(lg.clean_title(F.col("later")))).alias("next"),
+        lg.told_line(s, F.col("head"), {k: F.col(f"opens_{k}") for k in KINDS}, by_kind).alias("of"),
+    )
+    return sent(settled(own), "line")
+
+
 def block_titles(lines: DataFrame, blocks: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, block_no, tier, title over ``lines(doc_id, line_no, line)`` and ``blocks(doc_id, block_no, start_line, end_line, kind)``
     (end_line is the first line behind the block).
@@ -72,18 +103,11 @@ def block_titles(lines: DataFrame, blocks: DataFrame, reach: int = REACH) -> Dat
     lines that begins with an explication or a legend. Without any of them the title is empty.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    ahead = F.array("line", *(F.lead("line", k).over(w) for k in range(1, 4)))
-    line = F.col("line")
-    kinds = ("explication", "legend")
-    own = F.struct(
-        r.column_header(line).alias("head"), lg.title_line(line).alias("like"), lg.clean_title(r.squeezed(line)).alias("clean"), lg.label_and_title(line).alias("inline"), r.matches(line, r.TABLE_LABEL).alias("label"),
-        *(r.opens(line, k).alias(f"opens_{k}") for k in kinds), *(F.when(r.opens(line, k), lg.anchored_title(line, k)).otherwise("").alias(f"{k}_line") for k in kinds),
-    )
-    # what a line says by itself is read once for each different line
-    told = read_once(lines.select("doc_id", "line_no", "line", ahead.alias("ahead")), "line", own, "told").select("doc_id", "line_no", "line", "ahead", "told.*")
-    told = told.select(
-        "doc_id", "line_no", "line", "head", "like", "clean", "inline", "label", *(F.when(F.col(f"opens_{k}"), lg.title_of_lines(F.col("ahead"), k)).otherwise("").alias(k) for k in kinds),
-        *(f"{k}_line" for k in kinds),
+    line, told = F.col("line"), lines.select("doc_id", "line_no", "line").join(_told(lines), "line")
+    ahead = told.select("*", F.array("of", *(F.lead("of", k).over(w) for k in range(1, 4))).alias("ahead"))
+    over = F.transform(F.array(*(F.when(F.col(f"of.opens_{k}"), lg.joined_title(F.col("ahead"), k)) for k in KINDS)), lambda t: F.when(t.isNull(), "").otherwise(lg.clean_title(t)))
+    told = ahead.withColumn("over", over).select(
+        "doc_id", "line_no", F.col("of.s").alias("s"), "head", "like", "clean", "inline", "firsts", "next", *(F.col("over")[n].alias(k) for n, k in enumerate(KINDS)),
     )
     around = blocks.withColumn("line_no", F.explode(F.sequence(F.greatest(F.col("start_line") - reach, F.lit(0)), F.greatest(F.col("end_line") - 1, F.col("start_line"))))).where("line_no < end_line")
     near = around.withColumn("line_no", F.col("line_no").cast(lines.schema["line_no"].dataType)).join(told, ["doc_id", "line_no"])
@@ -92,23 +116,21 @@ def block_titles(lines: DataFrame, blocks: DataFrame, reach: int = REACH) -> Dat
     near = near.withColumn("head_at", head_at).withColumn("until", F.coalesce("head_at", F.col("end_line")))
     first, above = F.col("line_no") == F.col("start_line"), F.col("line_no") < F.col("until")
     # parts of a title between label and heads, in the order of lines
-    rest = r.squeezed(F.regexp_replace(F.trim(line), rf"(?iU)^{r.TABLE_LABEL}\s*", ""))
-    of_first = F.filter(F.array(F.col("inline"), F.when(F.col("label") & lg.title_line(rest), rest).otherwise("")), lambda t: t != "")
-    anchored = F.when(F.col("explication_line") != "", F.col("explication_line")).otherwise(F.col("legend_line"))
-    of_next = F.when(~F.col("head") & ~line.rlike(r"^\s*\d{1,2}\s+[А-ЯA-Z]"), F.when(F.col("like"), r.squeezed(line)).otherwise(anchored)).otherwise("")
-    own = F.when(first, of_first).when(inside & above, F.filter(F.array(of_next), lambda t: t != "")).otherwise(F.array().cast("array<string>"))
-    near = near.withColumn("own", own)
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "own"))), lambda x: x["own"]))
+    own = F.when(first, F.col("firsts")).when(inside & above, F.col("next"))
+    near = near.withColumn("own", F.when(F.size(own["parts"]) > 0, own))
+    parts = F.array_sort(F.collect_list(F.when(F.col("own").isNotNull(), F.struct("line_no", "own"))))
     distance = F.when(F.col("head_at").isNotNull(), F.col("head_at") - F.col("line_no")).otherwise(F.col("line_no") - F.col("start_line") + 1)
     offset = F.abs(F.col("line_no") - F.col("start_line"))
     close = F.col("like") & (F.col("clean") != "") & offset.between(1, reach) & (F.col("head_at").isNull() | above)
     longest = lambda k: F.max_by(k, F.when(inside & (F.col(k) != "") & F.col("kind").isin(k, "", "table"), F.struct(F.length(k), -F.col("line_no"))))
     tiers = near.groupBy("doc_id", "block_no").agg(
-        parts.alias("parts"), F.max(F.when(first, F.col("inline"))).alias("inline"), F.min_by("clean", F.when(inside & above & F.col("like"), F.struct(distance, -F.length(r.squeezed(line)), "line_no"))).alias("above"),
+        parts.alias("parts"), F.max(F.when(first, F.col("inline"))).alias("inline"), F.min_by("clean", F.when(inside & above & F.col("like"), F.struct(distance, -F.length("s"), "line_no"))).alias("above"),
         F.min_by("clean", F.when(close, F.struct(offset, "line_no"))).alias("near"), longest("explication").alias("explication"), longest("legend").alias("legend"),
     )
     of_anchor = F.when(F.length(F.coalesce("legend", F.lit(""))) > F.length(F.coalesce("explication", F.lit(""))), F.col("legend")).otherwise(F.coalesce("explication", "legend"))
-    values = {"between": lg.clean_title(F.array_join("parts", " ")), "label": lg.clean_title(F.coalesce("inline", F.lit(""))), "above": F.col("above"), "near": F.col("near"), "anchor": of_anchor}
+    # the parts of one line were made a title with it
+    between = F.when(F.size("parts") <= 1, F.try_element_at("parts", F.lit(1))["own"]["clean"]).otherwise(lg.clean_title(F.array_join(F.flatten(F.transform("parts", lambda x: x["own"]["parts"])), " ")))
+    values = {"between": between, "label": F.col("inline"), "above": F.col("above"), "near": F.col("near"), "anchor": of_anchor}
     found = F.filter(F.array(*(F.struct(F.lit(k).alias("tier"), v.alias("title")) for k, v in values.items())), lambda x: F.coalesce(x["title"], F.lit("")) != "")
     out = tiers.select("doc_id", "block_no", F.try_element_at(found, F.lit(1)).alias("t"))
     return blocks.select("doc_id", "block_no").join(out, ["doc_id", "block_no"], "left").select("doc_id", "block_no", F.col("t.tier").alias("tier"), F.coalesce("t.title", F.lit("")).alias("title"))
