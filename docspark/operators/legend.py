@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import legend as lg
 from docspark.functions import rows as r
-from docspark.functions import scalar as sc
+from docspark.functions.grammar import let, once
 from docspark.operators.extract import first_of
 from docspark.plans.settle import sent, settled
 
@@ -16,7 +16,8 @@ MOST_NOTES, REACH = 60, 11
 
 
 def _any(kind: str) -> str:
-    return "(?iU)" + "|".join(f"(?:{p})" for p in r.ANCHORS[kind])
+    # as in ``rows.opens``: places that begin with no first letter of a pattern are passed at once
+    return "(?iU)" + f"(?=[{''.join(sorted({p[0] for p in r.ANCHORS[kind]}))}])(?:" + "|".join(f"(?:{p})" for p in r.ANCHORS[kind]) + ")"
 
 
 def bodies(docs: DataFrame) -> DataFrame:
@@ -24,18 +25,40 @@ def bodies(docs: DataFrame) -> DataFrame:
 
     A legend goes from its name to a specification; where nothing is left of it, to an explication. A line that opens either ends it.
     """
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"))
-    to_spec, to_plan = (F.regexp_replace(sc.block_between(text, _any("legend"), _any(k)), r"(?iU)^(?:" + _any("legend").removeprefix("(?iU)") + ")", "") for k in ("specification", "explication"))
-    body = F.coalesce(F.nullif(F.trim(to_spec), F.lit("")), F.nullif(F.trim(to_plan), F.lit("")))
-    chosen = docs.select("doc_id", F.coalesce(body, text).alias("text"), body.isNotNull().alias("named"))
+    return _bodies(docs).select("doc_id", "line_no", "line")
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    """``bodies`` with what their lines say by themselves: the ``note`` of each and its ``clean`` form."""
+    def body(text: Column) -> Column:
+        # from the first name of a legend on; without one no part of the text is its body
+        return let(F.regexp_instr(text, F.lit(_any("legend"))), lambda at: F.when(at > 0, let(F.substr(text, at), lambda rest: F.coalesce(until(rest, "specification"), until(rest, "explication")))))
+
+    def until(rest: Column, kind: str) -> Column:
+        block = let(F.regexp_instr(F.substr(rest, F.lit(2)), F.lit(_any(kind))), lambda stop: F.trim(F.when(stop > 0, F.left(rest, stop)).otherwise(rest)))
+        return F.nullif(F.trim(F.regexp_replace(block, "(?iU)^(?:" + _any("legend").removeprefix("(?iU)") + ")", "")), F.lit(""))
+
+    texts = docs.select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")).alias("text"))
+    chosen = texts.select("doc_id", "text", once(body(F.col("text"))).alias("body")).select("doc_id", F.coalesce("body", "text").alias("text"), F.col("body").isNotNull().alias("named"))
     lines = chosen.select("doc_id", "named", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    cols = r.matches(line, r"обозначение\s+примечан")
-    heads = r.matches(line, r"^таблица\s*\d") | r.matches(line, *r.NO_DATA)
-    lines = lines.withColumns({"ends": F.col("named") & r.opens(line, "specification", "explication"), "columns": cols, "opens": F.when(cols & ~r.matches(line, r"^таблица\s*\d"), F.lit(True)).otherwise(~heads)})
+    lines = settled(lines)
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    lines = lines.join(_notes_told(lines), "line").withColumn("ends", F.col("named") & F.col("ends"))
     lines = lines.withColumns({"ended": F.max(F.col("ends").cast("int")).over(w), "begun": F.max(F.col("opens").cast("int")).over(w), "before": F.coalesce(F.max(F.col("opens").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     skipped = (F.col("begun") == 0) | ((F.col("before") == 0) & F.col("columns"))
-    return lines.where(~F.col("named") | ((F.col("ended") == 0) & ~skipped)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    return lines.where(~F.col("named") | ((F.col("ended") == 0) & ~skipped)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "note", "clean")
+
+
+def _notes_told(lines: DataFrame) -> DataFrame:
+    """What a line of a legend says by itself, once for each different line: whether it ends or opens one or names its columns, the note
+    it holds, and that note clean, null where it is none."""
+    line = F.col("line")
+    cols, label = r.matches(line, r"обозначение\s+примечан"), r.matches(line, r"^таблица\s*\d")
+    opens = F.when(cols & ~label, F.lit(True)).otherwise(~(label | r.matches(line, *r.NO_DATA)))
+    told = lines.select("line").distinct().select("line", r.opens(line, "specification", "explication").alias("ends"), cols.alias("columns"), opens.alias("opens"))
+    told = settled(told.withColumn("note", lg.note_of(line)))
+    good = F.when(F.col("note").isNotNull(), ~lg.garbage_note(F.col("note")))
+    return sent(settled(told.withColumn("good", good).withColumn("clean", F.when(F.col("good"), lg.clean_note(F.col("note"))))), "line")
 
 
 def read_once(rows: DataFrame, text: str, value: Column, name: str) -> DataFrame:
@@ -45,21 +68,20 @@ def read_once(rows: DataFrame, text: str, value: Column, name: str) -> DataFrame
 
 def notes(docs: DataFrame, most: int = MOST_NOTES) -> DataFrame:
     """doc_id, place, note: the first ``most`` different notes of each document's legend, clean, without those that are none."""
-    lines = settled(bodies(docs))
-    found = read_once(lines, "line", lg.note_of(F.col("line")), "note").where("note is not null").select("doc_id", "line_no", "note")
-    once = first_of(found.withColumn("key", F.lower("note")), ["doc_id", "key"], ["line_no"])
+    found = _bodies(docs).where("note is not null").select("doc_id", "line_no", "note", "clean")
+    first = first_of(found.withColumn("key", F.lower("note")), ["doc_id", "key"], ["line_no"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    kept = settled(once.withColumn("place", place).where(F.col("place") <= most).select("doc_id", "place", "note"))
-    told = read_once(kept, "note", F.when(~lg.garbage_note(F.col("note")), lg.clean_note(F.col("note"))), "clean")
-    return told.where("clean is not null").select("doc_id", "place", F.col("clean").alias("note"))
+    kept = first.withColumn("place", place).where(F.col("place") <= most)
+    return kept.where("clean is not null").select("doc_id", "place", F.col("clean").alias("note"))
 
 
 def separate_notes(found: DataFrame, most: int = MOST_NOTES) -> DataFrame:
     """doc_id, place, note: notes that ran together, apart, and each once."""
-    parts = read_once(settled(found), "note", lg.notes_within(F.col("note")), "parts").select("doc_id", "place", F.posexplode("parts").alias("part", "note"))
-    once = first_of(parts.withColumn("key", F.lower("note")), ["doc_id", "key"], ["place", "part"])
+    # dealt by document once, for both windows
+    parts = read_once(settled(found), "note", lg.notes_within(F.col("note")), "parts").repartition("doc_id").select("doc_id", "place", F.posexplode("parts").alias("part", "note"))
+    first = first_of(parts.withColumn("key", F.lower("note")), ["doc_id", "key"], ["place", "part"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "part"))
-    return once.withColumn("new", place).where(F.col("new") <= most).select("doc_id", F.col("new").alias("place"), "note")
+    return first.withColumn("new", place).where(F.col("new") <= most).select("doc_id", F.col("new").alias("place"), "note")
 
 
 #: Kinds of sections whose name can be the title of a block.

@@ -21,3 +21,14 @@ def test_rules_of_titles_stand_in_the_plan_once(spark):
     assert [tuple(r)[2:] for r in found.orderBy("doc_id").collect()] == [
         ("between", "Схема труб Схема труб Разрезы первого участка Экспликация зданий и"), ("between", "Экспликация зданий и сооружений"), ("between", "Сооружений"),
     ]
+
+
+def test_lines_of_legends_are_told_once(spark):
+    text = "Условные обозначения\nТаблица 3\n— Граница участка работ\n1 | | Ось трассы водопровода\nОсь трассы водопровода\nСпецификация\nТруба"
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    found = legend.notes(docs)
+    # no rule is left for the lines of each document, and the told lines are sent to them
+    assert "координат" not in planned(legend.bodies(docs)) + planned(found) and "rightHint=(strategy=broadcast)" in planned(found)
+    assert {tuple(r)[1:] for r in found.collect()} == {(1, "Граница участка работ"), (2, "Ось трассы водопровода")} and found.count() == 100
+    parts = legend.separate_notes(found)
+    assert "координат" not in planned(parts) and parts.count() == 100
