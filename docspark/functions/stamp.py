@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ FORMAT = r"(?:[Ff]ormat|Формат|Popmam)\s*([AА]\d\s*[x×хX&]?\s*\d+)"
 STAGES = r"(Подготов\w+\s+\w+\s+период|Рабоч\w+\s+документ\w+)"
 QUEUE = r"([I1Il]\s*очеред\w+\s+строитель\w+)"
 LETTERS = (r"стадия[^\wА-Яа-я]{0,12}([СРПР])\b", r"(?:^|[\s|])ст\.?\s*([СРПР])\b")
-LETTER_AND_SHEET = r"\b([СРПР])\b[^0-9]{0,16}(\d{1,3})\b"
+LETTER_AND_SHEET = r"(?=[СРП])\b([СРПР])\b[^0-9]{0,16}(\d{1,3})\b"
 SHEETS = (r"(?:^|[\s|])лист[^\d]{0,8}(\d{1,3})\b", r"(?:^|[\s|])л\.?\s*(\d{1,3})\b")
 SHEET_COUNT = r"листов[^\d]{0,8}(\d{1,3})\b"
 COPIED = r"копиров\w*\s*[:\s]+([А-ЯA-Z][а-яё]{3,})"
@@ -70,6 +72,20 @@ def _in(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, f"(?iU){pattern}", group)
 
 
+def folded(c: Column) -> Column:
+    """A text in which each letter is the one that patterns without case know it by."""
+    return F.lower(F.upper(c))
+
+
+def _naming(low: Column, stems: tuple[str, ...], value: Column) -> Column:
+    """``value`` where a folded text holds one of the stems, without which no pattern of it is found; else empty."""
+    return F.when(reduce(Column.__or__, (low.contains(stem) for stem in stems)), value).otherwise("")
+
+
+def _bound(**values: Column) -> Column:
+    return F.struct(*(v.alias(k) for k, v in values.items()))
+
+
 def _first(*found: Column) -> Column:
     return F.coalesce(*(F.nullif(f, F.lit("")) for f in found), F.lit(""))
 
@@ -95,26 +111,37 @@ def organisation(text: Column) -> Column:
         no = matches(o, *NO_ORGANISATION)
         return F.struct(F.when(no, -50).otherwise(kind).alias("kind"), *(F.when(no, 0).otherwise(v).alias(k) for k, v in (("letters", cyrillic(o)), ("noise", -F.regexp_count(o, F.lit(r"[|©\[\]_`]"))), ("size", F.length(o)))))
 
-    whole = squeezed(best_of(every, rank))
+    whole = let(every, lambda e: squeezed(best_of(e, rank)))
     return F.regexp_replace(F.regexp_replace(whole, "(?iu)бейнипи", "БЕЛНИПИ"), "(?iu)энергопром", "ЭНЕРГОПРОМ")
 
 
 def sheet_format(text: Column) -> Column:
     v = F.translate(F.regexp_replace(_in(text, FORMAT), r"\s+", ""), "×х&Аа", "xx4Aa")
     v = F.regexp_replace(F.regexp_replace(v, "(?iu)^a(?:ф)", "a4"), r"(?iu)^a4x([^\d])", "a4x4")
-    return F.when(v != "", F.concat(F.lit("Формат "), v)).otherwise("")
+    return let(v, lambda v: F.when(v != "", F.concat(F.lit("Формат "), v)).otherwise(""))
+
+
+def stage_and_sheet(text: Column, low: Column) -> Column:
+    """``letter`` of the stage, and ``sheet`` beside it or by its name, with the number of sheets. ``low``: the text, folded."""
+    number_of = lambda n: F.when(n != "", n.try_cast("int"))
+    good = lambda n: F.when(number_of(n).between(1, 999), n)
+    begins = lambda stem: (f" {stem}", f"|{stem}")
+    at_start = lambda stem: F.startswith(low, F.lit(stem))
+    names = F.when(at_start("ст"), _in(text, LETTERS[1])).otherwise(_naming(low, begins("ст"), _in(text, LETTERS[1])))
+    sheets = [F.when(at_start(s), _in(text, p)).otherwise(_naming(low, begins(s), _in(text, p))) for s, p in zip(("лист", "л"), SHEETS, strict=True)]
+    found = _bound(stage=_naming(low, ("стадия",), _in(text, LETTERS[0])), short=names, beside=_in(text, LETTER_AND_SHEET, 0), by_name=sheets[0], by_letter=sheets[1], total=_naming(low, ("листов",), _in(text, SHEET_COUNT)))
 
+    def of(x: Column) -> Column:
+        # what was found is the shortest text in which the pattern finds the same parts
+        parts = _bound(named=F.when(x["stage"] != "", x["stage"]).otherwise(x["short"]), letter=_in(x["beside"], LETTER_AND_SHEET, 1), number=_in(x["beside"], LETTER_AND_SHEET, 2), by=F.coalesce(good(x["by_name"]), good(x["by_letter"])))
+        return let(parts, lambda y: both(x, y))
 
-def stage_and_sheet(text: Column) -> tuple[Column, Column]:
-    """The letter of the stage, and the sheet beside it or by its name, with the number of sheets."""
-    named = _first(*(_in(text, p) for p in LETTERS))
-    beside, number = _in(text, LETTER_AND_SHEET, 1), _in(text, LETTER_AND_SHEET, 2)
-    free = (named == "") & ~matches(_in(text, LETTER_AND_SHEET, 0), r"[-–−]\d{1,3}$") & number.try_cast("int").between(1, 999)
-    good = lambda n: F.when(n.try_cast("int").between(1, 999), n)
-    by_name = F.coalesce(*(good(_in(text, p)) for p in SHEETS))
-    total = _in(text, SHEET_COUNT)
-    sheet_no = F.when(F.coalesce(free, F.lit(False)), number.try_cast("int").cast("string")).when(total != "", F.concat_ws(" / ", by_name, F.when(by_name.isNotNull(), total))).otherwise(by_name)
-    return F.upper(_first(named, beside)), F.coalesce(sheet_no, F.lit(""))
+    def both(x: Column, y: Column) -> Column:
+        free = (y["named"] == "") & ~matches(x["beside"], r"[-–−]\d{1,3}$") & number_of(y["number"]).between(1, 999)
+        sheet_no = F.when(F.coalesce(free, F.lit(False)), y["number"].try_cast("int").cast("string")).when(x["total"] != "", F.concat_ws(" / ", y["by"], F.when(y["by"].isNotNull(), x["total"]))).otherwise(y["by"])
+        return _bound(letter=F.upper(F.when(y["named"] != "", y["named"]).otherwise(y["letter"])), sheet=F.coalesce(sheet_no, F.lit("")))
+
+    return let(found, of)
 
 
 def person(raw: Column) -> Column:
@@ -125,32 +152,50 @@ def person(raw: Column) -> Column:
     return F.when(no, "").otherwise(name)
 
 
+def near_country(c: Column) -> Column:
+    """The part of a text of single spaces in which a place with its country can stand: what is seven words and more before the first
+    name of a country is left out, as a place has four words and a sign at most."""
+    at = F.regexp_instr(c, F.lit(f"(?iU){COUNTRIES}"))
+    return let(at, lambda at: F.when(at > 0, F.concat(F.substring_index(F.left(c, at - 1), " ", -7), F.substr(c, at))).otherwise(""))
+
+
 def candidates(text: Column, copied: Column) -> Column:
     """Every value found for a field, in the order in which later ones win: array of (field, value). ``text`` is on one line;
     ``copied`` the first line that says who copied."""
-    def found(c: Column) -> Column:
-        vr, bnp = (_in(c, p, 0) for p in DOCUMENTS)
-        compact = F.regexp_replace(vr, r"\s+", "")
-        letter, number = stage_and_sheet(c)
-        cities = [F.concat_ws(" ", *(F.nullif(_in(c, p, g), F.lit("")) for g in (1, 2))) for p in CITIES]
-        # names of places are sought from every word on, so only in texts that name a country
-        cities[1] = F.when(matches(c, COUNTRIES), cities[1]).otherwise("")
-        named = F.when(cities[0] != "", F.concat(F.initcap(_in(c, CITIES[0])), F.lit(" Беларусь"))).otherwise(squeezed(cities[1]))
-        tail = _in(F.coalesce(copied, F.lit("")), COPIED)
+    def parts(c: Column, low: Column) -> Column:
+        place = lambda p: F.struct(*(_in(c, p, k).alias(f"p{k}") for k in (1, 2)))
+        none = F.struct(F.lit("").alias("p1"), F.lit("").alias("p2"))
+        named = lambda stems: reduce(Column.__or__, (low.contains(s) for s in stems))
+        return _bound(
+            vr=_naming(low, ("vr-", "ув-", "uv-"), _in(c, DOCUMENTS[0], 0)), bnp=_naming(low, ("bnp", "бнп"), _in(c, DOCUMENTS[1], 0)), stage=stage_and_sheet(c, low),
+            # names of places are sought from every word on, so only in texts that name a country
+            minsk=F.when(named(("минск",)), place(CITIES[0])).otherwise(none), city=F.when(named(("беларусь", "россия", "рб", "рф")), let(near_country(c), lambda t: F.struct(*(_in(t, CITIES[1], k).alias(f"p{k}") for k in (1, 2))))).otherwise(none),
+            cipher=F.when(c.contains("-"), let(ciphers(c), lambda e: best_of(e, sheet.cipher_rank))).otherwise(""), organisation=_naming(low, ("руп", "ооо"), organisation(c)),
+            format=_naming(low, ("format", "формат", "popmam"), sheet_format(c)), stages=_naming(low, ("подготов", "рабоч"), _in(c, STAGES)), queue=_naming(low, ("очеред",), _in(c, QUEUE)),
+            tail=F.when(copied.isNotNull(), _in(copied, COPIED)).otherwise(""),
+        )
+
+    def found(c: Column, x: Column) -> Column:
+        said = lambda p: F.concat_ws(" ", *(F.when(p[k] != "", p[k]) for k in ("p1", "p2")))
+        named = F.when(said(x["minsk"]) != "", F.concat(F.initcap(x["minsk"]["p1"]), F.lit(" Беларусь"))).otherwise(squeezed(said(x["city"])))
         values = (
-            ("Обозначение документа", sheet.cipher(F.regexp_replace(F.replace(compact, F.lit("УВ"), F.lit("VR")), "UV", "VR"))), ("Обозначение документа", sheet.cipher(F.regexp_replace(bnp, " ", ""))),
-            ("Обозначение / шифр", best_of(ciphers(c), sheet.cipher_rank)), ("Организация", organisation(c)), ("Масштаб", ln.scale_of(c)), ("Стадия (обозначение)", letter), ("Лист", number),
-            ("Город / адрес", named), ("Формат", sheet_format(c)), ("Стадия", squeezed(_in(c, STAGES))), ("Очередь строительства", squeezed(_in(c, QUEUE))),
-            ("Копировал", F.when(matches(tail, "формат", "разраб", "пров", "гип", r"лист\b"), "").otherwise(person(tail))),
+            ("Обозначение документа", sheet.cipher(F.regexp_replace(F.replace(F.regexp_replace(x["vr"], r"\s+", ""), F.lit("УВ"), F.lit("VR")), "UV", "VR"))), ("Обозначение документа", sheet.cipher(F.regexp_replace(x["bnp"], " ", ""))),
+            ("Обозначение / шифр", x["cipher"]), ("Организация", x["organisation"]), ("Масштаб", ln.scale_of(c)), ("Стадия (обозначение)", x["stage"]["letter"]), ("Лист", x["stage"]["sheet"]),
+            ("Город / адрес", named), ("Формат", x["format"]), ("Стадия", squeezed(x["stages"])), ("Очередь строительства", squeezed(x["queue"])),
+            ("Копировал", F.when((x["tail"] == "") | matches(x["tail"], "формат", "разраб", "пров", "гип", r"лист\b"), "").otherwise(person(x["tail"]))),
         )
         return F.filter(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values)), lambda x: x["value"] != "")
 
-    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), found)
+    of = lambda c: let(folded(c), lambda low: let(parts(c, low), lambda x: found(c, x)))
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), of)
 
 
 def garbage_value(field: Column, value: Column) -> Column:
     """A value that is an echo of its field, or cannot be one of it."""
-    v = squeezed(value)
+    return let(squeezed(value), lambda v: _garbage(field, v))
+
+
+def _garbage(field: Column, v: Column) -> Column:
     bad = v.isin("", "—") | (F.lower(F.trim(field)) == F.lower(v))
     for name, patterns in REJECTED.items():
         bad = bad | ((field == name) & matches(v, *patterns))
@@ -210,16 +255,21 @@ def keys_alike(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | inside)
 
 
-def told_elsewhere(title: Column, fields: Column) -> Column:
-    """A field of the block (a map) says what the title says: its value stands in the title, or the title in it."""
+def fields_told(fields: Column) -> Column:
+    """What the fields of a block (a map) say, as ``told_elsewhere`` asks it of each title: their values in small letters, the keys of those
+    that are no titles, the organisation's name in quotes, the stage."""
+    entry = lambda e: F.struct(F.lower(e["value"]).alias("low"), F.length(e["value"]).alias("size"), F.when(e["key"].isin(*NAMED_ELSEWHERE), title_key(e["value"])).alias("key"))
     name = F.regexp_extract(F.coalesce(F.try_element_at(fields, F.lit("Организация")), F.lit("")), r'["«]([^"»]{4,60})["»]', 1)
-    stage = F.coalesce(F.try_element_at(fields, F.lit("Стадия")), F.lit(""))
+    stage = F.lower(F.coalesce(F.try_element_at(fields, F.lit("Стадия")), F.lit("")))
+    return F.struct(F.transform(F.filter(F.map_entries(fields), lambda e: e["value"] != ""), entry).alias("values"), F.lower(name).alias("name"), stage.alias("stage"))
+
 
-    def told(x: Column) -> Column:
-        t, key = x["t"], x["key"]
-        within = lambda v: F.contains(t, F.lower(v)) | F.contains(F.lower(v), t)
-        named = lambda e: e["key"].isin(*NAMED_ELSEWHERE) & (within(e["value"]) | let(title_key(e["value"]), lambda v: keys_alike(key, v)))
-        listed = F.exists(F.map_entries(fields), lambda e: (e["value"] != "") & (named(e) | ((F.length(e["value"]) >= 8) & within(e["value"]))))
-        return listed | ((F.length(name) >= 5) & within(name)) | ((stage != "") & F.contains(t, F.lower(stage)))
+def told_elsewhere(title: Column, key: Column, said: Column) -> Column:
+    """A field of the block says what the title says: its value stands in the title, or the title in it. ``key``: of the title; ``said``:
+    ``fields_told``."""
+    def told(t: Column) -> Column:
+        within = lambda low: F.contains(t, low) | F.contains(low, t)
+        listed = F.exists(said["values"], lambda e: ((e["key"].isNotNull() | (e["size"] >= 8)) & within(e["low"])) | (e["key"].isNotNull() & keys_alike(key, e["key"])))
+        return listed | ((F.length(said["name"]) >= 5) & within(said["name"])) | ((said["stage"] != "") & F.contains(t, said["stage"]))
 
-    return let(F.struct(F.lower(title).alias("t"), title_key(title).alias("key")), told)
+    return let(F.lower(title), told)

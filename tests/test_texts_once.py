@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import legend
+from docspark.functions import stamp
+from docspark.operators import legend, title_block
 
 
 def planned(df) -> str:
@@ -32,3 +33,24 @@ def test_lines_of_legends_are_told_once(spark):
     assert {tuple(r)[1:] for r in found.collect()} == {(1, "Граница участка работ"), (2, "Ось трассы водопровода")} and found.count() == 100
     parts = legend.separate_notes(found)
     assert "координат" not in planned(parts) and parts.count() == 100
+
+
+def test_titles_of_equal_lines_are_told_once(spark):
+    text = "г. Гомель Беларусь\nСтадия П Лист 5\nГенеральный план благоустройства участка\nПлан сетей связи участка | Схема Электрических Соединений"
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    found = title_block.titles(docs)
+    # what makes a text a title, and what cleans it, is asked before, once for each different text
+    assert "электродвигател" not in planned(found)
+    assert [tuple(r)[1:] for r in found.where("doc_id = 7").orderBy("place").collect()] == [
+        (0, "Генеральный план благоустройства участка"), (1, "План сетей связи участка"), (2, "Схема Электрических Соединений"),
+    ]
+    # the values of a text are found once, not again to tell whether there are any
+    assert planned(title_block.fields(docs)).count("Popmam") == 1
+
+
+def test_places_are_sought_near_their_country(spark):
+    texts = ["слово " * 30 + "г. Нижний Новый Старый Гомель, Беларусь и Минск Россия", "ГомельБеларусь", "Беларусь", "без страны", "", "а б в г д е ж з и Брест-Южный РБ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    places = lambda c: F.array(*(stamp._in(c, stamp.CITIES[1], k) for k in (0, 1, 2)))
+    got = df.select(places(stamp.near_country(F.col("t"))), places(F.col("t"))).collect()
+    assert all(a == b for a, b in got) and got[0][0][1] == "Нижний Новый Старый Гомель"
